@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 import pyarrow.compute
@@ -20,7 +21,16 @@ LOWER = UPPER.lower()
 ASCII_LOWER = str.maketrans(UPPER, LOWER)
 
 
+def importable(spark: SparkSession) -> None:
+    """Lets Python workers import this package from where the driver has it; an installed package is not affected."""
+    root = str(Path(__file__).resolve().parents[2])
+    paths = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if root not in paths.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(x for x in (root, paths) if x)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    importable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -71,3 +81,28 @@ def slices(batches: Iterable[pa.RecordBatch], column: str, most: int = 8_000_000
 def local_threads() -> None:
     """Keeps numeric libraries from starting threads beside the executor's own cores."""
     os.environ.setdefault("OMP_NUM_THREADS", "1")
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """name, lengthened until df has no column that Spark would take for it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def map_text(docs: DataFrame, function, fields: str, into: str, text: str = "text") -> DataFrame:
+    """docs with the struct column `into` that function(list of texts) gives as a pyarrow array.
+
+    function gets whole texts (null as an empty one), a few megabytes at a time.
+    """
+    from pyspark.sql import types as T
+
+    schema = T.StructType([*docs.schema.fields, T.StructField(into, T._parse_datatype_string(fields))])
+
+    def run(batches):
+        for batch in slices(batches, text):
+            texts = [x or "" for x in batch.column(text).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, function(texts)], names=[*batch.schema.names, into])
+
+    return docs.mapInArrow(run, schema)
