@@ -71,12 +71,12 @@ def double_array(keys: list[bytes], values: list[int]) -> tuple[np.ndarray, np.n
     used[0] = 1
     place = {0: 0}
     free = 1
-    # Nodes with many children first: they are the hardest to fit.
     order, queue = [], [0]
     while queue:
         node = queue.pop()
         order.append(node)
         queue.extend(trie[node].values())
+    tail = 1  # everything from here on is free
     for node in order:
         children = sorted(trie[node])
         if node in ends:
@@ -85,20 +85,25 @@ def double_array(keys: list[bytes], values: list[int]) -> tuple[np.ndarray, np.n
             continue
         while used[free]:
             free += 1
+        # A few holes are tried; then the children go behind all others.
         b = max(0, free - children[0] - 1)
-        while any(used[b + c + 1] for c in children):
+        for _ in range(1 if len(children) > 8 else 24):
+            if not any(used[b + c + 1] for c in children):
+                break
             b += 1
-            if b + 600 > size:
-                grow = size
-                base, check, value = (np.concatenate([x, np.full(grow, f, np.int32)]) for x, f in ((base, 0), (check, -1), (value, -1)))
-                used.extend(bytes(grow))
-                size += grow
+        else:
+            b = max(0, tail - children[0] - 1)
+        if b + 600 > size:
+            base, check, value = (np.concatenate([x, np.full(size, f, np.int32)]) for x, f in ((base, 0), (check, -1), (value, -1)))
+            used.extend(bytes(size))
+            size *= 2
         base[place[node]] = b
         for c in children:
             t = b + c + 1
             used[t] = 1
             check[t] = place[node]
             place[trie[node][c]] = t
+        tail = max(tail, t + 1)
     last = max(place.values()) + 300
     pad = max(0, last - size)
     return tuple(np.concatenate([x, np.full(pad, f, np.int32)])[:last] for x, f in ((base, 0), (check, -1), (value, -1)))

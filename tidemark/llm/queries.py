@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.llm.brown import brown_scores
 from tidemark.llm.common import table
 from tidemark.llm.pieces import encoded_documents
 from tidemark.llm.quality_rules import quality_report
@@ -24,8 +25,12 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return brown_scores(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scans, op5_sentencepiece, op7_quality_rules)}
+    return {f.__name__: f for f in (op1_secret_scans, op5_sentencepiece, op7_quality_rules, op9_brown_lm)}
 
 
 def oracle_sql() -> dict[str, str]:
