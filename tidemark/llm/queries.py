@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from tidemark.llm.brown import brown_scores
 from tidemark.llm.common import table
 from tidemark.llm.pieces import encoded_documents
+from tidemark.llm.quality_pu import quality_scores
 from tidemark.llm.quality_rules import quality_report
 from tidemark.llm.secrets import secret_report
+from tidemark.llm.toxicity import toxicity_scores
 
 
 def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,12 +27,20 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return brown_scores(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scans, op5_sentencepiece, op7_quality_rules, op9_brown_lm)}
+    return {f.__name__: f for f in (op1_secret_scans, op4_quality_classifier, op5_sentencepiece, op7_quality_rules, op8_toxicity, op9_brown_lm)}
 
 
 def oracle_sql() -> dict[str, str]:
