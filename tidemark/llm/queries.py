@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm.brown import brown_scores
 from tidemark.llm.common import table
+from tidemark.llm.decontaminate import leaks
 from tidemark.llm.pieces import encoded_documents
 from tidemark.llm.quality_pu import quality_scores
 from tidemark.llm.quality_rules import quality_report
@@ -39,8 +40,12 @@ def op9_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return brown_scores(table(spark, sf_dir, "documents"))
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scans, op4_quality_classifier, op5_sentencepiece, op7_quality_rules, op8_toxicity, op9_brown_lm)}
+    return {f.__name__: f for f in (op1_secret_scans, op4_quality_classifier, op5_sentencepiece, op7_quality_rules, op8_toxicity, op9_brown_lm, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
