@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tidemark.llm.brown import brown_scores
 from tidemark.llm.common import table
 from tidemark.llm.decontaminate import leaks
+from tidemark.llm.main_text import page_texts
 from tidemark.llm.pieces import encoded_documents
 from tidemark.llm.quality_pu import quality_scores
 from tidemark.llm.quality_rules import quality_report
@@ -28,6 +29,10 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_texts(table(spark, sf_dir, "pages"))
+
+
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -45,7 +50,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scans, op4_quality_classifier, op5_sentencepiece, op7_quality_rules, op8_toxicity, op9_brown_lm, op10_decontamination)}
+    return {f.__name__: f for f in (op1_secret_scans, op3_html_extraction, op4_quality_classifier, op5_sentencepiece, op7_quality_rules, op8_toxicity, op9_brown_lm, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
