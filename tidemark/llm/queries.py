@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tidemark.llm.brown import brown_scores
 from tidemark.llm.common import table
 from tidemark.llm.decontaminate import leaks
+from tidemark.llm.jaccard_join import jaccard_components
 from tidemark.llm.main_text import page_texts
 from tidemark.llm.pieces import encoded_documents
 from tidemark.llm.quality_pu import quality_scores
@@ -37,6 +38,10 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"), words=3, num=90, den=100)
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -50,7 +55,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scans, op3_html_extraction, op4_quality_classifier, op5_sentencepiece, op7_quality_rules, op8_toxicity, op9_brown_lm, op10_decontamination)}
+    return {f.__name__: f for f in (op1_secret_scans, op3_html_extraction, op4_quality_classifier, op5_sentencepiece, op6_jaccard_join, op7_quality_rules, op8_toxicity, op9_brown_lm, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
