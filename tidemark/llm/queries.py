@@ -14,6 +14,7 @@ from tidemark.llm.main_text import page_texts
 from tidemark.llm.pieces import encoded_documents
 from tidemark.llm.quality_pu import quality_scores
 from tidemark.llm.quality_rules import quality_report
+from tidemark.llm.repeats import repeat_report
 from tidemark.llm.secrets import secret_report
 from tidemark.llm.toxicity import toxicity_scores
 
@@ -30,6 +31,10 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeat_report(table(spark, sf_dir, "documents"))
+
+
 def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_texts(table(spark, sf_dir, "pages"))
 
@@ -55,7 +60,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scans, op3_html_extraction, op4_quality_classifier, op5_sentencepiece, op6_jaccard_join, op7_quality_rules, op8_toxicity, op9_brown_lm, op10_decontamination)}
+    return {f.__name__: f for f in (op1_secret_scans, op2_suffix_dedup, op3_html_extraction, op4_quality_classifier, op5_sentencepiece, op6_jaccard_join, op7_quality_rules, op8_toxicity, op9_brown_lm, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
