@@ -30,10 +30,10 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import fresh, map_text
 
 K1, B = 1.2, 0.75
-RETRIEVE = 0.6
+RETRIEVE = 0.7
 OVERLAP = 0.8
 GRAM = 5
-BLOCK = 16
+BLOCK = 64
 SHARD = 1024
 WORD = re.compile(r"\w+")
 FIELDS = "array<struct<item_id: bigint, score: double, overlap: double, question: double, answer: double>>"
@@ -53,6 +53,10 @@ class Index:
 
     def __init__(self, items: list[tuple[int, list[str]]], idf: dict[str, float], mean: float, longest: int) -> None:
         self.longest = longest
+        # Items of one vocabulary and of like scores share a block, which keeps its bounds tight.
+        own = lambda w: sum(idf[t] * w.count(t) * (K1 + 1) / (w.count(t) + K1 * (1 - B + B * len(w) / mean)) for t in set(w))
+        common = lambda w: min(set(w), key=lambda t: (idf[t], t))
+        items = sorted(items, key=lambda x: (common(x[1]), own(x[1]), x[0]))
         self.items = items
         self.terms = {t: i for i, t in enumerate(sorted({t for _, w in items for t in w}))}
         blocks = (len(items) + BLOCK - 1) // BLOCK
@@ -72,7 +76,7 @@ class Index:
             self.impact.append(table)
             self.highest[list(own), b] = table[:-1].max(1)
             goal.append(np.where(table.sum(0) > 0, RETRIEVE * table.sum(0), np.inf))
-        self.goal = np.array(goal)
+        self.goal = np.array(goal) * (1 - 1e-9)
         self.block_goal = self.goal.min(1) * (1 - 1e-6)
         self.top = self.highest.max(1)
         #: Row of each term in a block's table; the last row is zero.
@@ -96,11 +100,11 @@ class Index:
         best: dict[int, dict] = {}
         for p in hopeful:
             lo, hi = p * step, (p + 2) * step
-            terms = np.unique(ids[lo:hi])
-            terms = terms[terms != none]
-            for b in np.flatnonzero(self.highest[terms].sum(0) >= self.block_goal):
-                score = self.impact[b][self.rows[terms, b]].sum(0)
-                for j in np.flatnonzero(score >= self.goal[b] * (1 - 1e-9)):
+            terms = np.array(list(set(ids[lo:hi].tolist()) - {none}), np.int64)
+            for b in np.nonzero(np.add.reduce(self.highest[terms]) >= self.block_goal)[0]:
+                score = np.add.reduce(self.impact[b][self.rows[terms, b]])
+                good = score >= self.goal[b]
+                for j in np.nonzero(good)[0] if good.any() else ():
                     i = b * BLOCK + int(j)
                     have = grams(words[lo:hi]) if GRAM <= len(self.items[i][1]) else None
                     share = lambda g: _share(g, have, words[lo:hi])  # noqa: B023, E731
