@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from tidemark.functions.text import contrast_tokens
 
@@ -23,8 +24,8 @@ def log_odds(counts: DataFrame, least: int = 50, prior: float = 1000.0) -> DataF
     The prior is `prior` times a word's share of all words; words below `least` in all make up totals only.
     """
     total = counts.groupBy("word").agg(F.sum("n").alias("n_w"))
-    grand = counts.agg(F.sum("n").alias("n_all"))
-    vocab = total.filter(F.col("n_w") >= least).join(F.broadcast(grand)).select("word", (F.lit(float(prior)) * F.col("n_w") / F.col("n_all")).alias("alpha"))
+    grand = counts.agg(F.sum("n")).first()[0] or 1
+    vocab = total.filter(F.col("n_w") >= least).select("word", (F.lit(float(prior)) * F.col("n_w") / grand).alias("alpha"))
     state = lambda s: F.coalesce(F.sum(F.when(F.col("recession") == s, F.col("n"))), F.lit(0))
     sides = counts.groupBy("decade").agg(state(True).alias("n_r"), state(False).alias("n_e")).filter("n_r > 0 and n_e > 0")
     seen = counts.groupBy("decade", "word").agg(state(True).alias("y_r"), state(False).alias("y_e"))
@@ -103,16 +104,13 @@ def threshold(maxima: DataFrame, level: float = 0.95) -> DataFrame:
 
 def concentration(counts: DataFrame, key: str = "yq") -> DataFrame:
     """For each quarter the most frequent word (the first one by letters on ties), its count and share."""
-    top = F.max_by("word", F.struct(F.col("n"), -F.col("first"))).alias("top_word")
-    ranked = counts.withColumn("first", F.conv(F.substring(F.hex("word"), 1, 15), 16, 10).cast("long"))
-    return ranked.groupBy(key).agg(top, F.max("n").alias("top_count"), F.sum("n").alias("words")).withColumn("top_share", F.col("top_count") / F.col("words"))
+    top = F.min_by("word", F.struct(-F.col("n"), F.col("word"))).alias("top_word")
+    return counts.groupBy(key).agg(top, F.max("n").alias("top_count"), F.sum("n").alias("words")).withColumn("top_share", F.col("top_count") / F.col("words"))
 
 
 def vocabulary(token_rows: DataFrame, min_df: int = 20, max_df: float = 0.5, size: int = 5000) -> DataFrame:
     """word, df, tf, index: words in min_df records or more and at most max_df of them, the `size` most frequent ones in all."""
-    n_docs = token_rows.select(F.countDistinct("row_id").alias("docs"))
+    n_docs = token_rows.select(F.countDistinct("row_id")).first()[0]
     stats = token_rows.groupBy("row_id", "word").agg(F.count("*").alias("n")).groupBy("word").agg(F.count("*").alias("df"), F.sum("n").alias("tf"))
-    top = stats.join(F.broadcast(n_docs)).filter((F.col("df") >= min_df) & (F.col("df") <= max_df * F.col("docs"))).orderBy(F.desc("tf"), "word").limit(size)
-    from pyspark.sql import Window as W
-
+    top = stats.filter((F.col("df") >= min_df) & (F.col("df") <= max_df * n_docs)).orderBy(F.desc("tf"), "word").limit(size)
     return top.select("word", "df", "tf", (F.row_number().over(W.orderBy("word")) - 1).cast("long").alias("index"))

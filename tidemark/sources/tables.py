@@ -54,7 +54,7 @@ def with_time(df: DataFrame, day: str = "issue_date") -> DataFrame:
     return df.withColumns({
         "year": F.year(day),
         "yq": F.concat(F.year(day).cast("string"), F.lit("Q"), F.quarter(day).cast("string")),
-        "decade": (F.floor(F.year(day) / 10) * 10).cast("int"),
+        "decade": (F.floor(F.year(day) / 10) * 10).cast("long"),
     })
 
 
