@@ -1,0 +1,337 @@
+import collections
+import hashlib
+import math
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from fixtures import SCHEMA, brute_components, brute_removed, documents, frame, shingles
+from tidemark.llm import brown, decontaminate, jaccard_join, main_text, pieces, quality_pu, quality_rules, repeats, secrets, toxicity
+from tidemark.llm.shingles import Sets
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return frame(spark).repartition(3).cache()
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def labels(spark):
+    return spark.createDataFrame([(i, int(i % 5 > 0), int(i % 4 == 0)) for i in range(1, 200)] + [(None, 1, 1), (4, 1, None)], "doc_id bigint, quality int, toxic int")
+
+
+def plain():
+    return [(r[0], r[1]) for r in documents()]
+
+
+def ordered(rows):
+    return sorted(rows, key=lambda r: tuple("" if x is None else str(x) for x in r))
+
+
+# 7
+def test_quality_counts(docs, labels):
+    want = []
+    for i, t in plain():
+        w = WORD.findall(t or "")
+        windows = list(zip(w, w[1:], w[2:]))
+        n = collections.Counter(windows)
+        inside = {k + j for k, x in enumerate(windows) if n[x] > 1 for j in range(3)}
+        lines = [x for x in (t or "").split("\n") if WORD.search(x)]
+        failed = len(w) < 50 or 100 * len(inside) > 50 * len(w)
+        want.append((i, len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t or "")), len(lines) - len(set(lines)), len(inside), failed))
+    got = quality_rules.quality_report(docs, labels).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+    assert ordered(map(tuple, got.collect())) == ordered(want)
+
+
+def test_quality_stage_keeps_columns_and_empty(docs, labels, empty):
+    out = quality_rules.quality_rules(docs, labels, into="_verdict")
+    assert out.columns == [*docs.columns, "_verdict"] and out.count() == docs.count()
+    assert quality_rules.quality_report(empty, labels).count() == 0
+    assert quality_rules.quality_report(docs, labels.limit(0)).count() == docs.count()
+
+
+def test_cutoffs_are_proven(spark):
+    rng = random.Random(1)
+    rows = [(i, " ".join(f"w{rng.randrange(5000)}" + ("!!" if i % 9 == 0 else "") for _ in range(100))) for i in range(2600)]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string")
+    lab = spark.createDataFrame([(i, int(i % 9 > 0)) for i in range(2600)], "doc_id bigint, quality int")
+    # 2311 good documents of one band, none of which breaks any cutoff.
+    each, error = 0.02 / 5, 0.05 / (5 * 4 * len(quality_rules.GRID))
+    proven = (1 - each) ** 2311 <= error
+    kept = {r.doc_id: r.kept for r in quality_rules.quality_report(d, lab).collect()}
+    assert proven == (not kept[0]) and all(kept[i] for i in kept if i % 9)
+    assert all(r.kept for r in quality_rules.quality_report(d, lab.limit(50)).collect())
+
+
+def test_binomial_tail(spark):
+    r = spark.range(1).select(quality_rules.binomial_tail(F.lit(3), F.lit(50), 0.1).alias("p")).first().p
+    assert r == pytest.approx(sum(math.comb(50, k) * 0.1**k * 0.9 ** (50 - k) for k in range(4)), rel=1e-12)
+
+
+# 1
+def test_secrets(spark):
+    key = hashlib.sha256(b"k").hexdigest()
+    token = "Zx9Qp2Lm7Rt4Vb8Nc1Ks6Wd3Hf5Jg0Ty"
+    rows = [(1, f'a PASSWORD = "{key[:20]}" é'), (2, "AKIA" + "Q7" * 8), (3, None), (4, ""), (5, "secret: short"), (6, f"x {token}{token[::-1]} y"), (7, "einfachsehrlangeswortohneziffern " * 3), (1, "deadbeefdeadbeef")]
+    got = [tuple(r) for r in secrets.secret_report(spark.createDataFrame(rows, "doc_id bigint, text string")).select("doc_id", "n_assign", "n_access", "n_hex", "spans").collect()]
+    by = {(i, s): (a, b, c) for i, a, b, c, s in got}
+    assert by[(1, "assign:2:34,hex:14:34")] == (1, 0, 1)
+    assert by[(2, "access:0:20")] == (0, 1, 0)
+    assert by[(3, "")] == by[(4, "")] == by[(5, "")] == by[(7, "")] == (0, 0, 0)
+    assert by[(6, "random:2:66")] == (0, 0, 0)
+    assert by[(1, "hex:0:16")] == (0, 0, 1)
+
+
+def test_battery_tells_random_from_regular():
+    rng = random.Random(2)
+    alphabet = dict((n, a) for n, a in secrets.ALPHABETS)["base62"]
+    passed = sum(secrets.battery("".join(rng.choice(alphabet) for _ in range(40)))["joint"] > 0.01 for _ in range(300))
+    assert passed > 280
+    assert secrets.battery("abababababababababababab1")["joint"] < 1e-3
+    assert secrets.text_p("readme-version-2021-final") > 0.01 > secrets.text_p("a1b2c3d4e5f6g7h8i9j0k1")
+
+
+def test_redaction(docs, empty):
+    out = secrets.redact(docs)
+    assert out.columns == docs.columns and out.count() == docs.count()
+    assert secrets.redact(empty).count() == 0
+    assert [r.text is None for r in out.filter("doc_id = 1").collect()] == [True]
+
+
+# 5
+def test_pieces_round_trip_and_best_path(spark, docs, empty):
+    v = pieces.load()
+    texts = [t or "" for _, t in plain()]
+    for t, ids in zip(texts, pieces.encode_texts(v, texts)):
+        assert pieces.decode_ids(v, ids) == t
+    rng = random.Random(3)
+    sample = [t[:60] for t in texts if t] + ["".join(rng.choice("ab é日😀\n▁") for _ in range(30)) for _ in range(30)]
+    by_bytes = {bytes(v.flat[v.offset[i] : v.offset[i + 1]]): None for i in range(len(v.score))}
+    assert len(by_bytes) > 30_000
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
+    score = {sp.id_to_piece(i): sp.get_score(i) for i in range(len(v.score)) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i))}
+    for t, ids in zip(sample, pieces.encode_texts(v, sample)):
+        marked = (pieces.MARK + t).replace(" ", pieces.MARK)
+        best = [0.0] + [-math.inf] * len(marked)
+        for k in range(1, len(marked) + 1):
+            best[k] = max(best[j] + score.get(marked[j:k], v.unknown if k - j == 1 else -math.inf) for j in range(max(0, k - 20), k))
+        pos, total = 0, 0.0
+        ids = ids.tolist()
+        while ids:
+            if sp.is_byte(ids[0]):  # a character's bytes cost one unknown
+                n = len(marked[pos].encode())
+                total, ids, pos = total + v.unknown, ids[n:], pos + 1
+            else:
+                total, pos, ids = total + v.score[ids[0]], pos + len(sp.id_to_piece(ids[0])), ids[1:]
+        assert pos == len(marked) and total == pytest.approx(best[-1], rel=1e-12)
+    out = pieces.encoded_documents(docs)
+    assert out.count() == docs.count() and out.filter("not round_trip").count() == 0 and out.filter("ids is null").count() == 1
+    assert pieces.encoded_documents(empty).count() == 0
+    back = pieces.decode(pieces.encode(docs, into="codes"), ids="codes").filter("not (text <=> decoded)")
+    assert back.count() == 0
+
+
+# 9
+def test_brown_base_and_model(docs, empty):
+    rows = plain()
+    count, n_docs = collections.Counter(), 0
+    for i, t in rows:
+        if zlib.crc32(("" if i is None else str(i)).encode()) % 5 != 1:
+            count.update((t or "").encode().lower().split())
+            n_docs += 1
+    total, types = sum(count.values()) + n_docs, len(count) + 1
+    log = lambda c: math.log10((c + 0.5) / (total + 0.5 * (types + 1)))
+    want = []
+    for i, t in rows:
+        w = (t or "").encode().lower().split()
+        want.append((i, len(w) + 1, sum(count[x] > 0 for x in w) + 1, total, sum(log(count[x]) for x in w) + log(n_docs)))
+    for head in (brown.HEAD, 7):  # the join with the tail gives the same as the head alone
+        got = brown.brown_scores(docs, clustered=6, classes=3, head=head).select("doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score").collect()
+        assert all(r.score < 0 for r in got)
+        for a, b in zip(ordered(tuple(r)[:5] for r in got), ordered(want)):
+            assert a[:4] == b[:4] and a[4] == pytest.approx(b[4], rel=1e-9)
+    assert brown.brown_scores(empty).count() == 0
+
+
+def test_exchange_finds_classes():
+    rng = random.Random(4)
+    pairs = np.zeros((9, 9), np.int64)
+    for _ in range(4000):  # words 0-2 and 3-5 follow each other in turn
+        a = rng.randrange(3)
+        pairs[a, 3 + rng.randrange(3)] += 1
+        pairs[3 + rng.randrange(3), rng.randrange(3)] += 1
+    own = brown.exchange(pairs, 2)
+    assert len(set(own[:3])) == 1 and len(set(own[3:6])) == 1 and own[0] != own[3]
+    assert np.allclose((10 ** brown.transition_logs(pairs.astype(float) + 1)).sum(1), 1.0)
+
+
+# 4 and 8
+def synthetic(n):
+    rng = random.Random(6)
+    rows, labels = [], []
+    for i in range(n):
+        bad, toxic = i % 7 == 0, i % 5 == 0
+        words = [rng.choice("stone river cloud lamp quiet paper green".split()) for _ in range(80)]
+        if bad:
+            words = [w.upper() + "!!" for w in words]
+        if toxic:
+            for _ in range(6):
+                words[rng.randrange(80)] = rng.choice(["idiot", "moron", "scum"])
+        rows.append((i, " ".join(words)))
+        if i % 2:
+            labels.append((i, int(not bad), int(toxic)))
+    return rows, labels
+
+
+def test_classifiers(spark, docs, empty, labels):
+    rows, lab = synthetic(1500)
+    d, lab_df = spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame(lab, "doc_id bigint, quality int, toxic int")
+    truth = {i: (q, t) for i, q, t in lab}
+    for scores, at in ((quality_pu.quality_scores(d, lab_df), 0), (toxicity.toxicity_scores(d, lab_df), 1)):
+        got = [r for r in scores.collect() if r.held_out and r.doc_id in truth]
+        assert np.mean([r.predicted == truth[r.doc_id][at] for r in got]) > 0.97
+        assert all(0 <= r.score <= 1 for r in got)
+    for f in (quality_pu.quality_scores, toxicity.toxicity_scores):
+        assert f(docs, labels).count() == docs.count()
+        assert f(empty, labels.limit(0)).count() == 0
+
+
+def test_isotonic_rises():
+    x = np.random.default_rng(0).random(200)
+    k, v = toxicity.isotonic(x, (x + np.random.default_rng(1).normal(0, 0.3, 200) > 0.5).astype(float))
+    assert (np.diff(v) >= 0).all() and (np.diff(k) >= 0).all()
+
+
+def test_prior_estimate():
+    rng = np.random.default_rng(0)
+    p, n = rng.normal(2, 1, (4000, 2)), rng.normal(-2, 1, (1200, 2))
+    u = np.concatenate([rng.normal(2, 1, (2800, 2)), n])
+    assert quality_pu.estimate_prior(p, u) == pytest.approx(0.7, abs=0.06)
+
+
+# 6
+@pytest.mark.parametrize(("words", "num", "den"), [(3, 90, 100), (5, 80, 100), (2, 50, 100)])
+def test_jaccard(docs, words, num, den):
+    rows = [(i, t) for i, t in plain() if i is not None]
+    want = brute_components(rows, words, num, den)
+    got = jaccard_join.jaccard_components(docs, words, num, den).collect()
+    assert {r.doc_id: r.component_id for r in got if r.doc_id is not None} == want
+    assert {r.doc_id: r.n_shingles for r in got if r.doc_id is not None} == {i: len(shingles(t, words)) for i, t in rows}
+    assert len(got) == docs.count() and [r.component_id for r in got if r.doc_id is None] == [None]
+
+
+def test_jaccard_loses_no_link_without_leaders():
+    # Every similar pair of random sets shares a signature, many empty segments or not.
+    rng = random.Random(7)
+    for num in (50, 80, 90):
+        plan = jaccard_join.Plan(num, 100)
+        texts = []
+        for _ in range(150):
+            base = [f"w{rng.randrange(10**6)}" for _ in range(rng.randrange(1, 60))]
+            for _ in range(3):
+                texts.append(" ".join(w if rng.random() > 0.08 else f"v{rng.randrange(10**6)}" for w in base).encode())
+        s = Sets(texts, 1)
+        sig, own = jaccard_join.signatures(s, plan, np.arange(len(texts)))
+        groups = collections.defaultdict(set)
+        for a, b in zip(sig.tolist(), own.tolist()):
+            groups[b].add(a)
+        for i in range(len(texts)):
+            for j in range(i - i % 3, i):
+                x, y = set(s.of(i).tolist()), set(s.of(j).tolist())
+                if x and 100 * len(x & y) >= num * len(x | y):
+                    assert groups[i] & groups[j]
+
+
+def test_one_of_each(docs, empty):
+    out = jaccard_join.one_of_each(docs)
+    assert out.columns == docs.columns
+    want = brute_components([(i, t) for i, t in plain() if i is not None], 5, 80, 100)
+    assert {r.doc_id for r in out.collect()} == {i for i in want if want[i] == i} | {None}
+    assert jaccard_join.one_of_each(empty).count() == 0
+
+
+# 2
+@pytest.mark.parametrize("width", [50, 20])
+def test_repeats(spark, width, monkeypatch):
+    monkeypatch.setattr(repeats, "BUCKET", 3000)
+    rows = [(i, t) for i, t in dict(plain()).items() if i is not None]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    want = brute_removed(rows, width)
+    for r in repeats.repeat_report(d, width).collect():
+        n, runs, kept = want[r.doc_id]
+        assert (r.n_removed, r.n_spans, r.kept_sha256) == (n, runs, hashlib.sha256(kept).hexdigest())
+
+
+def test_repeats_edges(docs, empty):
+    out = repeats.repeat_report(docs)
+    assert out.count() == docs.count() and repeats.repeat_report(empty).count() == 0
+    last = out.filter("doc_id is null").first()  # a null id comes after all others
+    assert last.n_removed == last.n_bytes
+
+
+# 3
+def test_main_text(spark):
+    html = (
+        "<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body><header><a href=/>Home</a></header><nav><ul><li><a href=/a>Menu</a></ul></nav>"
+        '<div class="cookie-notice">We use cookies to make this site work for you.</div><main><article><h1>Rivers &amp; stones</h1><p>The first paragraph is long enough to be text,\n with a line feed.<br>And more.'
+        "<p>A <b>second</b> one &mdash; it says things about stones.</p><aside>Related: see our other stories about rivers.</aside><script>var x = '</p>';</script></article></main>"
+        '<section id="comments"><p>Reader: I think that this is a very good text indeed, thank you.</p></section><form><input><button>Send</button></form><footer>&copy; 2020 Someone</footer></bo'
+    )
+    want = "Rivers & stones The first paragraph is long enough to be text, with a line feed. And more. A second one — it says things about stones."
+    rows = [(1, "u", html), (2, "u", None), (3, None, ""), (None, "u", "<p"), (1, "u", html)]
+    got = main_text.page_texts(spark.createDataFrame(rows, "page_id bigint, url string, html string"))
+    assert ordered(tuple(r) for r in got.collect()) == ordered([(1, "u", want, len(want))] * 2 + [(2, "u", "", 0), (3, None, "", 0), (None, "u", "", 0)])
+
+
+def test_min_cut_is_minimal():
+    rng = random.Random(8)
+    for _ in range(40):
+        n = 7
+        w = [rng.uniform(-2, 2) for _ in range(n)]
+        links = [(i, j, rng.uniform(0, 1.5)) for i in range(n) for j in range(i) if rng.random() < 0.5]
+        cut = lambda side: sum(x for x, s in zip(w, side) if x > 0 and not s) - sum(x for x, s in zip(w, side) if x < 0 and s) + sum(c for a, b, c in links if side[a] != side[b])  # noqa: B023, E731
+        best = min(cut([bool(m >> i & 1) for i in range(n)]) for m in range(1 << n))
+        assert cut(main_text.source_side(w, links)) == pytest.approx(best)
+
+
+# 10
+def test_leaks(spark, docs, empty):
+    rng = random.Random(9)
+    items = [(k, " ".join(f"t{rng.randrange(300)}" for _ in range(rng.randrange(12, 60)))) for k in range(40)] + [(40, "tiny item"), (41, None), (42, "")]
+    texts = []
+    for i in range(60):
+        w = [f"t{rng.randrange(300)}" for _ in range(200)]
+        if i % 3 == 0:
+            at, own = rng.randrange(150), items[i % 40][1].split()
+            if i % 2:
+                own[len(own) // 2] = "changed"
+            w[at:at] = own
+        texts.append((i, " ".join(w)))
+    texts += [(60, "see the tiny item here"), (61, None), (60, "see the tiny item here")]
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    got = collections.Counter((r.doc_id, r.item_id) for r in decontaminate.leaks(spark.createDataFrame(texts, "doc_id bigint, text string"), bench).collect())
+    want = collections.Counter()
+    for i, t in texts:
+        w = decontaminate.words_of(t)
+        for k, item in items:
+            own = decontaminate.words_of(item)
+            g = decontaminate.grams(own)
+            n = min(5, len(own))
+            have = {tuple(w[j : j + n]) for j in range(len(w) - n + 1)}
+            if g and len(g & have) >= 0.8 * len(g):
+                want[i, k] += 1
+    assert got == want and sum(want.values()) > 15
+    assert decontaminate.leaks(empty, bench).count() == 0 and decontaminate.leaks(docs, bench.limit(0)).count() == 0

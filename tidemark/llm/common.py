@@ -56,7 +56,8 @@ def stage_table(df: DataFrame, name: str) -> DataFrame:
 
 def crc_mod(doc_id: Column | str, mod: int) -> Column:
     """crc32 of doc_id as text, modulo mod; a null doc_id counts as an empty text."""
-    return F.crc32(F.encode(F.coalesce(F.col(doc_id) if isinstance(doc_id, str) else doc_id, F.lit("")).cast("string"), "UTF-8")) % mod
+    text = (F.col(doc_id) if isinstance(doc_id, str) else doc_id).cast("string")
+    return F.crc32(F.encode(F.coalesce(text, F.lit("")), "UTF-8")) % mod
 
 
 def ascii_lower(text: Column) -> Column:

@@ -304,7 +304,7 @@ def decode(rows: DataFrame, model: str = MODEL, ids: str = "ids", into: str = "d
 
     def run(batches):
         for batch in batches:
-            texts = [None if x is None else decode_ids(shared.value, np.array(x.values.to_numpy(), np.int64)) for x in batch.column(ids)]
+            texts = [decode_ids(shared.value, x.values.to_numpy()) if x.is_valid else None for x in batch.column(ids)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, into])
 
     return rows.mapInArrow(run, schema)
