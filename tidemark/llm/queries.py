@@ -11,6 +11,7 @@ from tidemark.llm.common import table
 from tidemark.llm.decontaminate import leaks
 from tidemark.llm.jaccard_join import jaccard_components
 from tidemark.llm.main_text import page_texts
+from tidemark.llm.oracle import SQL
 from tidemark.llm.pieces import encoded_documents
 from tidemark.llm.quality_pu import quality_scores
 from tidemark.llm.quality_rules import quality_report
@@ -64,4 +65,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
