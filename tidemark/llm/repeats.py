@@ -28,6 +28,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,11 +37,11 @@ from tidemark.llm.common import slices, stage_table
 from tidemark.llm.shingles import M1, M2, mix
 
 WIDTH = 50
-SEED = 12
+SEED = 8
 #: Suffixes in one segment at most; it splits longer runs of one minimiser (in a run of one letter, say).
 RUN = 42
 #: Bytes of text for one bucket, and those that a task holds before it ships.
-BUCKET, HELD = 6_000_000, 20_000_000
+BUCKET, HELD = 2_000_000, 20_000_000
 #: Bytes whose suffixes are hashed at a time.
 CHUNK = 2_000_000
 LAST = (1 << 63) - 1
@@ -60,6 +61,16 @@ def _hashes(flat: np.ndarray, width: int) -> np.ndarray:
     return h
 
 
+def _hash_at(flat: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
+    """A hash of the `width` bytes from each place; it only picks candidates, the bytes themselves decide."""
+    words = np.ndarray((len(flat) - 7,), "<u8", flat.tobytes(), strides=(1,))
+    h = np.zeros(len(at), np.uint64)
+    for k in [*range(0, width - 7, 8), width - 8]:
+        h = (h ^ words[at + k]) * M1
+        h ^= h >> np.uint64(29)
+    return h
+
+
 def _least(h: np.ndarray, width: int) -> np.ndarray:
     """The least value in each run of `width` values."""
     span = 1
@@ -97,8 +108,7 @@ def segments(texts: list[bytes], width: int, seed: int) -> tuple[np.ndarray, np.
 
 def _cells(flat: np.ndarray, start: np.ndarray, size: np.ndarray, width: int) -> np.ndarray:
     """The byte strings flat[start : start + size] as fixed cells, filled up with zeros."""
-    index = start[:, None] + np.arange(width)
-    out = flat[np.minimum(index, len(flat) - 1)]
+    out = np.lib.stride_tricks.sliding_window_view(np.concatenate([flat, np.zeros(width, np.uint8)]), width)[start]
     out[np.arange(width) >= size[:, None]] = 0
     return np.ascontiguousarray(out).view(f"S{width}").ravel()
 
@@ -124,33 +134,52 @@ def _ship(docs: np.ndarray, texts: list[bytes], buckets: int, width: int, seed:
     bucket = (mix(low) % np.uint64(buckets)).astype(np.int64)
     by = np.argsort(bucket, kind="stable")
     ends = np.searchsorted(bucket[by], np.arange(buckets + 1))
-    packer = zstandard.ZstdCompressor(level=1)
+    pack = zstandard.ZstdCompressor(level=3).compress
+    gone = []
     for b in np.flatnonzero(np.diff(ends)):
         rows = by[ends[b] : ends[b + 1]]
         cells = _cells(flat, start[rows], size[rows], width + RUN - 1)
         order, group = _group(cells, size[rows], doc[rows])
-        rows, cells = rows[order], cells[order]
+        rows = rows[order]
         head = np.concatenate([[0], np.flatnonzero(np.diff(group)) + 1])
-        first = doc[rows[head]][group] == doc[rows]
         # Copies within the first document share its verdict: each of them is shipped.
-        send, gone = rows[first], rows[~first]
+        first = doc[rows[head]][group] == doc[rows]
+        gone.append(rows[~first])
+        send = np.sort(rows[first])  # in the order of texts, where numbers pack well
         body = b"".join(texts[o][p : p + s] for o, p, s in zip(owner[send], place[send], size[send], strict=True))
-        packed = [packer.compress(x.astype("<i8").tobytes()) for x in (doc[send], place[send], long[send], doc[gone], place[gone], size[gone])]
-        yield {"bucket": int(b), "body": packer.compress(body), "doc": packed[0], "place": packed[1], "long": packed[2], "gone_doc": packed[3], "gone_place": packed[4], "gone_size": packed[5]}
+        yield {"bucket": int(b), "body": pack(body), "doc": pack(np.diff(doc[send], prepend=0).astype("<i8").tobytes()), "place": pack(place[send].astype("<i4").tobytes()), "long": pack(long[send].astype("<u1").tobytes()), "gone": None}
+    o = np.concatenate([np.zeros(0, np.int64), *gone])
+    if len(o):  # one record of the task has them all, joined where they touch
+        spans = np.stack(_merged(doc[o], place[o], place[o] + size[o]))
+        yield {"bucket": int(mix(spans[0, :1].astype(np.uint64))[0] % np.uint64(buckets)), "body": None, "doc": None, "place": None, "long": None, "gone": pack(spans.astype("<i8").tobytes())}
 
 
-_FIELDS = ("body", "doc", "place", "long", "gone_doc", "gone_place", "gone_size")
+def _merged(d: np.ndarray, a: np.ndarray, z: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Stretches a to z of documents d, joined where they overlap or touch."""
+    order = np.lexsort((a, d))
+    d, a, z = d[order], a[order], z[order]
+    if not len(d):
+        return d, a, z
+    far = np.unique(d, return_inverse=True)[1].astype(np.int64) * (1 << 40)
+    reach = np.maximum.accumulate(z + far)
+    begin = np.flatnonzero(np.concatenate([[True], (a + far)[1:] > reach[:-1]]))
+    return d[begin], a[begin], np.maximum.reduceat(z, begin)
+
+
+_FIELDS = ("body", "doc", "place", "long", "gone")
 _SCHEMA = pa.schema([("bucket", pa.int64()), *[(f, pa.binary()) for f in _FIELDS]])
 
 
 def _judge(table: pa.Table, width: int) -> pa.Table:
     """doc, start and stop of all repeated bytes of a bucket."""
     unpack = zstandard.ZstdDecompressor().decompress
-    read = lambda name: np.concatenate([np.zeros(0, np.int64), *[np.frombuffer(unpack(x), "<i8") for x in table[name].to_pylist()]])
-    doc, place, long = read("doc"), read("place"), read("long")
+    full = table.filter(pa.compute.is_valid(table["body"]))
+    read = lambda name, kind: [np.frombuffer(unpack(x), kind) for x in full[name].to_pylist()]
+    join = lambda parts: np.concatenate([np.zeros(0, np.int64), *parts]).astype(np.int64)
+    doc, place, long = join([np.cumsum(x) for x in read("doc", "<i8")]), join(read("place", "<i4")), join(read("long", "<u1"))
     size = long + width - 1
-    flat = np.frombuffer(b"".join(unpack(x) for x in table["body"].to_pylist()), np.uint8)
-    found = [(read("gone_doc"), read("gone_place"), read("gone_place") + read("gone_size"))]
+    flat = np.frombuffer(b"".join(unpack(x) for x in full["body"].to_pylist()), np.uint8)
+    found = [tuple(np.frombuffer(unpack(x), "<i8").reshape(3, -1)) for x in table["gone"].to_pylist() if x]
     if len(doc):
         start = np.cumsum(size) - size
         cells = _cells(flat, start, size, width + RUN - 1)
@@ -164,7 +193,7 @@ def _judge(table: pa.Table, width: int) -> pa.Table:
         which = np.repeat(o, long[o])
         step = np.arange(len(which)) - np.repeat(np.cumsum(long[o]) - long[o], long[o])
         at = start[which] + step
-        h = _hashes(flat, width)[at]
+        h = _hash_at(flat, at, width)
         rank = np.argsort(h, kind="stable")
         twin = np.zeros(len(h), bool)
         same = h[rank][1:] == h[rank][:-1]
@@ -179,17 +208,7 @@ def _judge(table: pa.Table, width: int) -> pa.Table:
             first = d[np.concatenate([[0], np.flatnonzero(np.diff(group)) + 1])][group]
             o = order[first < d]
             found.append((doc[which[o]], place[which[o]] + step[o], place[which[o]] + step[o] + width))
-    d, a, z = (np.concatenate([f[i] for f in found]) for i in range(3))
-    # Overlapping stretches of a document become one.
-    order = np.lexsort((a, d))
-    d, a, z = d[order], a[order], z[order]
-    if len(d):
-        _, code = np.unique(d, return_inverse=True)
-        far = code.astype(np.int64) * (1 << 40)
-        reach = np.maximum.accumulate(z + far)
-        new = np.concatenate([[True], (a + far)[1:] > reach[:-1]])
-        begin = np.flatnonzero(new)
-        d, a, z = d[begin], a[begin], np.maximum.reduceat(z, begin)
+    d, a, z = _merged(*(join([f[i] for f in found]) for i in range(3)))
     return pa.table({"doc": pa.array(d, pa.int64()), "start": pa.array(a, pa.int64()), "stop": pa.array(z, pa.int64())})
 
 
