@@ -162,8 +162,11 @@ def verdicts(counted: DataFrame, cuts: DataFrame, into: str = "_quality") -> Dat
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA, into: str = "_quality") -> DataFrame:
-    """docs, all columns, with the verdicts in the struct column `into`; reads docs twice."""
-    counted = measured(docs, into)
+    """docs, all columns, with the verdicts in the struct column `into`.
+
+    Rows and counts are staged, so texts are measured once and the filter that follows cannot repeat the counts.
+    """
+    counted = stage_table(measured(docs, into), "quality-rows")
     return verdicts(counted, cutoffs(counted, labels, alpha, delta, into), into)
 
 
