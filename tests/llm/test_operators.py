@@ -335,3 +335,22 @@ def test_leaks(spark, docs, empty):
                 want[i, k] += 1
     assert got == want and sum(want.values()) > 15
     assert decontaminate.leaks(empty, bench).count() == 0 and decontaminate.leaks(docs, bench.limit(0)).count() == 0
+
+
+def test_threshold_loses_no_overlap():
+    # Twelve frequent words and eight rare ones, the last three rare ones altered: 13 of 16 grams, about 5/8 of the score.
+    common = [f"c{k}" for k in range(12)]
+    items = [(k, common + [f"rare{k}x{j}" for j in range(8)]) for k in range(30)]
+    df = collections.Counter(t for _, w in items for t in w)
+    idf = {t: math.log(1 + (30.5 - n) / (n + 0.5)) for t, n in df.items()}
+    index = decontaminate.Index(items, idf, 20.0, 20)
+    got = index.search(["before"] * 30 + items[7][1][:17] + ["other"] * 30)
+    assert [(r["item_id"], r["overlap"]) for r in got] == [(7, 13 / 16)]
+    # The bound lies below every accepted set of grams, tried one by one.
+    rng = random.Random(11)
+    for n in (3, 5, 9, 14, 16):
+        w = [f"t{rng.randrange(12)}" for _ in range(n)]
+        weight = {t: rng.random() for t in set(w)}
+        g = sorted(decontaminate.grams(w))
+        sums = [sum(weight[t] for t in set().union(*(x for k, x in enumerate(g) if m >> k & 1))) for m in range(1 << len(g)) if m.bit_count() >= 0.8 * len(g)]
+        assert 0 < decontaminate.least_score(w, weight) <= min(sums) + 1e-9

@@ -8,7 +8,10 @@ longest item apart, so any copy of an item lies whole in one passage. For each
 passage the sum of its terms' highest impacts bounds all scores (WAND); the sums
 of their highest impacts in each block bound the block's (block-max); only blocks
 that may reach their lowest threshold are scored, exactly. An item's threshold is
-RETRIEVE times the score of its own text. Each retrieved pair is then verified:
+a lower bound of the score of any passage that the verification can accept, so
+retrieval loses no pair. Passages with too few runs of GRAM words whose
+neighbours are neighbours in an item are left out before. Each retrieved pair is
+then verified:
 at least OVERLAP of the item's word 5-grams lie in the passage, counted also for
 its question (all words but the last quarter) and its answer (that quarter).
 
@@ -20,6 +23,7 @@ Empty tables give empty results. Other columns pass through.
 
 from __future__ import annotations
 
+import math
 import re
 
 import numpy as np
@@ -30,7 +34,6 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import fresh, map_text
 
 K1, B = 1.2, 0.75
-RETRIEVE = 0.7
 OVERLAP = 0.8
 GRAM = 5
 BLOCK = 64
@@ -48,6 +51,46 @@ def grams(words: list[str]) -> set[tuple[str, ...]]:
     return {tuple(words[i : i + GRAM]) for i in range(max(1, len(words) - GRAM + 1))} if words else set()
 
 
+def needed(wanted: set) -> int:
+    """The least number of the wanted grams that reaches OVERLAP."""
+    return math.ceil(OVERLAP * len(wanted) - 1e-9)
+
+
+def least_score(words: list[str], weight: dict[str, float]) -> float:
+    """No more than the weights of the words in any passage that holds OVERLAP of the grams.
+
+    A word is lost only if all grams over it are missing. The search goes over the
+    grams from left to right for each number of missing ones; a repeated gram costs
+    nothing again and a repeated word counts at its first place only, which both
+    make the bound lower, never higher.
+    """
+    n, size = len(words), min(GRAM, len(words))
+    starts = n - size + 1
+    spare = len(grams(words)) - needed(grams(words))
+    seen_words: set[str] = set()
+    w = [0.0 if t in seen_words or seen_words.add(t) else weight[t] for t in words]
+    seen: set[tuple[str, ...]] = set()
+    # lost[r, c]: most weight lost with c missing grams, the last r of the starts among them (size or more as size).
+    lost = np.full((size + 1, spare + 1), -np.inf)
+    lost[0] = 0.0
+    for s in range(starts):
+        gram = tuple(words[s : s + size])
+        cost = int(gram not in seen)
+        seen.add(gram)
+        new = np.full_like(lost, -np.inf)
+        new[0] = lost.max(0)
+        for r in range(size + 1):
+            to = min(r + 1, size)
+            # Word s is lost if all starts from s - size + 1, or from the first, to s are missing.
+            gain = w[s] if to >= min(size, s + 1) else 0.0
+            if s == starts - 1:
+                gain += sum(w[p] for p in range(starts, n) if to >= starts - max(0, p - size + 1))
+            moved = lost[r, : spare + 1 - cost] + gain
+            new[to, cost:] = np.maximum(new[to, cost:], moved)
+        lost = new
+    return sum(w) - float(lost.max())
+
+
 class Index:
     """Impacts of one shard of items."""
 
@@ -69,21 +112,39 @@ class Index:
             part = items[b * BLOCK : (b + 1) * BLOCK]
             own = self.place[b] = {self.terms[t]: i for i, t in enumerate(sorted({t for _, w in part for t in w}))}
             table = np.zeros((len(own) + 1, BLOCK))
+            least = np.full(BLOCK, np.inf)
             for j, (_, w) in enumerate(part):
-                for t in set(w):
-                    tf = w.count(t)
-                    table[own[self.terms[t]], j] = idf[t] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(w) / mean))
+                weight = {t: idf[t] * w.count(t) * (K1 + 1) / (w.count(t) + K1 * (1 - B + B * len(w) / mean)) for t in set(w)}
+                for t in weight:
+                    table[own[self.terms[t]], j] = weight[t]
+                least[j] = least_score(w, weight)
             self.impact.append(table)
             self.highest[list(own), b] = table[:-1].max(1)
-            goal.append(np.where(table.sum(0) > 0, RETRIEVE * table.sum(0), np.inf))
-        self.goal = np.array(goal) * (1 - 1e-9)
-        self.block_goal = self.goal.min(1) * (1 - 1e-6)
+            goal.append(least)
+        self.goal = np.array(goal) * (1 - 1e-9) - 1e-9
+        self.block_goal = self.goal.min(1) * (1 - 1e-4)  # for sums of single precision
         self.top = self.highest.max(1)
         #: Row of each term in a block's table; the last row is zero.
         self.rows = np.stack([np.array([p.get(t, len(p)) for t in range(n + 1)], np.int32) for p in self.place], 1)
         self.whole = [grams(w) for _, w in items]
         self.ask = [grams(w[: len(w) - len(w) // 4]) for _, w in items]
         self.answer = [grams(w[len(w) - len(w) // 4 :]) for _, w in items]
+        deciding = self.whole
+        #: Every deciding gram has so many words at least, and every leak so many of them.
+        self.shortest, self.fewest = min(len(g) for x in deciding for g in x), min(map(needed, deciding))
+        self.pairs = np.array(sorted({self.terms[a] * (n + 1) + self.terms[b] for _, w in items for a, b in zip(w, w[1:], strict=False)}), np.int64)
+
+    def possible(self, ids: np.ndarray) -> np.ndarray:
+        """Before each word: how many runs of `shortest` words began that an item may have."""
+        none, run = len(self.terms), self.shortest
+        if run == 1:
+            can = ids != none
+        else:
+            code = ids[:-1] * (none + 1) + ids[1:]
+            near = self.pairs[np.minimum(np.searchsorted(self.pairs, code), len(self.pairs) - 1)] == code
+            total = np.concatenate([[0], np.cumsum(near)])
+            can = total[run - 1 :] - total[: 1 - run] == run - 1 if len(total) >= run else np.zeros(0, bool)
+        return np.pad(np.concatenate([[0], np.cumsum(can)]), (0, len(ids) - len(can)), "edge")
 
     def search(self, words: list[str]) -> list[dict]:
         """Verified pairs of one document, the best passage for each item."""
@@ -94,19 +155,25 @@ class Index:
             return []
         step = self.longest
         count = max(1, -(-len(words) // step) - 1)
-        bound = np.concatenate([[0.0], np.cumsum(self.top[ids])])
+        began = self.possible(ids)
         at = np.arange(count) * step
-        hopeful = np.flatnonzero(bound[np.minimum(at + 2 * step, len(words))] - bound[at] >= self.block_goal.min())
+        end = np.minimum(at + 2 * step, len(words))
+        hopeful = began[np.maximum(end - self.shortest + 1, at)] - began[at] >= self.fewest
+        if not hopeful.any():
+            return []
+        bound = np.concatenate([[0.0], np.cumsum(self.top[ids], dtype=float)])
+        hopeful = np.flatnonzero(hopeful & (bound[end] - bound[at] >= self.block_goal.min()))
         best: dict[int, dict] = {}
         for p in hopeful:
             lo, hi = p * step, (p + 2) * step
             terms = np.array(list(set(ids[lo:hi].tolist()) - {none}), np.int64)
+            passage = grams(words[lo:hi])
             for b in np.nonzero(np.add.reduce(self.highest[terms]) >= self.block_goal)[0]:
                 score = np.add.reduce(self.impact[b][self.rows[terms, b]])
                 good = score >= self.goal[b]
                 for j in np.nonzero(good)[0] if good.any() else ():
                     i = b * BLOCK + int(j)
-                    have = grams(words[lo:hi]) if GRAM <= len(self.items[i][1]) else None
+                    have = passage if GRAM <= len(self.items[i][1]) else None
                     share = lambda g: _share(g, have, words[lo:hi])  # noqa: B023, E731
                     overlap = share(self.whole[i])
                     if overlap >= OVERLAP and overlap > best.get(i, {"overlap": 0.0})["overlap"]:
