@@ -354,3 +354,14 @@ def test_threshold_loses_no_overlap():
         g = sorted(decontaminate.grams(w))
         sums = [sum(weight[t] for t in set().union(*(x for k, x in enumerate(g) if m >> k & 1))) for m in range(1 << len(g)) if m.bit_count() >= 0.8 * len(g)]
         assert 0 < decontaminate.least_score(w, weight) <= min(sums) + 1e-9
+
+
+def test_question_alone_is_a_leak(spark):
+    rng = random.Random(12)
+    items = [(k, [f"i{k}w{j}" for j in range(24)]) for k in range(5)]
+    filler = lambda n: [f"f{rng.randrange(900)}" for _ in range(n)]
+    texts = [filler(50) + items[1][1][:18] + filler(50), filler(50) + items[2][1] + filler(50), filler(50) + items[3][1][18:] + filler(50), filler(120)]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in items], "item_id bigint, text string")
+    got = sorted((r.doc_id, r.item_id, r.overlap, r.question, r.answer, r.kind) for r in decontaminate.leaks(docs, bench).collect())
+    assert got == [(0, 1, 0.7, 1.0, 0.0, "question"), (1, 2, 1.0, 1.0, 1.0, "whole")]

@@ -12,8 +12,10 @@ a lower bound of the score of any passage that the verification can accept, so
 retrieval loses no pair. Passages with too few runs of GRAM words whose
 neighbours are neighbours in an item are left out before. Each retrieved pair is
 then verified:
-at least OVERLAP of the item's word 5-grams lie in the passage, counted also for
-its question (all words but the last quarter) and its answer (that quarter).
+it is a leak if at least OVERLAP of the word 5-grams of the whole item or of its
+question (all words but the last quarter) lie in the passage. The share of its
+answer (that quarter) grades it: `kind` is "whole" if the question or the item and
+OVERLAP of the answer are there, else "question".
 
 Words are lower-cased runs of letters, digits and underscores. Null texts count
 as empty; an item without words matches nothing; items with fewer than five
@@ -39,8 +41,8 @@ GRAM = 5
 BLOCK = 64
 SHARD = 1024
 WORD = re.compile(r"\w+")
-FIELDS = "array<struct<item_id: bigint, score: double, overlap: double, question: double, answer: double>>"
-_ARROW = pa.list_(pa.struct([("item_id", pa.int64()), ("score", pa.float64()), ("overlap", pa.float64()), ("question", pa.float64()), ("answer", pa.float64())]))
+FIELDS = "array<struct<item_id: bigint, score: double, overlap: double, question: double, answer: double, kind: string>>"
+_ARROW = pa.list_(pa.struct([("item_id", pa.int64()), ("score", pa.float64()), ("overlap", pa.float64()), ("question", pa.float64()), ("answer", pa.float64()), ("kind", pa.string())]))
 
 
 def words_of(text: str | None) -> list[str]:
@@ -51,6 +53,10 @@ def grams(words: list[str]) -> set[tuple[str, ...]]:
     return {tuple(words[i : i + GRAM]) for i in range(max(1, len(words) - GRAM + 1))} if words else set()
 
 
+def question_of(words: list[str]) -> list[str]:
+    return words[: len(words) - len(words) // 4]
+
+
 def needed(wanted: set) -> int:
     """The least number of the wanted grams that reaches OVERLAP."""
     return math.ceil(OVERLAP * len(wanted) - 1e-9)
@@ -117,7 +123,7 @@ class Index:
                 weight = {t: idf[t] * w.count(t) * (K1 + 1) / (w.count(t) + K1 * (1 - B + B * len(w) / mean)) for t in set(w)}
                 for t in weight:
                     table[own[self.terms[t]], j] = weight[t]
-                least[j] = least_score(w, weight)
+                least[j] = min(least_score(w, weight), least_score(question_of(w), weight))
             self.impact.append(table)
             self.highest[list(own), b] = table[:-1].max(1)
             goal.append(least)
@@ -127,9 +133,9 @@ class Index:
         #: Row of each term in a block's table; the last row is zero.
         self.rows = np.stack([np.array([p.get(t, len(p)) for t in range(n + 1)], np.int32) for p in self.place], 1)
         self.whole = [grams(w) for _, w in items]
-        self.ask = [grams(w[: len(w) - len(w) // 4]) for _, w in items]
+        self.ask = [grams(question_of(w)) for _, w in items]
         self.answer = [grams(w[len(w) - len(w) // 4 :]) for _, w in items]
-        deciding = self.whole
+        deciding = [*self.whole, *self.ask]
         #: Every deciding gram has so many words at least, and every leak so many of them.
         self.shortest, self.fewest = min(len(g) for x in deciding for g in x), min(map(needed, deciding))
         self.pairs = np.array(sorted({self.terms[a] * (n + 1) + self.terms[b] for _, w in items for a, b in zip(w, w[1:], strict=False)}), np.int64)
@@ -175,9 +181,10 @@ class Index:
                     i = b * BLOCK + int(j)
                     have = passage if GRAM <= len(self.items[i][1]) else None
                     share = lambda g: _share(g, have, words[lo:hi])  # noqa: B023, E731
-                    overlap = share(self.whole[i])
-                    if overlap >= OVERLAP and overlap > best.get(i, {"overlap": 0.0})["overlap"]:
-                        best[i] = {"item_id": self.items[i][0], "score": float(score[j]), "overlap": overlap, "question": share(self.ask[i]), "answer": share(self.answer[i])}
+                    overlap, question = share(self.whole[i]), share(self.ask[i])
+                    if max(overlap, question) >= OVERLAP and (i not in best or (overlap, question) > (best[i]["overlap"], best[i]["question"])):
+                        answer = share(self.answer[i])
+                        best[i] = {"item_id": self.items[i][0], "score": float(score[j]), "overlap": overlap, "question": question, "answer": answer, "kind": "whole" if answer >= OVERLAP or not self.answer[i] else "question"}
         return [best[i] for i in sorted(best)]
 
 
