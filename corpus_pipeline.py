@@ -9,14 +9,14 @@ from tidemark.llm.common import fresh, importable, stage_table, table
 from tidemark.llm.decontaminate import with_leaks
 from tidemark.llm.jaccard_join import one_of_each
 from tidemark.llm.pieces import encoded_documents
-from tidemark.llm.quality_rules import quality_rules
+from tidemark.llm.quality_rules import joint_cutoffs, quality_rules
 from tidemark.llm.secrets import redact
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents that pass the quality rules."""
     into = fresh(docs, "_quality")
-    ruled = quality_rules(docs, table(spark, sf_dir, "labels"), into=into)
+    ruled = quality_rules(docs, table(spark, sf_dir, "labels"), into=into, rule=joint_cutoffs)
     return ruled.filter(F.col(f"{into}.kept")).drop(into)
 
 

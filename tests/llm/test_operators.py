@@ -365,3 +365,20 @@ def test_question_alone_is_a_leak(spark):
     bench = spark.createDataFrame([(k, " ".join(w)) for k, w in items], "item_id bigint, text string")
     got = sorted((r.doc_id, r.item_id, r.overlap, r.question, r.answer, r.kind) for r in decontaminate.leaks(docs, bench).collect())
     assert got == [(0, 1, 0.7, 1.0, 0.0, "question"), (1, 2, 1.0, 1.0, 1.0, "whole")]
+
+
+def test_query_rejects_junk(spark, tmp_path):
+    # 500 good documents of one band: too few for separate bounds, enough for a joint one.
+    from tidemark.llm.queries import op7_quality_rules
+
+    rng = random.Random(13)
+    rows = [(i, " ".join(f"w{rng.randrange(5000)}" + ("%%%" if i >= 500 else "") for _ in range(100))) for i in range(560)]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1) for i in range(500)], "doc_id bigint, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    kept = {r.doc_id: r.kept for r in op7_quality_rules(spark, str(tmp_path)).collect()}
+    assert len(kept) == 560 and not any(kept[i] for i in range(500, 560))
+    assert sum(not kept[i] for i in range(500)) <= 0.02 * 500
+    # With too few labels nothing is proven.
+    few = spark.createDataFrame([(i, 1) for i in range(200)], "doc_id bigint, quality int")
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert all(r.kept for r in quality_rules.quality_report(docs, few, rule=quality_rules.joint_cutoffs).collect())

@@ -14,7 +14,7 @@ from tidemark.llm.main_text import page_texts
 from tidemark.llm.oracle import SQL
 from tidemark.llm.pieces import encoded_documents
 from tidemark.llm.quality_pu import quality_scores
-from tidemark.llm.quality_rules import quality_report
+from tidemark.llm.quality_rules import joint_cutoffs, quality_report
 from tidemark.llm.repeats import repeat_report
 from tidemark.llm.secrets import secret_report
 from tidemark.llm.toxicity import toxicity_scores
@@ -29,7 +29,7 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), rule=joint_cutoffs)
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
