@@ -96,8 +96,8 @@ def absorbed(rows: DataFrame, effect: str, cluster: str, y: str = "y", x: str =
     return {"coef": float(beta), "se": float(np.sqrt(s2 * g / (g - 1) * (n - 1) / (n - k)) / rest[0, 0]), "n": n, "clusters": g}
 
 
-def holm(rows: DataFrame, p: str = "p") -> DataFrame:
-    """Step-down adjusted p-values."""
-    up = W.orderBy(p)
+def holm(rows: DataFrame, p: str = "p", ties: tuple[str, ...] = ()) -> DataFrame:
+    """Step-down adjusted p-values; equal ones are put in the order of `ties`."""
+    up = W.orderBy(p, *ties)
     ranked = rows.withColumn("_i", F.row_number().over(up)).withColumn("_m", F.count("*").over(W.partitionBy()))
     return ranked.withColumn("p_holm", F.least(F.lit(1.0), F.max((F.col("_m") - F.col("_i") + 1) * F.col(p)).over(up.rowsBetween(W.unboundedPreceding, 0)))).drop("_i", "_m")
