@@ -224,7 +224,9 @@ def test_prior_estimate():
 
 # 6
 @pytest.mark.parametrize(("words", "num", "den"), [(3, 90, 100), (5, 80, 100), (2, 50, 100)])
-def test_jaccard(docs, words, num, den):
+@pytest.mark.parametrize("hot", [2, 32])
+def test_jaccard(docs, words, num, den, hot, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "HOT", hot)
     rows = [(i, t) for i, t in plain() if i is not None]
     want = brute_components(rows, words, num, den)
     got = jaccard_join.jaccard_components(docs, words, num, den).collect()
@@ -244,17 +246,62 @@ def test_jaccard_loses_no_link_without_leaders():
             for _ in range(3):
                 texts.append(" ".join(w if rng.random() > 0.08 else f"v{rng.randrange(10**6)}" for w in base).encode())
         s = Sets(texts, 1)
-        sig, own = jaccard_join.signatures(s, plan, np.arange(len(texts)))
+        sig, own, _ = jaccard_join.signatures(s, plan, np.arange(len(texts)))
         groups = collections.defaultdict(set)
         for a, b in zip(sig.tolist(), own.tolist()):
             groups[b].add(a)
         for i in range(len(texts)):
             for j in range(i - i % 3, i):
                 x, y = set(s.of(i).tolist()), set(s.of(j).tolist())
-                if x and 100 * len(x & y) >= num * len(x | y):
+                if x and x != y and 100 * len(x & y) >= num * len(x | y):
                     assert groups[i] & groups[j]
 
 
+def test_hot_signatures_lose_no_link():
+    # Only sets with more hot and empty segments than their role allows may look into hot groups.
+    rng = random.Random(21)
+    line = [f"line{k}" for k in range(40)]
+    for num in (80, 90):
+        plan = jaccard_join.Plan(num, 100)
+        texts = []
+        for _ in range(60):
+            base = [f"w{rng.randrange(10**6)}" for _ in range(rng.randrange(20, 160))] + line
+            for _ in range(3):
+                texts.append(" ".join(w if rng.random() > 0.05 else f"v{rng.randrange(10**6)}" for w in base).encode())
+        s = Sets(texts, 1)
+        sig, own, role = jaccard_join.signatures(s, plan, np.arange(len(texts)))
+        often = collections.Counter(sig.tolist())
+        cold, hot, count = collections.defaultdict(set), collections.defaultdict(set), collections.Counter()
+        for a, b, r in zip(sig.tolist(), own.tolist(), role.tolist()):
+            cold[b].add(a) if often[a] <= 4 else count.update([(b, r)])
+        for a, b, r in zip(sig.tolist(), own.tolist(), role.tolist()):
+            if often[a] > 4 and count[b, r] > r // 2 - 1:
+                hot[b].add(a)
+        for i in range(len(texts)):
+            for j in range(i):
+                x, y = set(s.of(i).tolist()), set(s.of(j).tolist())
+                if x != y and 100 * len(x & y) >= num * len(x | y):
+                    assert cold[i] & cold[j] or hot[i] & hot[j]
+
+
+def _members(n, shared, own, size=200):
+    """Members of one leader that all differ from it by `shared` shingles in common and `own` of their own."""
+    import pyarrow as pa
+
+    common = np.arange(1, shared + 1, dtype=np.uint64)
+    diffs = [np.concatenate([common, np.arange(own, dtype=np.uint64) + np.uint64(10**6 + k * own)]).tobytes() for k in range(n)]
+    return pa.table({"leader": np.zeros(n, np.int64), "member": np.arange(n), "size": np.full(n, size), "linked": np.zeros(n, bool), "diff": pa.array(diffs, pa.binary())})
+
+
+@pytest.mark.parametrize(("shared", "own", "links"), [(60, 2, 49_999), (1, 70, 0)])
+def test_many_members_of_one_leader(shared, own, links):
+    import time
+
+    began = time.time()
+    assert jaccard_join.links_beside(_members(50_000, shared, own), 80, 100).num_rows == links
+    assert time.time() - began < 60
+
+
 def test_one_of_each(docs, empty):
     out = jaccard_join.one_of_each(docs)
     assert out.columns == docs.columns

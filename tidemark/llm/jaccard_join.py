@@ -10,11 +10,18 @@ segments that are empty on both sides prove nothing, so a few more segments are
 made, and a set with more empty ones than that is also indexed by all subsets
 with one shingle left out. The numbers come from the cheapest allocation.
 
-Equal sets are one node. Sets that share a signature are paired with the least
-of them, their leader, only; that many pairs are linear in the signatures. The
-exact comparison with the leader keeps the symmetric differences, and an index of these
-differences finds every further link between two members of one leader (see
-links_beside). So no group is expanded into pairs, and no link is lost. Comparisons
+Equal sets are one node. A signature that more than HOT sets have (a line or
+passage that many documents share, say) is hot, and a band has some segments more
+than it needs: similar sets agree on so many of them that a set may do without its
+empty and its hot ones, as long as these don't outnumber the spare segments. Only
+sets with more of them than that (the copies of a large group, mostly) meet in hot
+signatures at all.
+
+Sets that meet in a signature are paired with the least of them, their leader, only;
+that many pairs are linear in the signatures. The exact comparison with the leader
+keeps the symmetric differences where a leader has two members or more, and an
+index of these differences finds every further link between members of one leader
+(see links_beside). So no group is expanded into pairs, and no link is lost. Comparisons
 of a leader with many members are salted. Components are found by alternating star steps.
 
 Null and empty texts have the empty set and link with nothing. Rows with a null
@@ -33,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import slices, stage_table
+from tidemark.llm.common import Staged, importable, slices, stage_table
 from tidemark.llm.shingles import M1, M2, Sets, mix
 
 BAND_RATIO = 1.5
@@ -53,20 +60,24 @@ class Plan:
 
     @lru_cache(maxsize=None)  # noqa: B019
     def segments(self, band: int) -> tuple[int, int]:
-        """Number of segments, and how many of them may be empty in both sets of a pair.
+        """Number of segments, and how many of them may be empty or hot.
 
         Sets of at most u shingles that are similar enough differ by at most h of them, so of h + 1 + slack
-        segments, slack of them empty in both, one at least is equal and not empty. The slack is the
-        cheapest one: more segments for each set against one-deletion variants for sets with more empty ones.
+        segments they agree on slack + 1 at least. The slack is the cheapest one: more segments for each set
+        against one-deletion variants for sets with more empty ones, and a share of h for hot ones. Sets that
+        may not differ at all are equal, so they need no segment.
         """
         low, high = self.edge[band], self.edge[band + 1] - 1
         h = (self.den - self.num) * 2 * high // (self.den + self.num)
+        if not h:
+            return 0, 0
         best = None
-        for slack in range(0, h + 2):
+        for empty in range(0, h + 2):
+            slack = empty + 1 + h // 8
             m = h + 1 + slack
             mean = m * math.exp(-low / m) if m > 1 else 0.0
             term, tail = math.exp(-mean), 1.0
-            for j in range(slack + 1):
+            for j in range(empty + 1):
                 tail -= term
                 term *= mean / (j + 1)
             cost = m + max(0.0, tail) * low
@@ -77,15 +88,22 @@ class Plan:
         return best[1], best[2]
 
 
-def signatures(sets: Sets, plan: Plan, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Signatures of the sets named by which, and for each its set."""
-    found: list[tuple[np.ndarray, np.ndarray]] = []
+def signatures(sets: Sets, plan: Plan, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Signatures of the sets named by which, for each its set, and a code of the set's role.
+
+    The code is 2 * (segments that may be hot + 1) + (1 if the set is the smaller one of a pair across bands);
+    a set with too many empty segments has 0 + that.
+    """
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     which = which[sets.size[which] > 0]
     own = plan.band(sets.size)
     edge = np.array(plan.edge)
     for up in (0, 1):
         # Up: as the smaller set of a pair whose larger one lies in the next band.
         pick = which if not up else which[sets.size[which] * plan.den >= edge[own[which] + 1] * plan.num]
+        if not len(pick):
+            continue
+        pick = pick[[plan.segments(int(b))[0] > 0 for b in own[pick] + up]]
         if not len(pick):
             continue
         band = own[pick] + up
@@ -99,30 +117,33 @@ def signatures(sets: Sets, plan: Plan, which: np.ndarray) -> tuple[np.ndarray, n
         total = np.add.reduceat(term, begin)
         seg_row, seg = row[begin], segment[begin]
         salt = mix(seg * M2 + (band[seg_row].astype(np.uint64) << np.uint64(40)))
-        found.append((mix(total + salt), pick[seg_row]))
         filled = np.bincount(seg_row, minlength=len(pick))
         empty = m[:, 0] - filled
         poor = empty > m[:, 1]
+        role = 2 * np.minimum(np.maximum(m[:, 1] - empty + 1, 0), 1 << 13) + up
+        found.append((mix(total + salt), pick[seg_row], role[seg_row]))
         if poor.any():
             # Too many empty segments: every subset with one shingle left out as well.
             owner = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(flat))))
             large = np.bincount(owner)[owner] > 1
             one = poor[row] & large
-            found.append((mix(total[owner[one]] - term[one] + salt[owner[one]]), pick[row[one]]))
+            found.append((mix(total[owner[one]] - term[one] + salt[owner[one]]), pick[row[one]], role[row[one]]))
             bare = np.flatnonzero(empty * 4 > m[:, 0])
             if len(bare):
                 r = np.repeat(bare, m[bare, 0])
                 s = np.concatenate([np.arange(x) for x in m[bare, 0]]).astype(np.uint64)
                 have = np.isin(r * (1 << 32) + s.astype(np.int64), seg_row * (1 << 32) + seg.astype(np.int64))
-                found.append((mix(mix(s[~have] * M2 + (band[r[~have]].astype(np.uint64) << np.uint64(40)))), pick[r[~have]]))
+                found.append((mix(mix(s[~have] * M2 + (band[r[~have]].astype(np.uint64) << np.uint64(40)))), pick[r[~have]], role[r[~have]]))
     if not found:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found]), np.concatenate([f[2] for f in found])
 
 
 FLUSH = 3_000_000
-#: Bytes of signatures that one bucket holds, about.
-BUCKET = 32_000_000
+#: Signatures in one bucket, about.
+BUCKET = 1_500_000
+#: Sets of one signature beyond which it is hot.
+HOT = 32
 #: Members that are compared with one copy of their leader.
 SALTED = 256
 
@@ -143,109 +164,167 @@ def node_table(docs: DataFrame, words: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles bigint, node bigint")
 
 
-def star_pairs(docs: DataFrame, words: int, plan: Plan, buckets: int) -> DataFrame:
-    """leader, member: every set that shares a signature with others, with the least of them."""
+def _stars(sig: np.ndarray, node: np.ndarray) -> np.ndarray:
+    """Rows of (least node, other node) for each signature; rows are sorted by signature and node."""
+    begin = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
+    lead = np.repeat(node[begin], np.diff(np.append(begin, len(sig))))
+    return np.unique(np.stack([lead, node], 1)[lead != node], axis=0).reshape(-1, 2)
+
 
-    def emit(sig: np.ndarray, node: np.ndarray):
+def meetings(docs: DataFrame, words: int, plan: Plan, buckets: int) -> DataFrame:
+    """Who meets whom: leader and member for signatures that aren't hot; member, role and its hot signatures else.
+
+    A record holds a bucket's signatures of one task: 40 bits of each in the order of sets, and of each set its
+    node, role and number of signatures there.
+    """
+
+    def emit(sig: np.ndarray, node: np.ndarray, role: np.ndarray):
         bucket = (sig % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
+        order = np.lexsort((role, node, bucket))
         ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
-        full = np.flatnonzero(np.diff(ends))
-        sig, node = sig[order], node[order]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(full, pa.int64()), pa.array([sig[ends[b] : ends[b + 1]].tobytes() for b in full], pa.binary()), pa.array([node[ends[b] : ends[b + 1]].tobytes() for b in full], pa.binary())],
-            names=["bucket", "sigs", "nodes"],
-        )
+        sig, node, role = sig[order], node[order], role[order]
+        rows = []
+        for b in np.flatnonzero(np.diff(ends)):
+            at = slice(ends[b], ends[b + 1])
+            n, r = node[at], role[at]
+            head = np.flatnonzero(np.concatenate([[True], (n[1:] != n[:-1]) | (r[1:] != r[:-1])]))
+            size = np.diff(np.append(head, len(n)))
+            rows.append((int(b), np.ascontiguousarray(sig[at].view(np.uint8).reshape(-1, 8)[:, 3:]).tobytes(), n[head].tobytes(), r[head].astype("<u2").tobytes() + size.astype("<u4").tobytes()))
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int64(), pa.binary(), pa.binary(), pa.binary()))], names=["bucket", "sigs", "nodes", "roles"])
 
     def run(batches):
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         seen: set[int] = set()
         for batch in slices(batches, "text"):
             sets = Sets(_bytes(batch.column("text")), words)
             # Equal sets within a task count once.
             fresh_ones = [k for k in np.unique(sets.key, return_index=True)[1] if sets.size[k] and int(sets.key[k]) not in seen]
             seen.update(int(sets.key[k]) for k in fresh_ones)
-            sig, own = signatures(sets, plan, np.array(fresh_ones, np.int64))
-            held.append((sig, sets.key[own]))
-            if sum(len(s) for s, _ in held) > FLUSH:
-                yield from emit(*(np.concatenate([h[i] for h in held]) for i in (0, 1)))
+            sig, own, role = signatures(sets, plan, np.array(fresh_ones, np.int64))
+            held.append((sig, sets.key[own], role))
+            if sum(len(h[0]) for h in held) > FLUSH:
+                yield from emit(*(np.concatenate([h[i] for h in held]) for i in range(3)))
                 held = []
                 seen.clear()
         if held:
-            yield from emit(*(np.concatenate([h[i] for h in held]) for i in (0, 1)))
-
-    def pair(table: pa.Table) -> pa.Table:
-        sig = np.frombuffer(b"".join(table["sigs"].to_pylist()), np.uint64)
-        node = np.frombuffer(b"".join(table["nodes"].to_pylist()), np.int64)
-        order = np.lexsort((node, sig))
-        sig, node = sig[order], node[order]
+            yield from emit(*(np.concatenate([h[i] for h in held]) for i in range(3)))
+
+    def meet(table: pa.Table) -> pa.Table:
+        raw = np.frombuffer(b"".join(table["sigs"].to_pylist()), np.uint8).reshape(-1, 5)
+        sig = np.zeros((len(raw), 8), np.uint8)
+        sig[:, 3:] = raw
+        sig = sig.view(np.uint64).ravel()
+        heads = [np.frombuffer(x, np.int64) for x in table["nodes"].to_pylist()]
+        blobs = list(zip(heads, table["roles"].to_pylist(), strict=True))
+        size = np.concatenate([np.frombuffer(x[2 * len(h) :], "<u4") for h, x in blobs])
+        node = np.repeat(np.concatenate(heads), size)
+        role = np.repeat(np.concatenate([np.frombuffer(x[: 2 * len(h)], "<u2") for h, x in blobs]), size)
+        order = np.lexsort((role, node, sig))
+        sig, node, role = sig[order], node[order], role[order]
+        # A set that several tasks sent counts once.
+        once = np.concatenate([[True], (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])])
+        sig, node, role = sig[once], node[once], role[once]
         begin = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
-        lead = np.repeat(node[begin], np.diff(np.append(begin, len(sig))))
-        pairs = np.unique(np.stack([lead, node], 1)[lead != node], axis=0).reshape(-1, 2)
+        long = np.diff(np.append(begin, len(sig)))
+        hot = np.repeat(long > HOT, long)
+        pairs = _stars(sig[~hot], node[~hot]) if not hot.all() else np.zeros((0, 2), np.int64)
+        sig, node, role = sig[hot], node[hot], role[hot].astype(np.int64)
+        order = np.lexsort((sig, role, node))
+        sig, node, role = sig[order], node[order], role[order]
+        head = np.flatnonzero(np.concatenate([[True], (node[1:] != node[:-1]) | (role[1:] != role[:-1])])) if len(sig) else np.zeros(0, np.int64)
+        ends = np.append(head, len(sig))
+        n, b = len(head), table["bucket"][0].as_py()
+        return pa.table({
+            "bucket": pa.array(np.full(len(pairs) + n, b), pa.int64()),
+            "leader": pa.array([*pairs[:, 0].tolist(), *[None] * n], pa.int64()),
+            "member": pa.array(np.concatenate([pairs[:, 1], node[head]]), pa.int64()),
+            "role": pa.array([*[None] * len(pairs), *role[head].tolist()], pa.int32()),
+            "hot": pa.array([*[None] * len(pairs), *[sig[x:y].tobytes() for x, y in zip(ends, ends[1:], strict=False)]], pa.binary()),
+        })
+
+    blobs = docs.select("text").mapInArrow(run, "bucket bigint, sigs binary, nodes binary, roles binary")
+    return blobs.groupBy("bucket").applyInArrow(meet, "bucket bigint, leader bigint, member bigint, role int, hot binary")
+
+
+def star_pairs(met: DataFrame) -> DataFrame:
+    """leader, member: from signatures that aren't hot, and from hot ones between sets that can't do without them."""
+    hot = met.filter("hot is not null")
+    poor = hot.groupBy("member", "role").agg(F.sum(F.octet_length("hot") / 8).alias("n")).filter(F.col("n") > F.floor(F.col("role") / 2) - 1).select("member", "role")
+
+    def stars(table: pa.Table) -> pa.Table:
+        sigs = [np.frombuffer(x, np.uint64) for x in table["hot"].to_pylist()]
+        node = np.repeat(table["member"].to_numpy(), [len(x) for x in sigs])
+        sig = np.concatenate(sigs)
+        order = np.lexsort((node, sig))
+        pairs = _stars(sig[order], node[order])
         return pa.table({"leader": pairs[:, 0], "member": pairs[:, 1]})
 
-    blobs = docs.select("text").mapInArrow(run, "bucket bigint, sigs binary, nodes binary")
-    return blobs.groupBy("bucket").applyInArrow(pair, "leader bigint, member bigint").distinct()
+    more = hot.join(poor, ["member", "role"], "left_semi").select("bucket", "member", "hot").groupBy("bucket").applyInArrow(stars, "leader bigint, member bigint")
+    return met.filter("leader is not null").select("leader", "member").unionByName(more).distinct()
 
 
-def needed_sets(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
-    """node and its sorted shingles as bytes, for the sets in pairs."""
-    wanted = pairs.select(F.explode(F.array("leader", "member")).alias("node")).distinct()
-    ids = nodes.groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(wanted, "node", "left_semi").select("doc_id")
-    texts = docs.select("doc_id", "text").join(ids.hint("shuffle_hash"), "doc_id", "left_semi")
+def compared(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """leader, member, size, linked, and the sorted symmetric difference for leaders of two members or more.
+
+    Only texts of sets in pairs are read again, one for each set; each sends its shingles to the groups that ask for them.
+    """
+    counts = pairs.groupBy("leader").agg(F.count("*").alias("n"))
+    salts = F.ceil(F.col("n") / SALTED).cast("int")
+    many = F.col("n") > 1
+    role = lambda salt, leads: F.struct("leader", salt.alias("salt"), F.lit(leads).alias("leads"), many.alias("many"))
+    asks = (
+        pairs.join(counts, "leader").select(F.col("member").alias("node"), role(F.pmod(F.xxhash64("member"), salts).cast("int"), False).alias("ask"))
+        .unionByName(counts.select(F.col("leader").alias("node"), F.explode(F.transform(F.sequence(F.lit(0), salts - 1), lambda s: role(s, True))).alias("ask")))
+        .groupBy("node").agg(F.collect_list("ask").alias("asks"))
+    )
+    one = nodes.groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(asks, "node")
+    texts = docs.select("doc_id", "text").join(one.hint("shuffle_hash"), "doc_id").select("text", "node", "asks")
 
     def run(batches):
         for batch in slices(batches, "text"):
             sets = Sets(_bytes(batch.column("text")), words)
-            full = np.flatnonzero(sets.size)
-            yield pa.RecordBatch.from_arrays([pa.array(sets.key[full]), pa.array([sets.of(k).tobytes() for k in full], pa.binary())], names=["node", "shingles"])
-
-    return texts.mapInArrow(run, "node bigint, shingles binary").dropDuplicates(["node"])
-
-
-def compared(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """leader, member, sizes, linked and the sorted symmetric difference of each pair."""
-    salts = pairs.groupBy("leader").agg(F.ceil(F.count("*") / SALTED).cast("int").alias("salts"))
-    members = (
-        pairs.join(salts, "leader")
-        .withColumn("salt", F.pmod(F.xxhash64("member"), F.col("salts")).cast("int"))
-        .join(sets, pairs["member"] == sets["node"])
-        .select("leader", "salt", "member", "shingles")
-    )
-    leaders = salts.join(sets, salts["leader"] == sets["node"]).select("leader", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("long").alias("member"), "shingles")
+            nodes, asks = batch.column("node").to_numpy(), batch.column("asks").to_pylist()
+            # A doc_id that has other texts too brings them along; only the one that was meant counts.
+            out = [(a["leader"], a["salt"], None if a["leads"] else int(nodes[k]), a["many"], sets.of(k).tobytes()) for k in np.flatnonzero(sets.key == nodes) for a in asks[k]]
+            for i in range(0, len(out), 500):
+                part = out[i : i + 500]
+                yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in part], k) for j, k in enumerate((pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.binary()))], names=["leader", "salt", "member", "many", "shingles"])
 
     def compare(table: pa.Table) -> pa.Table:
         names, blobs = table["member"].to_pylist(), table["shingles"].to_pylist()
-        leader = table["leader"][0].as_py()
+        leader, many = table["leader"][0].as_py(), table["many"][0].as_py()
         mine = np.frombuffer(blobs[names.index(None)], np.uint64)
         rows = []
-        for name, blob in zip(names, blobs, strict=True):
+        for name, blob in dict(zip(names, blobs, strict=True)).items():
             if name is None:
                 continue
             other = np.frombuffer(blob, np.uint64)
             diff = np.setxor1d(mine, other, assume_unique=True)
             both = (len(mine) + len(other) - len(diff)) // 2
-            rows.append((leader, name, len(other), bool(both * den >= num * (both + len(diff))), diff.tobytes()))
+            rows.append((leader, name, len(other), bool(both * den >= num * (both + len(diff))), diff.tobytes() if many else None))
         return pa.table({n: pa.array([r[i] for r in rows], k) for i, (n, k) in enumerate((("leader", pa.int64()), ("member", pa.int64()), ("size", pa.int64()), ("linked", pa.bool_()), ("diff", pa.binary())))})
 
-    return members.unionByName(leaders).groupBy("leader", "salt").applyInArrow(compare, "leader bigint, member bigint, size bigint, linked boolean, diff binary")
+    sent = texts.mapInArrow(run, "leader bigint, salt int, member bigint, many boolean, shingles binary")
+    return sent.groupBy("leader", "salt").applyInArrow(compare, "leader bigint, member bigint, size bigint, linked boolean, diff binary")
 
 
 def links_beside(table: pa.Table, num: int, den: int) -> pa.Table:
     """Links between members of one leader of which one at least isn't linked with the leader itself.
 
     With X and Y the differences of two members from the leader, the members differ by |X| + |Y| - 2 |X and Y|
-    shingles. A member that isn't linked with the leader can only be linked with members whose
-    differences share shingles with its own, so an index of the differences finds all of them.
+    shingles. A member of n shingles that isn't linked with the leader shares |X| - n (den - num) / num of them
+    at least, and one at least, with a member that it is linked with; so the rarest ones of X, one more than
+    may be missing, lead to all of them. What is known to be in one component is not compared again: each
+    shingle remembers which of its members lie outside the component that looked last.
     """
     member, size, linked = table["member"].to_numpy(), table["size"].to_numpy(), np.array(table["linked"].to_pylist(), bool)
     diffs = [np.frombuffer(x, np.uint64) for x in table["diff"].to_pylist()]
     long = np.array([len(x) for x in diffs], np.int64)
-    owner = np.repeat(np.arange(len(diffs)), long)
-    flat = np.concatenate([np.zeros(0, np.uint64), *diffs])
-    order = np.argsort(flat, kind="stable")
-    posting = owner[order]
-    sorted_flat = flat[order]
+    offset = np.concatenate([[0], np.cumsum(long)])
+    flat, code = np.unique(np.concatenate([np.zeros(0, np.uint64), *diffs]), return_inverse=True)
+    posting = np.repeat(np.arange(len(diffs)), long)[np.argsort(code, kind="stable")]
+    often = np.bincount(code, minlength=len(flat))
+    ends = np.concatenate([[0], np.cumsum(often)])
     parent = np.arange(len(diffs))
     if linked.any():
         parent[linked] = np.flatnonzero(linked)[0]
@@ -256,15 +335,43 @@ def links_beside(table: pa.Table, num: int, den: int) -> pa.Table:
             i = parent[i]
         return i
 
+    def roots(which: np.ndarray) -> np.ndarray:
+        up = parent[which]
+        while (parent[up] != up).any():
+            up = parent[up]
+        parent[which] = up
+        return up
+
+    outside: dict[int, tuple[int, np.ndarray]] = {}
     out = []
     for x in np.flatnonzero(~linked):
-        lo, hi = np.searchsorted(sorted_flat, diffs[x], "left"), np.searchsorted(sorted_flat, diffs[x], "right")
-        shared = np.concatenate([posting[a:b] for a, b in zip(lo, hi, strict=True) if b - a > 1] or [np.zeros(0, np.int64)])
-        near, times = np.unique(shared, return_counts=True)
+        own = code[offset[x] : offset[x + 1]]
+        spare = int(size[x]) * (den - num) // num
+        own = own[np.argsort(often[own], kind="stable")][: spare + 1]
+        here, near = root(int(x)), []
+        for e in own[often[own] > 1].tolist():
+            was, rest = outside.get(e, (-1, None))
+            if was < 0 or root(was) != here:
+                rest = posting[ends[e] : ends[e + 1]]
+            rest = rest[roots(rest) != here] if len(rest) else rest
+            outside[e] = (here, rest)
+            near.append(rest)
+        near = np.unique(np.concatenate(near)) if near else np.zeros(0, np.int64)
+        if not len(near):
+            continue
+        mine = np.zeros(len(flat) + 1, bool) if len(near) > 64 else None
+        whole = code[offset[x] : offset[x + 1]]
+        at = np.arange(int(long[near].sum())) - np.repeat(np.cumsum(long[near]) - long[near], long[near]) + np.repeat(offset[near], long[near])
+        if mine is not None:
+            mine[whole] = True
+            same = mine[code[at]]
+        else:
+            same = np.isin(code[at], whole)
+        times = np.add.reduceat(same.astype(np.int64), np.cumsum(long[near]) - long[near])
         apart = long[x] + long[near] - 2 * times
         both = (size[x] + size[near] - apart) // 2
-        for y in near[(both * den >= num * (both + apart)) & (near != x)]:
-            a, b = root(int(x)), root(int(y))
+        for y in near[both * den >= num * (both + apart)].tolist():
+            a, b = root(int(x)), root(y)
             if a != b:
                 parent[max(a, b)] = min(a, b)
                 out.append((member[x], member[y]))
@@ -276,7 +383,8 @@ def components(links: DataFrame) -> DataFrame:
 
     Alternating large-star and small-star steps; every step is written to the shared folder.
     """
-    edges = stage_table(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "links")
+    step = Staged()
+    edges = step.table(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "links")
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
@@ -285,7 +393,10 @@ def components(links: DataFrame) -> DataFrame:
         large = large.unionByName(kept).filter("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").filter("a <> b").distinct()
-        edges = stage_table(small, "links")
+        after = Staged()
+        edges = after.table(small, "links")
+        step.drop()
+        step = after
         n, heads = edges.agg(F.count("*"), F.countDistinct("a")).first()
         if n == heads and edges.select("b").join(edges.select(F.col("a").alias("b")), "b", "left_semi").limit(1).count() == 0:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
@@ -293,23 +404,28 @@ def components(links: DataFrame) -> DataFrame:
 
 def jaccard_components(docs: DataFrame, words: int = 3, num: int = 90, den: int = 100) -> DataFrame:
     """doc_id, n_shingles and component_id (the least doc_id that links reach) for each document."""
+    importable(docs.sparkSession)
     known = docs.select("doc_id", "text")
-    plan = Plan(num, den)
+    plan, passing = Plan(num, den), Staged()
     nodes = stage_table(node_table(known, words), "jaccard-nodes")
     total = nodes.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
     share = 4 * (den - num) / (den + num) + 0.05
     linked_docs = known.filter(F.col("doc_id").isNotNull())
-    pairs = stage_table(star_pairs(linked_docs, words, plan, max(16, math.ceil(total * share * 16 / BUCKET))), "jaccard-pairs")
-    sets = stage_table(needed_sets(linked_docs, nodes.filter("doc_id is not null and node is not null"), pairs, words), "jaccard-sets")
-    checked = stage_table(compared(pairs, sets, num, den), "jaccard-checked")
+    full = nodes.filter("doc_id is not null and node is not null")
+    first = Staged()
+    met = first.table(meetings(linked_docs, words, plan, max(16, math.ceil(total * share / BUCKET))), "jaccard-met")
+    pairs = passing.table(star_pairs(met), "jaccard-pairs")
+    first.drop()
+    checked = passing.table(compared(linked_docs, full, pairs, words, num, den), "jaccard-checked")
     mixed = checked.groupBy("leader").agg(F.count_if(~F.col("linked")).alias("loose"), F.count("*").alias("n")).filter("loose > 0 and n > 1").select("leader")
     beside = checked.join(mixed, "leader", "left_semi").groupBy("leader").applyInArrow(lambda t: links_beside(t, num, den), "a bigint, b bigint")
-    links = checked.filter("linked").select(F.col("leader").alias("a"), F.col("member").alias("b")).unionByName(beside)
+    links = passing.table(checked.filter("linked").select(F.col("leader").alias("a"), F.col("member").alias("b")).unionByName(beside), "jaccard-links")
     roots = components(links)
-    own = nodes.filter("doc_id is not null and node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
+    own = full.groupBy("node").agg(F.min("doc_id").alias("least"))
     placed = own.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    found = placed.join(least, "root").select("node", "component_id")
+    found = stage_table(placed.join(least, "root").select("node", "component_id"), "jaccard-found")
+    passing.drop()
     return nodes.join(found, "node", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 
