@@ -61,17 +61,40 @@ def test_quality_stage_keeps_columns_and_empty(docs, labels, empty):
     assert quality_rules.quality_report(docs, labels.limit(0)).count() == docs.count()
 
 
-def test_cutoffs_are_proven(spark):
-    rng = random.Random(1)
-    rows = [(i, " ".join(f"w{rng.randrange(5000)}" + ("!!" if i % 9 == 0 else "") for _ in range(100))) for i in range(2600)]
-    d = spark.createDataFrame(rows, "doc_id bigint, text string")
-    lab = spark.createDataFrame([(i, int(i % 9 > 0)) for i in range(2600)], "doc_id bigint, quality int")
-    # 2311 good documents of one band, none of which breaks any cutoff.
-    each, error = 0.02 / 5, 0.05 / (5 * 4 * len(quality_rules.GRID))
-    proven = (1 - each) ** 2311 <= error
-    kept = {r.doc_id: r.kept for r in quality_rules.quality_report(d, lab).collect()}
-    assert proven == (not kept[0]) and all(kept[i] for i in kept if i % 9)
-    assert all(r.kept for r in quality_rules.quality_report(d, lab.limit(50)).collect())
+def test_bands_join_where_labels_are_few(spark):
+    of = lambda n: spark.range(1).select(quality_rules._strata(F.array(*[F.lit(x).cast("long") for x in n]), 100).alias("s")).first().s
+    assert of([100, 100, 100, 100]) == [0, 1, 2, 3]
+    assert of([100, 100, 60, 60]) == [0, 1, 2, 2]
+    assert of([100, 100, 60, 30]) == [0, 1, 1, 1]
+    assert of([10, 20, 30, 20]) == [0, 0, 0, 0]
+    assert of([0, 150, 0, 100]) == [0, 0, 1, 1]
+
+
+def test_stated_risk_holds(spark):
+    # Good documents of 16 strata all follow one law: a rule may lose more than alpha of them in a share delta of the corpora.
+    rng = np.random.default_rng(31)
+    alpha, delta = 0.05, 0.1
+    law = lambda n: rng.binomial(10_000, rng.beta(1, 12, n)) / 10_000
+    truth, lost = law(200_000), []
+    schema = "doc_id bigint, _quality struct<words: struct<n_words: bigint, word_chars: bigint, n_repeat_words: bigint>, lines: struct<n_lines: bigint, n_dup_lines: bigint>, n_symbols: bigint, n_capitals: bigint, n_bangs: bigint>"
+    labels = spark.createDataFrame([(i, 1) for i in range(1600)], "doc_id bigint, quality int")
+    for _ in range(4):
+        rows = [(i, ((n, 10_000, 0), (1, 0), int(v * 10_000), 0, 0)) for i, (n, v) in enumerate(zip([100, 300, 900, 3000] * 400, law(1600)))]
+        cuts = quality_rules.joint_cutoffs(spark.createDataFrame(rows, schema), labels, alpha, delta).collect()
+        assert len(cuts) == 4
+        lost += [float((truth > r.cuts["symbols"]).mean()) for r in cuts if "symbols" in r.cuts]
+    assert len(lost) >= 8 and sum(x > alpha for x in lost) <= 2
+
+
+def test_repeated_and_contradicting_labels_are_one_trial_or_none(spark):
+    rows = [(i % 10, " ".join(f"w{k}" for k in range(100))) for i in range(600)]
+    d = quality_rules.measured(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert quality_rules.joint_cutoffs(d, spark.createDataFrame([(i, 1) for i in range(10)], "doc_id bigint, quality int")).count() == 0
+    rows = [(i, " ".join(f"w{k}" for k in range(100))) for i in range(600)]
+    d = quality_rules.measured(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    both = spark.createDataFrame([(i, q) for i in range(600) for q in (0, 1)], "doc_id bigint, quality int")
+    assert quality_rules.joint_cutoffs(d, both).count() == 0
+    assert quality_rules.joint_cutoffs(d, both.filter("quality = 1")).count() == 4
 
 
 def test_binomial_tail(spark):
@@ -428,4 +451,4 @@ def test_query_rejects_junk(spark, tmp_path):
     # With too few labels nothing is proven.
     few = spark.createDataFrame([(i, 1) for i in range(200)], "doc_id bigint, quality int")
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
-    assert all(r.kept for r in quality_rules.quality_report(docs, few, rule=quality_rules.joint_cutoffs).collect())
+    assert all(r.kept for r in quality_rules.quality_report(docs, few).collect())

@@ -3,11 +3,25 @@
 from __future__ import annotations
 
 from tidemark.llm.common import LOWER, UPPER
-from tidemark.llm.quality_rules import ALPHA, BANDS, DELTA, GRID, MEASURES
+from tidemark.llm.quality_rules import ALPHA, BANDS, DELTA, GRID, MEASURES, REFERENCE, SHARES, SLACK, least_trials
 
 _SPACE = r"[^\x20\x09-\x0D]"
-_EACH = ALPHA / len(MEASURES)
-_ERROR = DELTA / (len(MEASURES) * (len(BANDS) + 1) * len(GRID))
+_ERROR, _LEAST = DELTA / (len(BANDS) + 1), least_trials()
+
+
+def _chain() -> str:
+    """Strata of the bands 0 to len(BANDS), one select inside another."""
+    out = "SELECT " + ", ".join(f"count(*) FILTER (band = {b} AND NOT reference) AS n{b}" for b in range(len(BANDS) + 1)) + " FROM known"
+    out = f"SELECT *, 0 AS t0, n0 AS a0 FROM ({out})"
+    for b in range(1, len(BANDS) + 1):
+        out = f"SELECT *, t{b - 1} + CAST(a{b - 1} >= {_LEAST} AS INTEGER) AS t{b}, CASE WHEN a{b - 1} >= {_LEAST} THEN n{b} ELSE a{b - 1} + n{b} END AS a{b} FROM ({out})"
+    last = f"CASE WHEN a{len(BANDS)} >= {_LEAST} THEN t{len(BANDS)} ELSE greatest(t{len(BANDS)} - 1, 0) END"
+    return f"SELECT unnest([{', '.join(map(str, range(len(BANDS) + 1)))}]) AS band, unnest([{', '.join(f'least(t{b}, {last})' for b in range(len(BANDS) + 1))}]) AS stratum FROM ({out})"
+
+
+_GRID = ", ".join(f"{g:e}" for g in GRID)
+_STEP = lambda x: f"len(list_filter([{_GRID}], lambda g: g < {x}))"
+_LEVELS = ", ".join([f"({i}, 0.0, {s})" for i, s in enumerate(SLACK)] + [f"({len(SLACK) + i}, {r:e}, 0)" for i, r in enumerate(SHARES)])
 
 OP7 = rf"""
 WITH d AS (SELECT doc_id, t, w, len(w) AS n_words, len(array_to_string(w, '')) AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols,
@@ -19,10 +33,17 @@ cov AS (SELECT doc_id, count(DISTINCT i + o) AS n FROM dup, (VALUES (0), (1), (2
 c AS (SELECT d.* EXCLUDE (t, w), coalesce(n, 0) AS n_repeat_words, {" + ".join(f"CAST(n_words >= {b} AS INTEGER)" for b in BANDS)} AS band FROM d LEFT JOIN cov USING (doc_id)),
 m AS (SELECT *, coalesce(n_symbols / nullif(word_chars, 0), 0) AS symbols, coalesce(n_capitals / nullif(word_chars, 0), 0) AS capitals, coalesce(n_bangs / nullif(word_chars, 0), 0) AS bangs,
     coalesce(n_dup_lines / nullif(n_lines, 0), 0) AS dup_lines, coalesce(n_repeat_words / nullif(n_words, 0), 0) AS repeats FROM c),
-good AS (SELECT band, measure, value FROM (UNPIVOT (SELECT band, symbols, capitals, bangs, dup_lines, repeats FROM m WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)) ON {", ".join(MEASURES)} INTO NAME measure VALUE value)),
-k AS (SELECT band, measure, cut, count(*) AS n, count(*) FILTER (value > cut) AS k FROM good, (SELECT unnest([{", ".join(f"{g:e}" for g in GRID)}]) AS cut) GROUP BY ALL),
-ok AS (SELECT band, measure, min(cut) AS cut FROM k WHERE k < n * {_EACH:e} AND list_sum(list_transform(range(0, k + 1), lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({_EACH:e}) + (n - j) * ln(1 - {_EACH:e})))) <= {_ERROR:e} GROUP BY ALL),
-cuts AS (SELECT band, {", ".join(f"max(cut) FILTER (measure = '{x}') AS cut_{x}" for x in MEASURES)} FROM ok GROUP BY band),
+known AS (SELECT doc_id, min(band) AS band, {", ".join(f"max({_STEP(x)}) AS {x}" for x in MEASURES)}, substr(md5(CAST(doc_id AS VARCHAR)), 1, 1) IN ({", ".join(f"'{c}'" for c in REFERENCE)}) AS reference
+  FROM m WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality IS NOT NULL GROUP BY doc_id HAVING min(quality) = 1 AND max(quality) = 1) GROUP BY doc_id),
+strata AS ({_chain()}),
+placed AS (SELECT * FROM known JOIN strata USING (band)),
+r AS (SELECT stratum, measure, step, count(*) AS c FROM (UNPIVOT (SELECT stratum, {", ".join(MEASURES)} FROM placed WHERE reference) ON {", ".join(MEASURES)} INTO NAME measure VALUE step) GROUP BY ALL),
+h AS (SELECT stratum, measure, j, coalesce(sum(c) FILTER (step > j), 0) AS above, sum(c) AS n FROM r, (SELECT unnest(range(0, {len(GRID) + 1})) AS j) GROUP BY ALL),
+path AS (SELECT stratum, level, {", ".join(f"min(j) FILTER (measure = '{x}' AND above <= share * n) + max(slack) AS r_{x}" for x in MEASURES)} FROM h, (VALUES {_LEVELS}) v(level, share, slack) GROUP BY stratum, level),
+k AS (SELECT stratum, level, {", ".join(f"r_{x}" for x in MEASURES)}, count(*) AS n, count(*) FILTER ({" OR ".join(f"{x} > r_{x}" for x in MEASURES)}) AS k FROM placed JOIN path USING (stratum) WHERE NOT reference GROUP BY ALL),
+ok AS (SELECT * FROM k WHERE k < n * {ALPHA:e} AND list_sum(list_transform(range(0, k + 1), lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({ALPHA:e}) + (n - j) * ln(1 - {ALPHA:e})))) <= {_ERROR:e}
+  QUALIFY row_number() OVER (PARTITION BY stratum ORDER BY level DESC) = 1),
+cuts AS (SELECT band, {", ".join(f"list_extract([{_GRID}], r_{x} + 1) AS cut_{x}" for x in MEASURES)} FROM ok JOIN strata USING (stratum)),
 v AS (SELECT m.*, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, {" OR ".join(f"coalesce({x} > cut_{x}, false)" for x in MEASURES)} AS broken FROM m LEFT JOIN cuts USING (band))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_lines, n_repeat_words, n_capitals, n_bangs, band, base_failed, NOT base_failed AND NOT broken AS kept FROM v"""
 

@@ -1,21 +1,20 @@
 """Quality rules with risk-controlled thresholds, in DataFrame functions only.
 
-Each document gets a few badness measures. For each stratum (a band of the word
-count) and measure, a cutoff is taken from a fixed grid: the lowest one for
-which an exact binomial test on labelled good documents shows that it rejects
-less than ALPHA / (number of measures) of them. All tests (strata x measures x
-grid) share the error DELTA by Bonferroni, so with probability 1 - DELTA no
-stratum loses more than ALPHA of its good documents to the learnt rules. Where
-too few labels exist to prove a cutoff, there is none.
-
-That is `cutoffs`; `joint_cutoffs`, which the query and the pipeline use, spends
-less of the error: a third of the labelled good documents gives each stratum a
-path of rules from loose to strict, each with a cutoff for every measure at once.
-The other two thirds test the rules in that order at DELTA / (number of strata),
-and the last one before the first failure holds. Fixed order needs no division by
-the number of rules and one rule for all measures none by theirs, and the bound
-is the same: no stratum loses more than ALPHA. About 220 good labels for the
-test, 330 in all, can prove a rule.
+Each document gets a few badness measures. Strata are bands of the word count; where
+a band has too few labelled good documents to prove anything (LEAST), it is joined with the
+next ones. A third of the labelled good documents, picked by a hash of the id, gives each
+stratum a path of joint rules from loose to strict, each with a cutoff for every measure.
+The others, a holdout, test the rules in that order with an exact binomial test at
+DELTA / (number of bands); the last rule before the first failure holds. Testing in a
+fixed order needs no correction for the number of rules, one rule for all measures none for
+theirs, and the division by the number of bands covers the strata: with probability
+1 - DELTA no stratum loses more than ALPHA of its good documents to the learnt rules.
+
+Which bands are joined depends on counts of labels only, never on measures, so the
+bound holds for the joined strata. A labelled document is one trial however often it
+occurs (with its worst values, in its lowest band), and an id with labels of both kinds
+is none. Where even all bands together have fewer than LEAST, there is no rule and the
+base rule decides alone.
 
 Null text counts as empty: no words, so the base rule rejects it. Rows with a
 null or repeated doc_id keep their own verdicts; repeated labels count once.
@@ -25,12 +24,13 @@ held in one struct column with a name of its own, so clashing names do no harm.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import WORD, crc_mod, stage_table
+from tidemark.llm.common import WORD, Staged, stage_table
 
 ALPHA = 0.02
 DELTA = 0.05
@@ -41,6 +41,15 @@ MEASURES = ("symbols", "capitals", "bangs", "dup_lines", "repeats")
 #: The path of joint rules: so many grid steps above the reference's highest values, then shares of it above each cutoff.
 SLACK = tuple(range(len(GRID) - 1, -1, -1))
 SHARES = (0.0005, 0.001, 0.002, 0.003, 0.004, 0.006, 0.008, 0.01, 0.015, 0.02)
+
+
+def least_trials(alpha: float = ALPHA, delta: float = DELTA) -> int:
+    """Trials without any rejection that prove a rule."""
+    return math.ceil(math.log(delta / (len(BANDS) + 1)) / math.log(1 - alpha))
+
+
+#: Ids whose md5 begins with one of these characters are the reference; the others are the holdout.
+REFERENCE = "01234"
 SYMBOLS = r"[#*$%&|<>]"
 
 
@@ -83,18 +92,16 @@ def line_counts(text: Column) -> Column:
 
 
 def measured(docs: DataFrame, into: str = "_quality") -> DataFrame:
-    """docs with a struct of counts in the column `into`."""
+    """docs with a struct of counts in the column `into`; exploded from an array of one, so no later filter repeats the counts."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.withColumn(
-        into,
-        F.struct(
-            word_counts(F.regexp_extract_all(text, F.lit(WORD), F.lit(0))).alias("words"),
-            line_counts(text).alias("lines"),
-            F.regexp_count(text, F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
-            F.regexp_count(text, F.lit(r"\p{Lu}")).cast("long").alias("n_capitals"),
-            (F.length(text) - F.length(F.replace(text, F.lit("!"), F.lit("")))).cast("long").alias("n_bangs"),
-        ),
+    counts = F.struct(
+        word_counts(F.regexp_extract_all(text, F.lit(WORD), F.lit(0))).alias("words"),
+        line_counts(text).alias("lines"),
+        F.regexp_count(text, F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
+        F.regexp_count(text, F.lit(r"\p{Lu}")).cast("long").alias("n_capitals"),
+        (F.length(text) - F.length(F.replace(text, F.lit("!"), F.lit("")))).cast("long").alias("n_bangs"),
     )
+    return docs.select("*", F.explode(F.array(counts)).alias(into))
 
 
 def _measures(q: Column) -> dict[str, Column]:
@@ -124,74 +131,69 @@ def binomial_tail(k: Column, n: Column, p: float) -> Column:
     return F.aggregate(F.when(k >= 1, F.sequence(F.lit(1).cast("long"), k.cast("long"))).otherwise(F.array().cast("array<long>")), start, step)["sum"]
 
 
-def cutoffs(counted: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA, into: str = "_quality") -> DataFrame:
-    """From documents with counts: one row for each band with a proven cutoff: band, cuts (map from measure to cutoff)."""
-    each = alpha / len(MEASURES)
-    error = delta / (len(MEASURES) * (len(BANDS) + 1) * len(GRID))
-    q = F.col(into)
-    good = labels.filter((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_good_id")).distinct()
-    grid = F.array(*[F.lit(float(g)) for g in GRID])
-    below = lambda v: F.size(F.filter(grid, lambda g: g < v))
-    steps = F.array(*[F.struct(F.lit(m).alias("measure"), below(v).alias("above")) for m, v in _measures(q).items()])
-    per = (
-        counted.select("doc_id", _band(q).alias("band"), steps.alias("steps"))
-        .join(good, F.col("doc_id") == F.col("_good_id"), "left_semi")
-        .select("band", F.explode("steps").alias("s"))
-        .groupBy("band", "s.measure", "s.above")
-        .agg(F.count("*").alias("n"))
-    )
-    tested = (
-        per.groupBy("band", "measure")
-        .agg(F.sum("n").alias("n"), F.collect_list(F.struct("above", "n")).alias("steps"))
-        .select("band", "measure", "n", "steps", F.posexplode(grid).alias("j", "cut"))
-        # k: how many good documents lie above the cutoff.
-        .withColumn("k", F.aggregate(F.filter("steps", lambda s: s["above"] > F.col("j")), F.lit(0).cast("long"), lambda a, s: a + s["n"]))
-        # Above its mean a binomial tail passes no test, so only smaller counts are summed.
-        .withColumn("ok", F.when(F.col("k") >= F.col("n") * each, F.lit(False)).otherwise(binomial_tail(F.col("k"), F.col("n"), each) <= error))
-    )
-    return (
-        tested.filter("ok")
-        .groupBy("band", "measure")
-        .agg(F.min("cut").alias("cut"))
-        .groupBy("band")
-        .agg(F.map_from_entries(F.collect_list(F.struct("measure", "cut"))).alias("cuts"))
-    )
+def _strata(trials: Column, least: int) -> Column:
+    """Stratum of each band: from the lowest on, bands join until they have `least` trials; a rest joins the one before."""
+    none = F.struct(F.array().cast("array<int>").alias("of"), F.lit(0).alias("at"), F.lit(0).cast("long").alias("n"))
+
+    def step(acc: Column, n: Column) -> Column:
+        full = acc["n"] >= least
+        at = acc["at"] + full.cast("int")
+        return F.struct(F.concat(acc["of"], F.array(at)).alias("of"), at.alias("at"), (F.when(full, F.lit(0)).otherwise(acc["n"]) + n).alias("n"))
+
+    last = lambda acc: F.when(acc["n"] >= least, acc["at"]).otherwise(F.greatest(acc["at"] - 1, F.lit(0)))
+    return F.aggregate(trials, none, step, lambda acc: F.transform(acc["of"], lambda s: F.least(s, last(acc))))
 
 
 def joint_cutoffs(counted: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA, into: str = "_quality") -> DataFrame:
-    """Like cutoffs, with the rules of each band tested together in a fixed order."""
-    q = F.col(into)
-    good = labels.filter((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_good_id")).distinct()
+    """From documents with counts: one row for each band with a proven rule: band, cuts (map from measure to cutoff)."""
+    q, each, bands = F.col(into), range(len(MEASURES)), len(BANDS) + 1
+    good = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("low"), F.max("quality").alias("high")).filter("low = 1 and high = 1").select(F.col("doc_id").alias("_good_id"))
     grid = F.array(*[F.lit(float(g)) for g in GRID])
     below = lambda v: F.size(F.filter(grid, lambda g: g < v))
-    steps = F.array(*[below(v) for v in _measures(q).values()])
-    known = counted.join(good, F.col("doc_id") == F.col("_good_id"), "left_semi").select(_band(q).alias("band"), steps.alias("steps"), (crc_mod("doc_id", 3) == 0).alias("reference"))
-    each = range(len(MEASURES))
-    asked = F.array(*[F.lit(1 - r) for r in SHARES])
-    found = known.filter("reference").groupBy("band").agg(*[F.max(F.col("steps")[m]).alias(f"top{m}") for m in each], *[F.percentile(F.col("steps")[m], asked).alias(f"at{m}") for m in each])
-    rules = [F.array(*[F.col(f"top{m}") + s for m in each]) for s in SLACK] + [F.array(*[F.ceil(F.col(f"at{m}")[i]).cast("int") for m in each]) for i in range(len(SHARES))]
-    path = found.select("band", F.array(*rules).alias("path"))
+    steps = [below(v).alias(f"s{m}") for m, v in enumerate(_measures(q).values())]
+    known = (
+        counted.select("doc_id", _band(q).alias("band"), *steps)
+        .join(good, F.col("doc_id") == F.col("_good_id"), "left_semi")
+        .groupBy("doc_id")
+        .agg(F.min("band").alias("band"), F.array(*[F.max(f"s{m}") for m in each]).alias("steps"))
+        .withColumn("reference", F.substring(F.md5(F.col("doc_id").cast("string")), 1, 1).isin(*REFERENCE))
+    )
+    trials = known.agg(F.array(*[F.count_if((F.col("band") == b) & ~F.col("reference")) for b in range(bands)]).alias("n"))
+    strata = F.broadcast(trials.select(F.posexplode(_strata(F.col("n"), least_trials(alpha, delta))).alias("band", "stratum")))
+    placed = known.join(strata, "band")
+    # Reference documents above each grid step, by measure; a rule's cutoff is the first step with so few of them above it.
+    steps_of = F.explode(F.transform("steps", lambda s, m: F.struct(m.alias("measure"), s.alias("step")))).alias("x")
+    seen = placed.filter("reference").select("stratum", steps_of).groupBy("stratum", "x.measure", "x.step").agg(F.count("*").alias("c"))
+    above = lambda j: F.aggregate(F.filter("h", lambda x: x["step"] > j), F.lit(0).cast("long"), lambda a, x: a + x["c"])
+    first = lambda share: F.filter(F.sequence(F.lit(0), F.lit(len(GRID))), lambda j: above(j) <= F.lit(share) * F.col("n"))[0]
+    tops = seen.groupBy("stratum", "measure").agg(F.sum("c").alias("n"), F.collect_list(F.struct("step", "c")).alias("h"))
+    paths = tops.select("stratum", "measure", F.array(*[first(0.0) + s for s in SLACK], *[first(r) for r in SHARES]).alias("path"))
+    path = paths.groupBy("stratum").agg(F.array(*[F.max(F.when(F.col("measure") == m, F.col("path"))) for m in each]).alias("by"))
+    rules = len(SLACK) + len(SHARES)
+    path = path.select("stratum", F.transform(F.sequence(F.lit(0), F.lit(rules - 1)), lambda i: F.transform("by", lambda p: F.get(p, i))).alias("path"))
     breaks = lambda rule: F.exists(F.zip_with("steps", rule, lambda a, b: a > b), lambda x: x)
-    # Rules are nested, so a document that breaks some breaks the last ones.
+    # Rules are nested, so a document that breaks some breaks the last ones. Paths are one row a stratum.
     counts = (
-        known.filter("not reference")
-        .join(F.broadcast(path), "band")
-        .select("band", F.size(F.filter("path", breaks)).alias("broken"))
-        .groupBy("band", "broken")
+        placed.filter("not reference")
+        .join(F.broadcast(path), "stratum")
+        .select("stratum", F.size(F.filter("path", breaks)).alias("broken"))
+        .groupBy("stratum", "broken")
         .agg(F.count("*").alias("c"))
-        .groupBy("band")
+        .groupBy("stratum")
         .agg(F.sum("c").alias("n"), F.collect_list(F.struct("broken", "c")).alias("counts"))
     )
     tested = (
-        counts.join(F.broadcast(path), "band")
-        .select("band", "n", "counts", F.posexplode("path").alias("level", "rule"))
-        .withColumn("k", F.aggregate(F.filter("counts", lambda x: x["broken"] >= len(rules) - F.col("level")), F.lit(0).cast("long"), lambda a, x: a + x["c"]))
-        .withColumn("ok", F.when(F.col("k") >= F.col("n") * alpha, F.lit(False)).otherwise(binomial_tail(F.col("k"), F.col("n"), alpha) <= delta / (len(BANDS) + 1)))
+        counts.join(F.broadcast(path), "stratum")
+        .select("stratum", "n", "counts", F.posexplode("path").alias("level", "rule"))
+        .withColumn("k", F.aggregate(F.filter("counts", lambda x: x["broken"] >= rules - F.col("level")), F.lit(0).cast("long"), lambda a, x: a + x["c"]))
+        # Above its mean a binomial tail passes no test, so only smaller counts are summed.
+        .withColumn("ok", F.when(F.col("k") >= F.col("n") * alpha, F.lit(False)).otherwise(binomial_tail(F.col("k"), F.col("n"), alpha) <= delta / bands))
     )
     # k rises along the path, so all rules before a proven one are proven too.
     names = F.array(*[F.lit(m) for m in MEASURES])
     cuts = F.map_from_arrays(names, F.transform("rule", lambda j: F.try_element_at(grid, j + 1)))
-    return tested.filter("ok").groupBy("band").agg(F.max_by("rule", "level").alias("rule")).select("band", F.map_filter(cuts, lambda _, c: c.isNotNull()).alias("cuts"))
+    proven = tested.filter("ok").groupBy("stratum").agg(F.max_by("rule", "level").alias("rule")).select("stratum", F.map_filter(cuts, lambda _, c: c.isNotNull()).alias("cuts"))
+    return strata.join(proven, "stratum").select("band", "cuts")
 
 
 def verdicts(counted: DataFrame, cuts: DataFrame, into: str = "_quality") -> DataFrame:
@@ -209,17 +211,21 @@ def verdicts(counted: DataFrame, cuts: DataFrame, into: str = "_quality") -> Dat
     return joined.withColumn(into, flat).drop("_cut_band", "_cuts")
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA, into: str = "_quality", rule=cutoffs) -> DataFrame:
-    """docs, all columns, with the verdicts in the struct column `into`.
+def _learnt(docs: DataFrame, labels: DataFrame, alpha: float, delta: float, passing: Staged) -> tuple[DataFrame, DataFrame]:
+    """Counts of all documents without their texts, staged, and the cutoffs (four rows at most), staged."""
+    counted = passing.table(measured(docs.select("doc_id", "text")).drop("text"), "quality-counts")
+    return counted, stage_table(joint_cutoffs(counted, labels, alpha, delta), "quality-cuts")
+
 
-    Rows and counts are staged, so texts are measured once and the filter that follows cannot repeat the counts.
-    """
-    counted = stage_table(measured(docs, into), "quality-rows")
-    return verdicts(counted, rule(counted, labels, alpha, delta, into), into)
+def quality_rules(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA, into: str = "_quality") -> DataFrame:
+    """docs, all columns, with the verdicts in the struct column `into`; texts are measured twice and never staged."""
+    passing = Staged()
+    _, cuts = _learnt(docs, labels, alpha, delta, passing)
+    passing.drop()
+    return verdicts(measured(docs, into), cuts, into)
 
 
-def quality_report(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA, rule=cutoffs) -> DataFrame:
+def quality_report(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
     """doc_id and verdict for each document; the counts are staged, so docs are read once."""
-    counted = stage_table(measured(docs.select("doc_id", "text")).drop("text"), "quality-counts")
-    out = verdicts(counted, rule(counted, labels, alpha, delta))
-    return out.select("doc_id", "_quality.*")
+    counted, cuts = _learnt(docs, labels, alpha, delta, Staged())
+    return verdicts(counted, cuts).select("doc_id", "_quality.*")
