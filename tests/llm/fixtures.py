@@ -64,16 +64,20 @@ def brute_components(rows: list[tuple[int, str | None]], words: int, num: int, d
     return {i: root(i) for i in ids}
 
 
-def brute_removed(rows: list[tuple[int, str | None]], width: int = 50) -> dict[int, tuple[int, int, bytes]]:
-    seen, out = set(), {}
-    for i, t in sorted(rows, key=lambda r: r[0]):
-        raw = (t or "").encode()
-        own = {raw[k : k + width] for k in range(len(raw) - width + 1)}
+def brute_removed(rows: list[tuple[int | None, str | None]], width: int = 50) -> list[tuple[int, int, bytes]]:
+    """For each row: bytes removed, runs, bytes kept. Rows of one id are one document; a null id comes last."""
+    order = lambda i: (rows[i][0] is None, rows[i][0] or 0)
+    raws = [(t or "").encode() for _, t in rows]
+    first: dict[bytes, tuple] = {}
+    for i in sorted(range(len(rows)), key=order):
+        for k in range(len(raws[i]) - width + 1):
+            first.setdefault(raws[i][k : k + width], order(i))
+    out = []
+    for i, raw in enumerate(raws):
         gone = bytearray(len(raw))
         for k in range(len(raw) - width + 1):
-            if raw[k : k + width] in seen:
+            if first[raw[k : k + width]] < order(i):
                 gone[k : k + width] = b"\1" * width
-        seen |= own
         runs = sum(1 for k, g in enumerate(gone) if g and not (k and gone[k - 1]))
-        out[i] = (sum(gone), runs, bytes(b for b, g in zip(raw, gone) if not g))
+        out.append((sum(gone), runs, bytes(b for b, g in zip(raw, gone) if not g)))
     return out

@@ -181,14 +181,70 @@ def test_brown_base_and_model(docs, empty):
     for i, t in rows:
         w = (t or "").encode().lower().split()
         want.append((i, len(w) + 1, sum(count[x] > 0 for x in w) + 1, total, sum(log(count[x]) for x in w) + log(n_docs)))
-    for head in (brown.HEAD, 7):  # the join with the tail gives the same as the head alone
-        got = brown.brown_scores(docs, clustered=6, classes=3, head=head).select("doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score").collect()
-        assert all(r.score < 0 for r in got)
-        for a, b in zip(ordered(tuple(r)[:5] for r in got), ordered(want)):
-            assert a[:4] == b[:4] and a[4] == pytest.approx(b[4], rel=1e-9)
+    # The score, word by word, from the vocabulary's classes alone.
+    train = docs.filter(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5 != 1).select("text")
+    vocabulary = {bytes(r.word): (r.n, r["class"]) for r in brown.fit_classes(train, 6, 3)[0].collect()}
+    assert {w: n for w, (n, _) in vocabulary.items()} == count and all((k == 3) == (n == 1 and w not in [x for x, _ in count.most_common(6)]) for w, (n, k) in vocabulary.items())
+    size = collections.Counter()
+    for n, k in vocabulary.values():
+        size[k] += n
+    once = sum(k == 3 for _, k in vocabulary.values())
+    path = lambda t: [5, *[vocabulary.get(w, (0, 3))[1] for w in (t or "").encode().lower().split()], 4]
+    pairs = collections.Counter()
+    for i, t in rows:
+        if zlib.crc32(("" if i is None else str(i)).encode()) % 5 != 1:
+            pairs.update(zip(path(t), path(t)[1:]))
+    after, before = collections.Counter(), collections.Counter()
+    for (x, y), n in pairs.items():
+        before[x] += n
+        after[y] += n
+    types = collections.Counter(x for x, _ in pairs)
+    share = {y: (after[y] + 1e-3) / (sum(after.values()) + 5e-3) for y in range(5)}
+
+    def model(t):
+        out = sum(math.log10((pairs[x, y] + max(1, types[x]) * share[y]) / (before[x] + max(1, types[x]))) for x, y in zip(path(t), path(t)[1:]))
+        for w in (t or "").encode().lower().split():
+            n, k = vocabulary.get(w, (0, 3))
+            out += math.log10((n + 0.5) / (size[3] + 0.5 * (once + 1))) if k == 3 else math.log10(n / size[k])
+        return out
+
+    scores = [(*x, model(t)) for x, (_, t) in zip(want, rows)]
+    for head in (brown.HEAD, 7, 0):  # the join with the tail gives the same as the dictionary alone
+        got = brown.brown_scores(docs, seeds=6, classes=3, head=head).select("doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score").collect()
+        for x, y in zip(ordered(map(tuple, got)), ordered(scores), strict=True):
+            assert x[:4] == y[:4] and x[4:] == pytest.approx(y[4:], rel=1e-9)
     assert brown.brown_scores(empty).count() == 0
 
 
+def test_gains_are_differences_of_likelihood():
+    rng = np.random.default_rng(18)
+    k, words = 3, 14  # classes 0 to 2, the shared one 3, the end 4 and the start 5
+    own = np.concatenate([rng.integers(0, 3, 8), np.full(words - 8, 3), [4, 5]])
+    pairs = rng.integers(0, 5, (words + 2, words + 2))
+    pairs[words], pairs[:, words + 1] = 0, 0
+    w = 10
+    pairs[w, w] = 0
+
+    def grid(kinds):
+        one = np.eye(k + 3)[kinds]
+        return one.T @ pairs @ one
+
+    def likelihood(kinds):
+        g = grid(kinds)
+        f = lambda x: float(brown._xlogx(x).sum())
+        return f(g) - f(g.sum(1)) - f(g.sum(0))
+
+    contexts = [(int(own[j]), int(pairs[w, j])) for j in range(words + 2) if pairs[w, j]] + [(k + 3 + int(own[j]), int(pairs[j, w])) for j in range(words + 2) if pairs[j, w]]
+    found = brown.gains(grid(own), contexts, k)
+    moved = []
+    for b in range(k):
+        kinds = own.copy()
+        kinds[w] = b
+        moved.append(likelihood(kinds))
+    # What leaving the shared class costs is the same for all classes.
+    assert np.allclose(np.array(moved) - moved[0], found - found[0])
+
+
 def test_exchange_finds_classes():
     rng = random.Random(4)
     pairs = np.zeros((9, 9), np.int64)
@@ -334,15 +390,50 @@ def test_one_of_each(docs, empty):
 
 
 # 2
+def removed(d, rows, width):
+    got = collections.Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeats.repeat_report(d, width).collect())
+    want = brute_removed(rows, width)
+    assert got == collections.Counter((i, len((t or "").encode()), n, runs, hashlib.sha256(kept).hexdigest()) for (i, t), (n, runs, kept) in zip(rows, want))
+    return want
+
+
 @pytest.mark.parametrize("width", [50, 20])
 def test_repeats(spark, width, monkeypatch):
     monkeypatch.setattr(repeats, "BUCKET", 3000)
-    rows = [(i, t) for i, t in dict(plain()).items() if i is not None]
+    # Ids that repeat with equal and other texts, and null ids.
+    rng = random.Random(14)
+    noise = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    base, a, b = noise(600), noise(470), noise(300)
+    rows = [*plain(), (10_001, base), (10_005, base + " " + a), (10_005, b), (10_005, b), (None, base), (None, a + "zz" + b), (None, noise(200)), (10_004, a[:200])]
     d = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
-    want = brute_removed(rows, width)
-    for r in repeats.repeat_report(d, width).collect():
-        n, runs, kept = want[r.doc_id]
-        assert (r.n_removed, r.n_spans, r.kept_sha256) == (n, runs, hashlib.sha256(kept).hexdigest())
+    removed(d, rows, width)
+
+
+def test_repeats_with_single_ids(spark):
+    rows = [(i, t) for i, t in dict(plain()).items() if i is not None]
+    assert sum(x[0] for x in removed(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(2), rows, 50)) > 0
+
+
+def test_previous_factors():
+    rng = np.random.default_rng(17)
+    for n in (1, 2, 9, 300):
+        doc, lcp = rng.integers(0, 9, n), rng.integers(0, 6, n)
+        lcp[0] = 0
+        want = []
+        for i in range(n):
+            best = 0
+            for way in (-1, 1):
+                low, j = 99, i
+                while 0 <= j + way < n:
+                    low = min(low, lcp[j] if way < 0 else lcp[j + 1])
+                    j += way
+                    if doc[j] < doc[i]:
+                        best = max(best, low)
+                        break
+            want.append(best)
+        assert repeats.previous_factors(doc, lcp).tolist() == want
+    doc = np.arange(200_000)[::-1].copy()  # no smaller document for miles
+    assert not repeats.smaller_before(doc, np.full(200_000, 5)).any()
 
 
 def test_repeats_edges(docs, empty):

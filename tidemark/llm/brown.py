@@ -1,18 +1,24 @@
 """Language-model scores from Brown classes.
 
 Words of the training documents are counted without a limit (a table, never on
-the driver). The CLUSTERED most frequent ones are put into CLASSES classes by
-exchange clustering: each word in turn moves to the class that gives the class
-bigrams the highest likelihood, until nothing moves or PASSES are over. All
-other words share one class, and the end of a text is one of its own. The
-probability of a token is P(class | class before) * P(word | class): the first
-by Witten-Bell smoothing over class counts, the second the word's share of its
-class; the shared class adds 0.5 to each count and has room for one unseen word.
-
-The counts of the HEAD most frequent words go to the executors, a table bounded
-by that number; other words meet their counts in a join, after being summed
-within each document. Bigram counts on the driver are bounded by the square of
-CLUSTERED + 3.
+the driver). The SEEDS most frequent ones are put into classes by exchange
+clustering on the driver: each word in turn moves to the class that gives the class
+bigrams the highest likelihood, until nothing moves. Then every other word that
+occurs twice or more is exchanged too, all at once and spread over the executors:
+what it gains in each class needs only the counts of its neighbours' classes. Words
+that occur once stand for unseen ones and share a class with them; the end of a text is
+one of its own. The number of classes rises with the cube root of the vocabulary.
+
+The probability of a token is P(class | class before) * P(word | class). The first comes
+from the class bigrams of all training texts under the final classes, by Witten-Bell
+smoothing; the second is the word's share of its class; the shared class adds 0.5 to
+each count and has room for one unseen word.
+
+Words of at least some count, HEAD of them at most, go to the executors as a dictionary;
+the limit is taken from a histogram of counts. Others meet their counts and classes in
+a join and are put into their places of the text's path of classes, so the dictionary's size
+has no influence on any result. Bigram counts on the driver are bounded by the square of
+SEEDS + 3.
 
 Null texts count as empty: one end token. A null doc_id counts as an empty text
 for the folds. Each row is scored by itself, so repeated ids keep their rows. With no
@@ -30,13 +36,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import crc_mod, slices, stage_table
+from tidemark.llm.common import Staged, crc_mod, importable, slices, stage_table
 
-CLUSTERED = 1000
-CLASSES = 40
-PASSES = 6
+SEEDS = 1000
+#: Bounds of the number of classes; a class is one byte of a path, and OPEN a place to be filled.
+LEAST, MOST, OPEN = 40, 200, 255
+PASSES = 60
 HEAD = 200_000
 FLUSH = 400_000
+#: Steps of the histogram of counts for each doubling.
+FINE = 8
 
 
 def tokens(text) -> list[bytes]:
@@ -149,78 +158,228 @@ def transition_logs(grid: np.ndarray) -> np.ndarray:
     return np.log10(np.maximum((grid + types * share) / (total + types), 1e-300))
 
 
-def brown_scores(docs: DataFrame, folds: int = 5, held: int = 1, clustered: int = CLUSTERED, classes: int = CLASSES, head: int = HEAD) -> DataFrame:
+def class_count(distinct: int) -> int:
+    return min(MOST, max(LEAST, round(distinct ** (1 / 3))))
+
+
+def gains(grid: np.ndarray, contexts: list[tuple[int, int]], shared: int) -> np.ndarray:
+    """Gain in log likelihood of putting a word of the shared class into each class before it.
+
+    contexts: (class of the next word, or classes + class of the word before, count); grid: class bigrams.
+    """
+    kinds = len(grid)
+    right, left = np.zeros(kinds), np.zeros(kinds)
+    for c, n in contexts:
+        (right if c < kinds else left)[c % kinds] += n
+    r, f = np.flatnonzero(right), np.flatnonzero(left)
+    low = np.arange(shared)
+    # Without the word, its neighbours' pairs with the shared class are fewer.
+    before, after = grid.sum(1), grid.sum(0)
+    rows, cols = grid[np.ix_(low, r)].astype(float), grid[np.ix_(f, low)].astype(float)
+    rows[:, r == shared] -= left[low][:, None]
+    cols[f == shared] -= right[low]
+    own_r, own_f = right[low], left[low]
+    both = (own_r > 0) & (own_f > 0)
+    out = (_xlogx(rows + right[r]) - _xlogx(rows)).sum(1) + (_xlogx(cols + left[f][:, None]) - _xlogx(cols)).sum(0)
+    diag = grid[low, low].astype(float)
+    out += np.where(both, _xlogx(diag + own_r + own_f) - _xlogx(diag + own_r) - _xlogx(diag + own_f) + _xlogx(diag), 0.0)
+    before, after = before[low].astype(float), after[low].astype(float)
+    return out - (_xlogx(before + right.sum()) - _xlogx(before)) - (_xlogx(after + left.sum()) - _xlogx(after))
+
+
+def context_counts(docs: DataFrame, seeds: list[bytes], own: np.ndarray, classes: int) -> DataFrame:
+    """word, at, n: for words that are no seeds, how often the next (at) or last (kinds + at) word is of class at."""
+    kinds = classes + 3
+    shared = docs.sparkSession.sparkContext.broadcast((dict(zip(seeds, own[: len(seeds)].tolist(), strict=True)), kinds))
+
+    def run(batches):
+        of, kinds = shared.value
+        index: dict[bytes, int] = {}
+        codes: list[np.ndarray] = []
+
+        def out():
+            code, n = np.unique(np.concatenate(codes), return_counts=True) if codes else (np.zeros(0, np.int64),) * 2
+            names = pa.array(list(index), pa.binary())
+            for k in range(0, len(code), 500_000):
+                part = code[k : k + 500_000]
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(part // (2 * kinds))), pa.array((part % (2 * kinds)).astype(np.int32)), pa.array(n[k : k + 500_000].astype(np.int64))], names=["word", "at", "n"])
+
+        held = 0
+        for batch in slices(batches, "text"):
+            for text in _texts(batch):
+                ws = tokens(text)
+                kind = np.fromiter((of.get(w, classes) for w in ws), np.int64, len(ws))
+                place = np.flatnonzero(kind == classes)
+                if len(place):
+                    word = np.fromiter((index.setdefault(ws[i], len(index)) for i in place.tolist()), np.int64, len(place)) * (2 * kinds)
+                    around = np.concatenate([[classes + 2], kind, [classes + 1]])
+                    codes += [word + around[place + 2], word + kinds + around[place]]
+                    held += 2 * len(place)
+            if len(index) > FLUSH or held > 4_000_000:
+                yield from out()
+                index, codes, held = {}, [], 0
+        yield from out()
+
+    return docs.select("text").mapInArrow(run, "word binary, at int, n bigint").groupBy("word", "at").agg(F.sum("n").alias("n"))
+
+
+def assigned(contexts: DataFrame, grid: np.ndarray, classes: int) -> DataFrame:
+    """word, n, class: the class with the largest gain, the first one of equals; the shared one for words that occur once."""
+    kinds = classes + 3
+    shared = contexts.sparkSession.sparkContext.broadcast(grid)
+
+    def run(batches):
+        for batch in batches:
+            found = []
+            for n, contexts in zip(batch.column("n").to_pylist(), batch.column("contexts").to_pylist(), strict=True):
+                found.append(classes if n < 2 else int(np.argmax(gains(shared.value, [(c["at"], c["n"]) for c in contexts], classes))))
+            yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("n"), pa.array(found, pa.int32())], names=["word", "n", "class"])
+
+    words = contexts.groupBy("word").agg(F.sum(F.when(F.col("at") < kinds, F.col("n"))).alias("n"), F.collect_list(F.struct("at", "n")).alias("contexts"))
+    return words.mapInArrow(run, "word binary, n bigint, class int")
+
+
+def _bin(n="n"):
+    return F.floor(F.log2(n) * FINE)
+
+
+def fit_classes(train: DataFrame, seeds: int = SEEDS, classes: int | None = None) -> tuple[DataFrame, int, tuple[int, int]]:
+    """The vocabulary (word, n, class; a staged table), the number of classes, and the numbers of word tokens and words."""
+    passing = Staged()
+    counts = passing.table(word_counts(train), "word-counts")
+    total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    classes = classes or class_count(distinct)
+    top = counts.orderBy(F.desc("n"), "word").limit(seeds).toArrow()
+    words = top["word"].to_pylist()
+    pairs = bigram_counts(train, words)
+    own = exchange(pairs, classes)
+    one = np.eye(classes + 3)[own]
+    rest = assigned(context_counts(train, words, own, classes), one.T @ pairs @ one, classes)
+    first = train.sparkSession.createDataFrame(list(zip(words, top["n"].to_pylist(), own[: len(words)].tolist(), strict=True)), "word binary, n bigint, class int")
+    vocabulary = stage_table(first.unionByName(rest), "brown-words")
+    passing.drop()
+    return vocabulary, classes, (total, distinct)
+
+
+def path_counts(filled: DataFrame, kinds: int) -> np.ndarray:
+    """Class bigrams of the paths; only the counts of kinds x kinds pairs leave the executors."""
+
+    def run(batches):
+        total = np.zeros(kinds * kinds, np.int64)
+        for batch in batches:
+            for path in batch.column("path").to_pylist():
+                p = np.frombuffer(path, np.uint8).astype(np.int64)
+                total += np.bincount(p[:-1] * kinds + p[1:], minlength=kinds * kinds)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], names=["pair", "n"])
+
+    rows = filled.select("path").mapInArrow(run, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(kinds * kinds)
+    out[rows["pair"].to_numpy()] = rows["n"].to_numpy()
+    return out.reshape(kinds, kinds)
+
+
+def brown_scores(docs: DataFrame, folds: int = 5, held: int = 1, seeds: int = SEEDS, classes: int | None = None, head: int = HEAD) -> DataFrame:
     """One row for each document: see the module's text and the query's contract."""
     spark = docs.sparkSession
+    importable(spark)
     rows = docs.select("doc_id", (crc_mod("doc_id", folds) == held).alias("held_out"), "text")
     train = rows.filter(~F.col("held_out"))
-    counts = stage_table(word_counts(train), "word-counts")
     n_docs = train.count()
-    total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    vocabulary, classes, (total, distinct) = fit_classes(train, seeds, classes)
     n_all, n_types = total + n_docs, distinct + (n_docs > 0)
-    top = counts.orderBy(F.desc("n"), "word").limit(head).toArrow()
-    words, n_of = top["word"].to_pylist(), top["n"].to_numpy()
-    k = min(clustered, len(words))
-    pairs = bigram_counts(train, words[:k])
-    own = exchange(pairs, classes)
-    one = np.eye(classes + 3)[own]
-    moves = transition_logs(one.T @ pairs @ one)
-
     base_den = n_all + 0.5 * (n_types + 1)
-    rest_n, rest_types = total - int(n_of[:k].sum()), distinct - k
-    rest_den = rest_n + 0.5 * (rest_types + 1)
-    class_n = np.bincount(own[:k], n_of[:k], classes + 3)
-    emit = np.log10(n_of / class_n[own[:k]]) if k == len(words) else np.concatenate([np.log10(n_of[:k] / class_n[own[:k]]), np.log10((n_of[k:] + 0.5) / rest_den)])
-    base = np.log10((n_of + 0.5) / base_den)
-    kind = np.concatenate([own[:k], np.full(len(words) - k + 1, own[k])])
-    shared = spark.sparkContext.broadcast(({w: i for i, w in enumerate(words)}, np.append(base, 0.0), np.append(emit, 0.0), kind, moves))
-    end_base, end_class, start_class, unseen = math.log10((n_docs + 0.5) / base_den), classes + 1, classes + 2, len(words)
+    sizes = {r["class"]: (r.n, r.types) for r in vocabulary.groupBy("class").agg(F.sum("n").alias("n"), F.count("*").alias("types")).collect()}
+    rest_n, rest_types = sizes.get(classes, (0, 0))
+    of_class = np.array([max(1, sizes.get(c, (0, 0))[0]) for c in range(classes)] + [rest_n + 0.5 * (rest_types + 1)])
+
+    # The dictionary: all words from some bin of counts on.
+    bins = sorted(((r.bin, r["count"]) for r in vocabulary.groupBy(_bin().alias("bin")).count().collect()), reverse=True)
+    kept, least = 0, 1 << 30
+    for b, c in bins:
+        kept += c
+        if kept > head:
+            break
+        least = b
+    top = vocabulary.filter(_bin() >= least).toArrow()
+    words, n_of, kind = top["word"].to_pylist(), top["n"].to_numpy(), top["class"].to_numpy()
+    shared = spark.sparkContext.broadcast(({w: i for i, w in enumerate(words)}, np.append(n_of, 0).astype(float), np.append(kind, OPEN).astype(np.uint8), of_class))
+    unseen, start, end = len(words), classes + 2, classes + 1
+    end_base = math.log10((n_docs + 0.5) / base_den)
+
+    def emitted(n: np.ndarray, kind: np.ndarray, of_class: np.ndarray) -> np.ndarray:
+        return np.log10((n + np.where(kind == classes, 0.5, 0.0)) / of_class[kind])
 
     def run(batches):
-        index, base, emit, kind, moves = shared.value
+        index, n_of, kind, of_class = shared.value
         get, at = index.get, TaskContext.get().partitionId() << 36
+        base = np.log10((n_of + 0.5) / base_den)
+        base[unseen] = 0.0
+        emit = np.append(emitted(n_of[:unseen], kind[:unseen], of_class), 0.0)
         for batch in slices(batches, "text"):
-            keys, lengths, known, bases, scores, rest = [], [], [], [], [], []
+            keys, lengths, known, bases, scores, paths, rest = [], [], [], [], [], [], []
             for text in _texts(batch):
                 ws = tokens(text)
-                ids = np.array([get(w, unseen) for w in ws], np.int64)
-                path = np.concatenate([[start_class], kind[ids], [end_class]])
+                ids = np.fromiter((get(w, unseen) for w in ws), np.int64, len(ws))
                 keys.append(at)
                 at += 1
                 lengths.append(len(ws) + 1)
-                out = ids == unseen
-                known.append(len(ws) - int(out.sum()) + (n_docs > 0))
+                out = np.flatnonzero(ids == unseen)
+                known.append(len(ws) - len(out) + (n_docs > 0))
                 bases.append(float(base[ids].sum()) + end_base)
-                scores.append(float(emit[ids].sum() + moves[path[:-1], path[1:]].sum()))
-                rest.append(list(Counter([ws[i] for i in np.flatnonzero(out)]).items()))
+                scores.append(float(emit[ids].sum()))
+                paths.append(bytes([start]) + kind[ids].tobytes() + bytes([end]))
+                places: dict[bytes, list[int]] = {}
+                for i in out.tolist():
+                    places.setdefault(ws[i], []).append(i + 1)
+                rest.append([{"word": w, "places": p} for w, p in places.items()])
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("held_out"), pa.array(keys, pa.int64()), pa.array(lengths, pa.int64()), pa.array(known, pa.int64()), pa.array(bases, pa.float64()), pa.array(scores, pa.float64()), pa.array(rest, pa.map_(pa.binary(), pa.int64()))],
-                names=["doc_id", "held_out", "row", "n_tokens", "n_known", "base_score", "score", "rest"],
-            )
-
-    kinds = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, row bigint, n_tokens bigint, n_known bigint, base_score double, score double, rest map<binary, bigint>"
-    local = stage_table(rows.mapInArrow(run, kinds), "brown-local")
-    # Words beyond the head meet their counts here; each document has summed its own first.
-    least = int(n_of[-1]) if len(n_of) else 0
-    tail = counts.filter(F.col("n") <= least).withColumnRenamed("n", "c")
-    c = F.coalesce("c", F.lit(0))
-    added = (
-        local.select("row", F.explode("rest").alias("word", "times"))
+                [batch.column("doc_id"), batch.column("held_out"), pa.array(keys, pa.int64()), pa.array(lengths, pa.int64()), pa.array(known, pa.int64()), pa.array(bases, pa.float64()), pa.array(scores, pa.float64()), pa.array(paths, pa.binary()),
+                 pa.array(rest, pa.list_(pa.struct([("word", pa.binary()), ("places", pa.list_(pa.int32()))])))],
+                names=["doc_id", "held_out", "row", "n_tokens", "n_known", "base_score", "score", "path", "rest"],
+            )
+
+    kinds = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, row bigint, n_tokens bigint, n_known bigint, base_score double, score double, path binary, rest array<struct<word: binary, places: array<int>>>"
+    passing = Staged()
+    local = passing.table(rows.mapInArrow(run, kinds), "brown-local")
+    # Words beyond the dictionary meet their counts and classes here, a document's equal words at once.
+    tail = vocabulary.filter(_bin() < least).select("word", F.col("n").alias("c"), "class")
+    met = (
+        local.select("row", F.explode("rest").alias("r")).select("row", "r.word", "r.places")
         .join(tail, "word", "left")
         .groupBy("row")
-        .agg(
-            F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("more_known"),
-            F.sum(F.col("times") * F.log10((c + 0.5) / base_den)).alias("more_base"),
-            F.sum(F.col("times") * F.log10((c + 0.5) / rest_den)).alias("more_score"),
-        )
-    )
-    more = lambda x: F.coalesce(x, F.lit(0))
-    return local.drop("rest").join(added, "row", "left").select(
-        "doc_id",
-        "held_out",
-        "n_tokens",
-        (F.col("n_known") + more("more_known")).alias("n_known"),
-        F.lit(n_all).cast("long").alias("train_tokens"),
-        (F.col("base_score") + more("more_base")).alias("base_score"),
-        (F.col("score") + more("more_score")).alias("score"),
-    )
+        .agg(F.collect_list(F.struct(F.coalesce("c", F.lit(0)).alias("c"), F.coalesce("class", F.lit(classes)).alias("class"), "places")).alias("more"))
+    )
+
+    def fill(batches):
+        of_class = shared.value[3]
+        for batch in batches:
+            known, bases, scores, paths = ([] for _ in range(4))
+            for k, b, s, path, more in zip(*(batch.column(c).to_pylist() for c in ("n_known", "base_score", "score", "path", "more")), strict=True):
+                if more:
+                    p = np.frombuffer(path, np.uint8).copy()
+                    times = np.array([len(m["places"]) for m in more])
+                    c, kind = np.array([m["c"] for m in more], float), np.array([m["class"] for m in more])
+                    p[np.concatenate([m["places"] for m in more])] = np.repeat(kind, times)
+                    k += int(times[c > 0].sum())
+                    b += float((times * np.log10((c + 0.5) / base_den)).sum())
+                    s += float((times * emitted(c, kind, of_class)).sum())
+                    path = p.tobytes()
+                known.append(k)
+                bases.append(b)
+                scores.append(s)
+                paths.append(path)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "held_out", "n_tokens")), pa.array(known, pa.int64()), pa.array(bases, pa.float64()), pa.array(scores, pa.float64()), pa.array(paths, pa.binary())], names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "path"])
+
+    plain = kinds.replace(" row bigint,", "").rpartition(", rest")[0]
+    filled = stage_table(local.drop("rest").join(met, "row", "left").mapInArrow(fill, plain), "brown-paths")
+    passing.drop()
+    moves = spark.sparkContext.broadcast(transition_logs(path_counts(filled.filter("not held_out"), classes + 3)))
+
+    def finish(batches):
+        for batch in batches:
+            more = [float(moves.value[p[:-1], p[1:]].sum()) for p in (np.frombuffer(x, np.uint8) for x in batch.column("path").to_pylist())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(np.array(batch.column("score").to_pylist()) + np.array(more), pa.float64())], names=batch.schema.names[:-1])
+
+    scored = filled.mapInArrow(finish, plain.rpartition(", path")[0])
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n_all).cast("long").alias("train_tokens"), "base_score", "score")
