@@ -56,4 +56,15 @@ l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE
 r(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
 SELECT r.a AS doc_id, coalesce(max(n.n), 0) AS n_shingles, min(r.b) AS component_id FROM r LEFT JOIN n ON n.doc_id = r.a GROUP BY r.a"""
 
-SQL = {"op6_jaccard_join": OP6, "op7_quality_rules": OP7}
+OP2 = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+g AS (SELECT doc_id, k, substr(h, 2 * k + 1, 100) AS s FROM (SELECT doc_id, h, unnest(range(0, greatest(0, len(h) // 2 - 49))) AS k FROM d)),
+f AS (SELECT s, min(doc_id) AS first FROM g GROUP BY s HAVING count(*) > 1),
+hit AS (SELECT DISTINCT doc_id, k FROM g JOIN f USING (s) WHERE first < doc_id),
+isle AS (SELECT doc_id, k, sum(opens) OVER (PARTITION BY doc_id ORDER BY k) AS isle FROM (SELECT *, CAST(coalesce(k > lag(k) OVER (PARTITION BY doc_id ORDER BY k) + 50, true) AS INTEGER) AS opens FROM hit)),
+span AS (SELECT doc_id, min(k) AS a, max(k) + 50 AS z FROM isle GROUP BY doc_id, isle),
+gap AS (SELECT doc_id, a, z, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS p FROM span),
+kept AS (SELECT doc_id, sum(z - a) AS n_removed, count(*) AS n_spans, string_agg(substr(h, 2 * p + 1, 2 * (a - p)), '' ORDER BY a) || substr(any_value(h), 2 * max(z) + 1) AS rest FROM gap JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT d.doc_id, len(h) // 2 AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(rest, h))) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)"""
+
+SQL = {"op2_suffix_dedup": OP2, "op6_jaccard_join": OP6, "op7_quality_rules": OP7}

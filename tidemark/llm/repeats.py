@@ -5,20 +5,25 @@ Only the first WIDTH bytes of a suffix matter, so the suffixes of the corpus are
 dealt to buckets by content: by the least hash of the SEED-byte strings inside
 those WIDTH bytes. Equal beginnings have equal minimisers and so meet in one
 bucket. Neighbouring suffixes mostly share their minimiser, so they travel
-together, as one segment of bytes. A task ships each different segment once, for
-the least of its documents; later copies in the same task need no shipping.
+together, as one segment of bytes. A seed is long enough to be as rare as the
+passages that hold it, and a task ships each different segment once, for the least
+of its documents; later copies in the same task need no shipping. So a
+passage that repeats throughout the corpus sends its bucket one copy a task.
 
 In a bucket, equal segments are found first; all but the first document's are
-repeated throughout. The suffixes of the different segments that have a twin are
-put into suffix order, cut off at WIDTH bytes, with their documents in rising order. The
-longest previous factor of a suffix reaches WIDTH bytes if the previous smaller
-document in that order, or the next one, shares those bytes; only then are its
-bytes removed. Nothing is judged on what is left, and the first copy stays.
+repeated throughout. The suffixes of the other segments that have a twin are put into
+suffix order, and neighbours are compared for their longest common prefix. For each
+place of that order the previous and the next place of a smaller document are found;
+the least common prefixes on the way there give the longest previous factor, the longest
+string that starts here and in an earlier document too. A factor of WIDTH bytes or more is
+removed; a suffix without a twin has none. Nothing is judged on what is left, and the
+first copy stays.
 
 Null texts count as empty. Rows with a null doc_id count as later than all others
-and as one document. Rows with one doc_id are one document: their copies of each other stay. Texts
-shorter than WIDTH lose nothing. Empty tables give empty results. Extra columns
-are dropped by repeat_report.
+and as one document. Rows with one doc_id are one document, so what they share with each
+other stays, but each has spans of its own: where ids repeat, a row is known by its id and
+a hash of its text. Texts shorter than WIDTH lose nothing. Empty tables give empty
+results. Extra columns are dropped by repeat_report.
 """
 
 from __future__ import annotations
@@ -33,13 +38,13 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import slices, stage_table
+from tidemark.llm.common import importable, slices, stage_table
 from tidemark.llm.shingles import M1, M2, mix
 
 WIDTH = 50
-SEED = 8
+SEED = 16
 #: Suffixes in one segment at most; it splits longer runs of one minimiser (in a run of one letter, say).
-RUN = 42
+RUN = 35
 #: Bytes of text for one bucket, and those that a task holds before it ships.
 BUCKET, HELD = 2_000_000, 20_000_000
 #: Bytes whose suffixes are hashed at a time.
@@ -121,7 +126,7 @@ def _group(cells: np.ndarray, size: np.ndarray, doc: np.ndarray) -> tuple[np.nda
     return order, np.concatenate([[0], np.cumsum(~same)])
 
 
-def _ship(docs: np.ndarray, texts: list[bytes], buckets: int, width: int, seed: int):
+def _ship(docs: np.ndarray, marks: np.ndarray, texts: list[bytes], buckets: int, width: int, seed: int):
     """One record for each bucket: segments of this task to be judged there, and bytes already known as repeated."""
     lens = np.array([len(t) for t in texts], np.int64)
     cuts = np.flatnonzero(np.diff(np.cumsum(lens) // CHUNK, prepend=-1))
@@ -147,39 +152,77 @@ def _ship(docs: np.ndarray, texts: list[bytes], buckets: int, width: int, seed:
         gone.append(rows[~first])
         send = np.sort(rows[first])  # in the order of texts, where numbers pack well
         body = b"".join(texts[o][p : p + s] for o, p, s in zip(owner[send], place[send], size[send], strict=True))
-        yield {"bucket": int(b), "body": pack(body), "doc": pack(np.diff(doc[send], prepend=0).astype("<i8").tobytes()), "place": pack(place[send].astype("<i4").tobytes()), "long": pack(long[send].astype("<u1").tobytes()), "gone": None}
+        yield {"bucket": int(b), "body": pack(body), "doc": pack(np.diff(doc[send], prepend=0).astype("<i8").tobytes()), "mark": pack(marks[owner[send]].tobytes()) if marks.any() else None, "place": pack(place[send].astype("<i4").tobytes()), "long": pack(long[send].astype("<u1").tobytes()), "gone": None}
     o = np.concatenate([np.zeros(0, np.int64), *gone])
     if len(o):  # one record of the task has them all, joined where they touch
-        spans = np.stack(_merged(doc[o], place[o], place[o] + size[o]))
-        yield {"bucket": int(mix(spans[0, :1].astype(np.uint64))[0] % np.uint64(buckets)), "body": None, "doc": None, "place": None, "long": None, "gone": pack(spans.astype("<i8").tobytes())}
+        spans = np.stack(_merged(doc[o], marks[owner[o]], place[o], place[o] + size[o]))
+        yield {"bucket": int(mix(spans[0, :1].astype(np.uint64))[0] % np.uint64(buckets)), "body": None, "doc": None, "mark": None, "place": None, "long": None, "gone": pack(spans.astype("<i8").tobytes())}
 
 
-def _merged(d: np.ndarray, a: np.ndarray, z: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Stretches a to z of documents d, joined where they overlap or touch."""
-    order = np.lexsort((a, d))
-    d, a, z = d[order], a[order], z[order]
+def _merged(d: np.ndarray, m: np.ndarray, a: np.ndarray, z: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Stretches a to z of the rows (document d, mark m), joined where they overlap or touch."""
+    order = np.lexsort((a, m, d))
+    d, m, a, z = d[order], m[order], a[order], z[order]
     if not len(d):
-        return d, a, z
-    far = np.unique(d, return_inverse=True)[1].astype(np.int64) * (1 << 40)
+        return d, m, a, z
+    far = np.cumsum(np.concatenate([[0], (d[1:] != d[:-1]) | (m[1:] != m[:-1])])).astype(np.int64) * (1 << 40)
     reach = np.maximum.accumulate(z + far)
     begin = np.flatnonzero(np.concatenate([[True], (a + far)[1:] > reach[:-1]]))
-    return d[begin], a[begin], np.maximum.reduceat(z, begin)
-
-
-_FIELDS = ("body", "doc", "place", "long", "gone")
+    return d[begin], m[begin], a[begin], np.maximum.reduceat(z, begin)
+
+
+def common_prefixes(flat: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
+    """Length of the common prefix, up to width, of each place's bytes with those of the place before; 0 for the first."""
+    out = np.zeros(len(at), np.int64)
+    windows = np.lib.stride_tricks.sliding_window_view(np.concatenate([flat, np.zeros(width, np.uint8)]), width)
+    for k in range(1, len(at), 200_000):
+        rows = at[k - 1 : k + 200_000]
+        same = windows[rows[1:]] == windows[rows[:-1]]
+        out[k : k + len(rows) - 1] = np.where(same.all(1), width, same.argmin(1))
+    return out
+
+
+def smaller_before(doc: np.ndarray, lcp: np.ndarray) -> np.ndarray:
+    """For each place of a suffix order the longest prefix that it shares with the previous place of a smaller document; 0 without one.
+
+    A place points to one before it, with no smaller document between; while the one it points to isn't smaller
+    either, it takes over that one's pointer. Distances double, so a few rounds do for all places.
+    """
+    n = len(doc)
+    to, low = np.arange(n) - 1, lcp.copy()
+    open_ = np.flatnonzero((to >= 0) & (doc[np.maximum(to, 0)] >= doc))
+    while len(open_):
+        step = to[open_]
+        to[open_], low[open_] = to[step], np.minimum(low[open_], low[step])
+        open_ = open_[(to[open_] >= 0) & (low[open_] > 0)]
+        open_ = open_[doc[to[open_]] >= doc[open_]]
+    bad = (to < 0) | (doc[np.maximum(to, 0)] >= doc)
+    low[bad] = 0
+    return low
+
+
+def previous_factors(doc: np.ndarray, lcp: np.ndarray) -> np.ndarray:
+    """Longest previous factor of each place of a suffix order: the better one of its two neighbours of smaller documents."""
+    after = np.append(lcp[1:], 0)[::-1]
+    return np.maximum(smaller_before(doc, lcp), smaller_before(doc[::-1], after)[::-1])
+
+
+_FIELDS = ("body", "doc", "mark", "place", "long", "gone")
 _SCHEMA = pa.schema([("bucket", pa.int64()), *[(f, pa.binary()) for f in _FIELDS]])
 
 
 def _judge(table: pa.Table, width: int) -> pa.Table:
-    """doc, start and stop of all repeated bytes of a bucket."""
+    """doc, mark, start and stop of all repeated bytes of a bucket."""
     unpack = zstandard.ZstdDecompressor().decompress
     full = table.filter(pa.compute.is_valid(table["body"]))
     read = lambda name, kind: [np.frombuffer(unpack(x), kind) for x in full[name].to_pylist()]
     join = lambda parts: np.concatenate([np.zeros(0, np.int64), *parts]).astype(np.int64)
-    doc, place, long = join([np.cumsum(x) for x in read("doc", "<i8")]), join(read("place", "<i4")), join(read("long", "<u1"))
+    docs = [np.cumsum(x) for x in read("doc", "<i8")]
+    doc, place, long = join(docs), join(read("place", "<i4")), join(read("long", "<u1"))
+    mark = join([np.frombuffer(unpack(x), "<i8") if x else np.zeros(len(d), np.int64) for x, d in zip(full["mark"].to_pylist(), docs, strict=True)])
     size = long + width - 1
     flat = np.frombuffer(b"".join(unpack(x) for x in full["body"].to_pylist()), np.uint8)
-    found = [tuple(np.frombuffer(unpack(x), "<i8").reshape(3, -1)) for x in table["gone"].to_pylist() if x]
+    found = [tuple(np.frombuffer(unpack(x), "<i8").reshape(4, -1)) for x in table["gone"].to_pylist() if x]
     if len(doc):
         start = np.cumsum(size) - size
         cells = _cells(flat, start, size, width + RUN - 1)
@@ -187,7 +230,7 @@ def _judge(table: pa.Table, width: int) -> pa.Table:
         head = np.concatenate([[0], np.flatnonzero(np.diff(group)) + 1])
         later = doc[order] != doc[order[head]][group]
         o = order[later]
-        found.append((doc[o], place[o], place[o] + size[o]))
+        found.append((doc[o], mark[o], place[o], place[o] + size[o]))
         # One segment for each group now stands for its first document; twins among its suffixes are looked for.
         o = order[~later]
         which = np.repeat(o, long[o])
@@ -201,33 +244,31 @@ def _judge(table: pa.Table, width: int) -> pa.Table:
         twin[rank[:-1][same]] = True
         at, which, step = at[twin], which[twin], step[twin]
         if len(at):
-            suffix = _cells(flat, at, np.full(len(at), width), width)
-            order, group = _group(suffix, np.full(len(at), width), doc[which])
-            d = doc[which][order]
-            # Documents rise within equal beginnings, so the previous smaller one is the first of them, if it is smaller.
-            first = d[np.concatenate([[0], np.flatnonzero(np.diff(group)) + 1])][group]
-            o = order[first < d]
-            found.append((doc[which[o]], place[which[o]] + step[o], place[which[o]] + step[o] + width))
-    d, a, z = _merged(*(join([f[i] for f in found]) for i in range(3)))
-    return pa.table({"doc": pa.array(d, pa.int64()), "start": pa.array(a, pa.int64()), "stop": pa.array(z, pa.int64())})
+            order = np.argsort(_cells(flat, at, np.full(len(at), width), width), kind="stable")
+            factor = previous_factors(doc[which][order], common_prefixes(flat, at[order], width))
+            o = order[factor >= width]
+            found.append((doc[which[o]], mark[which[o]], place[which[o]] + step[o], place[which[o]] + step[o] + width))
+    rows = _merged(*(join([f[i] for f in found]) for i in range(4)))
+    return pa.table({n: pa.array(x, pa.int64()) for n, x in zip(("doc", "mark", "start", "stop"), rows, strict=True)})
 
 
 def repeated_bytes(docs: DataFrame, width: int = WIDTH, seed: int = SEED) -> DataFrame:
-    """doc, start and stop: stretches of bytes that repeat an earlier document. docs: doc (long), text."""
+    """doc, mark, start and stop: stretches of bytes that repeat an earlier document. docs: doc and mark (long), text."""
+    importable(docs.sparkSession)
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     buckets = max(16, math.ceil(total / BUCKET))
 
     def run(batches):
         def out(held):
-            ids = np.concatenate([h[0] for h in held])
-            rows = list(_ship(ids, [t for h in held for t in h[1]], buckets, width, seed))
+            ids, marks = (np.concatenate([h[i] for h in held]) for i in (0, 1))
+            rows = list(_ship(ids, marks, [t for h in held for t in h[2]], buckets, width, seed))
             for k in range(0, len(rows), 64):
                 yield pa.RecordBatch.from_pylist(rows[k : k + 64], _SCHEMA)
 
         held, size = [], 0
         for batch in slices(batches, "text"):
             texts = [x or b"" for x in batch.column("text").cast(pa.binary()).to_pylist()]
-            held.append((batch.column("doc").to_numpy(), texts))
+            held.append((batch.column("doc").to_numpy(), batch.column("mark").to_numpy(), texts))
             size += sum(map(len, texts))
             if size > HELD:
                 yield from out(held)
@@ -235,8 +276,8 @@ def repeated_bytes(docs: DataFrame, width: int = WIDTH, seed: int = SEED) -> Dat
         if held:
             yield from out(held)
 
-    shipped = docs.select("doc", "text").mapInArrow(run, "bucket bigint, " + ", ".join(f"{f} binary" for f in _FIELDS))
-    return shipped.groupBy("bucket").applyInArrow(lambda t: _judge(t, width), "doc bigint, start bigint, stop bigint")
+    shipped = docs.select("doc", "mark", "text").mapInArrow(run, "bucket bigint, " + ", ".join(f"{f} binary" for f in _FIELDS))
+    return shipped.groupBy("bucket").applyInArrow(lambda t: _judge(t, width), "doc bigint, mark bigint, start bigint, stop bigint")
 
 
 def _kept(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -261,11 +302,15 @@ def _kept(batch: pa.RecordBatch) -> pa.RecordBatch:
 
 def repeat_report(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 for each document."""
-    rows = docs.select("doc_id", F.coalesce("doc_id", F.lit(LAST)).cast("long").alias("doc"), "text")
-    spans = stage_table(repeated_bytes(rows.select("doc", "text"), width), "repeats")
-    own = spans.groupBy("doc").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    doc = F.coalesce("doc_id", F.lit(LAST)).cast("long")
+    repeated = docs.groupBy(doc.alias("doc")).count().filter("count > 1").limit(1).count() > 0
+    # Rows of one id are told apart by their texts; rows that are equal in both have equal spans.
+    mark = F.xxhash64(F.coalesce("text", F.lit(""))) if repeated else F.lit(0).cast("long")
+    rows = docs.select("doc_id", doc.alias("doc"), mark.alias("mark"), "text")
+    spans = stage_table(repeated_bytes(rows, width), "repeats")
+    own = spans.groupBy("doc", "mark").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    joined = rows.join(own.hint("shuffle_hash"), "doc", "left").select("doc_id", "text", "spans")
+    joined = rows.join(own.hint("shuffle_hash"), ["doc", "mark"], "left").select("doc_id", "text", "spans")
 
     def run(batches):
         for batch in slices(batches, "text"):
