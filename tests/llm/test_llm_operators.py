@@ -122,7 +122,88 @@ def test_battery_tells_random_from_regular():
     passed = sum(secrets.battery("".join(rng.choice(alphabet) for _ in range(40)))["joint"] > 0.01 for _ in range(300))
     assert passed > 280
     assert secrets.battery("abababababababababababab1")["joint"] < 1e-3
-    assert secrets.text_p("readme-version-2021-final") > 0.01 > secrets.text_p("a1b2c3d4e5f6g7h8i9j0k1")
+    for plain in ("internationalisierungsgesetz", "SomeVeryLongCamelCaseName2021", "usr-local-share-documentation"):
+        assert secrets.battery(plain)["joint"] < 1e-2
+
+
+def test_false_discoveries_are_controlled_by_length():
+    # Random keys of each encoding among glued words: most keys are found, few words are.
+    rng = random.Random(22)
+    null = secrets.drawn_bins()
+    vocabulary = ["".join(rng.choices(list(secrets.FREQUENT), list(secrets.FREQUENT.values()), k=rng.randrange(3, 11))) for _ in range(3000)]
+    for name, low in (("base62", 0.9), ("base64", 0.85), ("lower", 0.6), ("upper", 0.6), ("base32", 0.45)):
+        alphabet = dict(secrets.ALPHABETS)[name]
+        for n in (40, 64):
+            keys = ["".join(rng.choice(alphabet) for _ in range(n)) for _ in range(300)]
+            words = [secrets.glued(rng.sample(vocabulary, 40), k % 4, n, k) for k in range(700)]
+            cells = [[tuple(secrets.cell(x).values()) for x in part] for part in (keys, words)]
+            last = secrets.reported_bins(collections.Counter(c for part in cells for c in part), null, 0.01)
+            hits = [sum(k <= last.get((b, c), -1) for b, c, k in part) for part in cells]
+            assert hits[0] >= low * 300 and hits[1] <= 0.03 * (hits[0] + hits[1]), (name, n, hits)
+
+
+def brute_base(text):
+    """The three patterns by a scan from each place."""
+    text, spans = text or "", []
+    body = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-")
+    i = 0
+    while i < len(text):
+        for name in ("password", "passwd", "secret", "token", "api_key", "apikey"):
+            if text[i : i + len(name)].lower() == name and text[i : i + len(name)].isascii():
+                for quote in (1, 0):
+                    j = i + len(name)
+                    if quote and text[j : j + 1] not in ('"', "'"):
+                        continue
+                    j += quote
+                    while text[j : j + 1] == " ":
+                        j += 1
+                    if text[j : j + 1] in (":", "=") and text[j : j + 1]:
+                        j += 1
+                        while text[j : j + 1] == " ":
+                            j += 1
+                        j += text[j : j + 1] in ('"', "'") and bool(text[j : j + 1])
+                        k = j
+                        while k < len(text) and text[k] in body:
+                            k += 1
+                        if k > j:
+                            if k - j >= 12:
+                                spans.append((i, 0, k))
+                            i = k - 1
+                        break
+                break
+        i += 1
+    for kind, first, chars, least in ((1, "AKIA", set("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"), 18), (2, "", set("0123456789abcdef"), 16)):
+        i = 0
+        while i < len(text):
+            k = i + len(first)
+            if text.startswith(first, i):
+                while k < len(text) and text[k] in chars:
+                    k += 1
+            if k > i + len(first):
+                if k - i >= least:
+                    spans.append((i, kind, k))
+                i = k
+            else:
+                i += 1
+    return sorted(spans)
+
+
+def test_base_spans_by_brute_force():
+    rng = random.Random(23)
+    parts = ["password", "PassWD", "secret", "token", "api_key", "apikey", '"', "'", " ", "  ", ":", "=", "AKIA", "0123456789abcdef", "deadbeef", "Zz9+/_.=-", "QWERTY123456", "é", "x", "\n"]
+    for _ in range(4000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randrange(12)))
+        assert secrets.base_spans(text) == brute_base(text), text
+
+
+def test_long_runs_take_linear_time():
+    import time
+
+    began = time.time()
+    for text in ("1" * 1_000_000, "." * 1_000_000, "a1" * 500_000, "token " * 150_000, ("deadbeefdeadbeef " + "Q" * 30 + " ") * 20_000):
+        secrets._scan([text])
+        toxicity.features(text, {"aa*": 1.0})
+    assert time.time() - began < 60
 
 
 def test_redaction(docs, empty):
