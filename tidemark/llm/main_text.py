@@ -1,8 +1,9 @@
 """HTML extraction by minimum-cut labelling.
 
-A page becomes a row of text blocks in page order, each with its chain of open
-elements. A linear classifier turns element names, class and id words, roles,
-link density, length and punctuation into a cost for each label: the capacities
+A page becomes a row of text blocks in page order, each with what its chain of open
+elements amounts to; running sums along the chain keep that linear in the page, however
+deep it is. A linear classifier with weights set by hand turns element names, class and id
+words, roles, link density, length and punctuation into a cost for each label: the capacities
 from the source (content) and to the sink (boilerplate). Neighbouring blocks are
 joined by smoothness edges, the stronger the more of their chains they share,
 and so are successive blocks of one parent. The minimum cut, found by Dinic's
@@ -45,22 +46,58 @@ CUT_TAG = re.compile(r"<[A-Za-z/!][^<>]*\Z")
 SMOOTH, PARENT = 0.8, 0.6
 
 
+class Element:
+    """An open element, with what it and those around it add up to; inline elements pass on what they stand in."""
+
+    __slots__ = ("tag", "number", "parent", "depth", "against", "best", "seen", "skipped", "linked")
+
+    def __init__(self, tag: str, number: int, bias: float, above: Element | None) -> None:
+        self.tag = tag
+        plain = tag not in INLINE
+        self.number = number if plain else above.number if above else 0
+        self.parent = (above.number if plain else above.parent) if above else 0  # the plain element around the innermost one
+        self.depth = (above.depth if above else 0) + plain
+        self.against = (above.against if above else 0.0) + (min(0.0, bias) if plain else 0.0)
+        self.best = max(above.best if above else 0.0, bias if plain else 0.0)
+        self.seen = (above.seen if above else 0) | (MARKED.get(tag, 0) if plain else 0)
+        self.skipped = tag in SKIPPED or bool(above and above.skipped)
+        # A link counts for itself and five elements inside, lest an unclosed one spoil the page.
+        self.linked = 6 if tag == "a" else max(0, above.linked - 1) if above else 0
+
+
+MARKED = {"p": 1, "blockquote": 1, "pre": 1, "article": 2, "h1": 4, "h2": 4, "h3": 4}
+PARAGRAPH, ARTICLE, HEADING = 1, 2, 4
+
+
 class _Reader(HTMLParser):
-    """Collects blocks: text, characters inside links, and the chain of (element, number, bias)."""
+    """Collects blocks: text, share inside links, the sums of their chain, and how much of it the block before shares."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, int, float, bool]] = []  # element, number, bias towards content, skipped
+        self.stack: list[Element] = []
+        self.open: dict[str, int] = {}
         self.blocks: list[dict] = []
         self.parts: list[str] = []
         self.linked = 0
         self.count = 0
+        self.lowest = 0  # least depth since the block before
+
+    def _pop(self, k: int) -> None:
+        for e in self.stack[k:]:
+            self.open[e.tag] -= 1
+        del self.stack[k:]
+        self.lowest = min(self.lowest, self.stack[-1].depth if self.stack else 0)
 
     def flush(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            chain = [e for e in self.stack if e[0] not in INLINE]
-            self.blocks.append({"text": text, "linked": min(1.0, self.linked / len(text)), "chain": chain})
+            top = self.stack[-1] if self.stack else None
+            depth = top.depth if top else 0
+            self.blocks.append({
+                "text": text, "linked": min(1.0, self.linked / len(text)), "depth": depth, "shared": min(self.lowest, depth),
+                "parent": top.parent if top else 0, "against": top.against if top else 0.0, "best": top.best if top else 0.0, "seen": top.seen if top else 0,
+            })
+            self.lowest = depth
         self.parts, self.linked = [], 0
 
     def handle_starttag(self, tag, attrs):
@@ -75,8 +112,8 @@ class _Reader(HTMLParser):
         if tag in CLOSES_SELF:
             self._close(tag, tuple(CLOSES_SELF[tag].split()))
         self.count += 1
-        skipped = tag in SKIPPED or bool(self.stack and self.stack[-1][3])
-        self.stack.append((tag, self.count, _bias(tag, dict(attrs)), skipped))
+        self.open[tag] = self.open.get(tag, 0) + 1
+        self.stack.append(Element(tag, self.count, _bias(tag, dict(attrs)), self.stack[-1] if self.stack else None))
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -84,29 +121,30 @@ class _Reader(HTMLParser):
             self.handle_endtag(tag)
 
     def _close(self, tag: str, fence: tuple[str, ...]) -> None:
-        for k in range(len(self.stack) - 1, -1, -1):
-            if self.stack[k][0] == tag:
+        for k in range(len(self.stack) - 1, -1, -1) if self.open.get(tag) else ():
+            if self.stack[k].tag == tag:
                 self.flush()
-                del self.stack[k:]
+                self._pop(k)
                 return
-            if self.stack[k][0] in fence:
+            if self.stack[k].tag in fence:
                 return
 
     def handle_endtag(self, tag):
         if tag not in INLINE:
             self.flush()
-        for k in range(len(self.stack) - 1, -1, -1):
-            if self.stack[k][0] == tag:
-                del self.stack[k:]
+        for k in range(len(self.stack) - 1, -1, -1) if self.open.get(tag) else ():
+            if self.stack[k].tag == tag:
+                self._pop(k)
                 return
-            if tag in INLINE and self.stack[k][0] not in INLINE:
+            if tag in INLINE and self.stack[k].tag not in INLINE:
                 return
 
     def handle_data(self, data):
-        if self.stack and self.stack[-1][3]:
+        top = self.stack[-1] if self.stack else None
+        if top and top.skipped:
             return
         self.parts.append(data)
-        if any(e[0] == "a" for e in self.stack[-6:]):
+        if top and top.linked:
             self.linked += len(data.strip())
 
 
@@ -127,13 +165,12 @@ def _bias(tag: str, attrs: dict[str, str | None]) -> float:
 
 def cost(block: dict) -> float:
     """Evidence of a block: above zero the capacity from the source, below zero the one to the sink."""
-    text, chain = block["text"], block["chain"]
-    names = {e[0] for e in chain}
-    out = sum(e[2] for e in chain if e[2] < 0) + max([0.0, *[e[2] for e in chain]])
+    text, seen = block["text"], block["seen"]
+    out = block["against"] + block["best"]
     out += min(1.5, len(text) / 150) - 0.4
     out += 0.4 if text[-1] in ".!?…:;\"”»" else -0.2
-    out += 0.4 if names & {"p", "blockquote", "pre"} else 0.0
-    out += 0.4 if names & {"h1", "h2", "h3"} and "article" in names else 0.0
+    out += 0.4 if seen & PARAGRAPH else 0.0
+    out += 0.4 if seen & HEADING and seen & ARTICLE else 0.0
     return out - 4.0 * max(0.0, block["linked"] - 0.3)
 
 
@@ -141,15 +178,11 @@ def edges(blocks: list[dict]) -> list[tuple[int, int, float]]:
     """Smoothness: neighbours by the share of their chains, and successive blocks of one parent."""
     out, seen = [], {}
     for i, b in enumerate(blocks):
-        ids = [e[1] for e in b["chain"]]
         if i:
-            before = [e[1] for e in blocks[i - 1]["chain"]]
-            same = sum(x == y for x, y in zip(ids, before, strict=False))
-            out.append((i - 1, i, SMOOTH * same / max(1, len(ids), len(before))))
-        parent = ids[-2] if len(ids) > 1 else 0
-        if parent in seen:
-            out.append((seen[parent], i, PARENT))
-        seen[parent] = i
+            out.append((i - 1, i, SMOOTH * b["shared"] / max(1, b["depth"], blocks[i - 1]["depth"])))
+        if b["parent"] in seen:
+            out.append((seen[b["parent"]], i, PARENT))
+        seen[b["parent"]] = i
     return out
 
 
