@@ -538,6 +538,64 @@ def test_main_text(spark):
     assert ordered(tuple(r) for r in got.collect()) == ordered([(1, "u", want, len(want))] * 2 + [(2, "u", "", 0), (3, None, "", 0), (None, "u", "", 0)])
 
 
+def test_blocks_match_their_chains():
+    # The running sums against chains written out, on random markup.
+    from html.parser import HTMLParser
+
+    class Plain(HTMLParser):
+        """Only tags that close nothing else: chains of (element, number), one for each text."""
+
+        def __init__(self):
+            super().__init__()
+            self.stack, self.chains, self.n = [], [], 0
+
+        def handle_starttag(self, tag, attrs):
+            self.n += 1
+            self.stack.append((tag, self.n, main_text._bias(tag, dict(attrs))))
+
+        def handle_endtag(self, tag):
+            names = [t for t, _, _ in self.stack]
+            if tag in names:
+                del self.stack[len(names) - 1 - names[::-1].index(tag) :]
+
+        def handle_data(self, data):
+            self.chains.append(list(self.stack))
+
+    rng = random.Random(24)
+    for _ in range(60):
+        html = "".join(rng.choice(["<div class='content'>", "<section id=sidebar>", "<nav>", "<article>", "</div>", "</section>", "</nav>", "</article>", "<blockquote>"]) + f"text {k}." for k in range(40))
+        plain = Plain()
+        plain.feed(html)
+        plain.close()
+        blocks = main_text.blocks_of(html)
+        assert len(blocks) == len(plain.chains)
+        for k, (b, chain) in enumerate(zip(blocks, plain.chains)):
+            assert b["depth"] == len(chain) and b["against"] == sum(min(0, e[2]) for e in chain) and b["best"] == max([0.0, *(e[2] for e in chain)])
+            assert b["parent"] == (chain[-2][1] if len(chain) > 1 else 0)
+            before = plain.chains[k - 1] if k else []
+            assert not k or b["shared"] == sum(x[1] == y[1] for x, y in zip(chain, before))
+
+
+def test_pages_without_telling_names(spark):
+    # No class or id words: element names, links, length and the cut alone.
+    story = [f"Sentence number {k} of the story says something about stones, rivers and the long way between them." for k in range(12)]
+    page = "<html><body><div><a href=/>Home</a> <a href=/n>News</a> <a href=/c>Contact</a></div><div><h1>Title of it</h1>" + "".join(f"<p>{x}</p>" for x in story) + "</div><div><ul>" + "".join(f"<li><a href=/{k}>Other page {k}</a></li>" for k in range(9)) + "</ul></div></body></html>"
+    text = main_text.main_text(page)
+    assert all(x in text for x in story) and "Other page" not in text and "Home" not in text
+    assert main_text.page_texts(spark.createDataFrame([], "page_id bigint, url string, html string")).count() == 0
+    clash = main_text.extract(spark.createDataFrame([(1, page, "x", 2)], "page_id bigint, html string, text string, n_chars int"))
+    assert clash.columns == ["page_id", "html", "text", "n_chars", "_main"] and clash.first()._main.text == text
+
+
+def test_deep_markup_takes_linear_time():
+    import time
+
+    began = time.time()
+    for html in ("<div>x" * 100_000, "<b>" * 50_000 + "x</i>" * 50_000, "<p><span>y" * 50_000, "<li>z" * 100_000, "<div class=nav>a</div><p>A sentence that stays here.</p>" * 30_000):
+        main_text.main_text(html)
+    assert time.time() - began < 60
+
+
 def test_min_cut_is_minimal():
     rng = random.Random(8)
     for _ in range(40):
@@ -550,7 +608,11 @@ def test_min_cut_is_minimal():
 
 
 # 10
-def test_leaks(spark, docs, empty):
+@pytest.mark.parametrize("shard", [7, decontaminate.SHARD])
+def test_leaks(spark, docs, empty, shard, monkeypatch):
+    monkeypatch.setattr(decontaminate, "SHARD", shard)
+    monkeypatch.setattr(decontaminate, "SHARDS", 2)
+    monkeypatch.setattr(decontaminate, "BLOCK", 4)
     rng = random.Random(9)
     items = [(k, " ".join(f"t{rng.randrange(300)}" for _ in range(rng.randrange(12, 60)))) for k in range(40)] + [(40, "tiny item"), (41, None), (42, "")]
     texts = []
@@ -576,9 +638,28 @@ def test_leaks(spark, docs, empty):
             if g and len(g & have) >= 0.8 * len(g):
                 want[i, k] += 1
     assert got == want and sum(want.values()) > 15
+    clash = spark.createDataFrame([(60, "see the tiny item here", 5)], "doc_id bigint, text string, _leaks int")
+    clash = decontaminate.with_leaks(clash, bench, decontaminate.fresh(clash, "_leaks"))
+    assert [x.item_id for x in clash.select(clash.columns[-1]).first()[0]] == [40]
     assert decontaminate.leaks(empty, bench).count() == 0 and decontaminate.leaks(docs, bench.limit(0)).count() == 0
 
 
+def test_retrieval_is_the_whole_scan():
+    rng = random.Random(25)
+    items = [(k, [f"t{int(rng.expovariate(0.03))}" for _ in range(rng.randrange(1, 60))]) for k in range(400)]
+    index = decontaminate.index_of(items)
+    df = collections.Counter(t for _, w in items for t in set(w))
+    mean = sum(len(w) for _, w in items) / len(items)
+    for _ in range(150):
+        passage = {f"t{int(rng.expovariate(0.03))}" for _ in range(rng.randrange(1, 90))} & set(index.terms)
+        want = set()
+        for j, (_, w) in enumerate(index.items):
+            score = sum(math.log(1 + (400.5 - df[t]) / (df[t] + 0.5)) * w.count(t) * 2.2 / (w.count(t) + 1.2 * (0.25 + 0.75 * len(w) / mean)) for t in set(w) & passage)
+            if score >= index.goal[j]:
+                want.add(j)
+        assert {j for j, _ in index.retrieved(np.array([index.terms[t] for t in passage], np.int64))} == want
+
+
 def test_threshold_loses_no_overlap():
     # Twelve frequent words and eight rare ones, the last three rare ones altered: 13 of 16 grams, about 5/8 of the score.
     common = [f"c{k}" for k in range(12)]

@@ -1,16 +1,17 @@
 """Benchmark decontamination: BM25 over test items with block-max pruning.
 
-The index is built on the driver from the test items (a stated query set), in
-shards of at most SHARD items, so that what an executor holds has a bound; the
-documents are passed once for each shard. Within a shard the items lie in blocks
-of BLOCK. Every document is cut into passages of twice the longest item, one
-longest item apart, so any copy of an item lies whole in one passage. For each
-passage the sum of its terms' highest impacts bounds all scores (WAND); the sums
-of their highest impacts in each block bound the block's (block-max); only blocks
-that may reach their lowest threshold are scored, exactly. An item's threshold is
-a lower bound of the score of any passage that the verification can accept, so
-retrieval loses no pair. Passages with too few runs of GRAM words whose
-neighbours are neighbours in an item are left out before. Each retrieved pair is
+The index is built from the test items (a stated query set) in shards of at most SHARD
+items, one after another on the driver; SHARDS of them make up what an executor holds
+for one pass over the documents. A shard has the postings of each term, sorted by item,
+and the highest impact of each block of BLOCK items that the term occurs in. Every document
+is cut into passages of twice the longest item, one longest item apart, so any copy of an
+item lies whole in one passage. For each passage the sum of its terms' highest impacts bounds
+all scores (WAND); the sums of their highest impacts in each block bound the block's
+(block-max); only the postings of blocks that may reach their lowest threshold are read, and
+scored exactly. Sums are of double precision, and thresholds lie below them by more than
+their rounding. An item's threshold is a lower bound of the score of any passage that the
+verification can accept, so retrieval loses no pair. Passages with too few runs of GRAM words
+whose neighbours are neighbours in an item are left out before. Each retrieved pair is
 then verified:
 it is a leak if at least OVERLAP of the word 5-grams of the whole item or of its
 question (all words but the last quarter) lie in the passage. The share of its
@@ -27,6 +28,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +41,8 @@ K1, B = 1.2, 0.75
 OVERLAP = 0.8
 GRAM = 5
 BLOCK = 64
-SHARD = 1024
+SHARD = 8192
+SHARDS = 8
 WORD = re.compile(r"\w+")
 FIELDS = "array<struct<item_id: bigint, score: double, overlap: double, question: double, answer: double, kind: string>>"
 _ARROW = pa.list_(pa.struct([("item_id", pa.int64()), ("score", pa.float64()), ("overlap", pa.float64()), ("question", pa.float64()), ("answer", pa.float64()), ("kind", pa.string())]))
@@ -103,35 +106,24 @@ class Index:
     def __init__(self, items: list[tuple[int, list[str]]], idf: dict[str, float], mean: float, longest: int) -> None:
         self.longest = longest
         # Items of one vocabulary and of like scores share a block, which keeps its bounds tight.
-        own = lambda w: sum(idf[t] * w.count(t) * (K1 + 1) / (w.count(t) + K1 * (1 - B + B * len(w) / mean)) for t in set(w))
+        weights = lambda w: {t: idf[t] * w.count(t) * (K1 + 1) / (w.count(t) + K1 * (1 - B + B * len(w) / mean)) for t in set(w)}
         common = lambda w: min(set(w), key=lambda t: (idf[t], t))
-        items = sorted(items, key=lambda x: (common(x[1]), own(x[1]), x[0]))
-        self.items = items
+        rows = sorted(((common(w), sum(own.values()), i, w, own) for i, w in items for own in (weights(w),)), key=lambda r: r[:3])
+        self.items = items = [(i, w) for _, _, i, w, _ in rows]
         self.terms = {t: i for i, t in enumerate(sorted({t for _, w in items for t in w}))}
-        blocks = (len(items) + BLOCK - 1) // BLOCK
-        n = len(self.terms)
-        self.highest = np.zeros((n + 1, blocks), np.float32)
-        self.place: list[dict[int, int]] = [{} for _ in range(blocks)]
-        self.impact = []
-        goal = []
-        for b in range(blocks):
-            part = items[b * BLOCK : (b + 1) * BLOCK]
-            own = self.place[b] = {self.terms[t]: i for i, t in enumerate(sorted({t for _, w in part for t in w}))}
-            table = np.zeros((len(own) + 1, BLOCK))
-            least = np.full(BLOCK, np.inf)
-            for j, (_, w) in enumerate(part):
-                weight = {t: idf[t] * w.count(t) * (K1 + 1) / (w.count(t) + K1 * (1 - B + B * len(w) / mean)) for t in set(w)}
-                for t in weight:
-                    table[own[self.terms[t]], j] = weight[t]
-                least[j] = min(least_score(w, weight), least_score(question_of(w), weight))
-            self.impact.append(table)
-            self.highest[list(own), b] = table[:-1].max(1)
-            goal.append(least)
-        self.goal = np.array(goal) * (1 - 1e-9) - 1e-9
-        self.block_goal = self.goal.min(1) * (1 - 1e-4)  # for sums of single precision
-        self.top = self.highest.max(1)
-        #: Row of each term in a block's table; the last row is zero.
-        self.rows = np.stack([np.array([p.get(t, len(p)) for t in range(n + 1)], np.int32) for p in self.place], 1)
+        n, self.blocks = len(self.terms), (len(items) + BLOCK - 1) // BLOCK
+        posts = sorted((self.terms[t], j, x) for j, r in enumerate(rows) for t, x in r[4].items())
+        term, self.item, self.impact = (np.array([p[i] for p in posts], kind) for i, kind in enumerate((np.int64, np.int64, float)))
+        code = term * self.blocks + self.item // BLOCK
+        begin = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
+        #: Of each term's blocks: number, first posting, end of postings, highest impact; a term's blocks start at `of_term`.
+        self.block, self.first, self.last = self.item[begin] // BLOCK, begin, np.append(begin[1:], len(code))
+        self.highest = np.maximum.reduceat(self.impact, begin)
+        self.of_term = np.searchsorted(term[begin], np.arange(n + 2))
+        self.top = np.append(np.maximum.reduceat(self.impact, np.searchsorted(term, np.arange(n))), 0.0)
+        least = np.array([min(least_score(r[3], r[4]), least_score(question_of(r[3]), r[4])) for r in rows])
+        self.goal = least * (1 - 1e-9) - 1e-9
+        self.block_goal = np.minimum.reduceat(self.goal, np.arange(0, len(items), BLOCK))
         self.whole = [grams(w) for _, w in items]
         self.ask = [grams(question_of(w)) for _, w in items]
         self.answer = [grams(w[len(w) - len(w) // 4 :]) for _, w in items]
@@ -152,6 +144,20 @@ class Index:
             can = total[run - 1 :] - total[: 1 - run] == run - 1 if len(total) >= run else np.zeros(0, bool)
         return np.pad(np.concatenate([[0], np.cumsum(can)]), (0, len(ids) - len(can)), "edge")
 
+    def retrieved(self, terms: np.ndarray) -> list[tuple[int, float]]:
+        """Items that reach their thresholds, with their scores."""
+        met = _ranges(self.of_term[terms], self.of_term[terms + 1])
+        block = self.block[met]
+        may = np.bincount(block, self.highest[met], self.blocks) >= self.block_goal
+        if not may.any():
+            return []
+        met = met[may[block]]
+        posts = _ranges(self.first[met], self.last[met])
+        item, at = np.unique(self.item[posts], return_inverse=True)
+        score = np.bincount(at, self.impact[posts])
+        good = score >= self.goal[item]
+        return list(zip(item[good].tolist(), score[good].tolist(), strict=True))
+
     def search(self, words: list[str]) -> list[dict]:
         """Verified pairs of one document, the best passage for each item."""
         get, none = self.terms.get, len(self.terms)
@@ -174,20 +180,22 @@ class Index:
             lo, hi = p * step, (p + 2) * step
             terms = np.array(list(set(ids[lo:hi].tolist()) - {none}), np.int64)
             passage = grams(words[lo:hi])
-            for b in np.nonzero(np.add.reduce(self.highest[terms]) >= self.block_goal)[0]:
-                score = np.add.reduce(self.impact[b][self.rows[terms, b]])
-                good = score >= self.goal[b]
-                for j in np.nonzero(good)[0] if good.any() else ():
-                    i = b * BLOCK + int(j)
-                    have = passage if GRAM <= len(self.items[i][1]) else None
-                    share = lambda g: _share(g, have, words[lo:hi])  # noqa: B023, E731
-                    overlap, question = share(self.whole[i]), share(self.ask[i])
-                    if max(overlap, question) >= OVERLAP and (i not in best or (overlap, question) > (best[i]["overlap"], best[i]["question"])):
-                        answer = share(self.answer[i])
-                        best[i] = {"item_id": self.items[i][0], "score": float(score[j]), "overlap": overlap, "question": question, "answer": answer, "kind": "whole" if answer >= OVERLAP or not self.answer[i] else "question"}
+            for i, score in self.retrieved(terms):
+                have = passage if GRAM <= len(self.items[i][1]) else None
+                share = lambda g: _share(g, have, words[lo:hi])  # noqa: B023, E731
+                overlap, question = share(self.whole[i]), share(self.ask[i])
+                if max(overlap, question) >= OVERLAP and (i not in best or (overlap, question) > (best[i]["overlap"], best[i]["question"])):
+                    answer = share(self.answer[i])
+                    best[i] = {"item_id": self.items[i][0], "score": score, "overlap": overlap, "question": question, "answer": answer, "kind": "whole" if answer >= OVERLAP or not self.answer[i] else "question"}
         return [best[i] for i in sorted(best)]
 
 
+def _ranges(begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """All numbers from begin to end, range after range."""
+    long = end - begin
+    return np.arange(int(long.sum())) - np.repeat(np.cumsum(long) - long, long) + np.repeat(begin, long)
+
+
 def _share(wanted: set, have: set | None, words: list[str]) -> float:
     """Share of the wanted grams in a passage; grams shorter than GRAM are looked up as runs of words."""
     if not wanted:
@@ -198,31 +206,46 @@ def _share(wanted: set, have: set | None, words: list[str]) -> float:
     return sum(g in runs[len(g)] for g in wanted) / len(wanted)
 
 
-def build(benchmark: DataFrame) -> list[Index]:
-    """The shards of the index; the test items come to the driver, as a query set does."""
-    rows = sorted((r.item_id, r.text or "") for r in benchmark.select("item_id", "text").filter("item_id is not null").collect())
-    items = [(i, w) for i, t in rows if (w := words_of(t))]
-    if not items:
-        return []
+def index_of(items: list[tuple[int, list[str]]]) -> Index:
+    """The index of one shard, with the term statistics of its own items."""
     df: dict[str, int] = {}
     for _, w in items:
         for t in set(w):
             df[t] = df.get(t, 0) + 1
     idf = {t: float(np.log(1 + (len(items) - n + 0.5) / (n + 0.5))) for t, n in df.items()}
-    mean, longest = sum(len(w) for _, w in items) / len(items), max(len(w) for _, w in items)
-    return [Index(items[k : k + SHARD], idf, mean, longest) for k in range(0, len(items), SHARD)]
+    return Index(items, idf, sum(len(w) for _, w in items) / len(items), max(len(w) for _, w in items))
+
+
+def build(benchmark: DataFrame) -> Iterator[Index]:
+    """The shards of the index; the driver holds the items of one shard at a time."""
+    part: list[tuple[int, list[str]]] = []
+    for r in benchmark.select("item_id", "text").filter("item_id is not null").orderBy("item_id", "text").toLocalIterator():
+        if w := words_of(r.text):
+            part.append((r.item_id, w))
+        if len(part) == SHARD:
+            yield index_of(part)
+            part = []
+    if part:
+        yield index_of(part)
 
 
 def with_leaks(docs: DataFrame, benchmark: DataFrame, into: str = "_leaks") -> DataFrame:
-    """docs, all rows and columns, with the verified pairs in the array column `into`."""
-    shards = build(benchmark)
-    if not shards:
+    """docs, all rows and columns, with the verified pairs in the array column `into`; one pass for each SHARDS shards."""
+    held = [docs.sparkSession.sparkContext.broadcast(index) for index in build(benchmark)]
+    if not held:
         return docs.withColumn(into, F.array().cast(FIELDS))
     names = []
-    for shard in shards:
-        shared = docs.sparkSession.sparkContext.broadcast(shard)
+    for k in range(0, len(held), SHARDS):
+
+        def function(texts: list[str], part=held[k : k + SHARDS]) -> pa.Array:
+            found = []
+            for text in texts:
+                words = words_of(text)
+                found.append([leak for shard in part for leak in shard.value.search(words)])
+            return pa.array(found, _ARROW)
+
         names.append(fresh(docs, into))
-        docs = map_text(docs, lambda texts, shared=shared: pa.array([shared.value.search(words_of(t)) for t in texts], _ARROW), FIELDS, names[-1])
+        docs = map_text(docs, function, FIELDS, names[-1])
     return docs.withColumn(names[0], F.concat(*names)).drop(*names[1:]).withColumnRenamed(names[0], into)
 
 
