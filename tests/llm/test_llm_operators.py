@@ -384,9 +384,10 @@ def test_prior_estimate():
 
 # 6
 @pytest.mark.parametrize(("words", "num", "den"), [(3, 90, 100), (5, 80, 100), (2, 50, 100)])
-@pytest.mark.parametrize("hot", [2, 32])
-def test_jaccard(docs, words, num, den, hot, monkeypatch):
+@pytest.mark.parametrize(("hot", "wide"), [(2, 3), (2, 4096), (32, 4096)])
+def test_jaccard(docs, words, num, den, hot, wide, monkeypatch):
     monkeypatch.setattr(jaccard_join, "HOT", hot)
+    monkeypatch.setattr(jaccard_join, "WIDE", wide)
     rows = [(i, t) for i, t in plain() if i is not None]
     want = brute_components(rows, words, num, den)
     got = jaccard_join.jaccard_components(docs, words, num, den).collect()
@@ -417,6 +418,35 @@ def test_jaccard_loses_no_link_without_leaders():
                     assert groups[i] & groups[j]
 
 
+def test_sketches_lose_no_link():
+    import pyarrow as pa
+
+    rng = random.Random(26)
+    texts = []
+    for _ in range(60):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(rng.choice([3, 20, 100, 126, 260, 900]))]
+        for _ in range(4):
+            texts.append(" ".join(w for w in base if rng.random() > 0.06).encode())
+    s = Sets(texts, 1)
+    full = np.flatnonzero(s.size)
+    shown = jaccard_join.sketches(s)
+    table = pa.table({"leader": np.zeros(len(full), np.int64), "node": s.key[full], "size": s.size[full], "sketch": pa.array([shown[k] for k in full], pa.binary())})
+    for num in (80, 90):
+        group = {}
+        for a, b in zip(*(jaccard_join.near_groups(table, num, 100)[c].to_pylist() for c in ("leader", "member"))):
+            assert a < b
+            group[b] = a
+        linked = 0
+        for i in full:
+            for j in full:
+                x, y = set(s.of(i).tolist()), set(s.of(j).tolist())
+                if x != y and 100 * len(x & y) >= num * len(x | y):
+                    linked += 1
+                    a, b = int(s.key[i]), int(s.key[j])
+                    assert group.get(a, a) == group.get(b, b)
+        assert linked and len(set(group.values())) > 20
+
+
 def test_hot_signatures_lose_no_link():
     # Only sets with more hot and empty segments than their role allows may look into hot groups.
     rng = random.Random(21)

@@ -18,8 +18,13 @@ sets with more of them than that (the copies of a large group, mostly) meet in h
 signatures at all.
 
 Sets that meet in a signature are paired with the least of them, their leader, only;
-that many pairs are linear in the signatures. The exact comparison with the leader
-keeps the symmetric differences where a leader has two members or more, and an
+that many pairs are linear in the signatures. Most of them have a passage in common and
+little else, so before any set is sent, each shows a parity sketch: a bit for each cell that
+an odd number of its shingles falls into, one to two bits a shingle. Two sets differ by as many
+shingles at least as their sketches by bits. Under each leader the sets that may be linked
+by this bound fall into groups, each with its own least set as leader, and sets without
+any such neighbour go (see near_groups; leaders of more than WIDE members are left as they are).
+The exact comparison with the leader then keeps the symmetric differences where a leader has two members or more, and an
 index of these differences finds every further link between members of one leader
 (see links_beside). So no group is expanded into pairs, and no link is lost. Comparisons
 of a leader with many members are salted. Components are found by alternating star steps.
@@ -146,22 +151,35 @@ BUCKET = 1_500_000
 HOT = 32
 #: Members that are compared with one copy of their leader.
 SALTED = 256
+#: Members of one leader up to which their sketches are compared.
+WIDE = 4096
+#: Bits of the smallest sketch.
+BITS = 128
 
 
 def _bytes(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+def sketches(sets: Sets) -> list[bytes]:
+    """A parity sketch of each set, of the least power of two of bits that isn't below its size."""
+    bits = np.maximum(BITS, 1 << np.ceil(np.log2(np.maximum(sets.size, 1))).astype(np.int64))
+    start = np.cumsum(bits) - bits
+    cell = start[sets.owner] + (sets.flat & (bits[sets.owner] - 1).astype(np.uint64)).astype(np.int64)
+    odd = np.packbits((np.bincount(cell, minlength=int(bits.sum())) & 1).astype(np.uint8), bitorder="little")
+    return [odd[a // 8 : (a + n) // 8].tobytes() for a, n in zip(start, bits, strict=True)]
+
+
 def node_table(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, n_shingles and node (fingerprint of the set, null for an empty one)."""
+    """doc_id, n_shingles, node (fingerprint of the set, null for an empty one) and sketch."""
 
     def run(batches):
         for batch in slices(batches, "text"):
             sets = Sets(_bytes(batch.column("text")), words)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets.size), pa.array(sets.key, mask=sets.size == 0)], names=["doc_id", "n_shingles", "node"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets.size), pa.array(sets.key, mask=sets.size == 0), pa.array(sketches(sets), pa.binary())], names=["doc_id", "n_shingles", "node", "sketch"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles bigint, node bigint")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles bigint, node bigint, sketch binary")
 
 
 def _stars(sig: np.ndarray, node: np.ndarray) -> np.ndarray:
@@ -263,6 +281,58 @@ def star_pairs(met: DataFrame) -> DataFrame:
     return met.filter("leader is not null").select("leader", "member").unionByName(more).distinct()
 
 
+def near_groups(table: pa.Table, num: int, den: int) -> pa.Table:
+    """Pairs of leader and member anew: for each group of sets that a chain of possible links joins, with its least set."""
+    node, size = table["node"].to_numpy(), table["size"].to_numpy()
+    node, first = np.unique(node, return_index=True)
+    size = size[first]
+    raw = table["sketch"].to_pylist()
+    raw = [raw[i] for i in first]
+    kind = np.array([len(x) for x in raw])
+    of = {k: np.flatnonzero(kind == k) for k in np.unique(kind).tolist()}
+    grid = {k: np.frombuffer(b"".join(raw[i] for i in at), np.uint64).reshape(len(at), -1) for k, at in of.items()}
+    # Bits i and i + half of the larger sketch make up bit i of the smaller.
+    fold = lambda m: m[..., : m.shape[-1] // 2] ^ m[..., m.shape[-1] // 2 :]
+    half = {k: fold(m) for k, m in grid.items() if k > BITS // 8}
+    place = np.zeros(len(node), np.int64)
+    for at in of.values():
+        place[at] = np.arange(len(at))
+    new = np.ones(len(node), bool)
+    out = []
+    for lead in range(len(node)):
+        if not new[lead]:
+            continue
+        new[lead] = False
+        queue = [lead]
+        while queue:
+            x = queue.pop()
+            k, at = int(kind[x]), place[x]
+            # Sets that are similar enough have sketches of equal or neighbouring sizes.
+            for other, mine, theirs in ((k, grid[k], grid.get(k)), (2 * k, grid[k], half.get(2 * k)), (k // 2, half.get(k), grid.get(k // 2))):
+                if mine is None or theirs is None:
+                    continue
+                rest = of[other][new[of[other]]]
+                if not len(rest):
+                    continue
+                apart = np.bitwise_count(theirs[place[rest]] ^ mine[at]).sum(1, dtype=np.int64)
+                both = size[rest] + size[x]
+                near = rest[(apart * (den + num) <= both * (den - num)) & (np.minimum(size[rest], size[x]) * den >= np.maximum(size[rest], size[x]) * num)]
+                new[near] = False
+                queue += near.tolist()
+                out += [(int(node[lead]), int(node[y])) for y in near.tolist()]
+    return pa.table({"leader": pa.array([o[0] for o in out], pa.int64()), "member": pa.array([o[1] for o in out], pa.int64())})
+
+
+def sketched(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
+    """leader, member: the pairs that the sketches leave, regrouped."""
+    counts = pairs.groupBy("leader").agg(F.count("*").alias("n"))
+    sized = pairs.join(counts, "leader")
+    small = sized.filter(F.col("n") <= WIDE).select("leader", F.col("member").alias("node")).unionByName(counts.filter(F.col("n") <= WIDE).select("leader", F.col("leader").alias("node")))
+    shown = nodes.groupBy("node").agg(F.first("n_shingles").alias("size"), F.first("sketch").alias("sketch"))
+    groups = small.join(shown, "node").groupBy("leader").applyInArrow(lambda t: near_groups(t, num, den), "leader bigint, member bigint")
+    return groups.unionByName(sized.filter(F.col("n") > WIDE).select("leader", "member")).distinct()
+
+
 def compared(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int, num: int, den: int) -> DataFrame:
     """leader, member, size, linked, and the sorted symmetric difference for leaders of two members or more.
 
@@ -414,7 +484,8 @@ def jaccard_components(docs: DataFrame, words: int = 3, num: int = 90, den: int
     full = nodes.filter("doc_id is not null and node is not null")
     first = Staged()
     met = first.table(meetings(linked_docs, words, plan, max(16, math.ceil(total * share / BUCKET))), "jaccard-met")
-    pairs = passing.table(star_pairs(met), "jaccard-pairs")
+    stars = first.table(star_pairs(met), "jaccard-stars")
+    pairs = passing.table(sketched(stars, full, num, den), "jaccard-pairs")
     first.drop()
     checked = passing.table(compared(linked_docs, full, pairs, words, num, den), "jaccard-checked")
     mixed = checked.groupBy("leader").agg(F.count_if(~F.col("linked")).alias("loose"), F.count("*").alias("n")).filter("loose > 0 and n > 1").select("leader")
@@ -426,7 +497,7 @@ def jaccard_components(docs: DataFrame, words: int = 3, num: int = 90, den: int
     least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     found = stage_table(placed.join(least, "root").select("node", "component_id"), "jaccard-found")
     passing.drop()
-    return nodes.join(found, "node", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+    return nodes.drop("sketch").join(found, "node", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
