@@ -315,8 +315,10 @@ def test_gains_are_differences_of_likelihood():
         f = lambda x: float(brown._xlogx(x).sum())
         return f(g) - f(g.sum(1)) - f(g.sum(0))
 
-    contexts = [(int(own[j]), int(pairs[w, j])) for j in range(words + 2) if pairs[w, j]] + [(k + 3 + int(own[j]), int(pairs[j, w])) for j in range(words + 2) if pairs[j, w]]
-    found = brown.gains(grid(own), contexts, k)
+    counts = np.concatenate([np.bincount(own, pairs[w], k + 3), np.bincount(own, pairs[:, w], k + 3)])
+    found = brown.gains(grid(own), np.stack([counts, counts * 0, counts]), k)
+    assert np.allclose(found[0], found[2]) and np.allclose(found[1], 0)
+    found = found[0]
     moved = []
     for b in range(k):
         kinds = own.copy()

@@ -32,6 +32,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -162,33 +163,40 @@ def class_count(distinct: int) -> int:
     return min(MOST, max(LEAST, round(distinct ** (1 / 3))))
 
 
-def gains(grid: np.ndarray, contexts: list[tuple[int, int]], shared: int) -> np.ndarray:
-    """Gain in log likelihood of putting a word of the shared class into each class before it.
+def gains(grid: np.ndarray, counts: np.ndarray, shared: int) -> np.ndarray:
+    """Gain in log likelihood of putting words of the shared class into each class before it, a row for each word.
 
-    contexts: (class of the next word, or classes + class of the word before, count); grid: class bigrams.
+    counts: a row for each word of how often the next word, then the word before, is of each class; grid: class bigrams.
     """
     kinds = len(grid)
-    right, left = np.zeros(kinds), np.zeros(kinds)
-    for c, n in contexts:
-        (right if c < kinds else left)[c % kinds] += n
-    r, f = np.flatnonzero(right), np.flatnonzero(left)
-    low = np.arange(shared)
+    right, left = counts[:, :kinds], counts[:, kinds:]
+    own_r, own_f = right[:, :shared], left[:, :shared]
+    out = np.zeros((len(counts), shared))
+    # Pairs with other classes than the shared one: only those that occur.
+    for side, table in ((right, grid[:shared].T), (left, grid[:, :shared])):
+        w, c = np.nonzero(np.delete(side, shared, axis=1))
+        c = c + (c >= shared)
+        if len(w):
+            part = _xlogx(table[c] + side[w, c][:, None]) - _xlogx(table)[c]
+            begin = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]]))
+            out[w[begin]] += np.add.reduceat(part, begin, axis=0)
     # Without the word, its neighbours' pairs with the shared class are fewer.
-    before, after = grid.sum(1), grid.sum(0)
-    rows, cols = grid[np.ix_(low, r)].astype(float), grid[np.ix_(f, low)].astype(float)
-    rows[:, r == shared] -= left[low][:, None]
-    cols[f == shared] -= right[low]
-    own_r, own_f = right[low], left[low]
-    both = (own_r > 0) & (own_f > 0)
-    out = (_xlogx(rows + right[r]) - _xlogx(rows)).sum(1) + (_xlogx(cols + left[f][:, None]) - _xlogx(cols)).sum(0)
-    diag = grid[low, low].astype(float)
-    out += np.where(both, _xlogx(diag + own_r + own_f) - _xlogx(diag + own_r) - _xlogx(diag + own_f) + _xlogx(diag), 0.0)
-    before, after = before[low].astype(float), after[low].astype(float)
-    return out - (_xlogx(before + right.sum()) - _xlogx(before)) - (_xlogx(after + left.sum()) - _xlogx(after))
+    for side, table, less in ((right, grid[:shared, shared], own_f), (left, grid[shared, :shared], own_r)):
+        there = table - less
+        out += _xlogx(there + side[:, shared, None]) - _xlogx(there)
+    w, c = np.nonzero((own_r > 0) & (own_f > 0))
+    diag, x, y = grid[c, c], own_r[w, c], own_f[w, c]
+    out[w, c] += _xlogx(diag + x + y) - _xlogx(diag + x) - _xlogx(diag + y) + _xlogx(diag)
+    before, after = grid.sum(1)[:shared], grid.sum(0)[:shared]
+    out -= _xlogx(before + right.sum(1)[:, None]) - _xlogx(before)
+    return out - (_xlogx(after + left.sum(1)[:, None]) - _xlogx(after))
+
+
+_CONTEXT = np.dtype([("at", "<u2"), ("n", "<u4")])
 
 
 def context_counts(docs: DataFrame, seeds: list[bytes], own: np.ndarray, classes: int) -> DataFrame:
-    """word, at, n: for words that are no seeds, how often the next (at) or last (kinds + at) word is of class at."""
+    """word and contexts, one row for each word of a task: how often the next (at) or last (kinds + at) word is of class at."""
     kinds = classes + 3
     shared = docs.sparkSession.sparkContext.broadcast((dict(zip(seeds, own[: len(seeds)].tolist(), strict=True)), kinds))
 
@@ -200,9 +208,16 @@ def context_counts(docs: DataFrame, seeds: list[bytes], own: np.ndarray, classes
         def out():
             code, n = np.unique(np.concatenate(codes), return_counts=True) if codes else (np.zeros(0, np.int64),) * 2
             names = pa.array(list(index), pa.binary())
-            for k in range(0, len(code), 500_000):
-                part = code[k : k + 500_000]
-                yield pa.RecordBatch.from_arrays([names.take(pa.array(part // (2 * kinds))), pa.array((part % (2 * kinds)).astype(np.int32)), pa.array(n[k : k + 500_000].astype(np.int64))], names=["word", "at", "n"])
+            word = code // (2 * kinds)
+            cells = np.zeros(len(code), _CONTEXT)
+            cells["at"], cells["n"] = code % (2 * kinds), n
+            begin = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]])) if len(word) else np.zeros(0, np.int64)
+            ends = np.append(begin, len(word))
+            for k in range(0, len(begin), 100_000):
+                own = ends[k : k + 100_001]
+                offsets = ((own - own[0]) * _CONTEXT.itemsize).astype(np.int32)
+                blobs = pa.BinaryArray.from_buffers(pa.binary(), len(own) - 1, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(cells[own[0] : own[-1]].tobytes())])
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(word[own[:-1]])), blobs], names=["word", "contexts"])
 
         held = 0
         for batch in slices(batches, "text"):
@@ -220,22 +235,30 @@ def context_counts(docs: DataFrame, seeds: list[bytes], own: np.ndarray, classes
                 index, codes, held = {}, [], 0
         yield from out()
 
-    return docs.select("text").mapInArrow(run, "word binary, at int, n bigint").groupBy("word", "at").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(run, "word binary, contexts binary")
 
 
 def assigned(contexts: DataFrame, grid: np.ndarray, classes: int) -> DataFrame:
     """word, n, class: the class with the largest gain, the first one of equals; the shared one for words that occur once."""
     kinds = classes + 3
-    shared = contexts.sparkSession.sparkContext.broadcast(grid)
+    shared = contexts.sparkSession.sparkContext.broadcast(grid.astype(float))
 
     def run(batches):
         for batch in batches:
-            found = []
-            for n, contexts in zip(batch.column("n").to_pylist(), batch.column("contexts").to_pylist(), strict=True):
-                found.append(classes if n < 2 else int(np.argmax(gains(shared.value, [(c["at"], c["n"]) for c in contexts], classes))))
-            yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("n"), pa.array(found, pa.int32())], names=["word", "n", "class"])
-
-    words = contexts.groupBy("word").agg(F.sum(F.when(F.col("at") < kinds, F.col("n"))).alias("n"), F.collect_list(F.struct("at", "n")).alias("contexts"))
+            for k in range(0, batch.num_rows, 1000):
+                part = batch.slice(k, 1000)
+                lists = part.column("contexts")
+                cells = [np.frombuffer(x, _CONTEXT) for x in lists.flatten().to_pylist()]
+                word = np.repeat(np.repeat(np.arange(part.num_rows), np.diff(lists.offsets.to_numpy())), [len(x) for x in cells])
+                cells = np.concatenate(cells)
+                counts = np.bincount(word * (2 * kinds) + cells["at"], cells["n"], part.num_rows * 2 * kinds).reshape(-1, 2 * kinds)
+                n = counts[:, :kinds].sum(1).astype(np.int64)
+                kind = np.full(part.num_rows, classes, np.int32)
+                often = np.flatnonzero(n > 1)
+                kind[often] = np.argmax(np.round(gains(shared.value, counts[often], classes), 9), 1)
+                yield pa.RecordBatch.from_arrays([part.column("word"), pa.array(n), pa.array(kind)], names=["word", "n", "class"])
+
+    words = contexts.groupBy("word").agg(F.collect_list("contexts").alias("contexts"))
     return words.mapInArrow(run, "word binary, n bigint, class int")
 
 
@@ -332,14 +355,14 @@ def brown_scores(docs: DataFrame, folds: int = 5, held: int = 1, seeds: int = SE
                 places: dict[bytes, list[int]] = {}
                 for i in out.tolist():
                     places.setdefault(ws[i], []).append(i + 1)
-                rest.append([{"word": w, "places": p} for w, p in places.items()])
+                rest.append([{"word": w, "places": np.array(p, "<i4").tobytes()} for w, p in places.items()])
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("held_out"), pa.array(keys, pa.int64()), pa.array(lengths, pa.int64()), pa.array(known, pa.int64()), pa.array(bases, pa.float64()), pa.array(scores, pa.float64()), pa.array(paths, pa.binary()),
-                 pa.array(rest, pa.list_(pa.struct([("word", pa.binary()), ("places", pa.list_(pa.int32()))])))],
+                 pa.array(rest, pa.list_(pa.struct([("word", pa.binary()), ("places", pa.binary())])))],
                 names=["doc_id", "held_out", "row", "n_tokens", "n_known", "base_score", "score", "path", "rest"],
             )
 
-    kinds = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, row bigint, n_tokens bigint, n_known bigint, base_score double, score double, path binary, rest array<struct<word: binary, places: array<int>>>"
+    kinds = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, row bigint, n_tokens bigint, n_known bigint, base_score double, score double, path binary, rest array<struct<word: binary, places: binary>>"
     passing = Staged()
     local = passing.table(rows.mapInArrow(run, kinds), "brown-local")
     # Words beyond the dictionary meet their counts and classes here, a document's equal words at once.
@@ -354,22 +377,22 @@ def brown_scores(docs: DataFrame, folds: int = 5, held: int = 1, seeds: int = SE
     def fill(batches):
         of_class = shared.value[3]
         for batch in batches:
-            known, bases, scores, paths = ([] for _ in range(4))
-            for k, b, s, path, more in zip(*(batch.column(c).to_pylist() for c in ("n_known", "base_score", "score", "path", "more")), strict=True):
-                if more:
-                    p = np.frombuffer(path, np.uint8).copy()
-                    times = np.array([len(m["places"]) for m in more])
-                    c, kind = np.array([m["c"] for m in more], float), np.array([m["class"] for m in more])
-                    p[np.concatenate([m["places"] for m in more])] = np.repeat(kind, times)
-                    k += int(times[c > 0].sum())
-                    b += float((times * np.log10((c + 0.5) / base_den)).sum())
-                    s += float((times * emitted(c, kind, of_class)).sum())
-                    path = p.tobytes()
-                known.append(k)
-                bases.append(b)
-                scores.append(s)
-                paths.append(path)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "held_out", "n_tokens")), pa.array(known, pa.int64()), pa.array(bases, pa.float64()), pa.array(scores, pa.float64()), pa.array(paths, pa.binary())], names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "path"])
+            paths, lists = batch.column("path").to_pylist(), batch.column("more")
+            size = np.array([len(p) for p in paths], np.int64)
+            start = np.cumsum(size) - size
+            whole = np.frombuffer(b"".join(paths), np.uint8).copy()
+            more = lists.flatten()
+            row = np.repeat(np.arange(batch.num_rows), pa.compute.list_value_length(lists).fill_null(0).to_numpy())
+            c, kind = (more.field(k).to_numpy() for k in (0, 1))
+            blobs = more.field(2).to_pylist()
+            times = np.array([len(x) // 4 for x in blobs], np.int64)
+            whole[np.repeat(start[row], times) + np.frombuffer(b"".join(blobs), "<i4")] = np.repeat(kind, times)
+            added = lambda x, of=row, n=batch.num_rows: np.bincount(of, x, n)
+            known = batch.column("n_known").to_numpy() + added(times * (c > 0)).astype(np.int64)
+            base = batch.column("base_score").to_numpy() + added(times * np.log10((c + 0.5) / base_den))
+            score = batch.column("score").to_numpy() + added(times * emitted(c.astype(float), kind, of_class))
+            filled_paths = [whole[a : a + n].tobytes() for a, n in zip(start, size, strict=True)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in ("doc_id", "held_out", "n_tokens")), pa.array(known), pa.array(base), pa.array(score), pa.array(filled_paths, pa.binary())], names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "path"])
 
     plain = kinds.replace(" row bigint,", "").rpartition(", rest")[0]
     filled = stage_table(local.drop("rest").join(met, "row", "left").mapInArrow(fill, plain), "brown-paths")
