@@ -51,5 +51,3 @@ def canonical(rows):
         return f"{float(x):.7g}" if isinstance(x, float) else str(x)
 
     return sorted(tuple(cell(x) for x in r) for r in rows)
-
-sys.path.insert(0, str(Path(__file__).resolve().parent / "llm"))

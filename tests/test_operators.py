@@ -213,7 +213,7 @@ def test_holm_covers_all_suppliers(spark, tmp_path):
     from tidemark.plans.queries import REGISTRY
 
     spark.range(1, 251).selectExpr("id AS s_suppkey").write.parquet(f"{tmp_path}/supplier.parquet")
-    got = {r.s_suppkey: r.p_holm for r in REGISTRY["holm_all"](spark, str(tmp_path)).collect()}
+    got = {r.s_suppkey: r.p_holm for r in REGISTRY["holm"](spark, str(tmp_path)).collect()}
     want, top = {}, 0.0
     for i, (p, k) in enumerate(sorted((k * 37 % 101 / 5000, k) for k in range(1, 251))):
         top = max(top, (250 - i) * p)

@@ -17,6 +17,28 @@ def test_query(name, spark, duck, sf_dir):
     assert canonical(got[names].itertuples(index=False)) == canonical(want[names].itertuples(index=False))
 
 
+def test_shuffles_against_sql(spark, duck, sf_dir):
+    from tidemark.plans.oracle import FOUR_SHUFFLES
+    from tidemark.plans.queries import permutations
+
+    got = permutations(spark, sf_dir, 4).toPandas()
+    want = duck.execute(FOUR_SHUFFLES).df()
+    assert canonical(got[["max_z", "perm"]].itertuples(index=False)) == canonical(want[["max_z", "perm"]].itertuples(index=False))
+
+
+def test_small_rules(spark):
+    from pyspark.sql import functions as F
+
+    from tidemark.functions import text as X
+    from tidemark.sources.tables import non_generic
+
+    rows = spark.createDataFrame([(1, "Yes", True), (2, " FALSE", False), (3, "?", None), (4, None, False)], "i int, t string, is_generic boolean")
+    assert [r[0] for r in rows.orderBy("i").select(X.as_boolean(F.col("t"))).collect()] == [True, False, None, None]
+    assert [r.i for r in non_generic(rows).orderBy("i").collect()] == [2, 4]
+    cut = spark.createDataFrame([("a" * 9 + "Balance sheet" + "b" * 9,), ("none",)], "t string").select(X.excerpt(F.col("t"), "balance sheet", 3).alias("x"))
+    assert sorted(r.x or "" for r in cut.collect()) == ["", "aaaBalance sheetbbb"]
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 

@@ -28,6 +28,22 @@ def topic_tokens(text: Column) -> Column:
     return F.transform(F.filter(F.regexp_extract_all(text, F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)), lambda w: w.rlike("^[a-zA-Z]{3,}$")), F.lower)
 
 
+def letter_tokens(text: Column) -> Column:
+    """Runs of letters of any script, in small letters."""
+    return F.regexp_extract_all(F.lower(text), F.lit(r"\p{L}+"), F.lit(0))
+
+
+def as_boolean(text: Column) -> Column:
+    """true and false, 1 and 0, yes and no in any case; null for all else."""
+    low = F.lower(F.trim(text))
+    return F.when(low.isin("true", "1", "yes"), F.lit(True)).when(low.isin("false", "0", "no"), F.lit(False))
+
+
+def excerpt(text: Column, pattern: str, around: int = 150) -> Column:
+    """The first match with `around` characters on each side; null without one."""
+    return F.nullif(F.regexp_extract(text, rf"(?is).{{0,{around}}}(?:{pattern}).{{0,{around}}}", 0), F.lit(""))
+
+
 def word_count(text: Column) -> Column:
     return F.regexp_count(text, F.lit(r"\S+"))
 

@@ -39,14 +39,12 @@ def counted_tokens(records: DataFrame, variant: str = "all", words: list[str] |
     return tokens
 
 
-def score_counts(records: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """row_id, dictionary, category, n: hits with their multiplicity; pairs without hits have no row.
-
-    Equal tokens of a record are summed before the join, which keeps rows few; the lexicon is broadcast
-    below Spark's own size limit only.
-    """
-    tokens = records.select("row_id", F.explode(scoring_tokens(F.col("text"))).alias("word")).groupBy("row_id", "word").agg(F.count("*").alias("times"))
-    return tokens.join(lexicon, "word").groupBy("row_id", "dictionary", "category").agg(F.sum("times").alias("n"))
+def score_counts(records: DataFrame, entries=LEXICON) -> DataFrame:
+    """row_id, dictionary, category, n: hits with their multiplicity, 0 without any; counted inside the record, so nothing is shuffled."""
+    words = {(d, c): sorted(set(ws.split())) for d, c, ws in entries}
+    hits = lambda t: F.array(*[F.struct(F.lit(d).alias("dictionary"), F.lit(c).alias("category"), F.size(F.filter(t, lambda w: w.isin(ws))).cast("long").alias("n")) for (d, c), ws in words.items()])  # noqa: B023, E731
+    found = F.transform(F.array(counted_tokens(records, "dictionary_only", sorted(set().union(*words.values())))), hits)[0]
+    return records.select("row_id", F.explode(found).alias("h")).select("row_id", "h.*")
 
 
 def scored(records: DataFrame, entries=LEXICON, outcomes=OUTCOMES, variant: str = "all") -> DataFrame:

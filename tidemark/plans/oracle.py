@@ -148,8 +148,8 @@ _GRID = " UNION ALL ".join(
 _OLS = "d AS (SELECT *, y - avg(y) OVER w AS yt, x - avg(x) OVER w AS xt, count(*) OVER w AS cnt FROM p WINDOW w AS (PARTITION BY outcome)), f AS (SELECT *, sum(xt * xt) OVER w AS sxx, sum(xt * yt) OVER w / sum(xt * xt) OVER w AS b FROM d WINDOW w AS (PARTITION BY outcome)), r AS (SELECT *, yt - b * xt AS e FROM f)"
 
 SQL: dict[str, str] = {
-    "score_counts": f"""WITH {ADS}, lex(dictionary, category, word) AS (VALUES {", ".join(f"('{d}', '{c}', '{w}')" for (d, c), ws in _WORDS.items() for w in ws)}),
-      tok AS (SELECT row_id, unnest(regexp_extract_all(lower(text), '[a-z'']+')) AS word FROM ads) SELECT row_id, dictionary, category, count(*) AS n FROM tok JOIN lex USING (word) GROUP BY ALL""",
+    "score_counts": f"""WITH {ADS}, t AS (SELECT row_id, regexp_extract_all(lower(text), '[a-z'']+') AS tok FROM ads)
+      {" UNION ALL ".join(f"SELECT row_id, '{d}' AS dictionary, '{c}' AS category, CAST(len(list_filter(tok, lambda w: w IN {_in(ws)})) AS BIGINT) AS n FROM t" for (d, c), ws in _WORDS.items())}""",
     "score_ratios_wide": f"{BASE} SELECT row_id, total_words, {', '.join(f'round(CASE WHEN total_words > 0 THEN {o} / total_words ELSE 0 END, 9) AS {o}' for o in OUT)} FROM s",
     "variant_no_stopwords": f"WITH {ADS}, {_scores('no_stopwords')} SELECT row_id, total_words, {', '.join(OUT)} FROM s",
     "variant_dictionary_only": f"WITH {ADS}, {_scores('dictionary_only')} SELECT row_id, total_words, {', '.join(OUT)} FROM s",
@@ -209,7 +209,12 @@ SQL: dict[str, str] = {
     "fe_advertiser_cluster": f"""{BASE}, {SECTORED}, {STATED}, {RATIO}, d AS (SELECT brand_key, year, y - avg(y) OVER w AS yt, CAST(state AS INTEGER) - avg(CAST(state AS INTEGER)) OVER w AS xt FROM stt JOIN ry USING (row_id) WINDOW w AS (PARTITION BY brand_key)),
       b AS (SELECT sum(xt * yt) / sum(xt * xt) AS b, sum(xt * xt) AS sxx, count(*) AS n FROM d), g AS (SELECT year, sum(xt * (yt - b * xt)) AS s FROM d, b GROUP BY year), k AS (SELECT count(*) AS g, sum(s * s) AS s2 FROM g)
       SELECT round(b, 9) AS coef, round(sqrt(s2 * g / (g - 1) * (n - 1) / (n - 1)) / sxx, 9) AS se, n, g AS clusters FROM b, k""",
-    "holm": "WITH p AS (SELECT s_suppkey, (s_suppkey * 37 % 101) / 5000 AS p FROM supplier WHERE s_suppkey <= 40) SELECT s_suppkey, round(p, 9) AS p, round(least(1, max((m - i + 1) * p) OVER (ORDER BY p ROWS UNBOUNDED PRECEDING)), 9) AS p_holm FROM (SELECT *, row_number() OVER (ORDER BY p) AS i, count(*) OVER () AS m FROM p)",
+    "fe_switchers": f"""{BASE}, {SECTORED}, {STATED}, {RATIO}, sw AS (SELECT brand_key FROM stt GROUP BY 1 HAVING count(*) >= 2 AND bool_or(state) AND NOT bool_and(state)), d AS (SELECT brand_key, year, y - avg(y) OVER w AS yt, CAST(state AS INTEGER) - avg(CAST(state AS INTEGER)) OVER w AS xt FROM stt JOIN ry USING (row_id) JOIN sw USING (brand_key) WINDOW w AS (PARTITION BY brand_key)),
+      b AS (SELECT sum(xt * yt) / sum(xt * xt) AS b, sum(xt * xt) AS sxx, count(*) AS n FROM d), g AS (SELECT year, sum(xt * (yt - b * xt)) AS s FROM d, b GROUP BY year), k AS (SELECT count(*) AS g, sum(s * s) AS s2 FROM g)
+      SELECT round(b, 9) AS coef, round(sqrt(s2 * g / (g - 1) * (n - 1) / (n - 1)) / sxx, 9) AS se, n, g AS clusters FROM b, k""",
+    "year_range": "SELECT year(o_orderdate) || 'Q' || quarter(o_orderdate) AS yq, count(*) AS orders FROM orders WHERE year(o_orderdate) BETWEEN 1996 AND 1999 GROUP BY 1",
+    "letter_words": rf"WITH {ADS}, t AS (SELECT decade, len(regexp_extract_all(lower(text), '\p{{L}}+')) AS n FROM ads) SELECT decade, CAST(sum(n) AS BIGINT) AS words, max(n) AS longest FROM t GROUP BY decade",
+    "holm": "WITH p AS (SELECT s_suppkey, (s_suppkey * 37 % 101) / 5000 AS p FROM supplier) SELECT s_suppkey, round(p, 9) AS p, round(least(1, max((m - i + 1) * p) OVER (ORDER BY p, s_suppkey ROWS UNBOUNDED PRECEDING)), 9) AS p_holm FROM (SELECT *, row_number() OVER (ORDER BY p, s_suppkey) AS i, count(*) OVER () AS m FROM p)",
     "model_grid": f"SELECT aggregation, definition, outcome, spec, {_r(['coef', 'se', 'mean_y', 'pct_of_mean'])}, round(pct_of_mean - 196 * se / mean_y, 9) AS ci_low_pct, round(pct_of_mean + 196 * se / mean_y, 9) AS ci_high_pct, n FROM ({_GRID})",
     "ladder": f"SELECT outcome, {_r(['raw', 'trend', 'decade'])}, round(greatest(abs(trend - raw), abs(decade - raw)), 9) AS max_shift FROM (SELECT outcome, {', '.join(f'max(pct_of_mean) FILTER (spec = {_q(s)}) AS {s}' for s in ('raw', 'trend', 'decade'))} FROM ({_GRID}) WHERE aggregation = 'macro' AND definition = 'majority' GROUP BY outcome)",
     "drift_vs_gap": f"{MACRO}, m AS (SELECT outcome, decade, avg(y) AS m FROM p GROUP BY 1, 2), d AS (SELECT outcome, max(m) - min(m) AS drift_range, stddev_samp(m) AS drift_sd FROM m GROUP BY 1), g AS ({_gap('p', 'outcome', 'x = 1')}) SELECT outcome, {_r(['drift_range', 'drift_sd'])}, round(100 * gap / mean_y, 9) AS pct_of_mean FROM d JOIN g USING (outcome)",
@@ -218,12 +223,14 @@ SQL: dict[str, str] = {
     "word_freq_by_decade": f"WITH {ADS}, t AS (SELECT decade, {CWORDS} FROM ads) SELECT decade, word, count(*) AS n FROM t GROUP BY ALL HAVING count(*) >= 50",
     "fightin_words": f"WITH {ADS}, {CAL}, {STATED_ADS}, base AS (SELECT decade, recession, word, count(*) AS n FROM (SELECT decade, recession, {CWORDS} FROM sa) GROUP BY ALL), {_odds('base', '')} SELECT word, round(delta, 9) AS delta, round(z, 9) AS z FROM lo",
     "vocab_concentration": f"WITH {ADS}, c AS (SELECT yq, word, count(*) AS n FROM (SELECT yq, {CWORDS} FROM ads) GROUP BY ALL), t AS (SELECT *, sum(n) OVER (PARTITION BY yq) AS words, row_number() OVER (PARTITION BY yq ORDER BY n DESC, word) AS r FROM c) SELECT yq, word AS top_word, n AS top_count, CAST(words AS BIGINT) AS words, round(n / words, 9) AS top_share FROM t WHERE r = 1",
-    "permutation_max_z": f"""WITH {ADS}, {CAL}, {STATED_ADS}, base AS (SELECT yq, decade, recession, word, count(*) AS n FROM (SELECT yq, decade, recession, {CWORDS} FROM sa) GROUP BY ALL),
-      qs AS (SELECT DISTINCT yq, decade, recession FROM base), lab AS (SELECT perm, yq, row_number() OVER (PARTITION BY perm, decade ORDER BY md5('42:' || perm || ':' || yq), yq) <= count(*) FILTER (recession) OVER (PARTITION BY perm, decade) AS recession FROM qs, (SELECT unnest([0, 1, 2, 3]) AS perm)
-        UNION ALL SELECT -1, yq, recession FROM qs),
-      cnt AS (SELECT perm, decade, lab.recession, word, sum(n) AS n FROM base JOIN lab USING (yq) GROUP BY ALL), {_odds('cnt', 'perm')} SELECT CAST(perm AS BIGINT) AS perm, round(max(abs(z)), 9) AS max_z FROM lo GROUP BY perm""",
     "daily_events": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY ALL",
     "row_alignment": f"WITH {ADS}, b AS (SELECT row_id + 1 AS label_id, brand AS label_brand FROM ads) SELECT 'less_one' AS key, round(avg(CAST(brand IS NOT DISTINCT FROM label_brand AS INTEGER)), 9) AS rate FROM ads JOIN b ON row_id = label_id - 1 UNION ALL SELECT 'same', round(avg(CAST(brand IS NOT DISTINCT FROM label_brand AS INTEGER)), 9) FROM ads JOIN b ON row_id = label_id",
     "brand_counts": f"WITH {ADS} SELECT brand, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 9) AS share FROM ads GROUP BY brand",
     "topic_overlap": f"WITH {ADS}, c AS (SELECT decade, word, count(*) AS n FROM (SELECT decade, {CWORDS} FROM ads) GROUP BY ALL), t AS (SELECT decade, list(word) AS ws FROM (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY decade ORDER BY n DESC, word) <= 10) GROUP BY decade) SELECT a.decade, len(list_intersect(a.ws, b.ws)) AS shared, round(len(list_intersect(a.ws, b.ws)) / len(list_distinct(list_concat(a.ws, b.ws))), 9) AS jaccard FROM t a JOIN t b ON a.decade + 10 = b.decade",
 }
+
+#: The shuffles 0 to 3 and the observed labels; all 500 would take SQL too long.
+FOUR_SHUFFLES = f"""WITH {ADS}, {CAL}, {STATED_ADS}, base AS (SELECT yq, decade, recession, word, count(*) AS n FROM (SELECT yq, decade, recession, {CWORDS} FROM sa) GROUP BY ALL),
+      qs AS (SELECT DISTINCT yq, decade, recession FROM base), lab AS (SELECT perm, yq, row_number() OVER (PARTITION BY perm, decade ORDER BY md5('42:' || perm || ':' || yq), yq) <= count(*) FILTER (recession) OVER (PARTITION BY perm, decade) AS recession FROM qs, (SELECT unnest([0, 1, 2, 3]) AS perm)
+        UNION ALL SELECT -1, yq, recession FROM qs),
+      cnt AS (SELECT perm, decade, lab.recession, word, sum(n) AS n FROM base JOIN lab USING (yq) GROUP BY ALL), {_odds('cnt', 'perm')} SELECT CAST(perm AS BIGINT) AS perm, round(max(abs(z)), 9) AS max_z FROM lo GROUP BY perm"""

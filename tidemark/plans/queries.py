@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tidemark.functions import text as X
 from tidemark.operators import cycle, filters, lexicon, sampling, series, stats, topics, validation, words
+from tidemark.sources import tables
 from tidemark.sources.tables import records, table
 from tidemark.streaming.incremental import daily
 
@@ -58,7 +60,7 @@ def revenue(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def score_counts(spark, sf_dir):
-    return lexicon.score_counts(records(spark, sf_dir), lexicon.lexicon(spark))
+    return lexicon.score_counts(records(spark, sf_dir))
 
 
 @query
@@ -391,15 +393,34 @@ def fe_two_way_cluster(spark, sf_dir):
 
 @query
 def holm(spark, sf_dir):
-    p = table(spark, sf_dir, "supplier").filter("s_suppkey <= 40").select("s_suppkey", (F.pmod(F.col("s_suppkey") * 37, F.lit(101)) / 5000).alias("p"))
-    return rounded(stats.holm(p), "p", "p_holm")
+    """The step-down correction over all suppliers, equal p-values in the order of their keys."""
+    p = table(spark, sf_dir, "supplier").select("s_suppkey", (F.pmod(F.col("s_suppkey") * 37, F.lit(101)) / 5000).alias("p"))
+    return rounded(stats.holm(p, ties=("s_suppkey",)), "p", "p_holm")
 
 
 @query
-def holm_all(spark, sf_dir):
-    """The correction over all suppliers; the SQL of holm has only the first 40."""
-    p = table(spark, sf_dir, "supplier").select("s_suppkey", (F.pmod(F.col("s_suppkey") * 37, F.lit(101)) / 5000).alias("p"))
-    return rounded(stats.holm(p, ties=("s_suppkey",)), "p", "p_holm")
+def fe_switchers(spark, sf_dir):
+    """Advertiser fixed effects on advertisers with two or more records and both states only."""
+    y = scores(spark, sf_dir).filter("total_words > 0").select("row_id", (100 * F.col("harvard_pos") / F.col("total_words")).alias("y"))
+    rows = with_state(spark, sectored(spark, sf_dir)).withColumn("x", F.col("state").cast("int"))
+    kept = rows.join(switchers(spark, sf_dir).select("brand_key"), "brand_key", "left_semi").join(y, "row_id")
+    r = stats.absorbed(kept, "brand_key", "year")
+    return spark.createDataFrame([(round(r["coef"], 9), round(r["se"], 9), r["n"], r["clusters"])], "coef double, se double, n bigint, clusters bigint")
+
+
+@query
+def year_range(spark, sf_dir):
+    """Orders of a range of years by quarter; the range reaches the scan as a comparison of dates."""
+    kept = tables.in_years(table(spark, sf_dir, "orders"), "o_orderdate", 1996, 1999)
+    yq = F.concat(F.year("o_orderdate").cast("string"), F.lit("Q"), F.quarter("o_orderdate").cast("string"))
+    return kept.groupBy(yq.alias("yq")).agg(F.count("*").alias("orders"))
+
+
+@query
+def letter_words(spark, sf_dir):
+    """Words of letters of any script, by decade."""
+    rows = records(spark, sf_dir).select("decade", F.size(X.letter_tokens(F.col("text"))).cast("long").alias("n"))
+    return rows.groupBy("decade").agg(F.sum("n").alias("words"), F.max("n").alias("longest"))
 
 
 def grid(spark, sf_dir):
@@ -458,16 +479,51 @@ def vocab_concentration(spark, sf_dir):
     return rounded(words.concentration(words.word_counts(records(spark, sf_dir), ["yq"])), "top_share")
 
 
+def stated_counts(spark, sf_dir):
+    """Word counts by quarter, decade and state, kept for the query so that the texts are read once."""
+    counts = words.word_counts(with_state(spark, records(spark, sf_dir)).withColumnRenamed("state", "recession"), ["yq", "decade", "recession"])
+    return counts.persist(StorageLevel.DISK_ONLY)
+
+
+def permutations(spark, sf_dir, times: int = 500):
+    return rounded(words.permutation_max(stated_counts(spark, sf_dir), times=times), "max_z")
+
+
 @query
 def permutation_max_z(spark, sf_dir):
-    counts = words.word_counts(with_state(spark, records(spark, sf_dir)).withColumnRenamed("state", "recession"), ["yq", "decade", "recession"])
-    return rounded(words.permutation_max(counts, times=4), "max_z")
+    """The largest absolute z of any word under 500 shuffles of the quarters' labels, and as observed (-1)."""
+    return permutations(spark, sf_dir)
+
+
+@query
+def significant_words(spark, sf_dir):
+    """Log odds of all words, the 95th percentile of the shuffles' largest z, and whether a word goes beyond it."""
+    counts = stated_counts(spark, sf_dir)
+    limit = words.threshold(words.permutation_max(counts)).first().threshold
+    odds = words.log_odds(counts.groupBy("decade", "recession", "word").agg(F.sum("n").alias("n")))
+    out = odds.withColumn("threshold", F.lit(limit)).withColumn("significant", F.abs("z") >= F.col("threshold"))
+    return rounded(out, "delta", "z", "threshold")
 
 
 @query
 def topic_prevalence(spark, sf_dir):
     vectors, _ = topics.bags(records(spark, sf_dir).select("row_id", "yq", "text"), min_df=5)
-    return topics.prevalence(topics.fit(vectors, k=5, seed=1, passes=5), vectors)
+    vectors = vectors.persist(StorageLevel.MEMORY_AND_DISK)
+    return topics.prevalence(topics.fit(vectors, k=10, seed=1), vectors)
+
+
+@query
+def topic_stability(spark, sf_dir):
+    """Fits with 10 and 20 topics and two seeds each: matched topics of the seeds, their cosines, and each fit's perplexity."""
+    vectors, model = topics.bags(records(spark, sf_dir).select("row_id", "yq", "text"), min_df=5)
+    vectors = vectors.persist(StorageLevel.MEMORY_AND_DISK)
+    rows = []
+    for k in (10, 20):
+        fits = [topics.fit(vectors, k=k, seed=seed) for seed in (1, 2)]
+        a, b = (f.topicsMatrix().toArray().T for f in fits)
+        odd = [topics.perplexity(f, vectors) for f in fits]
+        rows += [(k, *odd, *r.values()) for r in topics.stability(a, b, model.vocabulary)]
+    return spark.createDataFrame(rows, "k int, perplexity_1 double, perplexity_2 double, topic int, other int, cosine double, shared int, jaccard double, stable boolean")
 
 
 @query

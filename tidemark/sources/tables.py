@@ -58,5 +58,11 @@ def with_time(df: DataFrame, day: str = "issue_date") -> DataFrame:
     })
 
 
-def literal(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
-    return spark.createDataFrame(rows, schema)
+def in_years(df: DataFrame, day: str, first: int, last: int) -> DataFrame:
+    """Rows dated from the first to the last year; compared as dates, so the range can be pushed to the scan."""
+    return df.filter((F.col(day) >= F.lit(f"{first}-01-01").cast("timestamp")) & (F.col(day) < F.lit(f"{last + 1}-01-01").cast("timestamp")))
+
+
+def non_generic(df: DataFrame, flag: str = "is_generic") -> DataFrame:
+    """Rows whose flag is false; a null flag does not pass."""
+    return df.filter(~F.col(flag))
