@@ -105,7 +105,7 @@ def bigram_counts(docs: DataFrame, words: list[bytes]) -> np.ndarray:
 
 
 def _xlogx(x: np.ndarray) -> np.ndarray:
-    return np.where(x > 0, x * np.log(np.maximum(x, 1)), 0.0)
+    return x * np.log(np.maximum(x, 1.0))  # of counts, so of whole numbers
 
 
 def exchange(pairs: np.ndarray, classes: int, passes: int = PASSES) -> np.ndarray:
@@ -163,7 +163,16 @@ def class_count(distinct: int) -> int:
     return min(MOST, max(LEAST, round(distinct ** (1 / 3))))
 
 
-def gains(grid: np.ndarray, counts: np.ndarray, shared: int) -> np.ndarray:
+#: Counts of a context for which the change of each cell is held ready.
+READY = 8
+
+
+def changes(grid: np.ndarray, shared: int) -> list[np.ndarray]:
+    """What 1 to READY more pairs change, by neighbour and class, for the next word and the one before."""
+    return [np.stack([_xlogx(t + n) - _xlogx(t) for n in range(1, READY + 1)]) for t in (grid[:shared].T, grid[:, :shared])]
+
+
+def gains(grid: np.ndarray, counts: np.ndarray, shared: int, ready: list[np.ndarray] | None = None) -> np.ndarray:
     """Gain in log likelihood of putting words of the shared class into each class before it, a row for each word.
 
     counts: a row for each word of how often the next word, then the word before, is of each class; grid: class bigrams.
@@ -173,11 +182,14 @@ def gains(grid: np.ndarray, counts: np.ndarray, shared: int) -> np.ndarray:
     own_r, own_f = right[:, :shared], left[:, :shared]
     out = np.zeros((len(counts), shared))
     # Pairs with other classes than the shared one: only those that occur.
-    for side, table in ((right, grid[:shared].T), (left, grid[:, :shared])):
-        w, c = np.nonzero(np.delete(side, shared, axis=1))
-        c = c + (c >= shared)
+    for side, table, known in zip((right, left), (grid[:shared].T, grid[:, :shared]), ready or changes(grid, shared), strict=True):
+        w, c = np.nonzero(side)
+        w, c = w[c != shared], c[c != shared]
         if len(w):
-            part = _xlogx(table[c] + side[w, c][:, None]) - _xlogx(table)[c]
+            n = side[w, c].astype(np.int64)
+            part = known[np.minimum(n, READY) - 1, c]
+            many = n > READY
+            part[many] = _xlogx(table[c[many]] + n[many, None]) - _xlogx(table[c[many]])
             begin = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]]))
             out[w[begin]] += np.add.reduceat(part, begin, axis=0)
     # Without the word, its neighbours' pairs with the shared class are fewer.
@@ -244,18 +256,19 @@ def assigned(contexts: DataFrame, grid: np.ndarray, classes: int) -> DataFrame:
     shared = contexts.sparkSession.sparkContext.broadcast(grid.astype(float))
 
     def run(batches):
+        ready = changes(shared.value, classes)
         for batch in batches:
             for k in range(0, batch.num_rows, 1000):
                 part = batch.slice(k, 1000)
                 lists = part.column("contexts")
-                cells = [np.frombuffer(x, _CONTEXT) for x in lists.flatten().to_pylist()]
-                word = np.repeat(np.repeat(np.arange(part.num_rows), np.diff(lists.offsets.to_numpy())), [len(x) for x in cells])
-                cells = np.concatenate(cells)
+                blobs = lists.flatten().to_pylist()
+                word = np.repeat(np.repeat(np.arange(part.num_rows), np.diff(lists.offsets.to_numpy())), [len(x) // _CONTEXT.itemsize for x in blobs])
+                cells = np.frombuffer(b"".join(blobs), _CONTEXT)
                 counts = np.bincount(word * (2 * kinds) + cells["at"], cells["n"], part.num_rows * 2 * kinds).reshape(-1, 2 * kinds)
                 n = counts[:, :kinds].sum(1).astype(np.int64)
                 kind = np.full(part.num_rows, classes, np.int32)
                 often = np.flatnonzero(n > 1)
-                kind[often] = np.argmax(np.round(gains(shared.value, counts[often], classes), 9), 1)
+                kind[often] = np.argmax(np.round(gains(shared.value, counts[often], classes, ready), 9), 1)
                 yield pa.RecordBatch.from_arrays([part.column("word"), pa.array(n), pa.array(kind)], names=["word", "n", "class"])
 
     words = contexts.groupBy("word").agg(F.collect_list("contexts").alias("contexts"))
