@@ -97,6 +97,38 @@ def test_absorbed_equals_dummies(spark):
     assert r["se"] == pytest.approx(np.sqrt((inv @ meat @ inv)[0, 0] * 12 / 11), rel=1e-8)
 
 
+def test_grouped_fixed_effects_equal_dummies(spark):
+    """From sums over (cell, effect, cluster, x); the least-squares fit with all dummies is the judge."""
+    rng = np.random.default_rng(5)
+    n = 400
+    g, year, x = rng.integers(0, 15, n), rng.integers(0, 12, n), rng.integers(0, 2, n)
+    d = year // 4
+    y = rng.normal(size=n) + 0.3 * x + 0.1 * g + 0.5 * d
+    z = rng.normal(size=n)
+    rows = spark.createDataFrame([("c", f"b{a}", int(b), int(c), int(e), float(f), float(h)) for a, b, c, e, f, h in zip(g, d, year, x, y, z)], "cell string, brand string, decade int, year int, x int, y double, z double")
+    sums = rows.groupBy("cell", "brand", "decade", "year", "x").agg(F.count("*").alias("n"), F.sum("y").alias("y"), F.sum("z").alias("z"))
+    # Levels without rows (7, 8) drop out.
+    found = {r["outcome"]: r for r in stats.absorbed_sums(sums, "cell", "brand", "year", ["y", "z"], dummies="decade", levels=(0, 1, 2, 7, 8))}
+    design = np.column_stack([x, *[(g == k) for k in range(15)], *[(d == k) for k in range(1, 3)]]).astype(float)
+    inv = np.linalg.inv(design.T @ design)
+    for name, values in (("y", y), ("z", z)):
+        b = inv @ design.T @ values
+        e = values - design @ b
+        meat = sum(np.outer(v, v) for k in range(12) for v in [design[year == k].T @ e[year == k]])
+        assert found[name]["coef"] == pytest.approx(b[0], rel=1e-8)
+        assert found[name]["se"] == pytest.approx(np.sqrt((inv @ meat @ inv)[0, 0] * 12 / 11), rel=1e-8)
+        assert found[name]["mean_y"] == pytest.approx(values.mean()) and found[name]["n"] == n and found[name]["clusters"] == 12
+    empty = stats.absorbed_sums(sums.limit(0), "cell", "brand", "year", ["y", "z"])
+    assert empty == []
+
+
+def test_normal_p_column(spark):
+    z = [0.0, 0.3, -1.96, 2.5, 5.0, 8.0, 40.0]
+    got = spark.createDataFrame([(i, v, 1.0) for i, v in enumerate(z)] + [(99, 1.0, 0.0)], "i int, z double, se double").select("i", dist.normal_p_column(F.col("z"), F.col("se")).alias("p")).orderBy("i").collect()
+    assert [r.p for r in got[:-1]] == pytest.approx([dist.normal_p(v) for v in z], abs=1e-9)
+    assert got[-1].p is None
+
+
 def test_shift_share_adds_up(spark):
     rows = [(1970, "a", True, 1.0), (1970, "a", False, 2.0), (1970, "b", True, 3.0), (1970, "b", True, 5.0), (1980, "a", True, 1.0)]
     parts = series.shift_share(spark.createDataFrame(rows, "decade long, sector string, state boolean, y double"))

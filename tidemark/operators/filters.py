@@ -55,15 +55,19 @@ def rule_hits(records: DataFrame, rules: dict[str, list[str]]) -> DataFrame:
     return records.select("row_id", "decade", normalized(F.col("text")).alias("_text")).select("row_id", "decade", *[any_of(text, p).alias(f"rule_{k}") for k, p in rules.items()])
 
 
-def versions(records: DataFrame, blocklist: list[str], rules: dict[str, list[str]], header: str = HEADER) -> DataFrame:
-    """row_id, decade, brand and flags v1, v2 (names without regard to case), v3 (v2 or any rule): each holds the one before."""
+def version_columns(blocklist: list[str], rules: dict[str, list[str]], header: str = HEADER) -> dict[str, Column]:
+    """Flags of the versions v1, v2 (names without regard to case), v3 (v2 or any rule) over brand and text."""
     text = normalized(F.col("text"))
     short = (word_count(F.col("text")) < MIN_TOKENS) | (F.regexp_count("text", F.lit(header)) >= MIN_HEADERS)
     named = F.coalesce(F.lower(F.trim("brand")).isin([b.lower().strip() for b in blocklist]), F.lit(False))
     v1 = F.coalesce(F.col("brand").isin(blocklist), F.lit(False)) | short
     v2 = v1 | named
-    v3 = v2 | any_of(text, [p for ps in rules.values() for p in ps])
-    return records.select("row_id", "decade", "brand", v1.alias("v1"), v2.alias("v2"), v3.alias("v3"))
+    return {"v1": v1, "v2": v2, "v3": v2 | any_of(text, [p for ps in rules.values() for p in ps])}
+
+
+def versions(records: DataFrame, blocklist: list[str], rules: dict[str, list[str]], header: str = HEADER) -> DataFrame:
+    """row_id, decade, brand and the flags of the versions: each holds the one before."""
+    return records.select("row_id", "decade", "brand", *[c.alias(v) for v, c in version_columns(blocklist, rules, header).items()])
 
 
 def strata(records: DataFrame, cues: list[str], quantile: float = 0.85) -> DataFrame:

@@ -96,6 +96,47 @@ def absorbed(rows: DataFrame, effect: str, cluster: str, y: str = "y", x: str =
     return {"coef": float(beta), "se": float(np.sqrt(s2 * g / (g - 1) * (n - 1) / (n - k)) / rest[0, 0]), "n": n, "clusters": g}
 
 
+def absorbed_sums(sums: DataFrame, cell: str, effect: str, cluster: str, outcomes: list[str], x: str = "x", dummies: str | None = None, levels: tuple = (), k: int = 1) -> list[dict]:
+    """Fixed-effect regressions of all outcomes and cells with clustered (CRV1) errors, from sums.
+
+    Each row of `sums` stands for n records that share the cell, the effect, the cluster, x and the level of
+    `dummies`, and has the sum of each outcome. So records are grouped once, before anything is shuffled by the
+    effect, and one row for each cell and cluster reaches the driver.
+    """
+    ys = [f"_y{j}" for j in range(len(outcomes))]
+    fixed = {f"_d{i}": (F.col(dummies) == v).cast("double") for i, v in enumerate(levels)} | {"_x": F.col(x).cast("double")}
+    base = sums.select(F.col(cell).alias("_cell"), F.col(effect).alias("_effect"), F.col(cluster).alias("_cluster"), F.col("n").cast("double").alias("_n"), *[c.alias(v) for v, c in fixed.items()], *[F.col(o).cast("double").alias(y) for o, y in zip(outcomes, ys, strict=True)])
+    w = W.partitionBy("_cell", "_effect")
+    mean = lambda total: F.sum(total).over(w) / F.sum("_n").over(w)
+    flat = base.select("_cell", "_cluster", "_n", *[(F.col(v) - mean(F.col(v) * F.col("_n"))).alias(v) for v in fixed], *[(F.col(y) - F.col("_n") * mean(F.col(y))).alias(y) for y in ys], *[F.col(y).alias(f"t{y}") for y in ys])
+    names, d = list(fixed), len(levels)
+    pairs = [(a, b) for i, a in enumerate(names) for b in names[i:]]
+    found: dict = {}
+    cross = [F.sum(F.col("_n") * F.col(a) * F.col(b)) for a, b in pairs] + [F.sum(F.col(a) * F.col(y)) for y in ys for a in names] + [F.sum(f"t{y}") for y in ys]
+    for cell_value, _, n, *values in flat.groupBy("_cell", "_cluster").agg(F.sum("_n"), *cross).collect():
+        gram = np.zeros((d + 1, d + 1))
+        for (a, b), v in zip(pairs, values, strict=False):
+            gram[names.index(a), names.index(b)] = gram[names.index(b), names.index(a)] = v
+        rest = np.array(values[len(pairs) :])
+        found.setdefault(cell_value, []).append((n, gram, rest[: (d + 1) * len(ys)].reshape(len(ys), d + 1), rest[(d + 1) * len(ys) :]))
+    out = []
+    for cell_value, parts in found.items():
+        n, g, gram = sum(p[0] for p in parts), len(parts), sum(p[1] for p in parts)
+        solve = np.linalg.pinv(gram[:d, :d], rcond=1e-10, hermitian=True) if d else np.zeros((0, 0))
+        # x without the dummies: the combination v of dummies and x.
+        v = np.append(-solve @ gram[:d, d], 1.0)
+        xx = v @ gram @ v
+        for j, o in enumerate(outcomes):
+            xy = sum(p[2][j] for p in parts)
+            beta = v @ xy / xx
+            # y less the dummies' part and beta x~, as a combination of dummies and x.
+            c = np.append(solve @ xy[:d], 0.0) + beta * v
+            scores = np.array([v @ p[2][j] - v @ p[1] @ c for p in parts])
+            se = np.sqrt((scores @ scores) * g / (g - 1) * (n - 1) / (n - k)) / xx if g > 1 and n > k else float("nan")
+            out.append({"cell": cell_value, "outcome": o, "coef": float(beta), "se": float(se), "n": int(n), "clusters": g, "mean_y": float(sum(p[3][j] for p in parts) / n)})
+    return out
+
+
 def holm(rows: DataFrame, p: str = "p", ties: tuple[str, ...] = ()) -> DataFrame:
     """Step-down adjusted p-values; equal ones are put in the order of `ties`."""
     up = W.orderBy(p, *ties)

@@ -139,12 +139,41 @@ _BOTH = f"{BASE}, {_series('macro', name='q_macro')}, {_series('pooled', name='q
 _THREE = f"WITH {ADS}, {CAL}, " + ", ".join(_scores(v, f"s_{v}") for v in ("all", "no_stopwords", "dictionary_only"))
 _RATES = """tp / nullif(tp + fp, 0) AS precision, tp / nullif(tp + fn, 0) AS recall, tn / nullif(tn + fp, 0) AS specificity, (tp + tn) / (tp + fp + fn + tn) AS agreement, fn / nullif(fn + tn, 0) AS residual"""
 _CELLS = lambda v: f"SELECT '{v}' AS version, count(*) FILTER ({v} AND non_ad) AS tp, count(*) FILTER ({v} AND NOT non_ad) AS fp, count(*) FILTER (NOT {v} AND non_ad) AS fn, count(*) FILTER (NOT {v} AND NOT non_ad) AS tn FROM l"
-_GRID_SOURCE = f"""{_BOTH}, p AS (SELECT aggregation, definition, outcome, yq, y, decade, t, CASE definition WHEN 'any' THEN x_any ELSE x END AS x
-  FROM (SELECT 'macro' AS aggregation, * FROM p_macro UNION ALL SELECT 'pooled', * FROM p_pooled), (VALUES ('majority'), ('any')) d(definition))"""
-_GRID = " UNION ALL ".join(
-    f"SELECT aggregation, definition, outcome, '{s}' AS spec, coef, se, mean_y, 100 * coef / mean_y AS pct_of_mean, n FROM ({_hac(_GRID_SOURCE, c, w, cell='aggregation, definition, outcome', select='coef, se, mean_y, n')})"
+#: Two-sided p-values by Simpson's rule over 400 steps: the normal one, and Student's by the angle atan(t / sqrt(df)).
+_SIMPSON = lambda f: f"list_sum(list_transform(range(0, 401), lambda i: (CASE WHEN i = 0 OR i = 400 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * {f}))"
+_NORMAL_P = f"CASE WHEN se > 1e-12 THEN greatest(0, 1 - sqrt(2 / pi()) * {_SIMPSON('exp(-((least(abs(coef / nullif(se, 0)), 9) * i / 400) ** 2) / 2)')} * least(abs(coef / nullif(se, 0)), 9) / 1200) END"
+_T_P = lambda t, df: f"1 - {_SIMPSON(f'cos(atan(abs({t}) / sqrt({df})) * i / 400) ** ({df} - 1)')} * atan(abs({t}) / sqrt({df})) / ({_SIMPSON(f'cos(pi() / 2 * i / 400) ** ({df} - 1)')} * pi() / 2)"
+_KEPT_ROWS = f"""kv AS (SELECT row_id, unnest(['none', CASE WHEN NOT v1 THEN 'v1' END, CASE WHEN NOT v2 THEN 'v2' END, CASE WHEN NOT v3 THEN 'v3' END]) AS version FROM v),
+  sv AS (SELECT s.*, version FROM s JOIN kv USING (row_id) WHERE total_words > 0 AND version IS NOT NULL)"""
+_GRID_SOURCE = f"""{BASE}, {VERSIONS}, {_KEPT_ROWS}, p AS (SELECT version, aggregation, definition, outcome, yq, y, CAST(yq[1:4] AS INTEGER) // 10 * 10 AS decade, 4 * CAST(yq[1:4] AS INTEGER) + CAST(yq[6:6] AS INTEGER) AS t,
+    CAST(CASE definition WHEN 'any' THEN recession_any ELSE recession_majority END AS INTEGER) AS x
+  FROM ({" UNION ALL ".join(f"SELECT version, yq, '{k}' AS aggregation, '{o}' AS outcome, {v.format(o=o)} AS y FROM sv GROUP BY version, yq" for o in OUT for k, v in (("macro", "100 * avg({o} / total_words)"), ("pooled", "100 * sum({o}) / sum(total_words)")))})
+  JOIN cal USING (yq), (VALUES ('majority'), ('any')) d(definition))"""
+_QUARTERLY = " UNION ALL ".join(
+    f"SELECT version, 'quarterly' AS level, aggregation, definition, outcome, '{s}' AS spec, coef, se, {_NORMAL_P} AS p, mean_y, n FROM ({_hac(_GRID_SOURCE, c, w, cell='version, aggregation, definition, outcome', select='coef, se, mean_y, n')})"
     for s, c, w in (("raw", (), ""), ("trend", ("t",), ""), ("decade", (), "decade"))
 )
+
+
+def _records(spec: str, effect: str, dummies: tuple[int, ...]) -> str:
+    """Fixed effects row by row: one mean for each effect, decades taken out one after another."""
+    names = [*[f"c{i}" for i in range(len(dummies))], "xt", "yt"]
+    cols = dict(zip(names, [*[f"CAST(decade = {d} AS INTEGER)" for d in dummies], "x", "y"], strict=True))
+    chain = [f"d0 AS (SELECT *, {', '.join(f'{v} - avg({v}) OVER (PARTITION BY version, outcome, {effect}) AS {k}' for k, v in cols.items())} FROM r)"]
+    for i in range(len(dummies)):
+        rest = ", ".join(f"{n} - coalesce(sum({n} * c{i}) OVER w / nullif(sum(c{i} * c{i}) OVER w, 0), 0) * c{i} AS {n}" for n in names[i + 1 :])
+        chain.append(f"d{i + 1} AS (SELECT * REPLACE ({rest}) FROM d{i} WINDOW w AS (PARTITION BY version, outcome))")
+    return f"""SELECT version, 'ad' AS level, 'per ad' AS aggregation, 'majority' AS definition, outcome, '{spec}' AS spec, coef, se, {_T_P('coef / se', '(g - 1)')} AS p, mean_y, n FROM (
+      {BASE}, {VERSIONS}, {_KEPT_ROWS}, {SECTORED}, {STATED}, a AS (SELECT sv.*, stt.* EXCLUDE (row_id, brand, issue_date, year, yq, decade), count(*) OVER (PARTITION BY version, brand_key) AS ads FROM sv JOIN stt USING (row_id)),
+      r AS ({" UNION ALL ".join(f"SELECT version, '{o}' AS outcome, brand_key, decade, year, CAST(state AS INTEGER) AS x, 100 * {o} / total_words AS y FROM a WHERE ads >= 2" for o in OUT)}), {", ".join(chain)},
+      b AS (SELECT version, outcome, sum(xt * yt) / sum(xt * xt) AS b, sum(xt * xt) AS sxx, count(*) AS n, avg(y) AS mean_y FROM d{len(dummies)} GROUP BY ALL),
+      gs AS (SELECT version, outcome, year, sum(xt * (yt - b * xt)) AS sc FROM d{len(dummies)} JOIN b USING (version, outcome) GROUP BY ALL), k AS (SELECT version, outcome, count(*) AS g, sum(sc * sc) AS s2 FROM gs GROUP BY ALL)
+      SELECT version, outcome, b AS coef, sqrt(s2 * g / (g - 1)) / sxx AS se, mean_y, n, g FROM b JOIN k USING (version, outcome))"""
+
+
+_GRID = f"""SELECT *, 100 * coef / mean_y AS pct_of_mean, 100 * coef / mean_y - 196 * se / mean_y AS ci_low_pct, 100 * coef / mean_y + 196 * se / mean_y AS ci_high_pct
+  FROM ({_QUARTERLY} UNION ALL {_records("decade", "decade", ())} UNION ALL {_records("decade+advertiser", "brand_key", (1980, 1990, 2000, 2010))})"""
+_GRID_KEY = "version, level, aggregation, definition, outcome, spec"
 _OLS = "d AS (SELECT *, y - avg(y) OVER w AS yt, x - avg(x) OVER w AS xt, count(*) OVER w AS cnt FROM p WINDOW w AS (PARTITION BY outcome)), f AS (SELECT *, sum(xt * xt) OVER w AS sxx, sum(xt * yt) OVER w / sum(xt * xt) OVER w AS b FROM d WINDOW w AS (PARTITION BY outcome)), r AS (SELECT *, yt - b * xt AS e FROM f)"
 
 SQL: dict[str, str] = {
@@ -215,8 +244,26 @@ SQL: dict[str, str] = {
     "year_range": "SELECT year(o_orderdate) || 'Q' || quarter(o_orderdate) AS yq, count(*) AS orders FROM orders WHERE year(o_orderdate) BETWEEN 1996 AND 1999 GROUP BY 1",
     "letter_words": rf"WITH {ADS}, t AS (SELECT decade, len(regexp_extract_all(lower(text), '\p{{L}}+')) AS n FROM ads) SELECT decade, CAST(sum(n) AS BIGINT) AS words, max(n) AS longest FROM t GROUP BY decade",
     "holm": "WITH p AS (SELECT s_suppkey, (s_suppkey * 37 % 101) / 5000 AS p FROM supplier) SELECT s_suppkey, round(p, 9) AS p, round(least(1, max((m - i + 1) * p) OVER (ORDER BY p, s_suppkey ROWS UNBOUNDED PRECEDING)), 9) AS p_holm FROM (SELECT *, row_number() OVER (ORDER BY p, s_suppkey) AS i, count(*) OVER () AS m FROM p)",
-    "model_grid": f"SELECT aggregation, definition, outcome, spec, {_r(['coef', 'se', 'mean_y', 'pct_of_mean'])}, round(pct_of_mean - 196 * se / mean_y, 9) AS ci_low_pct, round(pct_of_mean + 196 * se / mean_y, 9) AS ci_high_pct, n FROM ({_GRID})",
-    "ladder": f"SELECT outcome, {_r(['raw', 'trend', 'decade'])}, round(greatest(abs(trend - raw), abs(decade - raw)), 9) AS max_shift FROM (SELECT outcome, {', '.join(f'max(pct_of_mean) FILTER (spec = {_q(s)}) AS {s}' for s in ('raw', 'trend', 'decade'))} FROM ({_GRID}) WHERE aggregation = 'macro' AND definition = 'majority' GROUP BY outcome)",
+    "model_grid": f"SELECT {_GRID_KEY}, {_r(['coef', 'se', 'p', 'mean_y', 'pct_of_mean', 'ci_low_pct', 'ci_high_pct'])}, n FROM ({_GRID})",
+    "ladder": f"""SELECT outcome, level, spec, version, {_r(['pct_of_mean', 'ci_low_pct', 'ci_high_pct', 'p'])}, n, round(max(pct_of_mean) FILTER (version = 'v3') OVER w - max(pct_of_mean) FILTER (version = 'none') OVER w, 9) AS shift
+      FROM ({_GRID}) WHERE version IN ('none', 'v3') AND (level = 'ad' OR (aggregation = 'macro' AND definition = 'majority')) WINDOW w AS (PARTITION BY outcome, level, spec)""",
+    "holm_models": f"SELECT {_GRID_KEY}, round(p, 9) AS p, round(least(1, max((m - i + 1) * p) OVER (ORDER BY p, {_GRID_KEY} ROWS UNBOUNDED PRECEDING)), 9) AS p_holm FROM (SELECT *, row_number() OVER (ORDER BY p, {_GRID_KEY}) AS i, count(*) OVER () AS m FROM ({_GRID}))",
+    "hac_interaction_decade": _hac(f"{MACRO}, pp AS (SELECT *, x * post AS x_post, x * (1 - post) AS x_pre FROM p)", ("post", "x_pre"), "decade", x="x_post", source="pp", select="round(coef, 9) AS coef, round(se, 9) AS se"),
+    "composition_hac": _hac(
+        f"""WITH {ADS}, {CAL}, {SECTORED}, lr AS (SELECT brand_key, count(DISTINCT year) >= 10 AS lr FROM sec GROUP BY 1),
+      cs AS (SELECT yq, count(*) AS ads, count(DISTINCT brand_key) AS advertisers, avg(CAST(lr AS INTEGER)) AS long_running_share, count(*) / count(DISTINCT brand_key) AS ads_per_advertiser, {', '.join(f'count(*) FILTER (sector = {_q(s)}) / count(*) AS {s.lower()}' for s in [*[s for s, _ in SECTORS], 'Other'])} FROM sec JOIN lr USING (brand_key) GROUP BY yq),
+      p AS (SELECT yq, outcome, y, CAST(recession_majority AS INTEGER) AS x FROM ({' UNION ALL '.join(f"SELECT yq, '{c}' AS outcome, CAST({c} AS DOUBLE) AS y FROM cs" for c in ['ads', 'advertisers', 'ads_per_advertiser', 'long_running_share', *[s.lower() for s, _ in SECTORS], 'other'])}) JOIN cal USING (yq))""",
+        select=f"round(coef, 6) AS coef, round(se, 6) AS se, n, round({_NORMAL_P}, 6) AS p",
+    ),
+    "shift_share_pooled": f"""{BASE}, {SECTORED}, {STATED}, {RATIO}, d AS (SELECT decade, sector, state, y FROM stt JOIN ry USING (row_id)),
+      tot AS (SELECT decade, count(*) FILTER (state) AS tr, count(*) FILTER (NOT state) AS te FROM d GROUP BY 1 HAVING tr > 0 AND te > 0),
+      c AS (SELECT decade, sector, count(*) FILTER (state) AS nr, count(*) FILTER (NOT state) AS ne, avg(y) FILTER (state) AS mr, avg(y) FILTER (NOT state) AS me FROM d GROUP BY 1, 2),
+      f AS (SELECT decade, tr, nr / tr AS wr, ne / te AS we, coalesce(mr, me) AS mr, coalesce(me, mr) AS me FROM c JOIN tot USING (decade)),
+      ds AS (SELECT max(tr) AS w, sum((wr - we) * (mr + me) / 2) AS b, sum((wr + we) / 2 * (mr - me)) AS i FROM f GROUP BY decade), z AS (SELECT sum(w * b) / sum(w) AS b, sum(w * i) / sum(w) AS i FROM ds)
+      SELECT round(b, 9) AS "between", round(i, 9) AS within, round(b + i, 9) AS total, CASE WHEN abs(b + i) >= 0.005 THEN round(b / (b + i), 9) END AS mix_share FROM z""",
+    "rules_beyond_v2": f"WITH {ADS}, {VERSIONS} SELECT decade, count(*) AS n, count(*) FILTER (v3 AND NOT v2) AS n_new FROM v GROUP BY decade",
+    "rule_excerpts": f"WITH {ADS} SELECT row_id, x AS excerpt FROM (SELECT row_id, regexp_extract(text, {_q('(?is).{0,150}(?:' + '|'.join(RULES['licence']) + ').{0,150}')}) AS x FROM ads) WHERE x <> ''",
+    "second_coder": f"WITH {ADS}, {STRATA}, {_drawn('st')} SELECT row_id, decade, stratum FROM dr ORDER BY md5('2718:' || row_id), row_id LIMIT 30",
     "drift_vs_gap": f"{MACRO}, m AS (SELECT outcome, decade, avg(y) AS m FROM p GROUP BY 1, 2), d AS (SELECT outcome, max(m) - min(m) AS drift_range, stddev_samp(m) AS drift_sd FROM m GROUP BY 1), g AS ({_gap('p', 'outcome', 'x = 1')}) SELECT outcome, {_r(['drift_range', 'drift_sd'])}, round(100 * gap / mean_y, 9) AS pct_of_mean FROM d JOIN g USING (outcome)",
     "vocab_bow": rf"""WITH {ADS}, k AS (SELECT row_id, unnest(list_transform(list_filter(regexp_extract_all(text, '[\p{{L}}\p{{N}}_]+'), lambda w: regexp_full_match(w, '[a-zA-Z]{{3,}}')), lambda w: lower(w))) AS word FROM ads), t AS (SELECT * FROM k WHERE word NOT IN {_in(STOPWORDS)}),
       s AS (SELECT word, count(DISTINCT row_id) AS df, count(*) AS tf FROM t GROUP BY word), top AS (SELECT * FROM s WHERE df >= 20 AND df <= 0.5 * (SELECT count(DISTINCT row_id) FROM t) ORDER BY tf DESC, word LIMIT 5000) SELECT word, df, tf, row_number() OVER (ORDER BY word) - 1 AS index FROM top""",

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from tidemark.functions import dist
 from tidemark.functions import text as X
 from tidemark.operators import cycle, filters, lexicon, sampling, series, stats, topics, validation, words
 from tidemark.sources import tables
@@ -423,30 +424,127 @@ def letter_words(spark, sf_dir):
     return rows.groupBy("decade").agg(F.sum("n").alias("words"), F.max("n").alias("longest"))
 
 
+VERSIONS = ["none", "v1", "v2", "v3"]
+AD_SPECS = [("decade", "decade", None), ("decade+advertiser", "brand_key", "decade")]
+GRID_KEY = ["version", "level", "aggregation", "definition", "outcome", "spec"]
+ESTIMATES = ["coef", "se", "p", "mean_y", "pct_of_mean", "ci_low_pct", "ci_high_pct"]
+
+
+def cell_sums(spark, sf_dir):
+    """version, brand_key, yq: n, words, and for each outcome the sum of counts (c_) and of ratios in percent (y_).
+
+    All of the grid is computed from this table: the texts are read once and grouped once, for every filter version.
+    """
+    flags = filters.version_columns(BLOCKLIST, RULES, HEADER)
+    rows = lexicon.scored(records(spark, sf_dir).withColumns(flags)).filter("total_words > 0")
+    kept = F.array_compact(F.array(F.lit("none"), *[F.when(~F.col(v), F.lit(v)) for v in flags]))
+    rows = rows.select(F.explode(kept).alias("version"), F.coalesce(X.brand_key(F.col("brand")), F.lit("(missing brand)")).alias("brand_key"), "yq", "total_words", *OUT)
+    sums = [f for o in OUT for f in (F.sum(o).alias(f"c_{o}"), F.sum(100 * F.col(o) / F.col("total_words")).alias(f"y_{o}"))]
+    return rows.groupBy("version", "brand_key", "yq").agg(F.count("*").alias("n"), F.sum("total_words").alias("words"), *sums).persist(StorageLevel.DISK_ONLY)
+
+
+def quarterly_grid(spark, sums):
+    """version x aggregation x definition x spec x outcome, with the normal p-value."""
+    n, words = F.sum("n"), F.sum("words")
+    q = sums.groupBy("version", "yq").agg(*[F.array(*[F.struct(F.lit(o).alias("outcome"), y.alias("y")) for o in OUT for y in [value(o)]]).alias(k) for k, value in (("macro", lambda o: F.sum(f"y_{o}") / n), ("pooled", lambda o: 100 * F.sum(f"c_{o}") / words))])
+    long = q.select("version", "yq", F.explode(F.create_map(F.lit("macro"), "macro", F.lit("pooled"), "pooled")).alias("aggregation", "rows")).select("version", "yq", "aggregation", F.inline("rows"))
+    state = F.explode(F.create_map(F.lit("majority"), F.col("recession_majority"), F.lit("any"), F.col("recession_any"))).alias("definition", "state")
+    cal = cycle.calendar(spark).select("yq", state).withColumn("x", F.col("state").cast("int")).drop("state")
+    year = F.substring("yq", 1, 4).cast("int")
+    p = long.join(F.broadcast(cal), "yq").withColumns({"decade": (F.floor(year / 10) * 10).cast("int"), "t": 4 * year + F.substring("yq", 6, 1).cast("int")})
+    cell = ["version", "aggregation", "definition", "outcome"]
+    parts = [stats.hac(p, cell, "yq", list(controls), list(within)).withColumn("spec", F.lit(spec)) for spec, controls, within in SPECS]
+    out = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return out.select(*cell, F.lit("quarterly").alias("level"), "spec", "coef", "se", dist.normal_p_column(F.col("coef"), F.col("se")).alias("p"), "mean_y", "n")
+
+
+def record_grid(spark, sums):
+    """version x spec x outcome on records of advertisers with two or more, clustered by year, with p of t(clusters - 1)."""
+    cal = F.broadcast(cycle.calendar(spark).select("yq", F.col("recession_majority").cast("int").alias("x")))
+    year = F.substring("yq", 1, 4).cast("int")
+    rows = sums.withColumns({"year": year, "decade": (F.floor(year / 10) * 10).cast("int"), "ads": F.sum("n").over(W.partitionBy("version", "brand_key"))}).filter("ads >= 2").join(cal, "yq")
+    found = []
+    for spec, effect, dummies in AD_SPECS:
+        # The decades of the calendar, a short fixed list; those without records drop out of the solution.
+        levels = tuple(range(1950, 2020, 10)) if dummies else ()
+        for r in stats.absorbed_sums(rows, "version", effect, "year", [f"y_{o}" for o in OUT], dummies=dummies, levels=levels):
+            p = dist.t_p(r["coef"] / r["se"], r["clusters"] - 1) if r["se"] > 0 else None
+            found.append((r["cell"], "per ad", "majority", r["outcome"][2:], "ad", spec, r["coef"], r["se"], p, r["mean_y"], r["n"]))
+    return spark.createDataFrame(found, "version string, aggregation string, definition string, outcome string, level string, spec string, coef double, se double, p double, mean_y double, n bigint")
+
+
 def grid(spark, sf_dir):
-    """All quarterly estimates: aggregation x definition x spec x outcome."""
-    parts = []
-    for kind in ("macro", "pooled"):
-        p = panel(spark, sf_dir, kind).withColumn("aggregation", F.lit(kind))
-        both = p.withColumn("definition", F.lit("majority")).unionByName(p.withColumn("definition", F.lit("any")).withColumn("x", F.col("x_any")))
-        for spec, controls, within in SPECS:
-            parts.append(stats.hac(both, ["aggregation", "definition", "outcome"], "yq", list(controls), list(within)).withColumn("spec", F.lit(spec)))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.select("aggregation", "definition", "outcome", "spec", "coef", "se", "mean_y", "pct_of_mean", (F.col("pct_of_mean") - 196 * F.col("se") / F.col("mean_y")).alias("ci_low_pct"), (F.col("pct_of_mean") + 196 * F.col("se") / F.col("mean_y")).alias("ci_high_pct"), "n")
+    """All 224 estimates: four filter versions of 48 quarterly cells and 8 on records."""
+    sums = cell_sums(spark, sf_dir)
+    out = quarterly_grid(spark, sums).unionByName(record_grid(spark, sums)).withColumn("pct_of_mean", 100 * F.col("coef") / F.col("mean_y"))
+    side = 196 * F.col("se") / F.col("mean_y")
+    return out.withColumns({"ci_low_pct": F.col("pct_of_mean") - side, "ci_high_pct": F.col("pct_of_mean") + side}).select(*GRID_KEY, *ESTIMATES, "n")
 
 
 @query
 def model_grid(spark, sf_dir):
-    return rounded(grid(spark, sf_dir), "coef", "se", "mean_y", "pct_of_mean", "ci_low_pct", "ci_high_pct")
+    return rounded(grid(spark, sf_dir), *ESTIMATES)
 
 
 @query
 def ladder(spark, sf_dir):
-    g = grid(spark, sf_dir).filter("aggregation = 'macro' and definition = 'majority'")
-    wide = g.groupBy("outcome").agg(*[F.max(F.when(F.col("spec") == s, F.col("pct_of_mean"))).alias(s) for s, _, _ in SPECS])
-    return rounded(wide.withColumn("max_shift", F.greatest(*[F.abs(F.col(s) - F.col("raw")) for s in ("trend", "decade")])), "raw", "trend", "decade", "max_shift")
+    """Five steps without a filter and under v3, with the shift between the two, for each outcome."""
+    steps = grid(spark, sf_dir).filter("version in ('none', 'v3') and (level = 'ad' or aggregation = 'macro' and definition = 'majority')")
+    both = steps.withColumn("shift", F.max(F.when(F.col("version") == "v3", F.col("pct_of_mean"))).over(W.partitionBy("outcome", "level", "spec")) - F.max(F.when(F.col("version") == "none", F.col("pct_of_mean"))).over(W.partitionBy("outcome", "level", "spec")))
+    return rounded(both.select("outcome", "level", "spec", "version", "pct_of_mean", "ci_low_pct", "ci_high_pct", "p", "n", "shift"), "pct_of_mean", "ci_low_pct", "ci_high_pct", "p", "shift")
+
+
+@query
+def holm_models(spark, sf_dir):
+    """The step-down correction over the p-values of the whole grid."""
+    return rounded(stats.holm(grid(spark, sf_dir).select(*GRID_KEY, "p"), ties=tuple(GRID_KEY)), "p", "p_holm")
+
+
+@query
+def hac_interaction_decade(spark, sf_dir):
+    """Effect after 1973 within decades: recession x post beside recession x pre and post."""
+    p = panel(spark, sf_dir).withColumns({"x_post": F.col("x") * F.col("post"), "x_pre": F.col("x") * (1 - F.col("post"))})
+    return rounded(stats.hac(p, ["outcome"], "yq", ["post", "x_pre"], ["decade"], x="x_post").select("outcome", "coef", "se"), "coef", "se")
+
+
+@query
+def composition_hac(spark, sf_dir):
+    """Effect of recession quarters on what the records are made of: counts, advertisers, long-running and sector shares."""
+    names = [s.lower() for s, _ in SECTORS] + ["other"]
+    parts = ["ads", "advertisers", "ads_per_advertiser", "long_running_share", *names]
+    wide = composition_series(spark, sf_dir).join(sector_share_crosstab(spark, sf_dir), "yq")
+    long = wide.select("yq", F.inline(F.array(*[F.struct(F.lit(c).alias("outcome"), F.col(c).cast("double").alias("y")) for c in parts])))
+    p = with_state(spark, long).withColumn("x", F.col("state").cast("int"))
+    out = stats.hac(p, ["outcome"], "yq").select("outcome", "coef", "se", "n", dist.normal_p_column(F.col("coef"), F.col("se")).alias("p"))
+    return out.withColumns({c: F.round(c, 6) for c in ("coef", "se", "p")})
+
+
+@query
+def shift_share_pooled(spark, sf_dir):
+    y = scores(spark, sf_dir).filter("total_words > 0").select("row_id", (100 * F.col("harvard_pos") / F.col("total_words")).alias("y"))
+    parts = series.shift_share(with_state(spark, sectored(spark, sf_dir)).join(y, "row_id"))
+    return rounded(series.pooled_shift_share(parts), "between", "within", "total", "mix_share")
+
+
+@query
+def rules_beyond_v2(spark, sf_dir):
+    """Records of each decade that only the text rules find."""
+    v = filters.versions(records(spark, sf_dir), BLOCKLIST, RULES, HEADER)
+    return v.groupBy("decade").agg(F.count("*").alias("n"), F.count_if(F.col("v3") & ~F.col("v2")).alias("n_new"))
+
+
+@query
+def rule_excerpts(spark, sf_dir):
+    """The first match of a rule group with 150 characters around it, for each record that has one."""
+    found = X.excerpt(F.col("text"), "|".join(RULES["licence"]), 150)
+    return records(spark, sf_dir).select("row_id", found.alias("excerpt")).filter("excerpt is not null")
+
+
+@query
+def second_coder(spark, sf_dir):
+    """The part of the stratified sample that a second person labels, in the order of a second seed."""
+    drawn = sampling.stratified(filters.strata(records(spark, sf_dir), CUES), QUOTAS, 314)
+    return sampling.simple_sample(drawn.select("row_id", "decade", "stratum"), 30, 2718)
 
 
 @query
