@@ -42,12 +42,3 @@ def duck(sf_dir):
     for t in TABLES:
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
     return c
-
-
-def canonical(rows):
-    def cell(x):
-        if x is None or x != x:
-            return ""
-        return f"{float(x):.7g}" if isinstance(x, float) else str(x)
-
-    return sorted(tuple(cell(x) for x in r) for r in rows)

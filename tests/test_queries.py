@@ -1,5 +1,5 @@
 import pytest
-from conftest import canonical
+from helpers import canonical
 
 from tidemark.plans.oracle import SQL
 from tidemark.plans.queries import REGISTRY
