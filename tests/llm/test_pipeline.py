@@ -43,5 +43,5 @@ def test_stages(spark, folder):
 
 
 def test_names():
-    assert [int(k[2:].split("_")[0]) for k in registered.queries()] == list(range(1, 11))
+    assert [int(k[2:].split("_")[0]) for k in registered.queries()] == list(range(1, 1 + len(registered.queries())))
     assert "corpus_pipeline" in sys.modules

@@ -15,6 +15,7 @@ from tidemark.llm.oracle import SQL
 from tidemark.llm.pieces import encoded_documents
 from tidemark.llm.quality_pu import quality_scores
 from tidemark.llm.quality_rules import quality_report
+from tidemark.llm.records import token_report
 from tidemark.llm.repeats import repeat_report
 from tidemark.llm.secrets import secret_report
 from tidemark.llm.toxicity import toxicity_scores
@@ -60,8 +61,14 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_report(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scans, op2_suffix_dedup, op3_html_extraction, op4_quality_classifier, op5_sentencepiece, op6_jaccard_join, op7_quality_rules, op8_toxicity, op9_brown_lm, op10_decontamination)}
+    return {f.__name__: f for f in (op1_secret_scans, op2_suffix_dedup, op3_html_extraction, op4_quality_classifier, op5_sentencepiece, op6_jaccard_join, op7_quality_rules, op8_toxicity, op9_brown_lm, op10_decontamination, op11_token_records)}
 
 
 def oracle_sql() -> dict[str, str]:
