@@ -5,8 +5,8 @@ Every record of a file is one document:
     uint64  length of the payload            uint32  masked CRC-32 of these eight bytes
     payload                                  uint32  masked CRC-32 of the payload
 
-and its payload is `int64 doc_id, uint8 has_id, uint64 ids before it in this file`, then its token ids, all numbers
-little-endian, ids of 32 bits. A masked checksum is the CRC rotated right by 15 bits plus a constant, so that a
+and its payload is `int64 doc_id, uint8 has_id, uint8 width, uint64 ids before it in this file`, then its token ids in
+`width` bytes each: two where the vocabulary has at most 65,536 entries, else four. All numbers are little-endian. A masked checksum is the CRC rotated right by 15 bits plus a constant, so that a
 checksum of bytes that hold checksums stays useful. The index is a Parquet table beside the files (file, part,
 doc_id, offset, n_bytes, n_ids); a reader that wants records in any order needs nothing else.
 
@@ -35,11 +35,11 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import Staged, _folder, importable, shared_folder, slices
 
 END = 0  # the id after every document
-HEAD, LENGTH, CHECK = "<qBQ", "<Q", "<I"
+HEAD, LENGTH, CHECK = "<qBBQ", "<Q", "<I"
 HEAD_BYTES, FRAME = struct.calcsize(HEAD), struct.calcsize(LENGTH) + 2 * struct.calcsize(CHECK)
 MASK = 0xA282EAD8
 #: Words kept with their ids in a worker, and the longest that is kept.
-WORDS, WORD_CHARS = 1_000_000, 64
+WORDS, WORD_CHARS = 1_500_000, 64
 #: A reader's task gets about this many bytes of a file.
 SPAN = 16_000_000
 INDEX = "file string, part int, doc_id bigint, offset bigint, n_bytes bigint, n_ids bigint"
@@ -78,13 +78,19 @@ def payloads(data: bytes, name: str = "") -> Iterator[memoryview]:
         at += n + FRAME
 
 
-def record(doc_id: int | None, before: int, ids: bytes) -> bytes:
+def record(doc_id: int | None, before: int, ids: bytes, width: int) -> bytes:
     """The frame of one document: `before` ids stand before it in its file, `ids` are its own without the end."""
-    return framed(struct.pack(HEAD, doc_id or 0, doc_id is not None, before) + ids + struct.pack(CHECK, END))
+    return framed(struct.pack(HEAD, doc_id or 0, doc_id is not None, width, before) + ids + END.to_bytes(width, "little"))
+
+
+def parsed(payload: memoryview) -> tuple[int | None, int, np.ndarray]:
+    """doc_id, ids before it in its file, its ids."""
+    doc_id, has_id, width, before = struct.unpack_from(HEAD, payload)
+    return doc_id if has_id else None, before, np.frombuffer(payload[HEAD_BYTES:], f"<u{width}")
 
 
 class Encoder:
-    """Ids of whole texts as little-endian bytes, the same as the library's.
+    """Ids of whole texts as little-endian bytes of `width` each, the same as the library's.
 
     This tokenizer cuts before every space that a visible character follows, whatever stands on either side, and
     pairs bytes only between cuts. So a text is the words between such spaces, and words met before need no search.
@@ -96,6 +102,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        self.width = 2 if self.library.get_vocab_size() <= 1 << 16 else 4
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.opens = np.zeros(self.library.get_vocab_size(), bool)
         for token, i in self.library.get_vocab().items():
@@ -103,7 +110,7 @@ class Encoder:
         self.later: dict[str, bytes] = {}
 
     def whole(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        return [np.asarray(e.ids, f"<u{self.width}").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     @staticmethod
     def _plain(word: str) -> bool:
@@ -115,11 +122,11 @@ class Encoder:
         out = []
         for k in range(0, len(words), 2_000):
             some = words[k : k + 2_000]
-            ids = np.asarray(self.library.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            ids = np.asarray(self.library.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)[0].ids, f"<u{self.width}")
             starts = np.flatnonzero(self.opens[ids])
             if len(starts) != len(some):
                 raise ValueError("this tokenizer doesn't cut before spaces")
-            data, at = ids.tobytes(), (starts * 4).tolist()
+            data, at = ids.tobytes(), (starts * self.width).tolist()
             out += map(data.__getitem__, map(slice, at, [*at[1:], len(data)]))
         return out
 
@@ -177,16 +184,16 @@ def write_records(docs: DataFrame, tokenizer: str, folder: str | None = None) ->
     uri = where.toString()
 
     def run(batches):
-        fs, top = folder_of(uri)
+        (fs, top), own = folder_of(uri), encoder(tokenizer)
         part = TaskContext.get().partitionId()
         name, at, before, out = f"part-{part:06d}-{uuid.uuid4().hex}.rec", 0, 0, None
         try:
             for batch in slices(batches, "text", 4_000_000):
                 out = out or fs.open_output_stream(f"{top}/{name}")
                 ids, offsets, sizes, counts = batch.column("doc_id").to_pylist(), [], [], []
-                for doc_id, x in zip(ids, encoder(tokenizer).encode([t or "" for t in batch.column("text").to_pylist()])):
-                    n = len(x) // 4 + 1
-                    framed_ids = record(doc_id, before, x)
+                for doc_id, x in zip(ids, own.encode([t or "" for t in batch.column("text").to_pylist()])):
+                    n = len(x) // own.width + 1
+                    framed_ids = record(doc_id, before, x, own.width)
                     out.write(framed_ids)
                     offsets.append(at)
                     sizes.append(len(framed_ids))
@@ -239,10 +246,9 @@ def record_rows(index: DataFrame, folder: str, fields: str, row) -> DataFrame:
 
 
 def digest(payload: memoryview) -> tuple:
-    """doc_id, ids before it in its file, number of ids, CRC-32 of the ids."""
-    doc_id, has_id, before = struct.unpack_from(HEAD, payload)
-    ids = payload[HEAD_BYTES :]
-    return doc_id if has_id else None, before, len(ids) // 4, zlib.crc32(ids)
+    """doc_id, ids before it in its file, number of ids, CRC-32 of the ids as 32-bit numbers."""
+    doc_id, before, ids = parsed(payload)
+    return doc_id, before, len(ids), zlib.crc32(ids.astype("<u4"))
 
 
 def token_ids(index: DataFrame, folder: str) -> DataFrame:
@@ -259,7 +265,7 @@ def token_ids(index: DataFrame, folder: str) -> DataFrame:
                         held.pop(next(iter(held))).close()
                     held[r["file"]] = fs.open_input_file(f"{top}/{r['file']}")
                 (payload,) = payloads(held[r["file"]].read_at(r["n_bytes"], r["offset"]), r["file"])
-                ids.append(np.frombuffer(payload[HEAD_BYTES :], "<u4").astype(np.int64))
+                ids.append(parsed(payload)[2].astype(np.int64))
             for x in held.values():
                 x.close()
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.list_(pa.int64()))], names=["doc_id", "ids"])
