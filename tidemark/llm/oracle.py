@@ -81,4 +81,39 @@ f AS (SELECT item_id, doc_id, CAST(sum(w * impact) AS BIGINT) AS score FROM q JO
 r AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM f WHERE score > 0)
 SELECT * FROM r WHERE rank <= 50"""
 
-SQL = {"op13_ranked_search": OP13, "op2_suffix_dedup": OP2, "op6_jaccard_join": OP6, "op7_quality_rules": OP7}
+
+
+def _way(state: int, letters: str, cost: str) -> str:
+    """The way that ends in `state` (from 1) so far, with further letters and cost."""
+    return f"{{'c': v[{state}].c + {cost}, 'a': v[{state}].a || {letters}}}"
+
+
+def _stays(target: str, free: tuple[int, ...], paid: tuple[int, ...]) -> str:
+    """Ways to keep or rerole a row to `target`: from states that need no row between, and from those that need one."""
+    letter, own = f"CASE WHEN initial = '{target}' THEN 'K' ELSE 'R' END", f"own + CASE WHEN initial = '{target}' THEN 0 ELSE 1 END"
+    return ", ".join([_way(q, letter, own) for q in free] + [_way(q, f"'I' || {letter}", f"5 + {own}") for q in paid])
+
+
+OP12 = rf"""
+WITH RECURSIVE crc AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, x: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) AS c FROM range(256) r(i))),
+named AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS name FROM conversations),
+coded AS (SELECT named.*, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(name, ''), lambda x: CAST(ascii(x) AS BIGINT))), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 20 AS fault FROM named, crc),
+hurt AS (SELECT conv_id, turn, CASE WHEN fault = 4 THEN 'user' ELSE role END AS role, CASE fault WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(range(CASE fault WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM coded),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS n FROM hurt),
+seen AS (SELECT *, NOT regexp_matches(text, '{_SPACE}') AS blank, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY n) > 1 AS again, NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') AS cut, substr(role, 1, 1) AS initial, lag(substr(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY n) AS before FROM numbered),
+faults AS (SELECT *, blank OR again AS forced, CASE WHEN cut THEN 5 ELSE 0 END AS own FROM seen),
+counts AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (again AND NOT blank) AS duplicate, count(*) FILTER (cut AND NOT forced) AS truncated,
+  count(*) FILTER (before || initial NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n FROM faults GROUP BY conv_id),
+dp(conv_id, n, v) AS (SELECT conv_id, CAST(0 AS BIGINT), [{{'c': 0, 'a': ''}}, {{'c': 1000000000, 'a': ''}}, {{'c': 1000000000, 'a': ''}}, {{'c': 1000000000, 'a': ''}}] FROM counts
+  UNION ALL SELECT d.conv_id, f.n, CASE WHEN forced THEN [{", ".join(_way(q, "'D'", "2") for q in (1, 2, 3, 4))}]
+    ELSE [{_way(1, "'D'", "2")}, list_min([{_way(2, "'D'", "2")}, CASE WHEN initial = 's' THEN {_way(1, "'K'", "own")} END]),
+      list_min([{_way(3, "'D'", "2")}, {_stays("u", (1, 2, 4), (3,))}]), list_min([{_way(4, "'D'", "2")}, {_stays("a", (3,), (1, 2, 4))}])] END
+  FROM dp d JOIN faults f ON f.conv_id IS NOT DISTINCT FROM d.conv_id AND f.n = d.n + 1),
+best AS (SELECT c.*, list_min([{_way(1, "''", "0")}, {_way(2, "'II'", "10")}, {_way(3, "'I'", "5")}, {_way(4, "''", "0")}]) AS x FROM dp JOIN counts c ON c.conv_id IS NOT DISTINCT FROM dp.conv_id AND c.n = dp.n),
+letters AS (SELECT conv_id, i, x.a[i] AS l, len(replace(x.a[1:i], 'I', '')) AS n, len(replace(x.a[1:i], 'D', '')) AS k FROM (SELECT conv_id, x, unnest(range(1, len(x.a) + 1)) AS i FROM best)),
+lines AS (SELECT l.*, f.role, f.text, max(CAST(k = 1 AND l = 'K' AND initial = 's' AS INTEGER)) OVER (PARTITION BY l.conv_id) AS opens FROM letters l LEFT JOIN faults f ON f.conv_id IS NOT DISTINCT FROM l.conv_id AND f.n = l.n AND l <> 'I' WHERE l <> 'D'),
+fixed AS (SELECT conv_id, string_agg(CASE WHEN l = 'K' THEN role WHEN (k - opens) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || coalesce(text, ''), chr(10) ORDER BY i) AS t FROM lines GROUP BY conv_id)
+SELECT d.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(coalesce(x.c, 0) AS BIGINT) AS cost, coalesce(x.a, '') AS audit, sha256(coalesce(t, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) d LEFT JOIN best b ON b.conv_id IS NOT DISTINCT FROM d.conv_id LEFT JOIN fixed f ON f.conv_id IS NOT DISTINCT FROM d.conv_id"""
+
+SQL = {"op12_conversation_repair": OP12, "op13_ranked_search": OP13, "op2_suffix_dedup": OP2, "op6_jaccard_join": OP6, "op7_quality_rules": OP7}

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tidemark.llm.brown import brown_scores
 from tidemark.llm.common import table
 from tidemark.llm.decontaminate import leaks
+from tidemark.llm.dialogue import damaged, repair_report
 from tidemark.llm.jaccard_join import jaccard_components
 from tidemark.llm.lexical import search
 from tidemark.llm.main_text import page_texts
@@ -68,12 +69,16 @@ def op11_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_report(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_report(damaged(table(spark, sf_dir, "conversations")))
+
+
 def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=50)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scans, op2_suffix_dedup, op3_html_extraction, op4_quality_classifier, op5_sentencepiece, op6_jaccard_join, op7_quality_rules, op8_toxicity, op9_brown_lm, op10_decontamination, op11_token_records, op13_ranked_search)}
+    return {f.__name__: f for f in (op1_secret_scans, op2_suffix_dedup, op3_html_extraction, op4_quality_classifier, op5_sentencepiece, op6_jaccard_join, op7_quality_rules, op8_toxicity, op9_brown_lm, op10_decontamination, op11_token_records, op12_conversation_repair, op13_ranked_search)}
 
 
 def oracle_sql() -> dict[str, str]:
