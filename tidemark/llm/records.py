@@ -42,6 +42,8 @@ MASK = 0xA282EAD8
 WORDS, WORD_CHARS = 1_500_000, 64
 #: A reader's task gets about this many bytes of a file.
 SPAN = 16_000_000
+#: Tasks of a read at most; beyond that a task reads several spans in turn.
+READERS = 20_000
 INDEX = "file string, part int, doc_id bigint, offset bigint, n_bytes bigint, n_ids bigint"
 
 
@@ -242,7 +244,7 @@ def record_rows(index: DataFrame, folder: str, fields: str, row) -> DataFrame:
                 columns = [pa.array([r[i] for r in rows], kinds.field(n).type) for i, n in enumerate(names)]
                 yield pa.RecordBatch.from_arrays([pa.array([span["file"]] * len(rows)), pa.array([span["part"]] * len(rows), pa.int32()), *columns], schema=kinds)
 
-    return spans.repartition("file", "span").mapInArrow(run, schema)
+    return spans.repartition(max(1, min(spans.count(), READERS))).mapInArrow(run, schema)
 
 
 def digest(payload: memoryview) -> tuple:
