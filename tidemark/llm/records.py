@@ -110,6 +110,7 @@ class Encoder:
         for token, i in self.library.get_vocab().items():
             self.opens[i] = token.startswith("\u0120")  # how byte-level pieces write a space
         self.later: dict[str, bytes] = {}
+        self.marks = dict(zip(".,;:!?", self.whole(list(".,;:!?"))))
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, f"<u{self.width}").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
@@ -132,30 +133,39 @@ class Encoder:
             out += map(data.__getitem__, map(slice, at, [*at[1:], len(data)]))
         return out
 
+    def _learned(self, words: set[str]) -> dict[str, bytes]:
+        """Ids of plain words that aren't known yet. A mark after letters is always cut off, so only the letters are searched."""
+        stems = {w: w[:-1] for w in words if w[-1] in self.marks and w[:-1].isalpha()}
+        listed = list({stems.get(w, w) for w in words}.difference(self.later))
+        out = dict(zip(listed, self._spaced(listed)))
+        for w, stem in stems.items():
+            out[w] = (out.get(stem) or self.later[stem]) + self.marks[w[-1]]
+        if len(self.later) + len(out) > WORDS:
+            self.later.clear()
+        self.later.update((w, x) for w, x in out.items() if len(w) <= WORD_CHARS)
+        return out
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        parts = [t.split(" ") for t in texts]
-        words = set().union(*(w[1:] for w in parts))
-        new = words.difference(self.later)
+        odd = {i for i, t in enumerate(texts) if any(s in t for s in self.special)}
+        parts = [[""] if i in odd else t.split(" ") for i, t in enumerate(texts)]
+        found = [list(map(self.later.get, w[1:])) for w in parts]
+        holes = [i for i, f in enumerate(found) if None in f]
+        new = {w for i in holes for w, x in zip(parts[i][1:], found[i]) if x is None}
         strange = {w for w in new if not self._plain(w)}
-        odd = [i for i, t in enumerate(texts) if strange and not strange.isdisjoint(parts[i][1:]) or any(s in t for s in self.special)]
-        if odd:
-            for i in odd:
-                parts[i] = [""]
-            new = set().union(*(w[1:] for w in parts)).difference(self.later)
-        listed = list(new)
-        fresh = dict(zip(listed, self._spaced(listed)))
-        if len(self.later) + len(fresh) > WORDS:
-            kept = {w: self.later[w] for w in words if w in self.later}
-            self.later.clear()
-            self.later.update(kept)
-        self.later.update(fresh)
+        if strange:
+            odd.update(i for i in holes if not strange.isdisjoint(parts[i][1:]))
+        learned = self._learned(new - strange)
         firsts = list({w[0] for w in parts})
         first = dict(zip(firsts, self.whole(firsts)))
-        out = [first[w[0]] + b"".join(map(self.later.__getitem__, w[1:])) for w in parts]
-        for w in fresh:
-            if len(w) > WORD_CHARS:
-                del self.later[w]
-        for i, x in zip(odd, self.whole([texts[i] for i in odd]) if odd else ()):
+        out: list[bytes] = [b""] * len(texts)
+        for i in holes:
+            if i not in odd:
+                found[i] = [learned[w] if x is None else x for w, x in zip(parts[i][1:], found[i])]
+        for i, f in enumerate(found):
+            if i not in odd:
+                out[i] = first[parts[i][0]] + b"".join(f)
+        whole = sorted(odd)
+        for i, x in zip(whole, self.whole([texts[i] for i in whole]) if whole else ()):
             out[i] = x
         return out
 
