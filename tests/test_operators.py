@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import dist
 from tidemark.functions import text as X
-from tidemark.operators import cycle, filters, lexicon, sampling, series, stats, topics, validation, words
+from tidemark.operators import cycle, filters, lexicon, linear, sampling, series, stats, topics, validation, words
 from tidemark.sources.tables import checked, parsed_dates, read_csv, resolve_column, with_time, write_csv
 from tidemark.streaming.incremental import daily
 
@@ -78,23 +78,7 @@ def test_slope_is_gap_and_hac_agrees_with_numpy(spark):
         assert r.coef == pytest.approx(b[0], rel=1e-9)
         assert r.se == pytest.approx(np.sqrt((inv @ s @ inv)[0, 0]), rel=1e-9)
     gap = one(series.gaps(rows, ["outcome"], F.col("x") == 1)).gap
-    assert one(stats.ols(rows, ["outcome"])).coef == pytest.approx(gap, rel=1e-9)
-
-
-def test_absorbed_equals_dummies(spark):
-    rng = np.random.default_rng(2)
-    n = 300
-    g, d, year, x = rng.integers(0, 20, n), rng.integers(0, 4, n), rng.integers(0, 12, n), rng.integers(0, 2, n)
-    y = rng.normal(size=n) + 0.3 * x + 0.1 * g + 0.5 * d
-    rows = spark.createDataFrame([(f"b{a}", int(b), int(c), int(e), float(f)) for a, b, c, e, f in zip(g, d, year, x, y)], "brand_key string, decade int, year int, x int, y double")
-    r = stats.absorbed(rows, "brand_key", "year", dummies="decade")
-    design = np.column_stack([x, *[(g == k) for k in range(20)], *[(d == k) for k in range(1, 4)]]).astype(float)
-    inv = np.linalg.inv(design.T @ design)
-    b = inv @ design.T @ y
-    e = y - design @ b
-    meat = sum(np.outer(v, v) for k in range(12) for v in [design[year == k].T @ e[year == k]])
-    assert r["coef"] == pytest.approx(b[0], rel=1e-8)
-    assert r["se"] == pytest.approx(np.sqrt((inv @ meat @ inv)[0, 0] * 12 / 11), rel=1e-8)
+    assert one(linear.regress(rows, ["outcome"], ["x"])).coef == pytest.approx(gap, rel=1e-9)
 
 
 def test_grouped_fixed_effects_equal_dummies(spark):
@@ -194,9 +178,21 @@ def test_versions_hold_each_other_and_flags(spark):
 
 def test_sample_weights_add_up(spark):
     rows = spark.range(500).select(F.col("id").alias("row_id"), (1970 + F.pmod("id", F.lit(3)) * 10).alias("decade"), F.when(F.pmod("id", F.lit(7)) == 0, "cue").otherwise("other").alias("stratum"))
-    drawn = sampling.stratified(rows, {"cue": 5, "other": 10}, 1, rows.filter("row_id < 50"))
+    quotas = {1970: {"cue": 5, "other": 10}, 1980: {"cue": 1, "other": 200}, 1990: {"cue": 2, "other": 1}}
+    drawn = sampling.stratified(rows, quotas, 1, rows.filter("row_id < 50"))
     assert one(drawn.agg(F.sum("weight").alias("w"))).w == pytest.approx(450)
     assert drawn.filter("row_id < 50").count() == 0
+    sizes = {(r.decade, r.stratum): r["count"] for r in drawn.groupBy("decade", "stratum").count().collect()}
+    assert sizes[1980, "cue"] == 1 and sizes[1990, "other"] == 1 and sizes[1970, "other"] == 10 and sizes[1980, "other"] > 100
+    assert sampling.stratified(rows, {1970: {"cue": 3}}, 1).count() == 3
+
+
+def test_no_cell_is_sorted_whole(spark):
+    """Tasks keep at most the limit of a cell before the shuffle."""
+    rows = spark.range(1000).select(F.col("id").alias("row_id"), F.pmod("id", F.lit(2)).alias("cell"))
+    low = sampling.lowest(rows, ["cell"], [sampling.hash_order(1, "row_id")], 7)
+    plan = low._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") == 2 and low.count() == 14
 
 
 def test_validated_join_and_checks(spark):

@@ -15,22 +15,32 @@ def simple_sample(rows: DataFrame, n: int, seed: int, key: str = "row_id") -> Da
     return rows.orderBy(hash_order(seed, key), key).limit(n)
 
 
-def stratified(rows: DataFrame, quotas: dict[str, int], seed: int, exclude: DataFrame | None = None) -> DataFrame:
-    """Up to quota rows of each (decade, stratum), with the weight population / drawn."""
+def lowest(rows: DataFrame, cell: list[str], order: list[Column], most: int) -> DataFrame:
+    """rows with their `rank` in the cell, the first `most` of each cell only.
+
+    `most` is a literal in the filter, so every task keeps at most so many rows of a cell before anything is
+    shuffled, and the task that ends a cell sorts that many from each, however large the cell is.
+    """
+    return rows.withColumn("rank", F.row_number().over(W.partitionBy(*cell).orderBy(*order))).filter(F.col("rank") <= most)
+
+
+def stratified(rows: DataFrame, quotas: dict[int, dict[str, int]], seed: int, exclude: DataFrame | None = None) -> DataFrame:
+    """Up to a quota of rows of each (decade, stratum), with the weight population / drawn; quotas by decade and stratum.
+
+    A cell without a quota gives none.
+    """
     if exclude is not None:
         rows = rows.join(exclude.select("row_id").distinct(), "row_id", "left_anti")
-    cell = W.partitionBy("decade", "stratum")
-    quota = F.create_map(*[F.lit(x) for kv in quotas.items() for x in kv])[F.col("stratum")]
-    # Populations by a plain aggregate; the rank only among the rows of a cell.
+    cells = [(d, s, n) for d, own in quotas.items() for s, n in own.items()]
+    allowed = rows.sparkSession.createDataFrame(cells, "decade long, stratum string, quota int")
     sizes = rows.groupBy("decade", "stratum").agg(F.count("*").alias("population"))
-    ranked = rows.withColumn("rank", F.row_number().over(cell.orderBy(hash_order(seed, "row_id"), "row_id"))).filter(F.col("rank") <= quota)
-    drawn = ranked.join(F.broadcast(sizes), ["decade", "stratum"])
-    return drawn.withColumn("weight", F.col("population") / F.least(quota, F.col("population"))).select("row_id", "decade", "stratum", "population", "weight")
+    ranked = lowest(rows.select("row_id", "decade", "stratum"), ["decade", "stratum"], [hash_order(seed, "row_id"), F.col("row_id")], max(n for *_, n in cells))
+    drawn = ranked.join(F.broadcast(allowed), ["decade", "stratum"]).filter("rank <= quota").join(F.broadcast(sizes), ["decade", "stratum"])
+    return drawn.withColumn("weight", F.col("population") / F.least("quota", "population")).select("row_id", "decade", "stratum", "population", "weight")
 
 
 def audit(hits: DataFrame, rules: list[str], per_rule: int, seed: int, exclude: DataFrame) -> DataFrame:
     """Up to per_rule rows hit by each rule that aren't in exclude."""
     free = hits.join(exclude.select("row_id").distinct(), "row_id", "left_anti")
     long = free.select("row_id", F.explode(F.array(*[F.when(F.col(f"rule_{r}"), F.lit(r)) for r in rules])).alias("rule")).filter("rule is not null")
-    w = W.partitionBy("rule").orderBy(hash_order(seed, "rule", "row_id"), "row_id")
-    return long.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= per_rule).select("rule", "row_id")
+    return lowest(long, ["rule"], [hash_order(seed, "rule", "row_id"), F.col("row_id")], per_rule).select("rule", "row_id")

@@ -50,65 +50,22 @@ def hac(panel: DataFrame, cell: list[str], order: str, controls: list[str] = (),
     return out.withColumn("pct_of_mean", 100 * F.col("coef") / F.col("mean_y"))
 
 
-def ols(panel: DataFrame, cell: list[str]) -> DataFrame:
-    """One regressor: coefficient, intercept, R2, classical and HC3 standard errors, Breusch-Pagan LM and F."""
-    r = residuals(partialled(panel, cell), cell)
-    w = W.partitionBy(*cell)
-    r = r.withColumn("_h", 1 / F.count("*").over(w) + F.col("_x") * F.col("_x") / F.col("_sxx")).withColumn("_e2", F.col("_e") * F.col("_e"))
-    n = F.count("*")
-    out = r.groupBy(*cell).agg(
-        F.max("_b").alias("coef"),
-        F.regr_intercept("y", "x").alias("intercept"),
-        F.regr_r2("y", "x").alias("r2"),
-        F.sqrt(F.sum("_e2") / (n - 2) / F.max("_sxx")).alias("se_ols"),
-        F.sqrt(F.sum(F.pow(F.col("_x") * F.col("_e") / (1 - F.col("_h")), F.lit(2))) / F.pow(F.max("_sxx"), F.lit(2))).alias("se_hc3"),
-        (n * F.regr_r2("_e2", "x")).alias("bp_lm"),
-        n.alias("n"),
-    )
-    return out.withColumn("bp_f", F.col("bp_lm") / F.col("n") / ((1 - F.col("bp_lm") / F.col("n")) / (F.col("n") - 2)))
-
-
-def absorbed(rows: DataFrame, effect: str, cluster: str, y: str = "y", x: str = "x", dummies: str | None = None, k: int = 1) -> dict[str, float]:
-    """Fixed-effect regression with clustered (CRV1) errors; a second, small effect enters as dummies.
-
-    Means within the effect by an aggregate and a join; only a Gram matrix and cluster sums leave the executors.
-    """
-    levels = sorted(r[0] for r in rows.select(dummies).distinct().collect())[1:] if dummies else []
-    cols = {f"_c{i}": (F.col(dummies) == v).cast("double") for i, v in enumerate(levels)}
-    cols |= {"_x": F.col(x).cast("double"), "_y": F.col(y).cast("double")}
-    base = rows.filter(F.col(y).isNotNull()).select(effect, cluster, *[c.alias(n) for n, c in cols.items()])
-    means = base.groupBy(effect).agg(*[F.avg(n).alias(f"m{n}") for n in cols])
-    flat = base.join(means, effect).select(cluster, *[(F.col(n) - F.col(f"m{n}")).alias(n) for n in cols])
-    names = list(cols)
-    pairs = [(a, b) for i, a in enumerate(names) for b in names[i:]]
-    sums = flat.agg(F.count("*"), *[F.sum(F.col(a) * F.col(b)) for a, b in pairs]).first()
-    gram = np.zeros((len(names), len(names)))
-    for (a, b), v in zip(pairs, sums[1:], strict=True):
-        gram[names.index(a), names.index(b)] = gram[names.index(b), names.index(a)] = v
-    d = len(levels)
-    coef = np.linalg.pinv(gram[:d, :d]) @ gram[:d, d:] if d else np.zeros((0, 2))
-    rest = gram[d:, d:] - gram[d:, :d] @ coef
-    beta = rest[0, 1] / rest[0, 0]
-    left = lambda n, j: F.col(n) - sum((float(c) * F.col(f"_c{i}") for i, c in enumerate(coef[:, j])), F.lit(0.0))
-    xt, yt = left("_x", 0), left("_y", 1)
-    g, s2 = flat.groupBy(cluster).agg(F.sum(xt * (yt - beta * xt)).alias("s")).agg(F.count("*"), F.sum(F.col("s") * F.col("s"))).first()
-    n = sums[0]
-    return {"coef": float(beta), "se": float(np.sqrt(s2 * g / (g - 1) * (n - 1) / (n - k)) / rest[0, 0]), "n": n, "clusters": g}
-
-
 def absorbed_sums(sums: DataFrame, cell: str, effect: str, cluster: str, outcomes: list[str], x: str = "x", dummies: str | None = None, levels: tuple = (), k: int = 1) -> list[dict]:
     """Fixed-effect regressions of all outcomes and cells with clustered (CRV1) errors, from sums.
 
     Each row of `sums` stands for n records that share the cell, the effect, the cluster, x and the level of
     `dummies`, and has the sum of each outcome. So records are grouped once, before anything is shuffled by the
-    effect, and one row for each cell and cluster reaches the driver.
+    effect, and one row for each cell and cluster reaches the driver. Means within an effect are an aggregate that
+    is joined back: small effects (decades) are broadcast by Spark, large ones (advertisers) meet their few rows.
     """
     ys = [f"_y{j}" for j in range(len(outcomes))]
     fixed = {f"_d{i}": (F.col(dummies) == v).cast("double") for i, v in enumerate(levels)} | {"_x": F.col(x).cast("double")}
     base = sums.select(F.col(cell).alias("_cell"), F.col(effect).alias("_effect"), F.col(cluster).alias("_cluster"), F.col("n").cast("double").alias("_n"), *[c.alias(v) for v, c in fixed.items()], *[F.col(o).cast("double").alias(y) for o, y in zip(outcomes, ys, strict=True)])
-    w = W.partitionBy("_cell", "_effect")
-    mean = lambda total: F.sum(total).over(w) / F.sum("_n").over(w)
-    flat = base.select("_cell", "_cluster", "_n", *[(F.col(v) - mean(F.col(v) * F.col("_n"))).alias(v) for v in fixed], *[(F.col(y) - F.col("_n") * mean(F.col(y))).alias(y) for y in ys], *[F.col(y).alias(f"t{y}") for y in ys])
+    weighted = lambda total: (F.sum(total) / F.sum("_n"))
+    means = base.groupBy("_cell", "_effect").agg(*[weighted(F.col(v) * F.col("_n")).alias(f"m{v}") for v in fixed], *[weighted(F.col(y)).alias(f"m{y}") for y in ys])
+    means = means.select(F.col("_cell").alias("_mcell"), F.col("_effect").alias("_meffect"), *[f"m{v}" for v in [*fixed, *ys]])
+    both = base.join(means, F.col("_cell").eqNullSafe(F.col("_mcell")) & F.col("_effect").eqNullSafe(F.col("_meffect")))
+    flat = both.select("_cell", "_cluster", "_n", *[(F.col(v) - F.col(f"m{v}")).alias(v) for v in fixed], *[(F.col(y) - F.col("_n") * F.col(f"m{y}")).alias(y) for y in ys], *[F.col(y).alias(f"t{y}") for y in ys])
     names, d = list(fixed), len(levels)
     pairs = [(a, b) for i, a in enumerate(names) for b in names[i:]]
     found: dict = {}

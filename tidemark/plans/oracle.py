@@ -5,7 +5,7 @@ from __future__ import annotations
 from tidemark.functions.text import LABEL, LEGAL_SUFFIXES
 from tidemark.operators.cycle import CYCLES
 from tidemark.operators.lexicon import LEXICON, OUTCOMES, STOPWORDS
-from tidemark.plans.queries import BLOCKLIST, CUES, HEADER, OUT, QUOTAS, RULES, SECTORS
+from tidemark.plans.queries import BLOCKLIST, CUES, HEADER, OUT, RULES, SECTORS
 
 
 def _q(s: str) -> str:
@@ -83,6 +83,72 @@ def _hac(with_: str, controls=(), within: str = "", x: str = "x", lags: int = 4,
     return f"{with_}, {', '.join(chain)}, h AS (SELECT {cell}, max(b) AS coef, sqrt(({v}) * {factor} / max(sxx) ** 2) AS se, sum(dr * dr) / sum(res * res) AS dw, count(*) AS n, avg(y) AS mean_y FROM u GROUP BY {cell}) SELECT {cell}, {select} FROM h"
 
 
+#: Points of Simpson's rule in the integrals of tails.
+_POINTS = 2000
+_SIMPSON_WEIGHT = f"(CASE WHEN i = 0 OR i = {_POINTS} THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END)"
+
+
+def _beta(a: str, b: str, x: str) -> str:
+    """Incomplete beta function as an integral over an angle, of powers of its sine and cosine."""
+    end = f"asin(sqrt({x}))"
+    return f"(2 * exp(lgamma({a} + {b}) - lgamma({a}) - lgamma({b})) * {end} / {3 * _POINTS} * list_sum(list_transform(range({_POINTS + 1}), lambda i: {_SIMPSON_WEIGHT} * pow(sin({end} * i / {_POINTS}), 2 * {a} - 1) * pow(cos({end} * i / {_POINTS}), 2 * {b} - 1))))"
+
+
+def _t_p(t: str, df: str) -> str:
+    return _beta(f"(({df}) / 2.0)", "0.5", f"(({df}) / (({df}) + ({t}) * ({t})))")
+
+
+def _f_p(f: str, d1: str, d2: str) -> str:
+    return _beta(f"(({d2}) / 2.0)", f"(({d1}) / 2.0)", f"(({d2}) / (({d2}) + ({d1}) * ({f})))")
+
+
+def _chi2_p(x: str, k: int) -> str:
+    """One less an integral over the root."""
+    end = f"sqrt({x})"
+    return f"(1 - {2 ** (1 - k / 2)!r} / gamma({k / 2}) * {end} / {3 * _POINTS} * list_sum(list_transform(range({_POINTS + 1}), lambda i: {_SIMPSON_WEIGHT} * pow({end} * i / {_POINTS}, {k - 1}) * exp(-pow({end} * i / {_POINTS}, 2) / 2))))"
+
+
+def _t_end(df: str) -> str:
+    """The t of a 95 % interval, by Newton's rule."""
+    density = f"exp(lgamma((({df}) + 1) / 2.0) - lgamma(({df}) / 2.0) - 0.5 * ln(({df}) * pi()) - (({df}) + 1) / 2.0 * ln(1 + t * t / ({df})))"
+    return f"list_reduce(list_prepend(1.95, list_transform(range(12), lambda j: CAST(j AS DOUBLE))), lambda t, j: t + ({_t_p('t', df)} - 0.05) / (2 * {density}))"
+
+
+def _linear(with_: str, source: str, xs: tuple[str, ...], lags: int = 4) -> str:
+    """Every slope of a model apart: the other regressors are taken out of each other, of this one and of y, one by one."""
+    k, out = len(xs), []
+    for target in xs:
+        names = [*[x for x in xs if x != target], target, "y"]
+        cols = [f"q{i}" for i in range(k)] + ["yt"]
+        chain = [f"d0 AS (SELECT outcome, yq, y, count(*) OVER w AS n, {', '.join(f'{v} - avg({v}) OVER w AS {c}' for v, c in zip(names, cols))} FROM {source} WHERE {' AND '.join(f'{x} IS NOT NULL' for x in xs)} WINDOW w AS (PARTITION BY outcome))"]
+        for i in range(k):
+            rest = ", ".join(f"{c} - sum({c} * q{i}) OVER w / sum(q{i} * q{i}) OVER w * q{i} AS {c}" for c in cols[i + 1 :])
+            b = f", sum(yt * q{i}) OVER w / sum(q{i} * q{i}) OVER w AS b" if i == k - 1 else ""
+            chain.append(f"d{i + 1} AS (SELECT * REPLACE ({rest}){b} FROM d{i} WINDOW w AS (PARTITION BY outcome))")
+        leverage = "1.0 / n" + "".join(f" + q{i} * q{i} / sum(q{i} * q{i}) OVER w" for i in range(k))
+        x = f"q{k - 1}"
+        chain.append(f"e AS (SELECT *, yt AS res, {leverage} AS h FROM d{k} WINDOW w AS (PARTITION BY outcome))")
+        chain.append(f"u AS (SELECT *, res * res - avg(res * res) OVER v AS s, {x} * res AS u0, {', '.join(f'{x} * res * lag({x} * res, {j}) OVER w AS u{j}' for j in range(1, lags + 1))} FROM e WINDOW w AS (PARTITION BY outcome ORDER BY yq), v AS (PARTITION BY outcome))")
+        long_run = "sum(u0 * u0)" + "".join(f" + 2 * (1 - {j} / {lags + 1}) * coalesce(sum(u{j}), 0)" for j in range(1, lags + 1))
+        fit = " + ".join(f"sum(q{i} * s) ** 2 / sum(q{i} * q{i})" for i in range(k))
+        chain.append(f"m AS (SELECT outcome, max(n) AS n, max(b) AS coef, sqrt({long_run}) / sum({x} * {x}) AS se_hac, sqrt(sum(({x} * res / (1 - h)) ** 2)) / sum({x} * {x}) AS se_hc3, sqrt(sum(res * res) / (max(n) - {k + 1}) / sum({x} * {x})) AS se_ols, 1 - sum(res * res) / (var_pop(y) * max(n)) AS r2, max(n) * ({fit}) / sum(s * s) AS bp_lm FROM u GROUP BY outcome)")
+        out.append(f"SELECT *, r2 / {k} / ((1 - r2) / (n - {k + 1})) AS f, bp_lm / n / {k} / ((1 - bp_lm / n) / (n - {k + 1})) AS bp_f, '{target}' AS term FROM ({with_}, {', '.join(chain)} SELECT * FROM m)")
+    return " UNION ALL ".join(out)
+
+
+def _macro_controls() -> str:
+    """Written out apart from the query's list of models."""
+    series = f"""{MACRO}, sl AS (SELECT year(l_shipdate) + 8 AS year, quarter(l_shipdate) AS q, CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS BIGINT) AS value, CAST(sum(l_quantity) AS BIGINT) AS pieces FROM lineitem GROUP BY 1, 2),
+      gr AS (SELECT year || 'Q' || q AS yq, 100 * (value / nullif(lag(value) OVER (ORDER BY year, q), 0) - 1) AS growth FROM sl), yr AS (SELECT year, CAST(sum(value) AS BIGINT) / CAST(sum(pieces) AS BIGINT) AS price FROM sl GROUP BY 1),
+      fl AS (SELECT a.year, 100 * (a.price / b.price - 1) AS inflation FROM yr a JOIN yr b ON a.year = b.year + 1),
+      full_ AS (SELECT p.*, growth, inflation FROM p LEFT JOIN gr USING (yq) LEFT JOIN fl ON CAST(yq[1:4] AS INTEGER) = fl.year), restricted_ AS (SELECT * FROM full_ WHERE inflation IS NOT NULL)"""
+    models = [("full", ("x",)), ("restricted", ("x",)), ("restricted", ("x", "inflation", "t")), ("restricted", ("growth",)), ("restricted", ("growth", "inflation", "t")), ("full", ("x", "growth")), ("full", ("growth",))]
+    label = {"x": "recession", "t": "trend"}
+    parts = [f"SELECT *, '{'+'.join(label.get(x, x) for x in xs)}' AS model, '{sample}' AS sample, {_f_p('f', str(len(xs)), f'n - {len(xs) + 1}')} AS f_p, {_chi2_p('bp_lm', len(xs))} AS bp_lm_p FROM ({_linear(series, sample + '_', xs)})" for sample, xs in models]
+    normal = "(1 - sqrt(2 / pi()) * abs(coef / se_hac) / 6000 * list_sum(list_transform(range(2001), lambda i: (CASE WHEN i = 0 OR i = 2000 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * exp(-pow(coef / se_hac * i / 2000, 2) / 2))))"
+    return f"SELECT outcome, model, sample, term, round(coef, 9) AS coef, round(se_hac, 9) AS se_hac, round(greatest(0, {normal}), 9) AS p_hac, round(se_hc3, 9) AS se_hc3, round(r2, 9) AS r2, round(f, 9) AS f, round(f_p, 9) AS f_p, round(bp_lm, 9) AS bp_lm, round(bp_lm_p, 9) AS bp_lm_p, n FROM ({' UNION ALL '.join(parts)})"
+
+
 _N = r"regexp_replace(regexp_replace(lower(text), '-\s+', '', 'g'), '\s+', ' ', 'g')"
 _TOKENS = r"len(regexp_extract_all(text, '\S+'))"
 _HEAD = f"len(regexp_extract_all(text, {_q(HEADER)}))"
@@ -95,7 +161,8 @@ LABELLED = f"l AS (SELECT v.*, quality = 0 AS non_ad FROM v JOIN labels ON row_i
 STRATA = f"""st AS (SELECT row_id, decade, words, CASE WHEN cue THEN 'cue' WHEN words >= cut THEN 'long' ELSE 'other' END AS stratum
   FROM (SELECT row_id, decade, {_TOKENS} AS words, regexp_matches(text, {_q("(?i)" + "|".join(f"(?:{c})" for c in CUES))}) AS cue FROM ads)
   JOIN (SELECT decade, quantile_cont({_TOKENS}, 0.85) AS cut FROM ads GROUP BY decade) USING (decade))"""
-_QUOTA = "CASE stratum " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in QUOTAS.items()) + " END"
+# The allocation, written out apart from the query's.
+_QUOTA = "(CASE WHEN decade = 1940 THEN CASE stratum WHEN 'cue' THEN 3 WHEN 'long' THEN 2 WHEN 'other' THEN 5 END ELSE CASE stratum WHEN 'cue' THEN 5 WHEN 'long' THEN 5 WHEN 'other' THEN 10 END END)"
 
 
 def _drawn(pool: str) -> str:
@@ -171,6 +238,20 @@ def _records(spec: str, effect: str, dummies: tuple[int, ...]) -> str:
       SELECT version, outcome, b AS coef, sqrt(s2 * g / (g - 1)) / sxx AS se, mean_y, n, g FROM b JOIN k USING (version, outcome))"""
 
 
+def _two_way() -> str:
+    dummies = (1980, 1990, 2000, 2010)
+    names = [*[f"c{i}" for i in range(len(dummies))], "xt", "yt"]
+    cols = dict(zip(names, [*[f"CAST(decade = {d} AS INTEGER)" for d in dummies], "x", "y"], strict=True))
+    chain = [f"d0 AS (SELECT brand_key, year, {', '.join(f'{v} - avg({v}) OVER (PARTITION BY brand_key) AS {k}' for k, v in cols.items())} FROM r)"]
+    for i in range(len(dummies)):
+        rest = ", ".join(f"{n} - coalesce(sum({n} * c{i}) OVER () / nullif(sum(c{i} * c{i}) OVER (), 0), 0) * c{i} AS {n}" for n in names[i + 1 :])
+        chain.append(f"d{i + 1} AS (SELECT * REPLACE ({rest}) FROM d{i})")
+    last = f"d{len(dummies)}"
+    return f"""{BASE}, {SECTORED}, {STATED}, {RATIO}, r AS (SELECT brand_key, year, decade, CAST(state AS INTEGER) AS x, y FROM stt JOIN ry USING (row_id)), {", ".join(chain)},
+      b AS (SELECT sum(xt * yt) / sum(xt * xt) AS b, sum(xt * xt) AS sxx, count(*) AS n FROM {last}), g AS (SELECT year, sum(xt * (yt - b * xt)) AS s FROM {last}, b GROUP BY year), k AS (SELECT count(*) AS g, sum(s * s) AS s2 FROM g)
+      SELECT round(b, 9) AS coef, round(sqrt(s2 * g / (g - 1)) / sxx, 9) AS se, n, g AS clusters FROM b, k"""
+
+
 _GRID = f"""SELECT *, 100 * coef / mean_y AS pct_of_mean, 100 * coef / mean_y - 196 * se / mean_y AS ci_low_pct, 100 * coef / mean_y + 196 * se / mean_y AS ci_high_pct
   FROM ({_QUARTERLY} UNION ALL {_records("decade", "decade", ())} UNION ALL {_records("decade+advertiser", "brand_key", (1980, 1990, 2000, 2010))})"""
 _GRID_KEY = "version, level, aggregation, definition, outcome, spec"
@@ -225,19 +306,20 @@ SQL: dict[str, str] = {
       c AS (SELECT decade, sector, count(*) FILTER (state) AS nr, count(*) FILTER (NOT state) AS ne, avg(y) FILTER (state) AS mr, avg(y) FILTER (NOT state) AS me FROM d GROUP BY 1, 2),
       f AS (SELECT decade, tr, nr / tr AS wr, ne / te AS we, coalesce(mr, me) AS mr, coalesce(me, mr) AS me FROM c JOIN tot USING (decade))
       SELECT decade, max(tr) AS recession_ads, round(sum((wr - we) * (mr + me) / 2), 9) AS "between", round(sum((wr + we) / 2 * (mr - me)), 9) AS within, round(sum((wr - we) * (mr + me) / 2) + sum((wr + we) / 2 * (mr - me)), 9) AS total FROM f GROUP BY decade""",
-    "ols_baseline": f"{MACRO} SELECT outcome, round(regr_slope(y, x), 9) AS coef, round(regr_intercept(y, x), 9) AS intercept, round(regr_r2(y, x), 9) AS r2, round(sqrt((regr_syy(y, x) - regr_sxy(y, x) ** 2 / regr_sxx(y, x)) / (count(*) - 2) / regr_sxx(y, x)), 9) AS se_ols, count(*) AS n FROM p GROUP BY outcome",
-    "hc3": f"{MACRO}, {_OLS} SELECT outcome, round(max(b), 9) AS coef, round(sqrt(sum((xt * e / (1 - 1 / cnt - xt * xt / sxx)) ** 2)) / max(sxx), 9) AS se_hc3 FROM r GROUP BY outcome",
-    "breusch_pagan": f"{MACRO}, {_OLS}, k AS (SELECT outcome, regr_r2(e * e, x) AS r2, count(*) AS n FROM r GROUP BY outcome) SELECT outcome, round(n * r2, 9) AS bp_lm, round(r2 / ((1 - r2) / (n - 2)), 9) AS bp_f FROM k",
+    "ols_baseline": f"SELECT outcome, round(coef, 9) AS coef, round(intercept, 9) AS intercept, round(r2, 9) AS r2, round(se_ols, 9) AS se_ols, round({_t_p('coef / se_ols', 'n - 2')}, 9) AS p, round(coef - {_t_end('n - 2')} * se_ols, 9) AS low, round(coef + {_t_end('n - 2')} * se_ols, 9) AS high, n FROM ({MACRO} SELECT outcome, regr_slope(y, x) AS coef, regr_intercept(y, x) AS intercept, regr_r2(y, x) AS r2, sqrt((regr_syy(y, x) - regr_sxy(y, x) ** 2 / regr_sxx(y, x)) / (count(*) - 2) / regr_sxx(y, x)) AS se_ols, count(*) AS n FROM p GROUP BY outcome)",
+    "hc3": f"SELECT outcome, round(coef, 9) AS coef, round(se_hc3, 9) AS se_hc3, round({_t_p('coef / se_hc3', 'n - 2')}, 9) AS p FROM ({MACRO}, {_OLS} SELECT outcome, max(b) AS coef, sqrt(sum((xt * e / (1 - 1 / cnt - xt * xt / sxx)) ** 2)) / max(sxx) AS se_hc3, count(*) AS n FROM r GROUP BY outcome)",
+    "breusch_pagan": f"SELECT outcome, round(lm, 9) AS bp_lm, round({_chi2_p('lm', 1)}, 9) AS bp_lm_p, round(f, 9) AS bp_f, round({_f_p('f', '1', 'n - 2')}, 9) AS bp_f_p FROM (SELECT outcome, n, n * r2 AS lm, r2 / ((1 - r2) / (n - 2)) AS f FROM ({MACRO}, {_OLS} SELECT outcome, regr_r2(e * e, x) AS r2, count(*) AS n FROM r GROUP BY outcome))",
     "hac_raw": _hac(MACRO),
     "hac_trend": _hac(MACRO, ("t",)),
     "hac_decade": _hac(MACRO, (), "decade"),
-    "hac_small_sample": _hac(MACRO, factor="count(*) / (count(*) - 2)", select="round(coef, 9) AS coef, round(se, 9) AS se"),
+    "hac_small_sample": f"SELECT outcome, round(coef, 9) AS coef, round(se, 9) AS se, round({_t_p('coef / se', 'n - 2')}, 9) AS p, round(coef - 1.96 * se, 9) AS low, round(coef + 1.96 * se, 9) AS high FROM ({_hac(MACRO, factor='count(*) / (count(*) - 2)', select='coef, se, n')})",
     "durbin_watson": f"SELECT a.outcome, round(a.dw, 9) AS dw_raw, round(b.dw, 9) AS dw_decade FROM ({_hac(MACRO, select='dw')}) a JOIN ({_hac(MACRO, (), 'decade', select='dw')}) b ON a.outcome = b.outcome",
     "hac_interaction_1973": _hac(f"{MACRO}, pp AS (SELECT *, x * post AS x_post, x * (1 - post) AS x_pre FROM p)", ("t", "post", "x_pre"), x="x_post", source="pp", select="round(coef, 9) AS coef, round(se, 9) AS se"),
-    "macro_controls": _hac(f"{MACRO}, {REVENUE}, {GROWTH}, yr AS (SELECT year(o_orderdate) AS year, sum(CAST(round(o_totalprice * 100) AS BIGINT)) / 1e9 AS annual FROM orders GROUP BY 1), pp AS (SELECT p.*, growth, annual FROM p JOIN gr USING (yq) JOIN yr ON CAST(yq[1:4] AS INTEGER) = yr.year WHERE growth IS NOT NULL)", ("growth", "annual"), source="pp"),
+    "macro_controls": _macro_controls(),
     "fe_advertiser_cluster": f"""{BASE}, {SECTORED}, {STATED}, {RATIO}, d AS (SELECT brand_key, year, y - avg(y) OVER w AS yt, CAST(state AS INTEGER) - avg(CAST(state AS INTEGER)) OVER w AS xt FROM stt JOIN ry USING (row_id) WINDOW w AS (PARTITION BY brand_key)),
       b AS (SELECT sum(xt * yt) / sum(xt * xt) AS b, sum(xt * xt) AS sxx, count(*) AS n FROM d), g AS (SELECT year, sum(xt * (yt - b * xt)) AS s FROM d, b GROUP BY year), k AS (SELECT count(*) AS g, sum(s * s) AS s2 FROM g)
       SELECT round(b, 9) AS coef, round(sqrt(s2 * g / (g - 1) * (n - 1) / (n - 1)) / sxx, 9) AS se, n, g AS clusters FROM b, k""",
+    "fe_two_way_cluster": _two_way(),
     "fe_switchers": f"""{BASE}, {SECTORED}, {STATED}, {RATIO}, sw AS (SELECT brand_key FROM stt GROUP BY 1 HAVING count(*) >= 2 AND bool_or(state) AND NOT bool_and(state)), d AS (SELECT brand_key, year, y - avg(y) OVER w AS yt, CAST(state AS INTEGER) - avg(CAST(state AS INTEGER)) OVER w AS xt FROM stt JOIN ry USING (row_id) JOIN sw USING (brand_key) WINDOW w AS (PARTITION BY brand_key)),
       b AS (SELECT sum(xt * yt) / sum(xt * xt) AS b, sum(xt * xt) AS sxx, count(*) AS n FROM d), g AS (SELECT year, sum(xt * (yt - b * xt)) AS s FROM d, b GROUP BY year), k AS (SELECT count(*) AS g, sum(s * s) AS s2 FROM g)
       SELECT round(b, 9) AS coef, round(sqrt(s2 * g / (g - 1) * (n - 1) / (n - 1)) / sxx, 9) AS se, n, g AS clusters FROM b, k""",

@@ -11,8 +11,9 @@ from pyspark.sql import Window as W
 
 from tidemark.functions import dist
 from tidemark.functions import text as X
-from tidemark.operators import cycle, filters, lexicon, sampling, series, stats, topics, validation, words
+from tidemark.operators import cycle, filters, lexicon, linear, sampling, series, stats, structural, topics, validation, words
 from tidemark.sources import tables
+from tidemark.sources.store import ResultStore
 from tidemark.sources.tables import records, table
 from tidemark.streaming.incremental import daily
 
@@ -23,7 +24,8 @@ HEADER = r"[A-Z][a-z]+\. [A-Z][a-z]+ "
 RULES = filters.RULES | {"licence": [r"all rights reserved", r"licen[sc]ed under"]}
 CUES = [*filters.CUES, r"\brights reserved\b", r"password"]
 SECTORS = [("North", ["src1*", "src2"]), ("South", ["src3", "src4", "src5"]), ("West", ["src6", "src7", "src1"])]
-QUOTAS = {"cue": 5, "long": 5, "other": 10}
+# Rows to draw by decade and stratum.
+QUOTAS = {1940: {"cue": 3, "long": 2, "other": 5}} | {d: {"cue": 5, "long": 5, "other": 10} for d in range(1950, 2020, 10)}
 #: Regression settings: name, controls, fixed effects.
 SPECS = [("raw", (), ()), ("trend", ("t",), ()), ("decade", (), ("decade",))]
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -315,17 +317,21 @@ def shift_share(spark, sf_dir):
 
 @query
 def ols_baseline(spark, sf_dir):
-    return rounded(stats.ols(panel(spark, sf_dir), ["outcome"]).select("outcome", "coef", "intercept", "r2", "se_ols", "n"), "coef", "intercept", "r2", "se_ols")
+    """Recession alone: slope with classical error, p and interval of t(n - 2)."""
+    out = linear.regress(panel(spark, sf_dir), ["outcome"], ["x"])
+    return rounded(out.select("outcome", "coef", "intercept", "r2", "se_ols", F.col("p_ols").alias("p"), "low", "high", "n"), "coef", "intercept", "r2", "se_ols", "p", "low", "high")
 
 
 @query
 def hc3(spark, sf_dir):
-    return rounded(stats.ols(panel(spark, sf_dir), ["outcome"]).select("outcome", "coef", "se_hc3"), "coef", "se_hc3")
+    return rounded(linear.regress(panel(spark, sf_dir), ["outcome"], ["x"]).select("outcome", "coef", "se_hc3", F.col("p_hc3").alias("p")), "coef", "se_hc3", "p")
 
 
 @query
 def breusch_pagan(spark, sf_dir):
-    return rounded(stats.ols(panel(spark, sf_dir), ["outcome"]).select("outcome", "bp_lm", "bp_f"), "bp_lm", "bp_f")
+    """Both forms of the test with their p-values, of chi-squared and F."""
+    names = ["bp_lm", "bp_lm_p", "bp_f", "bp_f_p"]
+    return rounded(linear.regress(panel(spark, sf_dir), ["outcome"], ["x"]).select("outcome", *names), *names)
 
 
 def _hac(spark, sf_dir, spec, x="x", kind="macro"):
@@ -350,7 +356,10 @@ def hac_decade(spark, sf_dir):
 
 @query
 def hac_small_sample(spark, sf_dir):
-    return rounded(stats.hac(panel(spark, sf_dir), ["outcome"], "yq", adjust=2).select("outcome", "coef", "se"), "coef", "se")
+    """The small-sample form: error times n / (n - k), p of t(n - k), interval of 1.96 errors."""
+    out = stats.hac(panel(spark, sf_dir), ["outcome"], "yq", adjust=2).select("outcome", "coef", "se", "n")
+    out = out.withColumns({"p": dist.t_p_column("coef / se", "n - 2"), "low": F.col("coef") - 1.96 * F.col("se"), "high": F.col("coef") + 1.96 * F.col("se")})
+    return rounded(out.drop("n"), "coef", "se", "p", "low", "high")
 
 
 @query
@@ -366,30 +375,70 @@ def hac_interaction_1973(spark, sf_dir):
     return rounded(stats.hac(p, ["outcome"], "yq", ["t", "post", "x_pre"], x="x_post").select("outcome", "coef", "se"), "coef", "se")
 
 
+#: The sales table's years are moved by so many, so that they overlap a recession.
+SALES_SHIFT = 8
+#: Model, sample, regressors. The restricted sample has the annual series; the trend counts all quarters.
+MACRO_SPECS = [
+    ("recession", "full", ["x"]), ("recession", "restricted", ["x"]), ("recession+inflation+trend", "restricted", ["x", "inflation", "t"]),
+    ("growth", "restricted", ["growth"]), ("growth+inflation+trend", "restricted", ["growth", "inflation", "t"]),
+    ("recession+growth", "full", ["x", "growth"]), ("growth", "full", ["growth"]),
+]
+MACRO_VALUES = ["coef", "se_hac", "p_hac", "se_hc3", "r2", "f", "f_p", "bp_lm", "bp_lm_p"]
+
+
+def macro_panel(spark, sf_dir):
+    """The panel beside growth of quarterly sales and the yearly change of the mean price, which fills its quarters."""
+    year = F.year("l_shipdate") + SALES_SHIFT
+    cents = F.round(F.col("l_extendedprice") * 100).cast("long")
+    sales = table(spark, sf_dir, "lineitem").groupBy(year.alias("year"), F.quarter("l_shipdate").alias("quarter")).agg(F.sum(cents).alias("value"), F.sum("l_quantity").cast("long").alias("pieces"))
+    quarters = sales.select(F.concat(F.col("year").cast("string"), F.lit("Q"), F.col("quarter").cast("string")).alias("yq"), "value")
+    yearly = sales.groupBy("year").agg((F.sum("value") / F.sum("pieces")).alias("price"))
+    before = yearly.select((F.col("year") + 1).alias("year"), F.col("price").alias("price_before"))
+    inflation = yearly.join(before, "year").select("year", (100 * (F.col("price") / F.col("price_before") - 1)).alias("inflation"))
+    p = panel(spark, sf_dir).withColumn("year", F.substring("yq", 1, 4).cast("int"))
+    return p.join(F.broadcast(cycle.growth(quarters).select("yq", "growth")), "yq", "left").join(F.broadcast(inflation), "year", "left")
+
+
 @query
 def macro_controls(spark, sf_dir):
-    """Recession beside growth of a quarterly series, where both exist (annual values fill their quarters)."""
-    yearly = table(spark, sf_dir, "orders").groupBy(F.year("o_orderdate").alias("year")).agg(F.sum(F.round(F.col("o_totalprice") * 100).cast("long")).alias("annual"))
-    g = cycle.growth(revenue(spark, sf_dir)).filter("growth is not null").select("yq", "growth")
-    p = panel(spark, sf_dir).withColumn("year", F.substring("yq", 1, 4).cast("int")).join(g, "yq").join(yearly, "year")
-    p = p.withColumn("annual", F.col("annual") / 1e9)
-    return rounded(stats.hac(p, ["outcome"], "yq", ["growth", "annual"]).select("outcome", "coef", "se", "n"), "coef", "se")
+    """Recession, growth, inflation and trend in seven models, on all quarters and on those with an annual series."""
+    make = lambda: macro_panel(spark, sf_dir)
+    p = ResultStore(spark).get("macro_panel", [f"{sf_dir}/documents.parquet", f"{sf_dir}/lineitem.parquet"], {"shift": SALES_SHIFT, "code": 1}, make)
+    parts = []
+    for k in (1, 2, 3):  # models of one size are cells of one regression
+        specs = [s for s in MACRO_SPECS if len(s[2]) == k]
+        cells = F.array(*[F.struct(F.lit(m).alias("model"), F.lit(s).alias("sample"), F.array(*[F.col(x).cast("double") for x in xs]).alias("xs"), F.array(*map(F.lit, xs)).alias("names")) for m, s, xs in specs])
+        rows = p.select("outcome", "yq", "y", "inflation", F.inline(cells)).filter("sample = 'full' or inflation is not null")
+        rows = rows.select("outcome", "model", "sample", "names", "yq", "y", *[F.get("xs", F.lit(i)).alias(f"x{i}") for i in range(k)])
+        found = linear.regress(rows, ["outcome", "model", "sample", "names"], [f"x{i}" for i in range(k)], order="yq")
+        parts.append(found.withColumn("term", F.get("names", F.substring("term", 2, 2).cast("int"))))
+    out = parts[0].unionByName(parts[1]).unionByName(parts[2]).withColumn("p_hac", dist.normal_p_column(F.col("coef"), F.col("se_hac")))
+    return rounded(out.select("outcome", "model", "sample", "term", *MACRO_VALUES, "n"), *MACRO_VALUES)
+
+
+def effect_sums(spark, sf_dir):
+    """Records by advertiser, year and state: all, those with words, and the sum of their ratios; one scan, one grouping."""
+    y = F.when(F.col("total_words") > 0, 100 * F.col("harvard_pos") / F.col("total_words"))
+    key = F.coalesce(X.brand_key(F.col("brand")), F.lit("(missing brand)"))
+    rows = with_state(spark, scores(spark, sf_dir).select(key.alias("brand_key"), "year", "decade", "yq", y.alias("y")))
+    return rows.groupBy("brand_key", "year", "decade", F.col("state").cast("int").alias("x")).agg(F.count("*").alias("ads"), F.count("y").alias("n"), F.sum("y").alias("y"))
+
+
+def one_effect(sums, **how):
+    r = stats.absorbed_sums(sums.filter("n > 0").withColumn("cell", F.lit("all")), "cell", "brand_key", "year", ["y"], **how)
+    rows = [(round(x["coef"], 9), round(x["se"], 9), x["n"], x["clusters"]) for x in r]
+    return sums.sparkSession.createDataFrame(rows, "coef double, se double, n bigint, clusters bigint")
 
 
 @query
 def fe_advertiser_cluster(spark, sf_dir):
-    y = scores(spark, sf_dir).filter("total_words > 0").select("row_id", (100 * F.col("harvard_pos") / F.col("total_words")).alias("y"))
-    rows = with_state(spark, sectored(spark, sf_dir)).join(y, "row_id").withColumn("x", F.col("state").cast("int"))
-    r = stats.absorbed(rows, "brand_key", "year")
-    return spark.createDataFrame([(round(r["coef"], 9), round(r["se"], 9), r["n"], r["clusters"])], "coef double, se double, n bigint, clusters bigint")
+    return one_effect(effect_sums(spark, sf_dir))
 
 
 @query
 def fe_two_way_cluster(spark, sf_dir):
-    y = scores(spark, sf_dir).filter("total_words > 0").select("row_id", (100 * F.col("harvard_pos") / F.col("total_words")).alias("y"))
-    rows = with_state(spark, sectored(spark, sf_dir)).join(y, "row_id").withColumn("x", F.col("state").cast("int"))
-    r = stats.absorbed(rows, "brand_key", "year", dummies="decade")
-    return spark.createDataFrame([(r["coef"], r["se"], r["n"], r["clusters"])], "coef double, se double, n bigint, clusters bigint")
+    """Advertisers absorbed, decades as dummies (those of the calendar; without records they drop out)."""
+    return one_effect(effect_sums(spark, sf_dir), dummies="decade", levels=tuple(range(1950, 2020, 10)))
 
 
 @query
@@ -402,11 +451,9 @@ def holm(spark, sf_dir):
 @query
 def fe_switchers(spark, sf_dir):
     """Advertiser fixed effects on advertisers with two or more records and both states only."""
-    y = scores(spark, sf_dir).filter("total_words > 0").select("row_id", (100 * F.col("harvard_pos") / F.col("total_words")).alias("y"))
-    rows = with_state(spark, sectored(spark, sf_dir)).withColumn("x", F.col("state").cast("int"))
-    kept = rows.join(switchers(spark, sf_dir).select("brand_key"), "brand_key", "left_semi").join(y, "row_id")
-    r = stats.absorbed(kept, "brand_key", "year")
-    return spark.createDataFrame([(round(r["coef"], 9), round(r["se"], 9), r["n"], r["clusters"])], "coef double, se double, n bigint, clusters bigint")
+    sums = effect_sums(spark, sf_dir)
+    both = sums.groupBy("brand_key").agg(F.sum("ads").alias("ads"), F.min("x").alias("lo"), F.max("x").alias("hi")).filter("ads >= 2 and lo < hi")
+    return one_effect(sums.join(both.select("brand_key"), "brand_key", "left_semi"))
 
 
 @query
@@ -595,33 +642,131 @@ def permutation_max_z(spark, sf_dir):
 
 @query
 def significant_words(spark, sf_dir):
-    """Log odds of all words, the 95th percentile of the shuffles' largest z, and whether a word goes beyond it."""
+    """Log odds of all words with their own p, count and decades, the 95th percentile of the shuffles' largest z, and whether a word goes beyond it."""
     counts = stated_counts(spark, sf_dir)
     limit = words.threshold(words.permutation_max(counts)).first().threshold
     odds = words.log_odds(counts.groupBy("decade", "recession", "word").agg(F.sum("n").alias("n")))
-    out = odds.withColumn("threshold", F.lit(limit)).withColumn("significant", F.abs("z") >= F.col("threshold"))
-    return rounded(out, "delta", "z", "threshold")
+    seen = counts.groupBy("word").agg(F.sum("n").alias("n"), F.countDistinct("decade").alias("decades"))
+    out = odds.join(seen, "word").withColumn("threshold", F.lit(limit)).withColumn("significant", F.abs("z") > F.col("threshold"))
+    return rounded(out.withColumn("p", dist.normal_p_column(F.col("z"), F.lit(1.0))), "delta", "z", "p", "threshold")
+
+
+TOPIC_BAGS = {"min_df": 5, "max_df": 0.5, "size": 5000, "every": 10}
+
+
+def topic_fits(spark, sf_dir):
+    """Vectors of the records to fit and of those held out, the vocabulary, and a function that fits k topics with a seed.
+
+    All of it comes from the store while documents and settings are as they were.
+    """
+    store, inputs, held = ResultStore(spark), [f"{sf_dir}/documents.parquet"], {}
+
+    def bagged():
+        if not held:
+            fit, rest = topics.split(records(spark, sf_dir).select("row_id", "yq", "text"), every=TOPIC_BAGS["every"])
+            held["fit"], model = topics.bags(fit, TOPIC_BAGS["min_df"], TOPIC_BAGS["max_df"], TOPIC_BAGS["size"])
+            held["rest"] = topics.halves(rest, model)
+            held["words"] = spark.createDataFrame(list(enumerate(model.vocabulary)), "i int, word string")
+        return held
+
+    fit, rest, words_ = (store.get(f"topic_{name}", inputs, TOPIC_BAGS, lambda name=name: bagged()[name]) for name in ("fit", "rest", "words"))
+    vocabulary = [r.word for r in words_.orderBy("i").collect()]
+
+    def fitted(k: int, seed: int):
+        return store.model("topic_model", inputs, TOPIC_BAGS | {"k": k, "seed": seed}, lambda: topics.fit(fit, k, seed), topics.LocalLDAModel.load)
+
+    return fit, rest, vocabulary, fitted
 
 
 @query
 def topic_prevalence(spark, sf_dir):
-    vectors, _ = topics.bags(records(spark, sf_dir).select("row_id", "yq", "text"), min_df=5)
-    vectors = vectors.persist(StorageLevel.MEMORY_AND_DISK)
-    return topics.prevalence(topics.fit(vectors, k=10, seed=1), vectors)
+    """Mean topic weights by quarter of all records, those held out of the fit too."""
+    fit, rest, _, fitted = topic_fits(spark, sf_dir)
+    return topics.prevalence(fitted(10, 1), fit.unionByName(rest.select(fit.columns)))
 
 
 @query
 def topic_stability(spark, sf_dir):
-    """Fits with 10 and 20 topics and two seeds each: matched topics of the seeds, their cosines, and each fit's perplexity."""
-    vectors, model = topics.bags(records(spark, sf_dir).select("row_id", "yq", "text"), min_df=5)
-    vectors = vectors.persist(StorageLevel.MEMORY_AND_DISK)
-    rows = []
+    """Fits with 10 and 20 topics and two seeds each: matched topics and their cosines, and for each number of topics the
+    agreement of the records' strongest topics, the held-out perplexity (of the bound, and by completion) and the choice."""
+    fit, rest, vocabulary, fitted = topic_fits(spark, sf_dir)
+    pairs, judged = {}, {}
     for k in (10, 20):
-        fits = [topics.fit(vectors, k=k, seed=seed) for seed in (1, 2)]
-        a, b = (f.topicsMatrix().toArray().T for f in fits)
-        odd = [topics.perplexity(f, vectors) for f in fits]
-        rows += [(k, *odd, *r.values()) for r in topics.stability(a, b, model.vocabulary)]
-    return spark.createDataFrame(rows, "k int, perplexity_1 double, perplexity_2 double, topic int, other int, cosine double, shared int, jaccard double, stable boolean")
+        a, b = fitted(k, 1), fitted(k, 2)
+        pairs[k] = topics.stability(a.topicsMatrix().toArray().T, b.topicsMatrix().toArray().T, vocabulary)
+        judged[k] = topics.summary(pairs[k])
+        judged[k]["agreement"] = topics.dominant_agreement(a, b, [p["other"] for p in pairs[k]], fit)
+        for seed, model in ((1, a), (2, b)):
+            judged[k][f"perplexity_{seed}"] = topics.perplexity(model, rest)
+            judged[k][f"completion_{seed}"] = topics.completion_perplexity(model, rest)
+    chosen = topics.best(judged)
+    judgement = ["mean_cosine", "share_stable", "agreement", "perplexity_1", "perplexity_2", "completion_1", "completion_2"]
+    rows = [(k, k == chosen, *[judged[k][j] for j in judgement], *p.values()) for k in pairs for p in pairs[k]]
+    return spark.createDataFrame(rows, f"k int, chosen boolean, {', '.join(f'{j} double' for j in judgement)}, topic int, other int, cosine double, shared int, jaccard double, stable boolean")
+
+
+STRUCTURAL = {"topics": 10, "rounds": 75, "tolerance": 1e-5, "min_df": 5, "max_df": 0.5, "size": 5000, "seed": 314}
+DECADES = list(range(1980, 2020, 10))  # beside the first one, the 1970s
+
+
+def structural_bags(spark, sf_dir, store: ResultStore) -> tuple[DataFrame, list[str]]:
+    """Bags of the records that the filters keep, with recession and decades as covariates, and the vocabulary."""
+    inputs = [f"{sf_dir}/documents.parquet"]
+    kept = {k: STRUCTURAL[k] for k in ("min_df", "max_df", "size")}
+
+    def rows():
+        r = records(spark, sf_dir)
+        flags = filters.version_columns(BLOCKLIST, RULES, HEADER)
+        return with_state(spark, r.withColumns(flags).filter("not v2 and text <> ''")).withColumn("words", F.filter(X.topic_tokens(F.col("text")), lambda w: ~w.isin(lexicon.STOPWORDS)))
+
+    tokens = lambda: rows().select("row_id", F.explode("words").alias("word"))
+    vocabulary = [r.word for r in store.get("structural_vocabulary", inputs, kept, lambda: words.vocabulary(tokens(), **kept)).orderBy("index").collect()]
+    covariates = {"recession": F.col("state").cast("int")} | {f"decade_{d}": F.col("decade") == d for d in DECADES}
+    make = lambda: structural.bags(rows(), F.col("words"), vocabulary, covariates)
+    return store.get("structural_bags", inputs, kept | {"covariates": list(covariates)}, make), vocabulary
+
+
+def structural_fit(spark, sf_dir) -> tuple[DataFrame, list[str], structural.Globals]:
+    """Bags, vocabulary and the fitted model, from the store if documents and settings are as they were."""
+    store = ResultStore(spark)
+    bags, vocabulary = structural_bags(spark, sf_dir, store)
+
+    def make():
+        model = structural.fit(bags, len(vocabulary), STRUCTURAL["topics"], STRUCTURAL["rounds"], STRUCTURAL["tolerance"], STRUCTURAL["seed"])
+        return structural.saved(spark, model)
+
+    return bags, vocabulary, structural.loaded(store.get("structural_model", [f"{sf_dir}/documents.parquet"], STRUCTURAL, make))
+
+
+@query
+def structural_topics(spark, sf_dir):
+    """The ten likeliest words of each topic of the structural model, with the rounds and the bound of its fit."""
+    _, vocabulary, model = structural_fit(spark, sf_dir)
+    rows = [(t, r, vocabulary[w], float(p[w]), len(model.bound), model.bound[-1]) for t, p in enumerate(model.beta) for r, w in enumerate(sorted(range(len(p)), key=lambda w: (-p[w], w))[:10], 1)]
+    return spark.createDataFrame(rows, "topic int, rank int, word string, probability double, rounds int, bound double")
+
+
+@query
+def structural_effects(spark, sf_dir):
+    """Effect of recession and decades on the share of each topic, by composition of 25 draws, with p of t(n - k)."""
+    bags, _, model = structural_fit(spark, sf_dir)
+    found = structural.effects(bags, model, ["constant", "recession", *[f"decade_{d}" for d in DECADES]], times=25, seed=STRUCTURAL["seed"])
+    rows = [(r["topic"], r["term"], r["coef"], r["se"], dist.t_p(r["coef"] / r["se"], r["df"]) if r["se"] > 0 and r["df"] > 0 else None, r["n"]) for r in found]
+    return spark.createDataFrame(rows, "topic int, term string, coef double, se double, p double, n bigint")
+
+
+@query
+def structural_quarterly(spark, sf_dir):
+    """Mean shares by quarter on recession and decade: small-sample HAC errors, p of t, Holm over the topics, percentage points."""
+    bags, _, model = structural_fit(spark, sf_dir)
+    theta = structural.shares(bags, model)
+    when = with_state(spark, records(spark, sf_dir).select("row_id", "yq", "decade"))
+    long = theta.join(when, "row_id").select("yq", "decade", "state", F.posexplode("theta").alias("topic", "share"))
+    p = long.groupBy("topic", "yq", "decade").agg(F.avg("share").alias("y"), F.max(F.col("state").cast("int")).alias("x"))
+    out = stats.hac(p, ["topic"], "yq", within=["decade"], adjust=2 + len(DECADES))
+    out = out.withColumn("p", dist.t_p_column("coef / se", f"n - {2 + len(DECADES)}"))
+    out = stats.holm(out, ties=("topic",))
+    return out.select("topic", (100 * F.col("coef")).alias("effect_pp"), (100 * F.col("se")).alias("se_pp"), (100 * (F.col("coef") - 1.96 * F.col("se"))).alias("low_pp"), (100 * (F.col("coef") + 1.96 * F.col("se"))).alias("high_pp"), "p", "p_holm", "n")
 
 
 @query
