@@ -197,13 +197,31 @@ def test_no_cell_is_sorted_whole(spark):
 
 def test_validated_join_and_checks(spark):
     a, b = spark.range(3), spark.createDataFrame([(1, "x"), (1, "y")], "id long, v string")
-    with pytest.raises(ValueError):
-        validation.unique_join(a, b, "id")
-    assert validation.unique_join(a, b.limit(1), "id").count() == 3
+    joined, found = validation.unique_join(a, b, "id")
+    joined.collect()
+    with pytest.raises(AssertionError, match="repeated keys"):
+        found.verdicts()
+    joined, found = validation.unique_join(a, b.limit(1), "id")
+    assert len(joined.collect()) == 3 and found.verdicts() == [("repeated keys", "PASS"), ("null keys", "PASS")]
+    for rows, said in (([(None, "x"), (2, "y")], "^null keys"), ([(None, "x")], "^not counted")):
+        joined, found = validation.unique_join(a, spark.createDataFrame(rows, "id long, v string"), "id")
+        joined.collect()
+        with pytest.raises(AssertionError, match=said):
+            found.verdicts()
     with pytest.raises(AssertionError):
         validation.checks([("soft", False, False), ("hard", False, True)])
 
 
+def test_checks_ride_on_the_pass(spark, tmp_path):
+    """The plan of a checked join scans and shuffles no more than that of the join."""
+    spark.range(50).withColumnRenamed("id", "k").write.parquet(f"{tmp_path}/a")
+    spark.range(50).select(F.col("id").alias("k"), F.lit(1).alias("v")).write.parquet(f"{tmp_path}/b")
+    a, b = spark.read.parquet(f"{tmp_path}/a"), spark.read.parquet(f"{tmp_path}/b")
+    joined, _ = validation.unique_join(a, b, "k")
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 2
+
+
 def test_permutations_agree_with_log_odds(spark):
     rows = [(f"{y}Q{q}", y // 10 * 10, q == 1 and y % 2 == 0, w, (y * q * (i + 3)) % 17 + 30) for y in range(1970, 1990) for q in (1, 2, 3, 4) for i, w in enumerate(("aaa", "bbb", "ccc"))]
     counts = spark.createDataFrame(rows, "yq string, decade long, recession boolean, word string, n long")

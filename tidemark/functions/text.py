@@ -33,6 +33,36 @@ def letter_tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"\p{L}+"), F.lit(0))
 
 
+def _class(*parts: str) -> str:
+    return f"[{''.join(parts)}]"
+
+
+# Classes of the word boundary rules (Unicode annex 29). Letters are those that aren't set without spaces.
+AH_LETTER = r"[\p{L}\p{Nl}&&[^\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]]"
+KATAKANA, JOINER = r"\p{IsKatakana}", r"[\p{Pc}\u202F]"
+FOLLOWING = r"[\p{M}\p{Cf}]*"
+MID_LETTER = ":\u00B7\u0387\u055F\u05F4\u2027\uFE13\uFE55\uFF1A"
+MID_BOTH = ".'\u2018\u2019\u2024\uFE52\uFF07\uFF0E"
+MID_NUMBER = ",;\u037E\u0589\u060C\u060D\u066C\u07F8\u2044\uFE10\uFE14\uFE50\uFE54\uFF0C\uFF1B"
+ALONE = r"[\p{IsHan}\p{IsHiragana}]"
+
+
+def word_pattern() -> str:
+    """Words between boundaries: letters that a mark may join to letters, digits to digits, and joiners with both.
+
+    Marks of extension and format characters go with what stands before them. Ideographs and hiragana stand alone.
+    """
+    letter, digit, katakana, joiner = (f"(?:{c}{FOLLOWING})" for c in (AH_LETTER, r"\p{Nd}", KATAKANA, JOINER))
+    between = lambda *marks: f"{_class(*marks)}{FOLLOWING}"
+    parts = [f"{letter}(?:{between(MID_LETTER, MID_BOTH)}{letter})*", f"{digit}(?:{between(MID_NUMBER, MID_BOTH)}{digit})*", katakana, joiner]
+    return f"(?:{'|'.join(parts)})+|{ALONE}{FOLLOWING}"
+
+
+def boundary_tokens(text: Column) -> Column:
+    """Words by the boundary rules in small letters, without those that hold no letter (numbers, joiners)."""
+    return F.filter(F.regexp_extract_all(F.lower(text), F.lit(word_pattern()), F.lit(0)), lambda w: w.rlike(r"\p{L}"))
+
+
 def as_boolean(text: Column) -> Column:
     """true and false, 1 and 0, yes and no in any case; null for all else."""
     low = F.lower(F.trim(text))

@@ -56,6 +56,20 @@ def scored(records: DataFrame, entries=LEXICON, outcomes=OUTCOMES, variant: str
     return records.withColumn("_s", found).drop("text").select("*", "_s.*").drop("_s")
 
 
+VARIANTS = ["all", "no_stopwords", "dictionary_only"]
+
+
+def scored_variants(records: DataFrame, entries=LEXICON, outcomes=OUTCOMES, variants: list[str] = VARIANTS) -> DataFrame:
+    """records without text, one row for each variant (column `variant`) with its total_words and counts; texts are read once."""
+    words = {(d, c): set(ws.split()) for d, c, ws in entries}
+    union = sorted(set().union(*words.values()))
+    keep = {"all": lambda t: t, "no_stopwords": lambda t: F.filter(t, lambda w: ~w.isin(STOPWORDS)), "dictionary_only": lambda t: F.filter(t, lambda w: w.isin(union))}
+    hits = lambda t, d, c: F.size(F.filter(t, lambda w: w.isin(sorted(words[d, c])))).cast("long")
+    one = lambda v: lambda t: F.struct(F.lit(v).alias("variant"), F.size(t).cast("long").alias("total_words"), *[hits(t, d, c).alias(o) for o, d, c in outcomes])
+    rows = F.transform(F.array(scoring_tokens(F.col("text"))), lambda t: F.concat(*[F.transform(F.array(keep[v](t)), one(v)) for v in variants]))[0]
+    return records.withColumn("_s", rows).drop("text").select(*[c for c in records.columns if c != "text"], F.inline("_s"))
+
+
 def ratio(count: str, total: str = "total_words") -> Column:
     """Share of words, 0 without words."""
     return F.when(F.col(total) > 0, F.col(count) / F.col(total)).otherwise(F.lit(0.0))

@@ -30,11 +30,26 @@ def gaps(panel: DataFrame, by: list[str], state: Column) -> DataFrame:
     return out.withColumns({"gap": gap, "pct_of_level": 100 * gap / ((F.col("mean_recession") + F.col("mean_expansion")) / 2), "pct_of_mean": 100 * gap / F.col("mean_y")})
 
 
-def sector_shares(records: DataFrame, key: str = "yq") -> DataFrame:
-    """Long table of each sector's share of a quarter's records."""
-    counts = records.groupBy(key, "sector").agg(F.count("*").alias("n"))
-    totals = records.groupBy(key).agg(F.count("*").alias("ads"))
-    return counts.join(totals, key).select(key, "sector", (F.col("n") / F.col("ads")).alias("share"))
+def columns_by_suffix(df: DataFrame, suffix: str) -> list[str]:
+    return [c for c in df.columns if c.endswith(suffix)]
+
+
+def reproduced(candidates: DataFrame, names: list[str], stored: DataFrame, key: str = "yq", value: str = "value", tolerance: float = 1e-6) -> DataFrame:
+    """candidate, max_error, points, chosen: which of the columns `names` gives a stored series again.
+
+    All columns are held against it in one pass. A column is chosen if it has every point of the series (and no
+    other) with an error below the tolerance; reading the result fails unless exactly one is chosen.
+    """
+    both = candidates.select(key, *names).join(stored.select(key, F.col(value).alias("_stored")), key, "full")
+    miss = lambda c: F.col(c).isNull() != F.col("_stored").isNull()
+    error = lambda c: F.max(F.when(miss(c), F.lit(float("inf"))).otherwise(F.abs(F.col(c) - F.col("_stored"))))
+    parts = both.agg(*[F.struct(F.lit(c).alias("candidate"), error(c).alias("max_error"), F.count_if(F.col(c).isNotNull() & F.col("_stored").isNotNull()).alias("points")).alias(f"_{i}") for i, c in enumerate(names)])
+    found = parts.select(F.array(*[f"_{i}" for i in range(len(names))]).alias("c"))
+    good = lambda x: (x["max_error"] < tolerance) & (x["points"] > 0)
+    winners = F.size(F.filter("c", good))
+    said = F.concat(winners.cast("string"), F.lit(" columns give the stored series again; one was wanted"))
+    checked = found.withColumn("c", F.when(winners == 1, F.col("c")).otherwise(F.raise_error(said).cast(found.schema["c"].dataType)))
+    return checked.select(F.explode("c").alias("x")).select("x.*", F.coalesce(good(F.col("x")), F.lit(False)).alias("chosen"))
 
 
 def shift_share(rows: DataFrame) -> DataFrame:

@@ -149,6 +149,12 @@ def _macro_controls() -> str:
     return f"SELECT outcome, model, sample, term, round(coef, 9) AS coef, round(se_hac, 9) AS se_hac, round(greatest(0, {normal}), 9) AS p_hac, round(se_hc3, 9) AS se_hc3, round(r2, 9) AS r2, round(f, 9) AS f, round(f_p, 9) AS f_p, round(bp_lm, 9) AS bp_lm, round(bp_lm_p, 9) AS bp_lm_p, n FROM ({' UNION ALL '.join(parts)})"
 
 
+_VARIANTS = ("all", "no_stopwords", "dictionary_only")
+# Word boundaries of Latin text, written out apart from the query's classes.
+_FOLLOW = r"[\p{M}\p{Cf}]*"
+_LETTER, _DIGIT = rf"[\p{{L}}\p{{Nl}}]{_FOLLOW}", rf"\p{{Nd}}{_FOLLOW}"
+_BOTH = r".''\x{2018}\x{2019}\x{2024}\x{FE52}\x{FF07}\x{FF0E}"
+_WORD_RULE = rf"(?:{_LETTER}(?:[:\x{{B7}}\x{{387}}\x{{55F}}\x{{5F4}}\x{{2027}}\x{{FE13}}\x{{FE55}}\x{{FF1A}}{_BOTH}]{_FOLLOW}{_LETTER})*|{_DIGIT}(?:[,;\x{{37E}}\x{{589}}\x{{60C}}\x{{60D}}\x{{66C}}\x{{7F8}}\x{{2044}}\x{{FE10}}\x{{FE14}}\x{{FE50}}\x{{FE54}}\x{{FF0C}}\x{{FF1B}}{_BOTH}]{_FOLLOW}{_DIGIT})*|[\p{{Pc}}\x{{202F}}]{_FOLLOW})+"
 _N = r"regexp_replace(regexp_replace(lower(text), '-\s+', '', 'g'), '\s+', ' ', 'g')"
 _TOKENS = r"len(regexp_extract_all(text, '\S+'))"
 _HEAD = f"len(regexp_extract_all(text, {_q(HEADER)}))"
@@ -324,6 +330,10 @@ SQL: dict[str, str] = {
       b AS (SELECT sum(xt * yt) / sum(xt * xt) AS b, sum(xt * xt) AS sxx, count(*) AS n FROM d), g AS (SELECT year, sum(xt * (yt - b * xt)) AS s FROM d, b GROUP BY year), k AS (SELECT count(*) AS g, sum(s * s) AS s2 FROM g)
       SELECT round(b, 9) AS coef, round(sqrt(s2 * g / (g - 1) * (n - 1) / (n - 1)) / sxx, 9) AS se, n, g AS clusters FROM b, k""",
     "year_range": "SELECT year(o_orderdate) || 'Q' || quarter(o_orderdate) AS yq, count(*) AS orders FROM orders WHERE year(o_orderdate) BETWEEN 1996 AND 1999 GROUP BY 1",
+    "segmented_words": rf"""WITH {ADS}, t AS (SELECT decade, list_filter(regexp_extract_all(lower(text), '{_WORD_RULE}'), lambda w: regexp_matches(w, '\p{{L}}')) AS w FROM ads)
+      SELECT decade, CAST(sum(len(w)) AS BIGINT) AS words, CAST(sum(len(list_filter(w, lambda x: regexp_matches(x, '[''.:\x{{2019}}]')))) AS BIGINT) AS marked, CAST(sum(len(list_filter(w, lambda x: regexp_matches(x, '[0-9]')))) AS BIGINT) AS with_digits FROM t GROUP BY decade""",
+    "measure_discovery": f"WITH {ADS}, {', '.join(_scores(v, 's_' + v) for v in _VARIANTS)}, {', '.join(_series('macro', 's_' + v, 'q_' + v) for v in _VARIANTS)}, st AS (SELECT yq, harvard_neg AS value FROM q_no_stopwords), c AS ({' UNION ALL '.join(f"SELECT '{v}_{o}_ratio' AS candidate, (SELECT max(CASE WHEN (q.{o} IS NULL) <> (st.value IS NULL) THEN CAST('Infinity' AS DOUBLE) ELSE abs(q.{o} - st.value) END) FROM q_{v} q FULL JOIN st USING (yq)) AS max_error, (SELECT count(*) FROM q_{v} JOIN st USING (yq)) AS points" for v in _VARIANTS for o in OUT)}) SELECT candidate, round(max_error, 9) AS max_error, points, max_error < 1e-6 AND points > 0 AS chosen FROM c",
+    "checked_labels": f"WITH {ADS}, {VERSIONS}, {LABELLED} SELECT decade, count(*) AS labelled, count(*) FILTER (non_ad) AS non_ads, count(*) FILTER (v3 = non_ad) AS agree FROM l GROUP BY decade",
     "letter_words": rf"WITH {ADS}, t AS (SELECT decade, len(regexp_extract_all(lower(text), '\p{{L}}+')) AS n FROM ads) SELECT decade, CAST(sum(n) AS BIGINT) AS words, max(n) AS longest FROM t GROUP BY decade",
     "holm": "WITH p AS (SELECT s_suppkey, (s_suppkey * 37 % 101) / 5000 AS p FROM supplier) SELECT s_suppkey, round(p, 9) AS p, round(least(1, max((m - i + 1) * p) OVER (ORDER BY p, s_suppkey ROWS UNBOUNDED PRECEDING)), 9) AS p_holm FROM (SELECT *, row_number() OVER (ORDER BY p, s_suppkey) AS i, count(*) OVER () AS m FROM p)",
     "model_grid": f"SELECT {_GRID_KEY}, {_r(['coef', 'se', 'p', 'mean_y', 'pct_of_mean', 'ci_low_pct', 'ci_high_pct'])}, n FROM ({_GRID})",

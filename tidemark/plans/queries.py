@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -83,8 +82,7 @@ def variant_dictionary_only(spark, sf_dir):
 
 @query
 def denominator_comparison(spark, sf_dir):
-    parts = [scores(spark, sf_dir, v).withColumn("variant", F.lit(v)) for v in ("all", "no_stopwords", "dictionary_only")]
-    rows = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    rows = lexicon.scored_variants(records(spark, sf_dir))
     out = rows.groupBy("variant").agg(F.avg("total_words").alias("mean_words"), F.median("total_words").alias("median_words"), F.count_if(F.col("total_words") == 0).alias("no_words"), F.avg(lexicon.ratio("harvard_pos")).alias("mean_ratio"))
     return rounded(out, "mean_words", "mean_ratio")
 
@@ -116,12 +114,14 @@ def rule_agreement(spark, sf_dir):
 
 @query
 def recession_gap_grid(spark, sf_dir):
-    parts = []
-    for kind in ("macro", "pooled"):
-        p = panel(spark, sf_dir, kind)
-        parts += [series.gaps(p, ["outcome"], F.col(x) == 1).select(F.lit(kind).alias("aggregation"), F.lit(d).alias("definition"), "outcome", "gap") for x, d in (("x", "majority"), ("x_any", "any"))]
-    out = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
-    return rounded(out, "gap")
+    """Both aggregations of each quarter from one scan, then the gap under both definitions."""
+    s = scores(spark, sf_dir).filter("total_words > 0")
+    macro, pooled = (F.array(*[F.struct(F.lit(o).alias("outcome"), y(o).alias("y")) for o in OUT]) for y in (lambda o: 100 * F.avg(F.col(o) / F.col("total_words")), lambda o: 100 * F.sum(o) / F.sum("total_words")))
+    q = s.groupBy("yq").agg(macro.alias("macro"), pooled.alias("pooled"))
+    long = q.select("yq", F.explode(F.create_map(F.lit("macro"), "macro", F.lit("pooled"), "pooled")).alias("aggregation", "rows")).select("yq", "aggregation", F.inline("rows"))
+    state = F.explode(F.create_map(F.lit("majority"), F.col("recession_majority"), F.lit("any"), F.col("recession_any"))).alias("definition", "state")
+    p = long.join(F.broadcast(cycle.calendar(spark).select("yq", state)), "yq")
+    return rounded(series.gaps(p, ["aggregation", "definition", "outcome"], F.col("state")).select("aggregation", "definition", "outcome", "gap"), "gap")
 
 
 @query
@@ -140,16 +140,23 @@ def aggregation_comparison(spark, sf_dir):
 
 @query
 def sensitivity_range(spark, sf_dir):
-    parts = []
-    cal = F.broadcast(cycle.calendar(spark).select("yq", "recession_majority"))
-    for v in ("all", "no_stopwords", "dictionary_only"):
-        long = series.long_panel(series.macro(scores(spark, sf_dir, v), OUT), OUT, variant=v).join(cal, "yq")
-        parts.append(series.gaps(long, ["outcome", "variant"], F.col("recession_majority")))
-    rows = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    out = rows.groupBy("outcome").agg((F.max("pct_of_level") - F.min("pct_of_level")).alias("range_pct"), F.bool_and(F.col("gap") > 0).alias("all_up"), F.bool_and(F.col("gap") < 0).alias("all_down"))
+    rows = lexicon.scored_variants(records(spark, sf_dir)).filter("total_words > 0")
+    q = rows.groupBy("variant", "yq").agg(*[(100 * F.avg(F.col(o) / F.col("total_words"))).alias(o) for o in OUT])
+    long = q.select("variant", "yq", F.inline(F.array(*[F.struct(F.lit(o).alias("outcome"), F.col(o).alias("y")) for o in OUT])))
+    parts = series.gaps(with_state(spark, long), ["outcome", "variant"], F.col("state"))
+    out = parts.groupBy("outcome").agg((F.max("pct_of_level") - F.min("pct_of_level")).alias("range_pct"), F.bool_and(F.col("gap") > 0).alias("all_up"), F.bool_and(F.col("gap") < 0).alias("all_down"))
     return rounded(out, "range_pct")
 
 
+@query
+def measure_discovery(spark, sf_dir):
+    """Which of twelve measures gives a stored quarterly series again (that of stopword-free negative words), in one scan."""
+    rows = lexicon.scored_variants(records(spark, sf_dir)).filter("total_words > 0")
+    wide = rows.groupBy("yq").pivot("variant", lexicon.VARIANTS).agg(*[(100 * F.avg(F.col(o) / F.col("total_words"))).alias(f"{o}_ratio") for o in OUT])
+    stored = ResultStore(spark).get("stored_series", [f"{sf_dir}/documents.parquet"], {"measure": "harvard_neg"}, lambda: series.macro(scores(spark, sf_dir, "no_stopwords"), ["harvard_neg"]).select("yq", F.col("harvard_neg").alias("value")))
+    return rounded(series.reproduced(wide, series.columns_by_suffix(wide, "_ratio"), stored), "max_error")
+
+
 @query
 def quality_flags_v1(spark, sf_dir):
     return filters.flags(records(spark, sf_dir), BLOCKLIST, HEADER)
@@ -201,8 +208,21 @@ def labelled(spark, sf_dir):
 
 @query
 def confusion_metrics(spark, sf_dir):
-    parts = [validation.rates(validation.confusion(labelled(spark, sf_dir), v, "non_ad")).withColumn("version", F.lit(v)) for v in ("v1", "v2", "v3")]
-    return rounded(parts[0].unionByName(parts[1]).unionByName(parts[2]), "precision", "recall", "specificity", "agreement", "residual")
+    """All versions against the labels, in one pass over the texts."""
+    rows = labelled(spark, sf_dir).select("non_ad", F.inline(F.array(*[F.struct(F.lit(v).alias("version"), F.col(v).alias("flag")) for v in ("v1", "v2", "v3")])))
+    cells = validation.confusion_by(rows, ["version"], "flag", "non_ad")
+    return rounded(validation.rates(cells), "precision", "recall", "specificity", "agreement", "residual")
+
+
+@query
+def checked_labels(spark, sf_dir):
+    """Labels beside the filter's verdict, with checks that ride on the pass that writes them: unique keys, no null label, full agreement of the row counts."""
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("row_id"), (F.col("quality") == 0).alias("non_ad"))
+    joined, keys = validation.unique_join(filters.versions(records(spark, sf_dir), BLOCKLIST, RULES, HEADER).select("row_id", "decade", "v3"), labels, "row_id", "inner")
+    values = validation.Carried([("null flags", F.count_if(F.col("v3").isNull()), lambda n: n == 0, True), ("rows", F.count("*"), lambda n: n > 0, True), ("both classes", F.count_if("non_ad"), lambda n: n > 0, False)])
+    inputs = [f"{sf_dir}/documents.parquet", f"{sf_dir}/labels.parquet"]
+    out = ResultStore(spark).get("checked_labels", inputs, {"code": 1}, lambda: values.watch(joined), lambda: [*keys.verdicts(), *values.verdicts()])
+    return out.groupBy("decade").agg(F.count("*").alias("labelled"), F.count_if("non_ad").alias("non_ads"), F.count_if(F.col("v3") == F.col("non_ad")).alias("agree"))
 
 
 @query
@@ -471,6 +491,14 @@ def letter_words(spark, sf_dir):
     return rows.groupBy("decade").agg(F.sum("n").alias("words"), F.max("n").alias("longest"))
 
 
+@query
+def segmented_words(spark, sf_dir):
+    """Words by the boundary rules, by decade: how many, how many with a mark inside, how many of letters and digits."""
+    rows = records(spark, sf_dir).select("decade", X.boundary_tokens(F.col("text")).alias("w"))
+    count = lambda test: F.sum(F.size(F.filter("w", test))).cast("long")
+    return rows.groupBy("decade").agg(F.sum(F.size("w")).cast("long").alias("words"), count(lambda w: w.rlike(r"['.:\u2019]")).alias("marked"), count(lambda w: w.rlike("[0-9]")).alias("with_digits"))
+
+
 VERSIONS = ["none", "v1", "v2", "v3"]
 AD_SPECS = [("decade", "decade", None), ("decade+advertiser", "brand_key", "decade")]
 GRID_KEY = ["version", "level", "aggregation", "definition", "outcome", "spec"]
@@ -478,6 +506,11 @@ ESTIMATES = ["coef", "se", "p", "mean_y", "pct_of_mean", "ci_low_pct", "ci_high_
 
 
 def cell_sums(spark, sf_dir):
+    """The sums that the grid is made of, from the store while the documents are as they were."""
+    return ResultStore(spark).get("cell_sums", [f"{sf_dir}/documents.parquet"], {"versions": VERSIONS, "outcomes": OUT}, lambda: grouped_cells(spark, sf_dir))
+
+
+def grouped_cells(spark, sf_dir):
     """version, brand_key, yq: n, words, and for each outcome the sum of counts (c_) and of ratios in percent (y_).
 
     All of the grid is computed from this table: the texts are read once and grouped once, for every filter version.
@@ -487,7 +520,7 @@ def cell_sums(spark, sf_dir):
     kept = F.array_compact(F.array(F.lit("none"), *[F.when(~F.col(v), F.lit(v)) for v in flags]))
     rows = rows.select(F.explode(kept).alias("version"), F.coalesce(X.brand_key(F.col("brand")), F.lit("(missing brand)")).alias("brand_key"), "yq", "total_words", *OUT)
     sums = [f for o in OUT for f in (F.sum(o).alias(f"c_{o}"), F.sum(100 * F.col(o) / F.col("total_words")).alias(f"y_{o}"))]
-    return rows.groupBy("version", "brand_key", "yq").agg(F.count("*").alias("n"), F.sum("total_words").alias("words"), *sums).persist(StorageLevel.DISK_ONLY)
+    return rows.groupBy("version", "brand_key", "yq").agg(F.count("*").alias("n"), F.sum("total_words").alias("words"), *sums)
 
 
 def quarterly_grid(spark, sums):
@@ -615,7 +648,7 @@ def word_freq_by_decade(spark, sf_dir):
 
 @query
 def fightin_words(spark, sf_dir):
-    counts = words.word_counts(with_state(spark, records(spark, sf_dir)).withColumnRenamed("state", "recession"), ["decade", "recession"])
+    counts = stated_counts(spark, sf_dir).groupBy("decade", "recession", "word").agg(F.sum("n").alias("n"))
     return rounded(words.log_odds(counts), "delta", "z")
 
 
@@ -625,9 +658,9 @@ def vocab_concentration(spark, sf_dir):
 
 
 def stated_counts(spark, sf_dir):
-    """Word counts by quarter, decade and state, kept for the query so that the texts are read once."""
-    counts = words.word_counts(with_state(spark, records(spark, sf_dir)).withColumnRenamed("state", "recession"), ["yq", "decade", "recession"])
-    return counts.persist(StorageLevel.DISK_ONLY)
+    """Word counts by quarter, decade and state, stored so that the texts are read once for all contrasts."""
+    make = lambda: words.word_counts(with_state(spark, records(spark, sf_dir)).withColumnRenamed("state", "recession"), ["yq", "decade", "recession"])
+    return ResultStore(spark).get("stated_counts", [f"{sf_dir}/documents.parquet"], {}, make)
 
 
 def permutations(spark, sf_dir, times: int = 500):
