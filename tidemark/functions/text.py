@@ -74,6 +74,12 @@ def excerpt(text: Column, pattern: str, around: int = 150) -> Column:
     return F.nullif(F.regexp_extract(text, rf"(?is).{{0,{around}}}(?:{pattern}).{{0,{around}}}", 0), F.lit(""))
 
 
+def excerpt_from(text: Column, pattern: str, before: int = 150, length: int = 600) -> Column:
+    """`length` characters from `before` ahead of the first match on; null without one."""
+    at = F.regexp_instr(text, F.lit(pattern))
+    return F.when(at > 0, F.substring(text, F.greatest(at - before, F.lit(1)), F.lit(length)))
+
+
 def word_count(text: Column) -> Column:
     return F.regexp_count(text, F.lit(r"\S+"))
 

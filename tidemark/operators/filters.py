@@ -76,3 +76,14 @@ def strata(records: DataFrame, cues: list[str], quantile: float = 0.85) -> DataF
     cut = counted.groupBy("decade").agg(F.percentile("words", F.lit(quantile)).alias("cut"))
     stratum: Column = F.when(F.col("cue"), "cue").when(F.col("words") >= F.col("cut"), "long").otherwise("other")
     return counted.join(cut, "decade").select("row_id", "decade", "words", stratum.alias("stratum"))
+
+
+def rederived(records: DataFrame, blocklist: list[str]) -> DataFrame:
+    """row_id, listed, named: whether the brand is on the list as written, and whether it is one of the brands so found, in any case.
+
+    The brands found are at most as many as the list has entries, so they are broadcast.
+    """
+    brand = F.trim(F.coalesce("brand", F.lit("")))
+    rows = records.select("row_id", brand.isin(blocklist).alias("listed"), F.lower(brand).alias("_brand"))
+    found = rows.filter("listed").select("_brand").distinct().withColumn("_found", F.lit(True))
+    return rows.join(F.broadcast(found), "_brand", "left").select("row_id", "listed", F.coalesce("_found", F.lit(False)).alias("named"))

@@ -244,16 +244,16 @@ def _records(spec: str, effect: str, dummies: tuple[int, ...]) -> str:
       SELECT version, outcome, b AS coef, sqrt(s2 * g / (g - 1)) / sxx AS se, mean_y, n, g FROM b JOIN k USING (version, outcome))"""
 
 
-def _two_way() -> str:
+def _two_way(effect: str = "brand_key") -> str:
     dummies = (1980, 1990, 2000, 2010)
     names = [*[f"c{i}" for i in range(len(dummies))], "xt", "yt"]
     cols = dict(zip(names, [*[f"CAST(decade = {d} AS INTEGER)" for d in dummies], "x", "y"], strict=True))
-    chain = [f"d0 AS (SELECT brand_key, year, {', '.join(f'{v} - avg({v}) OVER (PARTITION BY brand_key) AS {k}' for k, v in cols.items())} FROM r)"]
+    chain = [f"d0 AS (SELECT {effect}, year, {', '.join(f'{v} - avg({v}) OVER (PARTITION BY {effect}) AS {k}' for k, v in cols.items())} FROM r)"]
     for i in range(len(dummies)):
         rest = ", ".join(f"{n} - coalesce(sum({n} * c{i}) OVER () / nullif(sum(c{i} * c{i}) OVER (), 0), 0) * c{i} AS {n}" for n in names[i + 1 :])
         chain.append(f"d{i + 1} AS (SELECT * REPLACE ({rest}) FROM d{i})")
     last = f"d{len(dummies)}"
-    return f"""{BASE}, {SECTORED}, {STATED}, {RATIO}, r AS (SELECT brand_key, year, decade, CAST(state AS INTEGER) AS x, y FROM stt JOIN ry USING (row_id)), {", ".join(chain)},
+    return f"""{BASE}, {SECTORED}, {STATED}, {RATIO}, r AS (SELECT {effect}, year, decade, CAST(state AS INTEGER) AS x, y FROM stt JOIN ry USING (row_id)), {", ".join(chain)},
       b AS (SELECT sum(xt * yt) / sum(xt * xt) AS b, sum(xt * xt) AS sxx, count(*) AS n FROM {last}), g AS (SELECT year, sum(xt * (yt - b * xt)) AS s FROM {last}, b GROUP BY year), k AS (SELECT count(*) AS g, sum(s * s) AS s2 FROM g)
       SELECT round(b, 9) AS coef, round(sqrt(s2 * g / (g - 1)) / sxx, 9) AS se, n, g AS clusters FROM b, k"""
 
@@ -274,7 +274,7 @@ SQL: dict[str, str] = {
     + " UNION ALL ".join(f"SELECT '{v}' AS variant, round(avg(total_words), 9) AS mean_words, median(total_words) AS median_words, count(*) FILTER (total_words = 0) AS no_words, round(avg(CASE WHEN total_words > 0 THEN harvard_pos / total_words ELSE 0 END), 9) AS mean_ratio FROM s_{v}" for v in ("all", "no_stopwords", "dictionary_only")),
     "quarterly_macro": f"{BASE}, {_series('macro')} SELECT yq, {_r(OUT)}, ads FROM q",
     "quarterly_pooled": f"{BASE}, {_series('pooled')} SELECT yq, {_r(OUT)}, ads FROM q",
-    "cycle_calendar": f"WITH {CAL} SELECT * FROM cal",
+    "cycle_calendar": f"WITH {CAL}, {ADS} SELECT cal.*, count(row_id) AS records FROM cal LEFT JOIN ads USING (yq) GROUP BY ALL",
     "technical_recession": f"WITH {REVENUE}, {GROWTH} SELECT yq, value, round(growth, 9) AS growth, technical FROM gr",
     "rule_agreement": f"WITH {CAL}, {REVENUE}, {GROWTH} SELECT count(*) FILTER (recession_majority = technical) AS agree, count(*) FILTER (recession_majority AND NOT technical) AS missed, count(*) FILTER (NOT recession_majority AND technical) AS added FROM gr JOIN cal USING (yq) WHERE growth IS NOT NULL",
     "recession_gap_grid": _BOTH + " " + " UNION ALL ".join(_gap_parts(k, x, d) for k in ("macro", "pooled") for x, d in (("x", "majority"), ("x_any", "any"))),
@@ -326,6 +326,7 @@ SQL: dict[str, str] = {
       b AS (SELECT sum(xt * yt) / sum(xt * xt) AS b, sum(xt * xt) AS sxx, count(*) AS n FROM d), g AS (SELECT year, sum(xt * (yt - b * xt)) AS s FROM d, b GROUP BY year), k AS (SELECT count(*) AS g, sum(s * s) AS s2 FROM g)
       SELECT round(b, 9) AS coef, round(sqrt(s2 * g / (g - 1) * (n - 1) / (n - 1)) / sxx, 9) AS se, n, g AS clusters FROM b, k""",
     "fe_two_way_cluster": _two_way(),
+    "fe_decade_sector": _two_way("sector"),
     "fe_switchers": f"""{BASE}, {SECTORED}, {STATED}, {RATIO}, sw AS (SELECT brand_key FROM stt GROUP BY 1 HAVING count(*) >= 2 AND bool_or(state) AND NOT bool_and(state)), d AS (SELECT brand_key, year, y - avg(y) OVER w AS yt, CAST(state AS INTEGER) - avg(CAST(state AS INTEGER)) OVER w AS xt FROM stt JOIN ry USING (row_id) JOIN sw USING (brand_key) WINDOW w AS (PARTITION BY brand_key)),
       b AS (SELECT sum(xt * yt) / sum(xt * xt) AS b, sum(xt * xt) AS sxx, count(*) AS n FROM d), g AS (SELECT year, sum(xt * (yt - b * xt)) AS s FROM d, b GROUP BY year), k AS (SELECT count(*) AS g, sum(s * s) AS s2 FROM g)
       SELECT round(b, 9) AS coef, round(sqrt(s2 * g / (g - 1) * (n - 1) / (n - 1)) / sxx, 9) AS se, n, g AS clusters FROM b, k""",
@@ -335,7 +336,15 @@ SQL: dict[str, str] = {
     "measure_discovery": f"WITH {ADS}, {', '.join(_scores(v, 's_' + v) for v in _VARIANTS)}, {', '.join(_series('macro', 's_' + v, 'q_' + v) for v in _VARIANTS)}, st AS (SELECT yq, harvard_neg AS value FROM q_no_stopwords), c AS ({' UNION ALL '.join(f"SELECT '{v}_{o}_ratio' AS candidate, (SELECT max(CASE WHEN (q.{o} IS NULL) <> (st.value IS NULL) THEN CAST('Infinity' AS DOUBLE) ELSE abs(q.{o} - st.value) END) FROM q_{v} q FULL JOIN st USING (yq)) AS max_error, (SELECT count(*) FROM q_{v} JOIN st USING (yq)) AS points" for v in _VARIANTS for o in OUT)}) SELECT candidate, round(max_error, 9) AS max_error, points, max_error < 1e-6 AND points > 0 AS chosen FROM c",
     "checked_labels": f"WITH {ADS}, {VERSIONS}, {LABELLED} SELECT decade, count(*) AS labelled, count(*) FILTER (non_ad) AS non_ads, count(*) FILTER (v3 = non_ad) AS agree FROM l GROUP BY decade",
     "letter_words": rf"WITH {ADS}, t AS (SELECT decade, len(regexp_extract_all(lower(text), '\p{{L}}+')) AS n FROM ads) SELECT decade, CAST(sum(n) AS BIGINT) AS words, max(n) AS longest FROM t GROUP BY decade",
-    "holm": "WITH p AS (SELECT s_suppkey, (s_suppkey * 37 % 101) / 5000 AS p FROM supplier) SELECT s_suppkey, round(p, 9) AS p, round(least(1, max((m - i + 1) * p) OVER (ORDER BY p, s_suppkey ROWS UNBOUNDED PRECEDING)), 9) AS p_holm FROM (SELECT *, row_number() OVER (ORDER BY p, s_suppkey) AS i, count(*) OVER () AS m FROM p)",
+    "holm": f"""WITH o AS (SELECT l_suppkey AS s_suppkey, count(*) AS n, CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS BIGINT) AS total, stddev_samp(CAST(round(l_extendedprice * 100) AS BIGINT)) AS sd FROM lineitem GROUP BY 1),
+      z AS (SELECT s_suppkey, (total / n - (SELECT CAST(sum(total) AS BIGINT) / CAST(sum(n) AS BIGINT) FROM o)) / (sd / sqrt(n)) AS coef, 1.0 AS se FROM o WHERE n > 1 AND sd > 0), p AS (SELECT s_suppkey, round({_NORMAL_P}, 9) AS p FROM z)
+      SELECT s_suppkey, p, round(least(1, max((m - i + 1) * p) OVER (ORDER BY p, s_suppkey ROWS UNBOUNDED PRECEDING)), 9) AS p_holm FROM (SELECT *, row_number() OVER (ORDER BY p, s_suppkey) AS i, count(*) OVER () AS m FROM p)""",
+    "blocklist_rederived": f"WITH {ADS}, l AS (SELECT row_id, trim(coalesce(brand, '')) AS b FROM ads) SELECT row_id, b IN {_in(BLOCKLIST)} AS listed, lower(b) IN (SELECT lower(b) FROM l WHERE b IN {_in(BLOCKLIST)}) AS named FROM l",
+    "caught_by_reason": f"WITH {ADS}, {VERSIONS}, {LABELLED} SELECT CASE WHEN b.toxic = 1 THEN 'toxic' ELSE 'other' END AS reason, count(*) AS non_ads, count(*) FILTER (NOT v3) AS missed FROM l JOIN labels b ON l.row_id = b.doc_id WHERE non_ad GROUP BY 1",
+    "audit_excerpts": f"""WITH {ADS}, h AS (SELECT row_id, {_HITS} FROM ads WHERE row_id NOT IN (SELECT doc_id FROM labels)), u AS ({' UNION ALL '.join(f'SELECT {_q(r)} AS rule, row_id FROM h WHERE rule_{r}' for r in RULES)}),
+      d AS (SELECT rule, row_id FROM (SELECT *, row_number() OVER (PARTITION BY rule ORDER BY md5('314:' || rule || ':' || row_id), row_id) AS k FROM u) WHERE k <= 30),
+      m AS (SELECT rule, row_id, t, CASE rule {' '.join(f'WHEN {_q(k)} THEN regexp_extract(t, {_any(p)})' for k, p in RULES.items())} END AS matched FROM d JOIN (SELECT row_id, {_N} AS t FROM ads) USING (row_id))
+      SELECT rule, row_id, matched, substr(t, greatest(strpos(t, matched) - 150, 1), 600) AS excerpt FROM m""",
     "model_grid": f"SELECT {_GRID_KEY}, {_r(['coef', 'se', 'p', 'mean_y', 'pct_of_mean', 'ci_low_pct', 'ci_high_pct'])}, n FROM ({_GRID})",
     "ladder": f"""SELECT outcome, level, spec, version, {_r(['pct_of_mean', 'ci_low_pct', 'ci_high_pct', 'p'])}, n, round(max(pct_of_mean) FILTER (version = 'v3') OVER w - max(pct_of_mean) FILTER (version = 'none') OVER w, 9) AS shift
       FROM ({_GRID}) WHERE version IN ('none', 'v3') AND (level = 'ad' OR (aggregation = 'macro' AND definition = 'majority')) WINDOW w AS (PARTITION BY outcome, level, spec)""",

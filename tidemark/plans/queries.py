@@ -99,7 +99,9 @@ def quarterly_pooled(spark, sf_dir):
 
 @query
 def cycle_calendar(spark, sf_dir):
-    return cycle.calendar(spark)
+    """The calendar with the records of each quarter."""
+    n = records(spark, sf_dir).groupBy("yq").agg(F.count("*").alias("records"))
+    return cycle.calendar(spark).join(F.broadcast(n), "yq", "left").fillna(0, ["records"])
 
 
 @query
@@ -444,8 +446,8 @@ def effect_sums(spark, sf_dir):
     return rows.groupBy("brand_key", "year", "decade", F.col("state").cast("int").alias("x")).agg(F.count("*").alias("ads"), F.count("y").alias("n"), F.sum("y").alias("y"))
 
 
-def one_effect(sums, **how):
-    r = stats.absorbed_sums(sums.filter("n > 0").withColumn("cell", F.lit("all")), "cell", "brand_key", "year", ["y"], **how)
+def one_effect(sums, effect="brand_key", **how):
+    r = stats.absorbed_sums(sums.filter("n > 0").withColumn("cell", F.lit("all")), "cell", effect, "year", ["y"], **how)
     rows = [(round(x["coef"], 9), round(x["se"], 9), x["n"], x["clusters"]) for x in r]
     return sums.sparkSession.createDataFrame(rows, "coef double, se double, n bigint, clusters bigint")
 
@@ -461,10 +463,21 @@ def fe_two_way_cluster(spark, sf_dir):
     return one_effect(effect_sums(spark, sf_dir), dummies="decade", levels=tuple(range(1950, 2020, 10)))
 
 
+@query
+def fe_decade_sector(spark, sf_dir):
+    """Sectors absorbed, decades as dummies."""
+    sums = effect_sums(spark, sf_dir).withColumn("sector", X.first_rule(F.col("brand_key"), SECTORS))
+    return one_effect(sums, "sector", dummies="decade", levels=tuple(range(1950, 2020, 10)))
+
+
 @query
 def holm(spark, sf_dir):
-    """The step-down correction over all suppliers, equal p-values in the order of their keys."""
-    p = table(spark, sf_dir, "supplier").select("s_suppkey", (F.pmod(F.col("s_suppkey") * 37, F.lit(101)) / 5000).alias("p"))
+    """The step-down correction over all suppliers: does a supplier's mean price differ from the mean of all?"""
+    price = F.round(F.col("l_extendedprice") * 100).cast("long")
+    own = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("s_suppkey")).agg(F.count("*").alias("n"), F.sum(price).alias("total"), F.stddev_samp(price.cast("double")).alias("sd"))
+    grand = own.agg((F.sum("total") / F.sum("n")).alias("grand"))
+    z = own.join(F.broadcast(grand)).filter("n > 1 and sd > 0").select("s_suppkey", ((F.col("total") / F.col("n") - F.col("grand")) / (F.col("sd") / F.sqrt("n"))).alias("z"))
+    p = z.select("s_suppkey", F.round(dist.normal_p_column(F.col("z"), F.lit(1.0)), 9).alias("p"))
     return rounded(stats.holm(p, ties=("s_suppkey",)), "p", "p_holm")
 
 
@@ -620,6 +633,33 @@ def rule_excerpts(spark, sf_dir):
     return records(spark, sf_dir).select("row_id", found.alias("excerpt")).filter("excerpt is not null")
 
 
+@query
+def audit_excerpts(spark, sf_dir):
+    """What each record of the audit sample was hit by, and 600 characters from 150 ahead of it on."""
+    known = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("row_id"))
+    r = records(spark, sf_dir)
+    drawn = sampling.audit(filters.rule_hits(r, RULES), list(RULES), 30, 314, known)
+    text = X.normalized(F.col("text"))
+    found = {k: "|".join(f"(?:{p})" for p in ps) for k, ps in RULES.items()}
+    pick = lambda f: F.coalesce(*[F.when(F.col("rule") == k, f(p)) for k, p in found.items()])
+    # The sample is at most 30 rows a rule.
+    return r.join(F.broadcast(drawn), "row_id").select("rule", "row_id", pick(lambda p: F.regexp_extract(text, p, 0)).alias("matched"), pick(lambda p: X.excerpt_from(text, p)).alias("excerpt"))
+
+
+@query
+def blocklist_rederived(spark, sf_dir):
+    """Names that the list finds as written, and all records under these names in any case."""
+    return filters.rederived(records(spark, sf_dir), BLOCKLIST)
+
+
+@query
+def caught_by_reason(spark, sf_dir):
+    """Non-ads by reason (toxic or not): how many there are, and how many no version finds."""
+    reason = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("row_id"), F.when(F.col("toxic") == 1, "toxic").otherwise("other").alias("reason"))
+    rows = labelled(spark, sf_dir).filter("non_ad").join(reason, "row_id")
+    return rows.groupBy("reason").agg(F.count("*").alias("non_ads"), F.count_if(~F.col("v3")).alias("missed"))
+
+
 @query
 def second_coder(spark, sf_dir):
     """The part of the stratified sample that a second person labels, in the order of a second seed."""
