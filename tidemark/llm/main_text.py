@@ -20,7 +20,8 @@ from __future__ import annotations
 
 import re
 from collections import deque
-from html.parser import HTMLParser
+from collections.abc import Iterator
+from html import unescape
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -42,18 +43,20 @@ BAD_WORDS = frozenset(
 )
 GOOD_WORDS = frozenset("article articlebody content post postbody entry story main body text".split())
 PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
-CUT_TAG = re.compile(r"<[A-Za-z/!][^<>]*\Z")
+NAME, GAP, KEY, EQUALS, BARE = (re.compile(p) for p in (r"[A-Za-z][^\s/>]*", r"[\s/]*", r"=?[^\s/>=]*", r"\s*=\s*", r"[^\s>]*"))
+RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])", re.IGNORECASE) for t in ("script", "style")}
 SMOOTH, PARENT = 0.8, 0.6
 
 
 class Element:
     """An open element, with what it and those around it add up to; inline elements pass on what they stand in."""
 
-    __slots__ = ("tag", "number", "parent", "depth", "against", "best", "seen", "skipped", "linked")
+    __slots__ = ("tag", "fence", "number", "parent", "depth", "against", "best", "seen", "skipped", "linked")
 
-    def __init__(self, tag: str, number: int, bias: float, above: Element | None) -> None:
+    def __init__(self, tag: str, number: int, bias: float, place: int, above: Element | None) -> None:
         self.tag = tag
         plain = tag not in INLINE
+        self.fence = place if plain else above.fence if above else -1  # place of the innermost plain element
         self.number = number if plain else above.number if above else 0
         self.parent = (above.number if plain else above.parent) if above else 0  # the plain element around the innermost one
         self.depth = (above.depth if above else 0) + plain
@@ -69,22 +72,106 @@ MARKED = {"p": 1, "blockquote": 1, "pre": 1, "article": 2, "h1": 4, "h2": 4, "h3
 PARAGRAPH, ARTICLE, HEADING = 1, 2, 4
 
 
-class _Reader(HTMLParser):
+def _start_tag(html: str, at: int) -> tuple[str, dict[str, str | None], bool, int] | None:
+    """Name, attributes, whether it closes itself, and the end of the start tag at `at`; None if the page ends inside."""
+    m = NAME.match(html, at + 1)
+    name, attrs, pos = m.group().lower(), {}, m.end()
+    while (pos := GAP.match(html, pos).end()) < len(html):
+        if html[pos] == ">":
+            return name, attrs, html[pos - 1] == "/", pos + 1
+        m = KEY.match(html, pos)
+        key, pos = m.group().lower(), m.end()
+        value = None
+        if m := EQUALS.match(html, pos):
+            pos = m.end()
+            quote = html[pos : pos + 1]
+            if quote in ('"', "'"):
+                end = html.find(quote, pos + 1)
+                if not quote or end < 0:
+                    return None
+                value, pos = html[pos + 1 : end], end + 1
+            else:
+                m = BARE.match(html, pos)
+                value, pos = m.group(), m.end()
+            value = unescape(value)
+        attrs[key] = value
+    return None
+
+
+def markup(html: str) -> Iterator[tuple]:
+    """Texts and tags of a page in one pass: no character is searched again for what its end has not shown.
+
+    What the page's end cuts off (a tag, a comment) is left out with all that it would hold.
+    """
+    pos, ended = 0, True
+    while pos < len(html):
+        at = html.find("<", pos)
+        if at < 0:
+            yield "text", unescape(html[pos:])
+            return
+        kind = html[at + 1 : at + 2]
+        letter = html[at + 2 : at + 3] if kind == "/" else kind
+        tagged = letter.isascii() and letter.isalpha()
+        if not tagged and kind not in ("!", "?", "/") or not kind:
+            yield "text", unescape(html[pos : at + 1])
+            pos = at + 1
+            continue
+        if at > pos:
+            yield "text", unescape(html[pos:at])
+        if kind == "/" or kind in ("!", "?"):
+            end = -1
+            if html.startswith("<!--", at) and ended:
+                # A comment that nothing ends is one up to the next sign, and so are all after it.
+                end = html.find(">", at) if html.startswith(("<!-->", "<!--->"), at) else html.find("-->", at + 4)
+                ended = end >= 0
+                end = end + 2 if html.startswith("-->", end) and ended else end
+            end = html.find(">", at) if end < 0 else end
+            if end < 0:
+                return
+            if kind == "/" and tagged:
+                yield "end", NAME.match(html, at + 2).group().lower()
+            pos = end + 1
+            continue
+        found = _start_tag(html, at)
+        if found is None:
+            return
+        name, attrs, closed, pos = found
+        yield "start", name, attrs, closed
+        if name in RAW_END and not closed:
+            m = RAW_END[name].search(html, pos)
+            if m is None:
+                return
+            pos = m.start()
+
+
+class _Reader:
     """Collects blocks: text, share inside links, the sums of their chain, and how much of it the block before shares."""
 
     def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
         self.stack: list[Element] = []
-        self.open: dict[str, int] = {}
+        self.open: dict[str, list[int]] = {}  # places in the stack of each element name
         self.blocks: list[dict] = []
         self.parts: list[str] = []
         self.linked = 0
         self.count = 0
         self.lowest = 0  # least depth since the block before
 
+    def read(self, html: str) -> None:
+        for kind, *rest in markup(html):
+            if kind == "text":
+                self.handle_data(*rest)
+            elif kind == "end":
+                self.handle_endtag(*rest)
+            else:
+                name, attrs, closed = rest
+                self.handle_starttag(name, attrs)
+                if closed and name not in VOID:
+                    self.handle_endtag(name)
+        self.flush()
+
     def _pop(self, k: int) -> None:
         for e in self.stack[k:]:
-            self.open[e.tag] -= 1
+            self.open[e.tag].pop()
         del self.stack[k:]
         self.lowest = min(self.lowest, self.stack[-1].depth if self.stack else 0)
 
@@ -112,32 +199,27 @@ class _Reader(HTMLParser):
         if tag in CLOSES_SELF:
             self._close(tag, tuple(CLOSES_SELF[tag].split()))
         self.count += 1
-        self.open[tag] = self.open.get(tag, 0) + 1
-        self.stack.append(Element(tag, self.count, _bias(tag, dict(attrs)), self.stack[-1] if self.stack else None))
+        self.open.setdefault(tag, []).append(len(self.stack))
+        self.stack.append(Element(tag, self.count, _bias(tag, attrs), len(self.stack), self.stack[-1] if self.stack else None))
 
-    def handle_startendtag(self, tag, attrs):
-        self.handle_starttag(tag, attrs)
-        if tag not in VOID:
-            self.handle_endtag(tag)
+    def _last(self, tag: str) -> int:
+        """Place of the innermost open element of a name, -1 without one."""
+        places = self.open.get(tag)
+        return places[-1] if places else -1
 
     def _close(self, tag: str, fence: tuple[str, ...]) -> None:
-        for k in range(len(self.stack) - 1, -1, -1) if self.open.get(tag) else ():
-            if self.stack[k].tag == tag:
-                self.flush()
-                self._pop(k)
-                return
-            if self.stack[k].tag in fence:
-                return
+        k = self._last(tag)
+        if k >= 0 and all(self._last(f) < k for f in fence if f != tag):
+            self.flush()
+            self._pop(k)
 
     def handle_endtag(self, tag):
         if tag not in INLINE:
             self.flush()
-        for k in range(len(self.stack) - 1, -1, -1) if self.open.get(tag) else ():
-            if self.stack[k].tag == tag:
-                self._pop(k)
-                return
-            if tag in INLINE and self.stack[k].tag not in INLINE:
-                return
+        k = self._last(tag)
+        # An inline element ends only inside the plain element that it stands in.
+        if k >= 0 and (tag not in INLINE or self.stack[-1].fence < k):
+            self._pop(k)
 
     def handle_data(self, data):
         top = self.stack[-1] if self.stack else None
@@ -248,9 +330,7 @@ def source_side(weights: list[float], links: list[tuple[int, int, float]]) -> li
 
 def blocks_of(html: str) -> list[dict]:
     reader = _Reader()
-    reader.feed(CUT_TAG.sub("", html))
-    reader.close()
-    reader.flush()
+    reader.read(html)
     return reader.blocks
 
 
