@@ -2,7 +2,8 @@
 
 The index is built from the test items (a stated query set) in shards of at most SHARD
 items, one after another on the driver; SHARDS of them make up what an executor holds
-for one pass over the documents. A shard has the postings of each term, sorted by item,
+for one pass over the documents. Document frequencies, the mean length and the longest item
+are those of the whole benchmark, so scores and passages don't depend on the shards. A shard has the postings of each term, sorted by item,
 and the highest impact of each block of BLOCK items that the term occurs in. Every document
 is cut into passages of twice the longest item, one longest item apart, so any copy of an
 item lies whole in one passage. For each passage the sum of its terms' highest impacts bounds
@@ -29,13 +30,14 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import fresh, map_text
+from tidemark.llm.common import fresh, importable, map_text
 
 K1, B = 1.2, 0.75
 OVERLAP = 0.8
@@ -206,31 +208,65 @@ def _share(wanted: set, have: set | None, words: list[str]) -> float:
     return sum(g in runs[len(g)] for g in wanted) / len(wanted)
 
 
-def index_of(items: list[tuple[int, list[str]]]) -> Index:
-    """The index of one shard, with the term statistics of its own items."""
+def index_of(items: list[tuple[int, list[str]]], known: Statistics | None = None) -> Index:
+    """The index of one shard, with the statistics of the whole benchmark (of these items alone if none are given)."""
+    known = known or statistics(items)
+    return Index(items, known.idf(items), known.total / known.items, known.longest)
+
+
+@dataclass
+class Statistics:
+    """Of all test items: how many have words, their words, the longest, and in how many each word of a shard stands."""
+
+    items: int
+    total: int
+    longest: int
+    df: dict[str, int]
+
+    def idf(self, items: list[tuple[int, list[str]]]) -> dict[str, float]:
+        return {t: float(np.log(1 + (self.items - self.df[t] + 0.5) / (self.df[t] + 0.5))) for _, w in items for t in set(w)}
+
+
+def statistics(items: list[tuple[int, list[str]]]) -> Statistics:
     df: dict[str, int] = {}
     for _, w in items:
         for t in set(w):
             df[t] = df.get(t, 0) + 1
-    idf = {t: float(np.log(1 + (len(items) - n + 0.5) / (n + 0.5))) for t, n in df.items()}
-    return Index(items, idf, sum(len(w) for _, w in items) / len(items), max(len(w) for _, w in items))
+    return Statistics(len(items), sum(len(w) for _, w in items), max(len(w) for _, w in items), df)
 
 
 def build(benchmark: DataFrame) -> Iterator[Index]:
-    """The shards of the index; the driver holds the items of one shard at a time."""
+    """The shards of the index; the driver holds the items of one shard at a time, each word with its count over all items."""
+    importable(benchmark.sparkSession)
+
+    def split(batches):
+        for batch in batches:
+            words = [words_of(t) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("item_id"), batch.column("text"), pa.array(words, pa.list_(pa.string()))], names=["item_id", "text", "words"])
+
+    rows = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), "text").filter("item_id is not null").mapInArrow(split, "item_id bigint, text string, words array<string>").filter(F.size("words") > 0)
+    size = rows.agg(F.count("*").alias("n"), F.sum(F.size("words")).alias("total"), F.max(F.size("words")).alias("longest")).first()
+    pairs = rows.withColumn("row", F.monotonically_increasing_id())
+    df = rows.select(F.explode(F.array_distinct("words")).alias("word")).groupBy("word").agg(F.count("*").alias("df"))
+    counted = pairs.select("row", F.explode(F.array_distinct("words")).alias("word")).join(df, "word").groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("word", "df"))).alias("df"))
     part: list[tuple[int, list[str]]] = []
-    for r in benchmark.select("item_id", "text").filter("item_id is not null").orderBy("item_id", "text").toLocalIterator():
-        if w := words_of(r.text):
-            part.append((r.item_id, w))
+    known = Statistics(size.n, size.total or 0, size.longest or 0, {})
+    for r in pairs.join(counted, "row").select("item_id", "text", "words", "df").orderBy("item_id", "text").toLocalIterator():
+        part.append((r.item_id, r.words))
+        known.df.update(r.df)
         if len(part) == SHARD:
-            yield index_of(part)
-            part = []
+            yield index_of(part, known)
+            part, known.df = [], {}
     if part:
-        yield index_of(part)
+        yield index_of(part, known)
 
 
 def with_leaks(docs: DataFrame, benchmark: DataFrame, into: str = "_leaks") -> DataFrame:
-    """docs, all rows and columns, with the verified pairs in the array column `into`; one pass for each SHARDS shards."""
+    """docs, all rows and columns, with the verified pairs in the array column `into`; one pass for each SHARDS shards.
+
+    A column of docs that is named `into` is replaced.
+    """
+    docs = docs.drop(into)
     held = [docs.sparkSession.sparkContext.broadcast(index) for index in build(benchmark)]
     if not held:
         return docs.withColumn(into, F.array().cast(FIELDS))
