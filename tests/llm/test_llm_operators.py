@@ -737,3 +737,54 @@ def test_query_rejects_junk(spark, tmp_path):
     few = spark.createDataFrame([(i, 1) for i in range(200)], "doc_id bigint, quality int")
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
     assert all(r.kept for r in quality_rules.quality_report(docs, few).collect())
+
+
+# Markup that a page's end cuts off, deep runs of inline elements and the like must not cost more than its length.
+@pytest.mark.parametrize("html", ["<div " * 200_000, "<!--" * 250_000, "<em><div>" + "<span>" * 60_000 + "</em>" * 60_000, "<a b='" * 150_000, "<" * 500_000, "<script>" * 100_000], ids=["tags", "comments", "inline", "quotes", "signs", "scripts"])
+def test_broken_markup_is_read_in_one_pass(html):
+    import time
+
+    began = time.process_time()
+    main_text.main_text(html)
+    assert time.process_time() - began < 5
+
+
+def test_markup():
+    got = list(main_text.markup("a &lt; b<P class='x y' hidden id=z>t</p><br/><!-- <b> --><!x><?y?>1 < 2<script>if (a<b) {}</script>end<i"))
+    assert got == [
+        ("text", "a < b"), ("start", "p", {"class": "x y", "hidden": None, "id": "z"}, False), ("text", "t"), ("end", "p"), ("start", "br", {}, True),
+        ("text", "1 <"), ("text", " 2"), ("start", "script", {}, False), ("end", "script"), ("text", "end"),
+    ]
+    assert [g for g in main_text.markup("x<!-- cut <b>y</b>")] == [("text", "x"), ("text", "y"), ("end", "b")]
+    assert [g for g in main_text.markup("<!-->z<!--->w")] == [("text", "z"), ("text", "w")]
+
+
+def test_clashing_names(spark, labels):
+    rows = [(i, " ".join(f"w{i}x{k}" for k in range(60)), 1, 2, 3, 4) for i in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _cut_band int, _cuts int, _gone int, _leaks int")
+    ruled = quality_rules.quality_rules(docs, labels, into="_verdict")
+    assert ruled.columns == [*docs.columns, "_verdict"] and ruled.count() == 4
+    assert jaccard_join.one_of_each(docs).count() == 4
+    items = spark.createDataFrame([(1, " ".join(f"w2x{k}" for k in range(20)))], "item_id long, text string")
+    found = decontaminate.with_leaks(docs, items)
+    assert found.columns == [c for c in docs.columns if c != "_leaks"] + ["_leaks"]
+    assert {r.doc_id: len(r._leaks) for r in found.collect()} == {0: 0, 1: 0, 2: 1, 3: 0}
+
+
+def test_scores_do_not_depend_on_shards(spark, monkeypatch):
+    rng = random.Random(3)
+    words = [f"v{k}" for k in range(80)]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randrange(8, 30))) for _ in range(40)]
+    items = spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
+    docs = spark.createDataFrame([(i, " ".join(["pad"] * (i % 7) + [t] + ["end"] * 9)) for i, t in enumerate(texts)], "doc_id long, text string")
+
+    def found(size):
+        monkeypatch.setattr(decontaminate, "SHARD", size)
+        return sorted(tuple(r) for r in decontaminate.leaks(docs, items).collect())
+
+    whole = found(8192)
+    assert len(whole) >= 40
+    for size in (1, 7, 25):
+        assert [r[:2] for r in found(size)] == [r[:2] for r in whole]
+        for a, b in zip(found(size), whole):
+            assert a[2:6] == pytest.approx(b[2:6]) and a[6] == b[6]

@@ -45,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Staged, importable, slices, stage_table
+from tidemark.llm.common import Staged, fresh, importable, slices, stage_table
 from tidemark.llm.shingles import M1, M2, Sets, mix
 
 BAND_RATIO = 1.5
@@ -503,5 +503,6 @@ def jaccard_components(docs: DataFrame, words: int = 3, num: int = 90, den: int
 def one_of_each(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """docs, all columns, without the documents that aren't the first (by doc_id) of their component."""
     placed = jaccard_components(docs, words, num, den)
-    gone = placed.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone.hint("shuffle_hash"), F.col("doc_id") == F.col("_gone"), "left_anti")
+    name = fresh(docs, "_gone")
+    gone = placed.filter("doc_id <> component_id").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone.hint("shuffle_hash"), F.col("doc_id") == F.col(name), "left_anti")

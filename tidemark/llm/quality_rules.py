@@ -30,7 +30,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import WORD, Staged, stage_table
+from tidemark.llm.common import WORD, Staged, fresh, stage_table
 
 ALPHA = 0.02
 DELTA = 0.05
@@ -202,13 +202,14 @@ def verdicts(counted: DataFrame, cuts: DataFrame, into: str = "_quality") -> Dat
     words = q["words"]
     base = (words["n_words"] < 50) | (100 * words["n_repeat_words"] > 50 * words["n_words"])
     # The cutoffs have at most one row for each of the four bands, so they can be broadcast at any size of the corpus.
-    own = F.broadcast(cuts.select(F.col("band").alias("_cut_band"), F.col("cuts").alias("_cuts")))
-    joined = counted.join(own, _band(q) == F.col("_cut_band"), "left")
-    broken = reduce(lambda a, b: a | b, [F.coalesce(v > F.try_element_at(F.col("_cuts"), F.lit(k)), F.lit(False)) for k, v in _measures(q).items()])
+    band_name, cuts_name = fresh(counted, "_cut_band"), fresh(counted, "_cuts")
+    own = F.broadcast(cuts.select(F.col("band").alias(band_name), F.col("cuts").alias(cuts_name)))
+    joined = counted.join(own, _band(q) == F.col(band_name), "left")
+    broken = reduce(lambda a, b: a | b, [F.coalesce(v > F.try_element_at(F.col(cuts_name), F.lit(k)), F.lit(False)) for k, v in _measures(q).items()])
     kinds = [words["n_words"], words["word_chars"], q["n_symbols"], q["lines"]["n_dup_lines"], q["lines"]["n_lines"], words["n_repeat_words"], q["n_capitals"], q["n_bangs"]]
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_lines", "n_repeat_words", "n_capitals", "n_bangs")
     flat = F.struct(*[c.alias(n) for c, n in zip(kinds, names, strict=True)], _band(q).alias("band"), base.alias("base_failed"), (~base & ~broken).alias("kept"))
-    return joined.withColumn(into, flat).drop("_cut_band", "_cuts")
+    return joined.withColumn(into, flat).drop(band_name, cuts_name)
 
 
 def _learnt(docs: DataFrame, labels: DataFrame, alpha: float, delta: float, passing: Staged) -> tuple[DataFrame, DataFrame]:
