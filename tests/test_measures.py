@@ -65,3 +65,26 @@ def test_literals_that_queries_and_sql_share():
     assert "WHEN decade = 1940" in oracle._QUOTA
     assert [s for s, _ in queries.SECTORS] == ["North", "South", "West"] and queries.SALES_SHIFT == 8
     assert set(queries.RULES) == {"tombstone", "legal_notice", "financial_statement", "house", "editorial", "licence"}
+
+
+def test_guards_change_nothing(spark):
+    """any_of and normalized against the plain forms, on texts of pieces of the patterns."""
+    import random
+
+    from tidemark.operators.filters import CUES, RULES
+
+    rng = random.Random(6)
+    pieces = [p for ps in [*RULES.values(), CUES] for p in ps]
+    plain = [X.literal_part(p) for p in pieces] + ["been sold", " ", "-\n", "\t", "  ", "shares have", "interim report 1984", "the united states ", "three months", "' review", "x", "\x0b", "a-  b", "or", "(", "%"]
+    texts = ["".join(rng.choice(plain) + rng.choice(["", " ", "\n", "."]) for _ in range(rng.randrange(1, 6))) for _ in range(1500)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(-1, None)], "i int, t string")
+    groups = {**RULES, "odd": ["a|b", "x+y", "(?:u|v)w"], "cues": [c.replace(r"\b", "") for c in CUES]}
+    got = df.select("i", *[X.any_of(F.col("t"), ps).alias(k) for k, ps in groups.items()], X.normalized(F.col("t")).alias("n"))
+    want = df.select("i", *[F.col("t").rlike("|".join(f"(?:{p})" for p in ps)).alias(k) for k, ps in groups.items()], F.regexp_replace(F.regexp_replace(F.lower("t"), r"-\s+", ""), r"\s+", " ").alias("n"))
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+    assert {k for k in RULES if got.filter(k).count()} == set(RULES)
+
+
+@pytest.mark.parametrize("pattern, part", [("a|b", ""), ("ab(c|d)efg", "efg"), (r"foo\.bar", "foo.bar"), ("x{2}yz", "yz"), ("abc?d", "ab"), (r"\bword\b", "word"), ("a.bcd", "bcd"), ("[xy]zz*k", "z"), ("", "")])
+def test_literal_parts(pattern, part):
+    assert X.literal_part(pattern) == part

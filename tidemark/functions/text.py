@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -86,11 +87,39 @@ def word_count(text: Column) -> Column:
 
 def normalized(text: Column) -> Column:
     """Small letters, words joined over a hyphen and a break, single spaces."""
-    return F.regexp_replace(F.regexp_replace(F.lower(text), r"-\s+", ""), r"\s+", " ")
+    # Spaces that stand alone are left as they are, so only other white space costs a replacement.
+    return F.regexp_replace(F.regexp_replace(F.lower(text), r"-\s+", ""), r"\s{2,}|[\t\n\x0B\f\r]", " ")
+
+
+_PIECE = re.compile(r"(?P<group>\((?:[^()]|\([^()]*\))*\)|\[[^\]]*\]|\\[A-Za-z])(?:[?*+]|\{[^}]*\})?|(?:\\)?(?P<char>[^\\])(?P<times>[?*+]|\{[^}]*\})?|\\$")
+
+
+def literal_part(pattern: str) -> str:
+    """The longest text that every match of a pattern without an outer alternative holds; empty if none is sure."""
+    runs, now = [], ""
+    for m in _PIECE.finditer(pattern):
+        char, sure = m["char"], not m["times"]
+        escaped = m[0].startswith("\\")
+        if char is None or (not escaped and char in "|^$."):
+            if char == "|":
+                return ""
+            runs.append(now)
+            now = ""
+        elif sure:
+            now += char
+        else:
+            runs.append(now)
+            now = ""
+    return max([*runs, now], key=len)
 
 
 def any_of(text: Column, patterns: list[str], prefix: str = "") -> Column:
-    return text.rlike(prefix + "|".join(f"(?:{p})" for p in patterns))
+    """Whether any pattern matches. Texts without the fixed parts of the patterns are passed over without a search."""
+    found = text.rlike(prefix + "|".join(f"(?:{p})" for p in patterns))
+    parts = sorted({literal_part(p) for p in patterns})
+    if prefix or min(map(len, parts), default=0) < 3:
+        return found
+    return reduce(lambda a, b: a | b, [F.contains(text, F.lit(p)) for p in parts]) & found
 
 
 def brand_key(brand: Column) -> Column:
