@@ -6,11 +6,10 @@ for one pass over the documents. Document frequencies, the mean length and the l
 are those of the whole benchmark, so scores and passages don't depend on the shards. A shard has the postings of each term, sorted by item,
 and the highest impact of each block of BLOCK items that the term occurs in. Every document
 is cut into passages of twice the longest item, one longest item apart, so any copy of an
-item lies whole in one passage. For each passage the sum of its terms' highest impacts bounds
-all scores (WAND); the sums of their highest impacts in each block bound the block's
-(block-max); only the postings of blocks that may reach their lowest threshold are read, and
-scored exactly. Sums are of double precision, and thresholds lie below them by more than
-their rounding. An item's threshold is a lower bound of the score of any passage that the
+item lies whole in one passage. Each passage is a query of block-max WAND: terms go through their
+postings side by side, pivots and blocks that cannot reach their lowest threshold are passed
+over, and the rest is scored exactly. Sums are of double precision, and thresholds lie below them
+by more than their rounding. An item's threshold is a lower bound of the score of any passage that the
 verification can accept, so retrieval loses no pair. Passages with too few runs of GRAM words
 whose neighbours are neighbours in an item are left out before. Each retrieved pair is
 then verified:
@@ -29,6 +28,8 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -106,7 +107,7 @@ class Index:
     """Impacts of one shard of items."""
 
     def __init__(self, items: list[tuple[int, list[str]]], idf: dict[str, float], mean: float, longest: int) -> None:
-        self.longest = longest
+        self.longest, self.width, self._lists = longest, BLOCK, None
         # Items of one vocabulary and of like scores share a block, which keeps its bounds tight.
         weights = lambda w: {t: idf[t] * w.count(t) * (K1 + 1) / (w.count(t) + K1 * (1 - B + B * len(w) / mean)) for t in set(w)}
         common = lambda w: min(set(w), key=lambda t: (idf[t], t))
@@ -146,19 +147,67 @@ class Index:
             can = total[run - 1 :] - total[: 1 - run] == run - 1 if len(total) >= run else np.zeros(0, bool)
         return np.pad(np.concatenate([[0], np.cumsum(can)]), (0, len(ids) - len(can)), "edge")
 
-    def retrieved(self, terms: np.ndarray) -> list[tuple[int, float]]:
-        """Items that reach their thresholds, with their scores."""
-        met = _ranges(self.of_term[terms], self.of_term[terms + 1])
-        block = self.block[met]
-        may = np.bincount(block, self.highest[met], self.blocks) >= self.block_goal
-        if not may.any():
-            return []
-        met = met[may[block]]
-        posts = _ranges(self.first[met], self.last[met])
-        item, at = np.unique(self.item[posts], return_inverse=True)
-        score = np.bincount(at, self.impact[posts])
-        good = score >= self.goal[item]
-        return list(zip(item[good].tolist(), score[good].tolist(), strict=True))
+    def lists(self) -> tuple:
+        """The postings as lists, made once in a process; broadcasts carry the arrays alone."""
+        if self._lists is None:
+            self._lists = tuple(x.tolist() for x in (self.item, self.impact, self.block, self.first, self.last, self.highest, self.of_term, self.top, self.goal, self.block_goal))
+        return self._lists
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_lists": None}
+
+    def retrieved(self, terms: np.ndarray, tally: Counter | None = None) -> list[tuple[int, float]]:
+        """Items that reach their thresholds, with their scores, by block-max WAND.
+
+        Terms are cursors in their postings, in the order of the items that they stand at. The pivot is the first item that
+        the highest impacts of the terms up to it could bring to the lowest threshold of all. If the highest impacts in
+        the pivot's block cannot reach the block's lowest threshold, all these terms go on to the end of the block, or to
+        the next term's item; else they go on to the pivot, and it is scored when all have met there. tally counts the
+        postings that were scored and those that were passed over.
+        """
+        item, impact, block, first, last, highest, of_term, top, goal, block_goal = self.lists()
+        # Item, highest impact, posting, end of postings, block, end of blocks.
+        open_ = [[item[first[of_term[t]]], top[t], first[of_term[t]], last[of_term[t + 1] - 1], of_term[t], of_term[t + 1]] for t in terms.tolist() if of_term[t] < of_term[t + 1]]
+        out, scored, passed, lowest = [], 0, 0, min(block_goal)
+        while True:
+            open_.sort()
+            bound, pivot = 0.0, 0
+            for c in open_:
+                bound += c[1]
+                if bound >= lowest:
+                    break
+                pivot += 1
+            else:
+                break
+            at = open_[pivot][0]
+            while pivot + 1 < len(open_) and open_[pivot + 1][0] == at:
+                pivot += 1
+            here, high = at // self.width, 0.0
+            for c in open_[: pivot + 1]:
+                if block[c[4]] < here:
+                    c[4] = bisect_left(block, here, c[4], c[5])
+                if c[4] < c[5] and block[c[4]] == here:
+                    high += highest[c[4]]
+            if high >= block_goal[here] and open_[0][0] == at:
+                score = math.fsum(impact[c[2]] for c in open_[: pivot + 1])
+                if score >= goal[at]:
+                    out.append((at, score))
+                scored += pivot + 1
+                to = at + 1
+            else:
+                to = at if high >= block_goal[here] else min((here + 1) * self.width, open_[pivot + 1][0] if pivot + 1 < len(open_) else 1 << 62)
+            for c in open_[: pivot + 1]:
+                if c[0] < to:
+                    p = c[2] + 1
+                    if p < c[3] and item[p] < to:
+                        p = bisect_left(item, to, p, c[3])
+                    passed += p - c[2]
+                    c[2] = p
+                    c[0] = item[p] if p < c[3] else -1
+            open_ = [c for c in open_ if c[0] >= 0 and c[4] < c[5]]
+        if tally is not None:
+            tally.update(scored=scored, passed=passed - scored)
+        return out
 
     def search(self, words: list[str]) -> list[dict]:
         """Verified pairs of one document, the best passage for each item."""
