@@ -278,10 +278,11 @@ def cut(rows: Iterator[dict]) -> Iterator[dict]:
 
 def _faults(conversations: DataFrame) -> DataFrame:
     """conv_id, turn, role, text, copies (0: a conversation that may have no rows), blank, repeat, truncated, tie columns."""
-    key = F.sha2(F.concat(F.length("role").cast("string"), F.lit(":"), "role", "text"), 256)
+    # The hash stands for role and text in the search for repeats, which so moves no texts and counts before its shuffle.
+    key = F.unhex(F.sha2(F.concat(F.length("role").cast("string"), F.lit(":"), "role", "text"), 256))
     rows = conversations.groupBy("conv_id", "turn", "role", "text").agg(F.sum("copies").alias("copies")).withColumn("key", key)
     order = F.struct(F.col("turn").isNotNull(), F.coalesce("turn", F.lit(0)).cast("bigint").alias("turn"))
-    seen = rows.filter("copies > 0").groupBy("conv_id", "key").agg(F.min(order).alias("earliest"), F.count("*").alias("places")).filter("places > 1")
+    seen = conversations.filter("copies > 0").select("conv_id", key.alias("key"), order.alias("at")).groupBy("conv_id", "key").agg(F.min("at").alias("earliest"), F.max("at").alias("latest")).filter("earliest < latest")
     left, right = rows.alias("r"), seen.alias("s")
     joined = left.join(right, F.col("r.conv_id").eqNullSafe(F.col("s.conv_id")) & (F.col("r.key") == F.col("s.key")), "left")
     at = F.struct(F.col("r.turn").isNotNull(), F.coalesce("r.turn", F.lit(0)).cast("bigint").alias("turn"))
