@@ -788,3 +788,29 @@ def test_scores_do_not_depend_on_shards(spark, monkeypatch):
         assert [r[:2] for r in found(size)] == [r[:2] for r in whole]
         for a, b in zip(found(size), whole):
             assert a[2:6] == pytest.approx(b[2:6]) and a[6] == b[6]
+
+
+def test_wand_gives_what_a_full_search_gives():
+    """Against scores of all items; postings are passed over, and the index can be sent after use."""
+    import pickle
+
+    rng, tally = random.Random(1), collections.Counter()
+    for _ in range(30):
+        words = [f"w{k}" for k in range(rng.choice([30, 200, 2000]))]
+        odds = [1 / (k + 1) for k in range(len(words))]
+        items = [(i, rng.choices(words, odds, k=rng.randrange(3, 60))) for i in range(rng.choice([5, 150, 700]))]
+        index = decontaminate.index_of(items)
+        for _ in range(12):
+            own = rng.choice(items)[1]
+            asked = own[: rng.randrange(1, len(own) + 1)] + rng.choices(words, odds, k=rng.randrange(40))
+            terms = np.array(sorted({index.terms[w] for w in asked if w in index.terms}), np.int64)
+            score = np.zeros(len(items))
+            for t in terms.tolist():
+                at = slice(index.first[index.of_term[t]], index.last[index.of_term[t + 1] - 1])
+                score[index.item[at]] += index.impact[at]
+            want = [(j, x) for j, x in enumerate(score) if x > 0 and x >= index.goal[j]]
+            got = index.retrieved(terms, tally)
+            assert [i for i, _ in got] == [i for i, _ in want] and np.allclose([x for _, x in got], [x for _, x in want])
+        assert pickle.loads(pickle.dumps(index)).retrieved(terms) == index.retrieved(terms)
+    assert index.retrieved(np.zeros(0, np.int64)) == []
+    assert tally["passed"] > tally["scored"] / 10
