@@ -1,6 +1,13 @@
+import random
+import re
+import time
+
 import pytest
 from helpers import canonical
+from pyspark.sql import functions as F
 
+from tidemark.functions import text as X
+from tidemark.operators import filters
 from tidemark.plans.oracle import SQL
 from tidemark.plans.queries import REGISTRY
 
@@ -44,3 +51,22 @@ def test_entry(spark):
 
     assert e.entry(spark).count() == 16
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_excerpts_equal_the_plain_search(spark):
+    """Each text against the search that begins at every place, in code points; matches near the start, twice, far off, in pairs."""
+    rng = random.Random(4)
+    texts = ["".join(rng.choice(["a", "\n", "\U0001F600", "é", "Licensed under", "all RIGHTS reserved"][: 4 + 2 * (rng.random() < 0.5)]) for _ in range(rng.randrange(60))) for _ in range(200)] + ["", None, "x" * 40 + "licenced under"]
+    pattern = "|".join(filters.RULES["legal_notice"] + ["all rights reserved", "licen[sc]ed under"])
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    for around in (0, 3, 20):
+        plain = re.compile(rf"(?is).{{0,{around}}}(?:{pattern}).{{0,{around}}}", re.ASCII)
+        want = {i: m[0] if t and (m := plain.search(t)) else None for i, t in enumerate(texts)}
+        assert {r.i: r.x for r in df.select("i", X.excerpt(F.col("t"), pattern, around).alias("x")).collect()} == want
+
+
+def test_excerpts_of_long_texts_do_not_search_from_every_place(spark):
+    df = spark.createDataFrame([("ab cd " * 700_000 + "balance sheet",)], "t string")
+    begin = time.monotonic()
+    assert df.select(X.excerpt(F.col("t"), "balance sheet|net loss", 4000).alias("x")).first().x.endswith("cd balance sheet")
+    assert time.monotonic() - begin < 15

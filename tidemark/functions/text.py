@@ -71,8 +71,15 @@ def as_boolean(text: Column) -> Column:
 
 
 def excerpt(text: Column, pattern: str, around: int = 150) -> Column:
-    """The first match with `around` characters on each side; null without one."""
-    return F.nullif(F.regexp_extract(text, rf"(?is).{{0,{around}}}(?:{pattern}).{{0,{around}}}", 0), F.lit(""))
+    """The first match with `around` characters on each side; null without one.
+
+    The match is found first, by the pattern alone; the search with what stands around begins `around` characters
+    ahead of it, where it succeeds at once.
+    """
+    ahead = F.split(text, rf"(?is)(?:{pattern})", 2)
+    near = F.substring(text, F.greatest(F.char_length(ahead[0]) - around, F.lit(0)) + 1, F.char_length(text))
+    found = F.regexp_extract(near, rf"(?is).{{0,{around}}}(?:{pattern}).{{0,{around}}}", 0)
+    return F.nullif(F.when(F.size(ahead) > 1, found), F.lit(""))
 
 
 def excerpt_from(text: Column, pattern: str, before: int = 150, length: int = 600) -> Column:
