@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import text as X
 from tidemark.operators import filters
+from tidemark.plans import queries
 from tidemark.plans.oracle import SQL
 from tidemark.plans.queries import REGISTRY
 
@@ -70,3 +71,32 @@ def test_excerpts_of_long_texts_do_not_search_from_every_place(spark):
     begin = time.monotonic()
     assert df.select(X.excerpt(F.col("t"), "balance sheet|net loss", 4000).alias("x")).first().x.endswith("cd balance sheet")
     assert time.monotonic() - begin < 15
+
+
+def plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_one_scan_before_and_after_a_filter(spark, sf_dir, duck, tmp_path):
+    """One scan of the documents; rows that share an id are paired as the statement's join does."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    assert plan(REGISTRY["filter_before_after"](spark, sf_dir)).count(X.SCORING) == 1
+    twice = docs.unionByName(docs.filter("doc_id % 3 = 0").withColumn("text", F.lit("the worthless best one two three four five six seven eight"))).unionByName(docs.limit(5).withColumn("doc_id", F.lit(None).cast("long")))
+    twice.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    cursor = duck.cursor()
+    cursor.execute(f"CREATE OR REPLACE TEMP VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = cursor.execute(SQL["filter_before_after"]).df()
+    got = REGISTRY["filter_before_after"](spark, str(tmp_path)).toPandas()
+    assert len(want) and canonical(got[sorted(got.columns)].itertuples(index=False)) == canonical(want[sorted(want.columns)].itertuples(index=False))
+
+
+def test_flags_are_worked_out_once(spark, sf_dir):
+    """A filter on the flags holds the normal form once, and the grid's scan tokenises once."""
+    assert plan(REGISTRY["missed_by_reason"](spark, sf_dir)).count("lower(text") <= 1
+    assert plan(queries.grouped_cells(spark, sf_dir)).count(X.SCORING) == 1
+
+
+def test_has_words(spark):
+    texts = ["", " ", "a", "a b", " a  b\tc ", "a b c", "x" * 50_000, "\u00a0 a b"]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", *[X.has_words(F.col("t"), n).alias(f"n{n}") for n in (1, 2, 3)], X.word_count(F.col("t")).alias("n")).collect()
+    assert all(r[f"n{n}"] == (r.n >= n) for r in got for n in (1, 2, 3))
