@@ -195,11 +195,16 @@ def blocklist_candidates(spark, sf_dir):
 
 @query
 def filter_before_after(spark, sf_dir):
-    v = filters.versions(records(spark, sf_dir), BLOCKLIST, RULES, HEADER).select("row_id", "v3")
-    s = scores(spark, sf_dir).join(v, "row_id")
-    cal = F.broadcast(cycle.calendar(spark).select("yq", "recession_majority"))
-    gap = lambda rows, n: series.gaps(series.long_panel(series.macro(rows, OUT), OUT).join(cal, "yq"), ["outcome"], F.col("recession_majority")).select("outcome", F.col("gap").alias(n))
-    out = gap(s, "gap_before").join(gap(s.filter("not v3"), "gap_after"), "outcome")
+    """Gaps with all records and with those that v3 keeps, from one scan; rows that share an id are paired, as a join on it does."""
+    flag = filters.version_columns(BLOCKLIST, RULES, HEADER)["v3"]
+    own = W.partitionBy("row_id")
+    s = lexicon.scored(records(spark, sf_dir).filter("row_id is not null").withColumn("v3", flag)).select("row_id", "yq", "v3", "total_words", *OUT)
+    s = s.withColumns({"gap_before": F.count("*").over(own), "gap_after": F.count_if(~F.col("v3")).over(own)}).filter("total_words > 0")
+    mean = lambda o, n: (100 * F.sum(F.col(n) * F.col(o) / F.col("total_words")) / F.nullif(F.sum(n), F.lit(0))).alias("y")
+    cells = F.array(*[F.struct(F.lit(o).alias("outcome"), F.lit(n).alias("rows"), mean(o, n)) for o in OUT for n in ("gap_before", "gap_after")])
+    panel_ = s.groupBy("yq").agg(cells.alias("cells")).select("yq", F.inline("cells")).filter("y is not null")
+    found = series.gaps(with_state(spark, panel_), ["outcome", "rows"], F.col("state"))
+    out = found.groupBy("outcome").agg(F.count("*").alias("n"), *[F.max(F.when(F.col("rows") == n, F.col("gap"))).alias(n) for n in ("gap_before", "gap_after")]).filter("n = 2").drop("n")
     return rounded(out.withColumns({"change": F.col("gap_after") - F.col("gap_before"), "same_direction": F.col("gap_after") * F.col("gap_before") >= 0}), "gap_before", "gap_after", "change")
 
 
@@ -529,9 +534,10 @@ def grouped_cells(spark, sf_dir):
     All of the grid is computed from this table: the texts are read once and grouped once, for every filter version.
     """
     flags = filters.version_columns(BLOCKLIST, RULES, HEADER)
-    rows = lexicon.scored(records(spark, sf_dir).withColumns(flags)).filter("total_words > 0")
-    kept = F.array_compact(F.array(F.lit("none"), *[F.when(~F.col(v), F.lit(v)) for v in flags]))
-    rows = rows.select(F.explode(kept).alias("version"), F.coalesce(X.brand_key(F.col("brand")), F.lit("(missing brand)")).alias("brand_key"), "yq", "total_words", *OUT)
+    rows = lexicon.scored(records(spark, sf_dir).withColumns(flags))
+    # Outer, and filtered behind: a filter ahead of it would tokenise and match every text once more.
+    kept = F.when(F.col("total_words") > 0, F.array_compact(F.array(F.lit("none"), *[F.when(~F.col(v), F.lit(v)) for v in flags])))
+    rows = rows.select(F.explode_outer(kept).alias("version"), F.coalesce(X.brand_key(F.col("brand")), F.lit("(missing brand)")).alias("brand_key"), "yq", "total_words", *OUT).filter("version is not null")
     sums = [f for o in OUT for f in (F.sum(o).alias(f"c_{o}"), F.sum(100 * F.col(o) / F.col("total_words")).alias(f"y_{o}"))]
     return rows.groupBy("version", "brand_key", "yq").agg(F.count("*").alias("n"), F.sum("total_words").alias("words"), *sums)
 
