@@ -49,6 +49,8 @@ RUN = 35
 BUCKET, HELD = 2_000_000, 20_000_000
 #: Bytes whose suffixes are hashed at a time.
 CHUNK = 2_000_000
+#: Places that are hashed at a time where a task judges, so that they stay near the processor.
+NEAR = 40_000
 LAST = (1 << 63) - 1
 
 
@@ -66,14 +68,37 @@ def _hashes(flat: np.ndarray, width: int) -> np.ndarray:
     return h
 
 
-def _hash_at(flat: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
-    """A hash of the `width` bytes from each place; it only picks candidates, the bytes themselves decide."""
+def _hash_runs(flat: np.ndarray, start: np.ndarray, long: np.ndarray, width: int) -> np.ndarray:
+    """A hash of the `width` bytes from each of `long` places from each start on; it only picks candidates, the bytes themselves decide.
+
+    All places of flat are hashed in order, which costs less than to fetch the bytes of the chosen ones.
+    """
     words = np.ndarray((len(flat) - 7,), "<u8", flat.tobytes(), strides=(1,))
-    h = np.zeros(len(at), np.uint64)
-    for k in [*range(0, width - 7, 8), width - 8]:
-        h = (h ^ words[at + k]) * M1
-        h ^= h >> np.uint64(29)
-    return h
+    n = len(flat) - width + 1
+    out = []
+    firsts = np.searchsorted(start, np.arange(0, n + NEAR, NEAR))
+    for a, z in zip(firsts, firsts[1:]):  # starts ascend
+        if a == z:
+            continue
+        low, high = int(start[a]), int((start[a:z] + long[a:z]).max())
+        h = np.zeros(high - low, np.uint64)
+        for k in [*range(0, width - 7, 8), width - 8]:
+            h ^= words[low + k : high + k]
+            h *= M1
+            h ^= h >> np.uint64(29)
+        size = long[a:z]
+        out.append(h[np.repeat(start[a:z] - low - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))])
+    return np.concatenate([np.zeros(0, np.uint64), *out])
+
+
+def _twins(h: np.ndarray) -> np.ndarray:
+    """Places of the values that occur more than once; values are sorted without their places, which is quick."""
+    sorted_ = np.sort(h)
+    values = np.unique(sorted_[1:][sorted_[1:] == sorted_[:-1]])
+    top = np.zeros(1 << 20, bool)
+    top[values >> np.uint64(44)] = True
+    at = np.flatnonzero(top[h >> np.uint64(44)])
+    return at[values[np.minimum(np.searchsorted(values, h[at]), len(values) - 1)] == h[at]] if len(values) else at
 
 
 def _least(h: np.ndarray, width: int) -> np.ndarray:
@@ -119,11 +144,34 @@ def _cells(flat: np.ndarray, start: np.ndarray, size: np.ndarray, width: int) ->
 
 
 def _group(cells: np.ndarray, size: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Order by cell, size and document, and the number of each row's group in that order."""
-    order = np.lexsort((doc, size))
-    order = order[np.argsort(cells[order], kind="stable")]
-    same = (cells[order][1:] == cells[order][:-1]) & (size[order][1:] == size[order][:-1])
-    return order, np.concatenate([[0], np.cumsum(~same)])
+    """Order that holds equal cells of one size together, by document in each group, and the number of each row's group in that order.
+
+    Rows go by a hash of their bytes and size; neighbours of one hash are compared. Should one hash have different bytes,
+    the bytes give the order.
+    """
+    width = cells.itemsize
+    body = cells.view(np.uint8).reshape(len(cells), width)
+    h = size.astype(np.uint64) * M2
+    for k in [*range(0, width - 7, 8), width - 8]:
+        h = (h ^ np.ascontiguousarray(body[:, k : k + 8]).view("<u8").ravel()) * M1
+        h ^= h >> np.uint64(29)
+    order = np.argsort(h)
+    h = h[order]
+    near = h[1:] == h[:-1]
+    twins = np.flatnonzero(near)
+    a, b = order[twins], order[twins + 1]
+    if not ((cells[a] == cells[b]) & (size[a] == size[b])).all():
+        order = np.lexsort((doc, size))
+        order = order[np.argsort(cells[order], kind="stable")]
+        near = (cells[order][1:] == cells[order][:-1]) & (size[order][1:] == size[order][:-1])
+        return order, np.concatenate([[0], np.cumsum(~near)])
+    group = np.concatenate([[0], np.cumsum(~near)])
+    # Only rows of groups of two or more need the order of documents.
+    many = np.zeros(len(order), bool)
+    many[twins], many[twins + 1] = True, True
+    at = np.flatnonzero(many)
+    order[at] = order[at][np.lexsort((doc[order[at]], group[at]))]
+    return order, group
 
 
 def _ship(docs: np.ndarray, marks: np.ndarray, texts: list[bytes], buckets: int, width: int, seed: int):
@@ -137,7 +185,7 @@ def _ship(docs: np.ndarray, marks: np.ndarray, texts: list[bytes], buckets: int,
     size = long + width - 1
     doc = docs[owner]
     bucket = (mix(low) % np.uint64(buckets)).astype(np.int64)
-    by = np.argsort(bucket, kind="stable")
+    by = np.argsort(bucket.astype(np.uint16) if buckets <= 1 << 16 else bucket, kind="stable")
     ends = np.searchsorted(bucket[by], np.arange(buckets + 1))
     pack = zstandard.ZstdCompressor(level=3).compress
     gone = []
@@ -232,17 +280,13 @@ def _judge(table: pa.Table, width: int) -> pa.Table:
         o = order[later]
         found.append((doc[o], mark[o], place[o], place[o] + size[o]))
         # One segment for each group now stands for its first document; twins among its suffixes are looked for.
-        o = order[~later]
-        which = np.repeat(o, long[o])
-        step = np.arange(len(which)) - np.repeat(np.cumsum(long[o]) - long[o], long[o])
+        o = np.sort(order[~later])
+        h = _hash_runs(flat, start[o], long[o], width)
+        twin = _twins(h)
+        ends = np.cumsum(long[o])
+        row = np.searchsorted(ends, twin, side="right")
+        which, step = o[row], twin - (ends - long[o])[row]
         at = start[which] + step
-        h = _hash_at(flat, at, width)
-        rank = np.argsort(h, kind="stable")
-        twin = np.zeros(len(h), bool)
-        same = h[rank][1:] == h[rank][:-1]
-        twin[rank[1:][same]] = True
-        twin[rank[:-1][same]] = True
-        at, which, step = at[twin], which[twin], step[twin]
         if len(at):
             order = np.argsort(_cells(flat, at, np.full(len(at), width), width), kind="stable")
             factor = previous_factors(doc[which][order], common_prefixes(flat, at[order], width))
