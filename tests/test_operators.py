@@ -263,3 +263,15 @@ def test_holm_covers_all_rows(spark):
         top = max(top, (250 - i) * p)
         want[k] = min(1.0, top)
     assert got == pytest.approx(want, abs=1e-9)
+
+
+def test_permutations_in_blocks_of_words(spark, monkeypatch):
+    """Blocks of a few words give what one block gives, whatever quarters a word was seen in."""
+    rng = np.random.default_rng(6)
+    rows = [(f"{1980 + q // 4}Q{q % 4 + 1}", 1980 + q // 40 * 10, q % 5 == 0, f"w{w}", int(n)) for q in range(60) for w in range(40) if (n := rng.poisson(3))]
+    counts = spark.createDataFrame(rows, "yq string, decade long, recession boolean, word string, n long").repartition(2)
+    found = []
+    for size in (7, 10**6):
+        monkeypatch.setattr(words, "WORDS", size)
+        found.append({r.perm: r.max_z for r in words.permutation_max(counts, times=20).collect()})
+    assert found[0].keys() == set(range(-1, 20)) and all(found[0][k] == pytest.approx(found[1][k], rel=1e-12) for k in found[0])

@@ -6,6 +6,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -13,6 +14,10 @@ from pyspark.sql import Window as W
 from tidemark.functions.text import contrast_tokens
 
 
+#: Words of one block of a task, so that its tables of words by shuffles stay small.
+WORDS = 500
+
+
 def word_counts(records: DataFrame, keys: list[str]) -> DataFrame:
     """keys, word, n. Partial sums before the shuffle keep frequent words cheap."""
     return records.select(*keys, F.explode(contrast_tokens(F.col("text"))).alias("word")).groupBy(*keys, "word").agg(F.count("*").alias("n"))
@@ -75,11 +80,15 @@ def permutation_max(counts: DataFrame, times: int = 500, seed: int = 42, least:
     def run(batches):
         labels, member, (n_r, n_e), place = shared.value
         best = np.zeros(len(labels))
-        for batch in batches:
+        for batch in (b.slice(i, WORDS) for b in batches for i in range(0, b.num_rows, WORDS)):
+            # The cells stay in their columns; as objects of Python they would take hundreds of times as much.
+            cells = batch.column("cells")
+            flat = cells.flatten()
+            yq = flat.field("yq").dictionary_encode()
+            column = np.array([place[q] for q in yq.dictionary.to_pylist()], np.int64)[yq.indices.to_numpy(zero_copy_only=False)]
+            row = np.repeat(np.arange(batch.num_rows), pa.compute.list_value_length(cells).to_numpy(zero_copy_only=False))
             y = np.zeros((batch.num_rows, len(place)))
-            for i, cells in enumerate(batch.column("cells").to_pylist()):
-                for c in cells:
-                    y[i, place[c["yq"]]] = c["n"]
+            y[row, column] = flat.field("n").to_numpy(zero_copy_only=False)
             alpha = prior * y.sum(1) / grand
             top, weight = np.zeros((batch.num_rows, len(labels))), np.zeros((batch.num_rows, len(labels)))
             for d in range(len(member)):
